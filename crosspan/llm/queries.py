@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspan.llm import licenses, repeats, secrets, simhash, toxicity
+from crosspan.llm import licenses, ppm, repeats, secrets, simhash, toxicity
 from crosspan.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.learn(docs, labels))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op4_repeats, op8_licenses, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_ppm, op4_repeats, op8_licenses, op9_secrets, op10_simhash)
 }
 SQL: dict[str, str] = {}
