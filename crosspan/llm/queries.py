@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspan.llm import licenses, ppm, repeats, secrets, simhash, toxicity
+from crosspan.llm import licenses, packing, ppm, repeats, secrets, simhash, toxicity
 from crosspan.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digests(read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ppm, op4_repeats, op8_licenses, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_ppm, op4_repeats, op5_packing, op8_licenses, op9_secrets, op10_simhash)
 }
 SQL: dict[str, str] = {}
