@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspan.llm import arc, licenses, packing, ppm, repeats, secrets, simhash, toxicity
+from crosspan.llm import arc, licenses, media, packing, ppm, repeats, secrets, simhash, toxicity
 from crosspan.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.archived(read(spark, sf_dir, "pages"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(read(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digests(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ppm, op4_repeats, op5_packing, op6_warc, op8_licenses, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_ppm, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash)
 }
 SQL: dict[str, str] = {}
