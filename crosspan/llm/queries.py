@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspan.llm import arc, licenses, media, packing, ppm, repeats, secrets, simhash, toxicity
+from crosspan.llm import arc, decontam, licenses, media, packing, ppm, repeats, secrets, simhash, toxicity
 from crosspan.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(read(spark, sf_dir, "documents"))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ppm, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_ppm, op3_decontam, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash)
 }
 SQL: dict[str, str] = {}
