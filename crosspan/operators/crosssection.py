@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from crosspan.functions.core import average_rank, is_finite, nearest_quantile, ratio
 
-X = Window.partitionBy("timestamp")
+def at_time() -> WindowSpec:
+    return Window.partitionBy("timestamp")
 
 
 def replaced(df: DataFrame, value: Column, code: str) -> DataFrame:
@@ -23,21 +24,21 @@ def valid_value() -> Column:
 
 def winsorize(df: DataFrame, lower: float, upper: float) -> DataFrame:
     """C1. Valid values drawn in to the nearest-rank quantiles of their time."""
-    df = df.withColumns({"_lo": nearest_quantile(valid_value(), lower, X), "_hi": nearest_quantile(valid_value(), upper, X)})
+    df = df.withColumns({"_lo": nearest_quantile(valid_value(), lower, at_time()), "_hi": nearest_quantile(valid_value(), upper, at_time())})
     return replaced(df, F.greatest(F.least("value", "_hi"), "_lo"), "INVALID_WINSORIZE").drop("_lo", "_hi")
 
 
 def rank01(df: DataFrame) -> DataFrame:
     """C2. Average ranks of valid values, scaled to 0..1; one row alone has 0.5."""
     df = df.withColumn("_r", average_rank("value", "timestamp", "is_valid"))
-    n = F.count(valid_value()).over(X)
+    n = F.count(valid_value()).over(at_time())
     return replaced(df, F.when(n == 1, 0.5).otherwise(ratio(F.col("_r") - 1.0, n - 1.0)), "INVALID_RANK").drop("_r")
 
 
 def zscore(df: DataFrame) -> DataFrame:
     """C3. Standard scores with the population deviation; without variance rows become invalid."""
-    spread = F.stddev_pop(valid_value()).over(X)
-    return replaced(df, F.when(spread > 0, ratio(F.col("value") - F.avg(valid_value()).over(X), spread)), "ZERO_CROSS_SECTION_VARIANCE")
+    spread = F.stddev_pop(valid_value()).over(at_time())
+    return replaced(df, F.when(spread > 0, ratio(F.col("value") - F.avg(valid_value()).over(at_time()), spread)), "ZERO_CROSS_SECTION_VARIANCE")
 
 
 def robust_z(df: DataFrame, value: str = "value", limit: float = 3.0, key: str = "timestamp") -> DataFrame:
@@ -62,8 +63,8 @@ def competition_ranks(df: DataFrame, value: str = "value", key: str = "timestamp
 
 def rank_snapshots(scores: DataFrame, factor_name: str, clock: str = "rebalance") -> DataFrame:
     """C7. Ordinal rank (score descending, symbol ascending), percentile and count of each time."""
-    good = scores.where(F.col("is_valid") & is_finite(F.col("value"))).withColumn("sample_count", F.count("*").over(X).cast("int"))
-    good = good.withColumn("ordinal_rank", F.row_number().over(X.orderBy(F.desc("value"), "symbol")))
+    good = scores.where(F.col("is_valid") & is_finite(F.col("value"))).withColumn("sample_count", F.count("*").over(at_time()).cast("int"))
+    good = good.withColumn("ordinal_rank", F.row_number().over(at_time().orderBy(F.desc("value"), "symbol")))
     percentile = F.when(F.col("sample_count") == 1, 1.0).otherwise(1.0 - ratio(F.col("ordinal_rank") - 1.0, F.col("sample_count") - 1.0))
     return good.select("timestamp", F.lit(clock).alias("rank_clock"), "symbol", F.lit(factor_name).alias("factor_name"), F.col("value").alias("raw_score"), "ordinal_rank", percentile.alias("percentile_rank"), "sample_count", "factor_version", "universe_version")
 

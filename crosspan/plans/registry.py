@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from crosspan.plans import factor_queries, research_queries
+from crosspan.plans import factor_queries, portfolio_queries, research_queries
 
-MODULES = (factor_queries, research_queries)
+MODULES = (factor_queries, research_queries, portfolio_queries)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
