@@ -97,7 +97,7 @@ def p10_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     ranked = snapshots(spark, sf).withColumn("strategy", F.explode(F.array(F.lit("a"), F.lit("b"))))
     return rounded(portfolio.hysteresis(ranked, 10, 20)).select("strategy", "symbol", "t", "ordinal_rank", "kept")
 
-VAL_BARS = f"""bars AS (SELECT event_type AS symbol, epoch_ms(ts) - epoch_ms(ts) % {H6} AS t, first(v ORDER BY ts, event_id) AS open, last(v ORDER BY ts, event_id) AS close, max(v) AS high, min(v) AS low FROM (SELECT *, 100 + value / 10 AS v FROM events) WHERE ts IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2)"""
+VAL_BARS = f"""bars AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {H6} AS t, first(v ORDER BY ts, event_id) AS open, last(v ORDER BY ts, event_id) AS close, max(v) AS high, min(v) AS low FROM (SELECT *, 100 + value / 10 AS v FROM events) WHERE ts IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2)"""
 TARGETS = f"""{VAL_BARS}, reb AS (SELECT DISTINCT t FROM bars WHERE t % {2 * D} = 0 AND t > (SELECT min(t) FROM bars)),
 rk AS (SELECT reb.t, b.symbol, row_number() OVER (PARTITION BY reb.t ORDER BY b.close DESC, b.symbol) AS r, count(*) OVER (PARTITION BY reb.t) AS n FROM reb JOIN bars b ON b.t = reb.t - {H6}),
 tg AS (SELECT 'top' || c AS candidate, t, symbol, CASE WHEN r <= c THEN 0.5 / c ELSE -0.5 / c END AS w FROM rk, (SELECT unnest([1, 2]) AS c) WHERE r <= c OR r > n - c)"""
@@ -126,7 +126,7 @@ def p11_schedule_faults(spark: SparkSession, sf: str) -> DataFrame:
     targets, rebalances = val_targets(spark, sf)
     return portfolio.schedule_faults(targets.where("candidate = 'top2'"), rebalances.where(ms("fill_time") % (4 * D) == 0))
 
-@query(f"WITH {sql.bars('1d')}, fu AS (SELECT user_id::VARCHAR AS symbol, epoch_ms(ts) // {5 * D} AS e FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL), n AS (SELECT count(DISTINCT e) AS n FROM fu), h AS (SELECT symbol, count(DISTINCT e) AS k FROM fu GROUP BY 1) SELECT s.symbol, coalesce(k, 0) AS events, coalesce(k, 0) < n.n AS zeroed FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN h ON s.symbol = h.symbol, n")
+@query(f"WITH {sql.bars('1d')}, fu AS (SELECT user_id::VARCHAR AS symbol, (epoch_us(ts) // 1000) // {5 * D} AS e FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL), n AS (SELECT count(DISTINCT e) AS n FROM fu), h AS (SELECT symbol, count(DISTINCT e) AS k FROM fu GROUP BY 1) SELECT s.symbol, coalesce(k, 0) AS events, coalesce(k, 0) < n.n AS zeroed FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN h ON s.symbol = h.symbol, n")
 def p12_symbols_to_zero(spark: SparkSession, sf: str) -> DataFrame:
     funding = panel.funding(spark, sf, True).withColumn("funding_time", F.floor(ms("funding_time") / (5 * D)))
     return portfolio.symbols_to_zero(panel.bars(spark, sf, "1d"), funding)
@@ -172,7 +172,7 @@ def v2_boundary_fold(spark: SparkSession, sf: str) -> DataFrame:
     cuts = valuation.boundaries(bars, rebalances, funding, "6h")
     return valuation.fold(valuation.boundary_rows(bars, targets, rebalances, cuts, funding, "6h"), PAID, INITIAL)
 
-@query(f"WITH {TARGETS}, b AS (SELECT t FROM reb UNION SELECT min(t) FROM bars UNION SELECT epoch_ms(ts) - 1 - (epoch_ms(ts) - 1) % {H6} FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM b")
+@query(f"WITH {TARGETS}, b AS (SELECT t FROM reb UNION SELECT min(t) FROM bars UNION SELECT (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM b")
 def v1_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     cuts = valuation.boundaries(val_bars(spark, sf), val_targets(spark, sf)[1], panel.funding(spark, sf), "6h")
     return cuts.select(ms("open_time").alias("t"), F.col("idx").cast("long").alias("idx"))
@@ -181,7 +181,7 @@ def v1_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 def v5_bar_returns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(paid_returns(spark, sf))
 
-@query(f"WITH {VAL_BARS}, fu AS (SELECT event_type AS symbol, epoch_ms(ts) - 1 - (epoch_ms(ts) - 1) % {H6} AS t, (value % 1 - 0.5) / 100 AS rate, value AS mark, event_id FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT f.event_id, f.symbol, round(-10 * mark * rate, 6) AS cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t")
+@query(f"WITH {VAL_BARS}, fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, (value % 1 - 0.5) / 100 AS rate, value AS mark, event_id FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT f.event_id, f.symbol, round(-10 * mark * rate, 6) AS cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t")
 def v3_funding_cash(spark: SparkSession, sf: str) -> DataFrame:
     holdings = val_bars(spark, sf).select("symbol", "open_time", "open", F.lit(10.0).alias("quantity"))
     return rounded(valuation.funding_cash(panel.funding(spark, sf), holdings, "6h"), "cash", time=False).select("event_id", "symbol", "cash")
@@ -209,7 +209,7 @@ def v8_trade_costs(spark: SparkSession, sf: str) -> DataFrame:
 def v9_average_entry(spark: SparkSession, sf: str) -> DataFrame:
     return v2_boundary_fold(spark, sf).where("symbol is not null").select("candidate", "idx", "symbol", "weight", "entry_price")
 
-@query(f"WITH {TRADES}, fu AS (SELECT event_type AS symbol, epoch_ms(ts) - 1 - (epoch_ms(ts) - 1) % {H6} AS t, -10 * value * (value % 1 - 0.5) / 100 AS cash FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL), u AS (SELECT candidate, t, symbol, -abs(dn) * 4 / 1e4 AS fee, -abs(dn) * 2 / 1e4 AS slip, 0.0 AS cash FROM trd UNION ALL SELECT 'top1', f.t, f.symbol, 0, 0, cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t) SELECT candidate, t, symbol, round(sum(fee), 4) AS fee, round(sum(slip), 4) AS slippage, round(sum(cash), 4) AS funding FROM u GROUP BY 1, 2, 3")
+@query(f"WITH {TRADES}, fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, -10 * value * (value % 1 - 0.5) / 100 AS cash FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL), u AS (SELECT candidate, t, symbol, -abs(dn) * 4 / 1e4 AS fee, -abs(dn) * 2 / 1e4 AS slip, 0.0 AS cash FROM trd UNION ALL SELECT 'top1', f.t, f.symbol, 0, 0, cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t) SELECT candidate, t, symbol, round(sum(fee), 4) AS fee, round(sum(slip), 4) AS slippage, round(sum(cash), 4) AS funding FROM u GROUP BY 1, 2, 3")
 def v11_cost_ledger(spark: SparkSession, sf: str) -> DataFrame:
     holdings = val_bars(spark, sf).select("symbol", "open_time", "open", F.lit(10.0).alias("quantity"))
     cash = valuation.funding_cash(panel.funding(spark, sf), holdings, "6h").select(F.lit("top1").alias("candidate"), F.col("open_time").alias("timestamp"), "symbol", "cash")

@@ -12,7 +12,7 @@ def bars(kind: str = "6h", name: str = "bars") -> str:
     """A table ``bars`` (symbol, t in epoch ms, ...), as sources.panel makes it."""
     step, symbol = STEP[kind], "user_id::VARCHAR" if kind == "1d" else "event_type"
     taker = "sum(CASE WHEN event_id % 2 = 0 THEN value ELSE 0.0 END)"
-    return f"""{name} AS (SELECT {symbol} AS symbol, epoch_ms(ts) - epoch_ms(ts) % {step} AS t,
+    return f"""{name} AS (SELECT {symbol} AS symbol, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {step} AS t,
  first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close,
  sum(value) / 2 AS volume, sum(value) AS quote_volume, count(*) AS trades, {taker} / 2 AS taker_buy_volume, {taker} AS taker_buy_quote_volume,
  count(*) >= {COMPLETE[kind]} AS is_complete FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)"""
