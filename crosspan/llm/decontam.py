@@ -5,7 +5,7 @@ of every text is a query: windows of two segments of at least ``SEGMENT`` words,
 one segment after the last, so an item no longer than a segment lies whole in some window. Impacts
 are shares of an item's score against itself, so one threshold serves all items.
 
-A text's segments are first held against the blocks' upper bounds, all at once; for passages with a
+A text's windows are first held against the blocks' upper bounds, all at once; for those with a
 block over the threshold, block-max WAND finds all items at or above it. These are verified: of the
 item's five-word shingles the passage must hold 0.8, and the overlaps of question and of answer must
 both reach ``PART_OVERLAP``. An item's answer follows its last "answer:", or else is its last third.
@@ -33,7 +33,7 @@ from crosspan.llm.common import text_of
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-SEGMENT, ITEMS_PER_BLOCK, THRESHOLD = 64, 16, 0.5
+SEGMENT, ITEMS_PER_BLOCK, THRESHOLD = 64, 4, 0.7
 SHINGLE, SIMILARITY, PART_OVERLAP = 5, 0.8, 0.5
 INDEX_BYTES = 16 << 20
 
@@ -71,7 +71,13 @@ class Index:
     """BM25 postings with block maxima; items are sorted by their words so that blocks are alike."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        made = sorted((Item(k, t) for k, t in items), key=lambda x: (sorted(x.words)[len(x.words) // 2 :][:1], x.key))
+        made = [Item(k, t) for k, t in items]
+        everywhere: dict[str, int] = {}
+        for item in made:
+            for w in set(item.words):
+                everywhere[w] = everywhere.get(w, 0) + 1
+        # Items that share their commonest words (and so their language) stand together.
+        made.sort(key=lambda x: (sorted(set(x.words), key=lambda w: (-everywhere[w], w)), x.key))
         self.items = [x for x in made if x.words]
         self.segment = max([SEGMENT, *(len(x.words) for x in self.items)])
         n = len(self.items)
@@ -111,13 +117,17 @@ class Index:
         at = np.flatnonzero(terms >= 0)
         if not len(at) or not self.blocks:
             return np.empty(0, np.int64)
-        segments = -(-len(terms) // self.segment)
-        own = terms[at]
-        n = self.starts[own + 1] - self.starts[own]
-        flat = np.repeat(self.starts[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        key = np.repeat(at // self.segment, n) * self.blocks + self.where[flat]
-        bound = np.bincount(key, weights=self.most[flat], minlength=segments * self.blocks).reshape(segments, self.blocks)
-        bound = bound + np.vstack([bound[1:], np.zeros((1, self.blocks))])
+        # Each window's distinct terms: a word is in the window that begins with its segment, and in
+        # the one before.
+        segment, size = at // self.segment, len(self.terms)
+        own = segment * size + terms[at]
+        pairs = np.unique(np.concatenate([own, own[segment > 0] - size]))
+        window, term = pairs // size, pairs % size
+        n = self.starts[term + 1] - self.starts[term]
+        flat = np.repeat(self.starts[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        key = np.repeat(window * self.blocks, n) + self.where[flat]
+        windows = -(-len(terms) // self.segment)
+        bound = np.bincount(key, weights=self.most[flat], minlength=windows * self.blocks).reshape(windows, self.blocks)
         return np.flatnonzero(bound.max(axis=1) >= THRESHOLD - 1e-9)
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
