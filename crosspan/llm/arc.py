@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspan.llm.common import written
+from crosspan.llm.common import bucketed, written
 
 ARCHIVE_BYTES, SALTS = 8 << 20, 16
 #: Fixed field lists of the two header versions.
@@ -81,12 +81,18 @@ def arc_record(version: int, name: str, url: str, page: str, payload: bytes) ->
     return arc_line(version, values) + content + b"\n"
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of ``data``, unpacked."""
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+def members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The gzip members of ``data``, unpacked. It is fed in steps, so no member copies the rest."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("the last gzip member is cut off")
+            parts.append(d.decompress(view[at : at + step]))
+            at = min(at + step, len(view))
+        at -= len(d.unused_data)
+        yield b"".join(parts)
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
@@ -170,6 +176,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def archive_rows(records: Iterator[tuple[int, bytes]], heads: dict[int, bytes], limit: int) -> Iterator[pa.RecordBatch]:
     """Pack gzip members to archives of about ``limit`` bytes, one run per version."""
+    from pyspark import TaskContext
+
     held: dict[int, list[bytes]] = {}
     sizes: dict[int, int] = {}
     number = 0
@@ -179,7 +187,7 @@ def archive_rows(records: Iterator[tuple[int, bytes]], heads: dict[int, bytes],
         number += 1
         data = b"".join([*([gzip.compress(heads[version], 6, mtime=0)] if version in heads else []), *held.pop(version)])
         sizes.pop(version)
-        return pa.RecordBatch.from_pydict({"name": pa.array([f"part-{number:06d}-v{version}"]), "data": pa.array([data], pa.binary())})
+        return pa.RecordBatch.from_pydict({"name": pa.array([f"part-{TaskContext.get().partitionId():06d}-{number:06d}-v{version}"]), "data": pa.array([data], pa.binary())})
 
     for version, record in records:
         packed = gzip.compress(record, 6, mtime=0)
@@ -208,65 +216,64 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return source.mapInArrow(pack, "name string, data binary")
 
 
-CONVERTED = "page string, url string, date string, digest string, size long, head binary, payload binary"
+def records_of(data: bytes) -> Iterator[tuple[str, str, ArcRecord]]:
+    """(page, url, record) of a packed ARC archive."""
+    for record in parse_arc(b"".join(members(data))):
+        url, _, page = record.fields["URL"].rpartition("#page=")
+        yield page, url, record
 
 
-def read_arc(archives: DataFrame) -> DataFrame:
-    """One row per ARC record: page, url, WARC date, payload digest and size, HTTP head, payload."""
+def index_arc(archives: DataFrame) -> DataFrame:
+    """(name, number, page, digest, size): the records of each archive, without their content."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CONVERTED.split(", ")])
-
         for batch in batches:
-            for data in batch.column(batch.schema.get_field_index("data")):
-                rows, held = [], 0
-                for record in parse_arc(b"".join(members(data.as_py()))):
-                    url, _, page = record.fields["URL"].rpartition("#page=")
-                    head, payload = split_http(record.content)
-                    rows.append((page, url, iso_date(record.fields["Archive-date"]), base32_sha1(payload), len(payload), head, payload))
-                    held += len(payload)
-                    if held > 4 << 20:
-                        yield flush(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield flush(rows)
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [(k, page, base32_sha1(payload), len(payload)) for k, (page, payload) in enumerate((p, split_http(r.content)[1]) for p, _, r in records_of(data.as_py()))]
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *arrays], names=["name", "number", "page", "digest", "size"])
 
-    return archives.mapInArrow(parse, CONVERTED)
+    return archives.select("name", "data").mapInArrow(parse, "name string, number long, page string, digest string, size long")
 
 
 def number_of(page: Column) -> Column:
     return F.when(page != "-", page.cast("long"))
 
 
-def write_warc(records: DataFrame, least: int = 0, limit: int = ARCHIVE_BYTES) -> DataFrame:
-    """(name, data): WARC archives of :func:`read_arc`'s rows.
+def revisits(index: DataFrame, least: int = 0) -> DataFrame:
+    """(name, told array<struct<number, first>>): the records that revisit another page's.
 
     Of payloads of at least ``least`` bytes that are equal, the smallest page's record is the
-    response. A digest that very many records share is counted by salts before it is joined.
+    response. Only digests that repeat are joined, repeated by salt, so a hot one's records spread.
     """
-    keyed = records.select(number_of(F.col("page")).alias("id"), "digest", "size").where(F.col("size") >= least)
-    first = keyed.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # Only the digests that repeat are repeated by salt, so a hot one's records spread out.
+    keyed = index.select("name", "number", number_of(F.col("page")).alias("id"), "digest").where(F.col("size") >= least)
+    first = keyed.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page", "url"), F.lit(SALTS)).cast("int")
-    told = records.withColumn("salt", salt).join(salted, ["digest", "salt"], "left")
+    told = keyed.withColumn("salt", F.pmod(F.xxhash64("name", "number"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    return told.where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("name").agg(F.collect_list(F.struct("number", "first")).alias("told"))
+
+
+def write_warc(archives: DataFrame, told: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
+    """(name, data): WARC archives of ARC ``archives``. Only the revisits are shuffled to them."""
+    joined = archives.join(told.hint("shuffle_hash"), "name", "left").select("data", "told")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    own = None if r["page"] == "-" else int(r["page"])
-                    revisit = r["first"] is not None and own != r["first"]
-                    content = r["head"] if revisit else r["head"] + r["payload"]
-                    yield 0, warc_record("revisit" if revisit else "response", r["url"], r["page"], r["date"], r["digest"], content, r["size"], str(r["first"]) if revisit else None)
+                for data, told in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    first = {t["number"]: t["first"] for t in told or ()}
+                    for k, (page, url, record) in enumerate(records_of(data.as_py())):
+                        head, payload = split_http(record.content)
+                        date, digest = iso_date(record.fields["Archive-date"]), base32_sha1(payload)
+                        if k in first:
+                            yield 0, warc_record("revisit", url, page, date, digest, head, len(payload), str(first[k]))
+                        else:
+                            yield 0, warc_record("response", url, page, date, digest, record.content, len(payload), None)
 
         yield from archive_rows(made(), {}, limit)
 
-    # A revisit's payload isn't stored, so it needn't be shuffled either.
-    slim = told.select("page", "url", "date", "digest", "size", "head", F.when(F.col("first").isNull() | (F.col("first") == number_of(F.col("page"))), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "first")
-    return slim.mapInArrow(pack, "name string, data binary")
+    return joined.mapInArrow(pack, "name string, data binary")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -300,14 +307,13 @@ def export(archives: DataFrame, suffix: str, folder: str) -> None:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        from pyspark import TaskContext
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 # A retried task writes the same bytes to a file of its own and moves it into place.
-                final = f"{root}/{TaskContext.get().partitionId():06d}-{name}.{suffix}"
+                final = f"{root}/{name}.{suffix}"
                 own = f"{final}.{uuid.uuid4().hex}"
                 with system.open_output_stream(own) as f:
                     f.write(data.as_buffer())
@@ -319,6 +325,6 @@ def export(archives: DataFrame, suffix: str, folder: str) -> None:
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC archives read back: one row per page."""
-    arcs = written(write_arc(pages, id_col, url_col, html_col), "arc")
-    warcs = written(write_warc(read_arc(arcs), least), "warc")
+    arcs = bucketed(write_arc(pages, id_col, url_col, html_col), "name", "arc")
+    warcs = written(write_warc(arcs, revisits(written(index_arc(arcs), "index"), least)), "warc")
     return read_warc(warcs).withColumnRenamed("page_id", id_col)
