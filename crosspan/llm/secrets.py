@@ -127,10 +127,10 @@ class Scanner:
                 if at < free.get(kind, 0):
                     continue
                 if kind == "access":
-                    m = ACCESS.match(text, at)
-                    free[kind] = m.end()
-                    if m.end() - at >= 16:
-                        found.append((at, m.end(), kind))
+                    if m := ACCESS.match(text, at):
+                        free[kind] = m.end()
+                        if m.end() - at >= 16:
+                            found.append((at, m.end(), kind))
                 elif m := rule[2].match(text, at):
                     group = 1 if rule[2].groups else 0
                     if rule[4] is None or rule[4](m.group(group)):

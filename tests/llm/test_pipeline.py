@@ -1,0 +1,65 @@
+"""The pipeline against its stages' rules in plain Python."""
+
+from __future__ import annotations
+
+import os
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from crosspan.llm import decontam, secrets, simhash, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_pipeline(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    scorer = toxicity.Scorer(toxicity.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"), held=None))
+    kept = {i: t for i, t in texts.items() if scorer.score(t) < 0.5}
+    assert 0 < len(kept) < len(texts)
+    fp = {i: simhash.fingerprint_of(t) for i, t in kept.items()}
+    seen: set[int] = set()
+    gone: set[int] = set()
+    for i in sorted(kept):  # the least of each component stays
+        todo = [] if i in seen else [i]
+        seen.add(i)
+        while todo:
+            a = todo.pop()
+            near = [b for b in kept if b not in seen and (fp[a] ^ fp[b]).bit_count() <= 2]
+            seen |= set(near)
+            gone |= set(near)
+            todo += near
+    kept = {i: t for i, t in kept.items() if i not in gone}
+    items = decontam.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    kept = {i: t for i, t in kept.items() if not items.search(t)}
+    scanner = secrets.Scanner()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in kept.items():
+        out, at = [], 0
+        for s, e, k in scanner.spans(t):
+            if s >= at:
+                out += [t[at:s], f"[secret:{k}]"]
+            at = max(at, e)
+        ids = [*tokenizer.encode("".join([*out, t[at:]]), add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 2048):
+            part = ids[start : start + 2048]
+            want[i, start] = (len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    got = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_stages_return_the_columns_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
