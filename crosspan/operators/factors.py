@@ -26,25 +26,24 @@ SEGMENT = ("segment",)
 def exponential(bars: DataFrame, value: str, alpha: float, out: str, min_samples: int = 1, keys: tuple[str, ...] = ("symbol", "segment"), negligible: float = 1e-25) -> DataFrame:
     """R1. y = (1 - alpha) y_before + alpha x over ``keys`` in time, from the first non-null x.
 
-    Null until ``min_samples`` values. The sum is taken over chunks so long that what reaches beyond
-    the chunk before weighs less than ``negligible``; so no key is folded in one piece, and all of
-    it stays in window functions and one join on the chunks' ends.
+    Null until ``min_samples`` values, and where x is null. The sum is taken over chunks so long that
+    what reaches beyond the chunk before weighs less than ``negligible``: a row needs its chunk's
+    weighted sum and the end of the chunk before. All windows share one shuffle by ``keys``.
     """
     decay = 1.0 - alpha
     if decay <= 0:
         return bars.withColumn(out, F.col(value))
     chunk = max(2, min(1 << 20, math.ceil(math.log(negligible) / math.log(decay))))
     w = Window.partitionBy(*keys).orderBy("open_time")
-    known = bars.where(F.col(value).isNotNull()).select(*keys, "open_time", F.col(value).alias("_x"))
-    known = known.withColumn("_i", F.row_number().over(w) - 1)
-    known = known.withColumns({"_c": F.floor(F.col("_i") / chunk), "_j": F.col("_i") % chunk})
+    x, power = F.col(value), lambda e: F.pow(F.lit(decay), e.cast("double"))
+    b = bars.withColumn("_i", F.count(x).over(w) - 1)
+    b = b.withColumns({"_c": F.floor(F.col("_i") / chunk), "_j": F.col("_i") % chunk})
     weight = F.when(F.col("_i") == 0, 1.0).otherwise(alpha)
-    scaled = F.sum(weight * F.col("_x") * F.pow(F.lit(decay), -F.col("_j").cast("double"))).over(Window.partitionBy(*keys, "_c").orderBy("_j"))
-    known = known.withColumn("_local", scaled * F.pow(F.lit(decay), F.col("_j").cast("double")))
-    ends = known.where(F.col("_j") == chunk - 1).select(*keys, (F.col("_c") + 1).alias("_c"), F.col("_local").alias("_end"))
-    y = F.col("_local") + F.coalesce("_end", F.lit(0.0)) * F.pow(F.lit(decay), (F.col("_j") + 1).cast("double"))
-    found = known.join(ends, [*keys, "_c"], "left").select(*keys, "open_time", F.when(F.col("_i") + 1 >= min_samples, y).alias(out))
-    return bars.join(found, [*keys, "open_time"], "left")
+    scaled = F.sum(F.when(x.isNotNull(), weight * x * power(-F.col("_j")))).over(Window.partitionBy(*keys, "_c").orderBy("open_time"))
+    b = b.withColumn("_local", F.when(x.isNotNull(), scaled * power(F.col("_j"))))
+    before = F.last(F.when(F.col("_j") == chunk - 1, F.col("_local")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    y = F.col("_local") + F.coalesce(before, F.lit(0.0)) * power(F.col("_j") + 1)
+    return b.withColumn(out, F.when(F.col("_i") + 1 >= min_samples, y)).drop("_i", "_c", "_j", "_local")
 
 
 def span_average(bars: DataFrame, value: str, span: int, out: str) -> DataFrame:

@@ -87,7 +87,7 @@ def p8_weight_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {SCORES}, s AS (SELECT symbol, t, 1 / greatest(abs(value), 0.001) AS s FROM sc), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, symbol) - 1 AS i FROM s),
 r AS (SELECT a.symbol, a.t, a.s, a.i, sum(b.s) AS rest FROM o a JOIN o b ON a.t = b.t AND b.i >= a.i GROUP BY ALL), f AS (SELECT t, min(i) AS m FROM r WHERE greatest(0, 0.5 - 0.05 * i) * s / rest <= 0.05 GROUP BY t)
-SELECT r.symbol, r.t, round(CASE WHEN r.i < m THEN 0.05 ELSE greatest(0, 0.5 - 0.05 * m) * r.s / (SELECT x.rest FROM r x WHERE x.t = r.t AND x.i = m) END, 6) AS weight FROM r JOIN f ON r.t = f.t""")
+SELECT r.symbol, r.t, round(CASE WHEN m IS NULL OR r.i < m THEN 0.05 ELSE greatest(0, 0.5 - 0.05 * m) * r.s / (SELECT x.rest FROM r x WHERE x.t = r.t AND x.i = m) END, 6) AS weight FROM r LEFT JOIN f ON r.t = f.t""")
 def p9_water_filling(spark: SparkSession, sf: str) -> DataFrame:
     side = scores(spark, sf).where("is_valid").withColumn("volatility", F.abs("value"))
     return rounded(portfolio.water_filling(side), "weight").select("symbol", "t", "weight")
@@ -100,7 +100,7 @@ def p10_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
 VAL_BARS = f"""bars AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {H6} AS t, first(v ORDER BY ts, event_id) AS open, last(v ORDER BY ts, event_id) AS close, max(v) AS high, min(v) AS low FROM (SELECT *, 100 + value / 10 AS v FROM events) WHERE ts IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2)"""
 TARGETS = f"""{VAL_BARS}, reb AS (SELECT DISTINCT t FROM bars WHERE t % {2 * D} = 0 AND t > (SELECT min(t) FROM bars)),
 rk AS (SELECT reb.t, b.symbol, row_number() OVER (PARTITION BY reb.t ORDER BY b.close DESC, b.symbol) AS r, count(*) OVER (PARTITION BY reb.t) AS n FROM reb JOIN bars b ON b.t = reb.t - {H6}),
-tg AS (SELECT 'top' || c AS candidate, t, symbol, CASE WHEN r <= c THEN 0.5 / c ELSE -0.5 / c END AS w FROM rk, (SELECT unnest([1, 2]) AS c) WHERE r <= c OR r > n - c)"""
+tg AS (SELECT 'top' || c AS candidate, t, symbol, CASE WHEN r <= c THEN 0.5 / c ELSE -0.5 / c END AS w FROM rk JOIN bars ob USING (symbol, t), (SELECT unnest([1, 2]) AS c) WHERE r <= c OR r > n - c)"""
 
 def val_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars whose prices move moderately: 100 + value / 10."""
@@ -118,6 +118,8 @@ def val_targets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ranked = rebalances.join(bars.select(F.col("close_time").alias("fill_time"), "symbol", "close", F.col("open_time").alias("signal_time")), "fill_time").withColumns({"r": F.row_number().over(w.orderBy(F.desc("close"), "symbol")), "n": F.count("*").over(w)})
     ranked = ranked.withColumn("c", F.explode(F.array(F.lit(1), F.lit(2)))).where("r <= c or r > n - c")
     targets = ranked.select(F.concat(F.lit("top"), "c").alias("candidate"), "fill_time", "signal_time", "symbol", F.when(F.col("r") <= F.col("c"), 0.5 / F.col("c")).otherwise(-0.5 / F.col("c")).alias("target_weight"))
+    # A name without a bar to trade at drops out.
+    targets = targets.join(bars.select(F.col("open_time").alias("fill_time"), "symbol"), ["fill_time", "symbol"], "left_semi")
     names = spark.createDataFrame([("top1",), ("top2",)], "candidate string")
     return targets, rebalances.join(names)
 

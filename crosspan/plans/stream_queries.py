@@ -37,7 +37,7 @@ def streamed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     panel.utc(spark)
-    raw = jobs.source(spark, f"{sf}/events.parquet").where("value is not null")
+    raw = jobs.source(spark, f"{sf}/events.parquet*")  # a file or a folder.where("value is not null")
     return raw.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), "event_id", "value")
 
 
