@@ -54,7 +54,7 @@ TIMES = "ti AS (SELECT t, row_number() OVER (ORDER BY t) AS idx FROM (SELECT DIS
 
 @query(f"""WITH {SCORES}, {SNAP}, {TIMES}, req AS (SELECT 'LONG' AS side, unnest([1, 2, 200]) AS q UNION ALL SELECT 'SHORT', 90),
 w AS (SELECT a.t, b.t AS st, side, q FROM ti a LEFT JOIN ti b ON b.idx = a.idx - 2 CROSS JOIN req)
-SELECT w.t, st AS source_t, s.symbol, side, q AS requested_rank, CASE WHEN st IS NULL THEN 'INSUFFICIENT_RANK_HISTORY' WHEN s.symbol IS NULL THEN 'RANK_OUT_OF_RANGE' WHEN c.symbol IS NULL THEN 'HISTORICAL_RANK_NOT_CURRENTLY_ELIGIBLE' ELSE 'SELECTED_HISTORICAL_RANK' END AS reason_code
+SELECT w.t, st AS source_t, s.symbol, side, q::BIGINT AS requested_rank, CASE WHEN st IS NULL THEN 'INSUFFICIENT_RANK_HISTORY' WHEN s.symbol IS NULL THEN 'RANK_OUT_OF_RANGE' WHEN c.symbol IS NULL THEN 'HISTORICAL_RANK_NOT_CURRENTLY_ELIGIBLE' ELSE 'SELECTED_HISTORICAL_RANK' END AS reason_code
 FROM w LEFT JOIN snap s ON s.t = st AND s.rk = q LEFT JOIN snap c ON c.t = w.t AND c.symbol = s.symbol""")
 def p4_lagged_ranks(spark: SparkSession, sf: str) -> DataFrame:
     out = rounded(portfolio.lagged_ranks(snapshots(spark, sf), 2, [1, 2, 200], [90]))
@@ -133,7 +133,7 @@ def p12_symbols_to_zero(spark: SparkSession, sf: str) -> DataFrame:
     funding = panel.funding(spark, sf, True).withColumn("funding_time", F.floor(ms("funding_time") / (5 * D)))
     return portfolio.symbols_to_zero(panel.bars(spark, sf, "1d"), funding)
 
-@query(f"WITH {PICKED} SELECT k.symbol, k.t, round(sg * 1000 , 4) AS notional, round(floor(1000 / b.close / 0.01 + 1e-10) * 0.01 * sg, 6) AS quantity FROM (SELECT *, CASE WHEN side = 'SHORT' THEN -1 ELSE 1 END AS sg FROM pk) k JOIN bars b ON b.symbol = k.symbol AND b.t = k.t - {D}")
+@query(f"WITH {PICKED} SELECT k.symbol, k.t, round(sg * 1000::DOUBLE, 4) AS notional, round(floor(1000 / b.close / 0.01 + 1e-10) * 0.01 * sg, 6) AS quantity FROM (SELECT *, CASE WHEN side = 'SHORT' THEN -1 ELSE 1 END AS sg FROM pk) k JOIN bars b ON b.symbol = k.symbol AND b.t = k.t - {D}")
 def p13_static_sizing(spark: SparkSession, sf: str) -> DataFrame:
     prices = panel.bars(spark, sf, "1d").select(F.col("close_time").alias("timestamp"), "symbol", F.col("close").alias("price"))
     out = portfolio.sized(portfolio.long_short(scores(spark, sf), 10, 10).join(prices, ["timestamp", "symbol"]), "margin", 250.0, 4.0, 0.01)
