@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from crosspan.llm.common import text_of, written
 
-LENGTH, END_ID, SALTS_PER = 2048, 1, 20_000
+LENGTH, END_ID, SALTS_PER, LEAST_SALTS = 2048, 1, 20_000, 64
 #: Texts of these characters alone take the fast way; for them a space always begins a new unit.
 PLAIN = re.compile(r"[\n\x20-\x7e\xa1-ɏ]*")
 DOUBLE = re.compile(r" [ \n]|\n ")
@@ -153,7 +153,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 def ranked(cut: DataFrame, total: int) -> DataFrame:
     """``cut`` with each piece's ``rank`` among those of its length, from 0."""
-    salts = max(1, total // SALTS_PER)
+    salts = max(LEAST_SALTS, total // SALTS_PER)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.selectExpr("length", "salt", "sum(n) over (partition by length order by salt) - n as before")
