@@ -315,23 +315,29 @@ def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     source = media.select(media[id_col], media[media_col])
     kind = source.schema[id_col].dataType
 
+    clip = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+    kinds = (pa.binary(), pa.int64(), pa.string(), pa.list_(clip), pa.float64(), pa.int64())
+    names, arrow = [id_col, "payload", "media_bytes", "media_sha256", "clips", "peak", "padding"], to_arrow_type(kind)
+
+    def row(data: bytes) -> tuple:
+        rate, frames = parse_avi(data)
+        coded = decode(frames)
+        levels = histograms(pixels(coded))
+        clips = [{"first": a, "end": b, "start_s": a / rate, "end_s": b / rate} for a, b in shots(levels)]
+        peak = float(np.abs(np.diff(levels, axis=0)).sum(axis=1).max(initial=0.0))
+        payload = bytes_of(coded)
+        return payload, len(data), hashlib.sha256(data).hexdigest(), clips, peak, len(payload) - len(payload.rstrip(bytes([PAD])))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(1):
-                data = data.as_py()
-                rate, frames = parse_avi(data)
-                coded = decode(frames)
-                levels = histograms(pixels(coded))
-                clips = [{"first": a, "end": b, "start_s": a / rate, "end_s": b / rate} for a, b in shots(levels)]
-                peak = float(np.abs(np.diff(levels, axis=0)).sum(axis=1).max(initial=0.0))
-                payload = bytes_of(coded)
-                rows.append((payload, len(data), hashlib.sha256(data).hexdigest(), clips, peak, len(payload) - len(payload.rstrip(bytes([PAD])))))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            clip = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.list_(clip), pa.float64(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(to_arrow_type(kind)), *arrays], names=[id_col, "payload", "media_bytes", "media_sha256", "clips", "peak", "padding"])
+            at = 0
+            while at < batch.num_rows:
+                rows, held, first = [], 0, at
+                while at < batch.num_rows and held < 4 << 20:
+                    rows.append(row(batch.column(1)[at].as_py()))
+                    held, at = held + rows[-1][1], at + 1
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)).cast(arrow), *arrays], names=names)
 
     return source.mapInArrow(read, f"`{id_col}` {kind.simpleString()}, {DECODED}")
 
