@@ -81,10 +81,10 @@ def evaluate(factors: DataFrame, labels: DataFrame, universe: DataFrame, quantil
 
 
 def predictive_summary(ic: DataFrame, quantile: DataFrame, top: int = 5) -> DataFrame:
-    """D7. Count, mean and ratio of the rank coefficient, share above 0, and top less bottom return."""
+    """D7. Count, mean and ratio of the rank coefficient, share above 0 (by more than rounding), and top less bottom return."""
     a = ic.where(is_finite(F.col("rank_ic"))).agg(
         F.count("*").alias("observations"), F.avg("rank_ic").alias("mean_rank_ic"), ratio(F.avg("rank_ic"), F.stddev_pop("rank_ic")).alias("rank_ic_ir"),
-        F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_share"), F.avg("sample_count").alias("mean_sample"),
+        F.avg((F.col("rank_ic") > 1e-12).cast("double")).alias("positive_share"), F.avg("sample_count").alias("mean_sample"),
     )
     at = lambda q: F.max(F.when(F.col("quantile") == q, F.col("mean_forward_return")))
     spread = quantile.groupBy("timestamp").agg((at(top) - at(1)).alias("s")).agg(F.avg("s").alias("mean_spread"))

@@ -179,7 +179,7 @@ def d6_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "rank_ic", "rank_turnover", "top_return")
 
 
-@query(f"WITH {SCORES}, {LABELS}, {IC}, {QR}, sp AS (SELECT avg(s) AS mean_spread FROM (SELECT max(CASE WHEN quantile = 5 THEN m END) - max(CASE WHEN quantile = 1 THEN m END) AS s FROM qr GROUP BY t)) SELECT count(*) AS observations, round(avg(rank_ic), 6) AS mean_rank_ic, round(avg(rank_ic) / stddev_pop(rank_ic), 6) AS rank_ic_ir, round(avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_share, round(avg(sample_count), 6) AS mean_sample, round(max(mean_spread), 6) AS mean_spread FROM ic, sp WHERE rank_ic IS NOT NULL")
+@query(f"WITH {SCORES}, {LABELS}, {IC}, {QR}, sp AS (SELECT avg(s) AS mean_spread FROM (SELECT max(CASE WHEN quantile = 5 THEN m END) - max(CASE WHEN quantile = 1 THEN m END) AS s FROM qr GROUP BY t)) SELECT count(*) AS observations, round(avg(rank_ic), 6) AS mean_rank_ic, round(avg(rank_ic) / stddev_pop(rank_ic), 6) AS rank_ic_ir, round(avg(CASE WHEN rank_ic > 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS positive_share, round(avg(sample_count), 6) AS mean_sample, round(max(mean_spread), 6) AS mean_spread FROM ic, sp WHERE rank_ic IS NOT NULL")
 def d7_predictive_summary(spark: SparkSession, sf: str) -> DataFrame:
     s, lab = scores(spark, sf), labels(spark, sf)
     out = research.predictive_summary(research.information_coefficient(s, lab), research.quantile_returns(s, lab))
