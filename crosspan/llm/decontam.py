@@ -3,7 +3,9 @@
 The items are indexed (terms, postings, impacts, and each block's largest impact), and every passage
 of every text is a query: windows of two segments of at least ``SEGMENT`` words, each window begun
 one segment after the last, so an item no longer than a segment lies whole in some window. Impacts
-are shares of an item's score against itself, so one threshold serves all items.
+are multiples of the lowest score that a passage with 0.8 of the item's shingles can have
+(:meth:`Item.least_share`), so one threshold, 1, serves all items and the retrieval drops no passage
+that the verification would accept.
 
 A text's windows are first held against the blocks' upper bounds, all at once; for those with a
 block over the threshold, block-max WAND finds all items at or above it. These are verified: of the
@@ -33,7 +35,7 @@ from crosspan.llm.common import text_of
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-SEGMENT, ITEMS_PER_BLOCK, THRESHOLD = 64, 4, 0.7
+SEGMENT, ITEMS_PER_BLOCK, THRESHOLD = 64, 4, 1.0
 SHINGLE, SIMILARITY, PART_OVERLAP = 5, 0.8, 0.5
 INDEX_BYTES = 16 << 20
 
@@ -58,6 +60,8 @@ class Item:
         all_of = shingles(self.words)
         n = len(all_of[0]) if all_of else 0
         self.shingles = set(all_of)
+        self.first = [s not in all_of[:i] for i, s in enumerate(all_of)] if len(self.shingles) < len(all_of) else [True] * len(all_of)
+        self.run = n
         self.answer = {s for i, s in enumerate(all_of) if i + n > cut}
         self.question = {s for i, s in enumerate(all_of) if i + n <= cut}
 
@@ -66,6 +70,34 @@ class Item:
         share = lambda part: len(part & held) / len(part) if part else 1.0
         return len(self.shingles & held) / max(1, len(self.shingles)), share(self.question), share(self.answer)
 
+    def least_share(self, shares: dict[str, float]) -> float:
+        """The lowest sum of ``shares`` (by word) over passages with ``SIMILARITY`` of the shingles.
+
+        A word that is missing takes with it all shingles around each of its places. The most that may
+        go is found place by place: each place holds its part of its word's share, and a shingle counts
+        where it first stands. So what a passage loses is never more than what is taken here.
+        """
+        total = len(self.shingles)
+        spare = max(k for k in range(total) if (total - k) / total >= SIMILARITY)
+        times: dict[str, int] = {}
+        for w in self.words:
+            times[w] = times.get(w, 0) + 1
+        # lost[d, k]: the most that is lost with k shingles gone, where the last place lost is d back
+        # (``run``: that far or further). The shingle that ends at a place goes if d < run.
+        lost = np.full((self.run + 1, spare + 1), -np.inf)
+        lost[self.run, 0] = 0.0
+        for at, w in enumerate(self.words):
+            start = at - self.run + 1
+            cost = 1 if start >= 0 and self.first[start] else 0
+            new = np.full_like(lost, -np.inf)
+            gone = lost.max(axis=0) + shares[w] / times[w]
+            new[0, cost:] = gone[: spare + 1 - cost]
+            for d in range(1, self.run):
+                new[d, cost:] = lost[d - 1, : spare + 1 - cost]
+            new[self.run] = np.maximum(lost[self.run], lost[self.run - 1])
+            lost = new
+        return sum(shares[w] for w in times) - float(lost.max())
+
 
 class Index:
     """BM25 postings with block maxima; items are sorted by their words so that blocks are alike."""
@@ -94,12 +126,15 @@ class Index:
         idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         mean = sum(len(x.words) for x in self.items) / max(1, n)
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        self.least: list[float] = []
         for i, (item, c) in enumerate(zip(self.items, counts, strict=True)):
             norm = K1 * (1 - B + B * len(item.words) / mean)
             impact = {t: float(idf[t]) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
             own = sum(impact.values()) or 1.0
+            least = item.least_share({w: impact[self.terms[w]] / own for w in set(item.words)})
+            self.least.append(least)
             for t, v in impact.items():
-                self.postings[t].append((i, v / own))
+                self.postings[t].append((i, v / own / least))
         # Block maxima, by term: blocks and their largest impacts, one after another.
         starts, where, most = [0], [], []
         for posting in self.postings:
@@ -197,7 +232,7 @@ class Index:
                     held[n] = {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}
                 overlap, question, answer = item.overlaps(held[n])
                 if overlap >= SIMILARITY and question >= PART_OVERLAP and answer >= PART_OVERLAP and (i not in best or overlap > best[i][2]):
-                    best[i] = (item.key, score, overlap, question, answer, lo)
+                    best[i] = (item.key, score * self.least[i], overlap, question, answer, lo)
         return [best[i] for i in sorted(best)]
 
 

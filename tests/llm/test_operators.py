@@ -165,6 +165,33 @@ def test_wand_finds_all_above_the_threshold():
     assert hits > 20
 
 
+def test_templated_items_are_found_without_their_rare_words():
+    rnd = random.Random(5)
+    template = [f"common{i}" for i in range(46)]
+    items = [(k, " ".join(template[:20] + [f"name{k}", f"place{k}", f"day{k}", f"sum{k}"] + template[20:])) for k in range(60)]
+    index = decontam.Index(items)
+    for k, text in items[:20]:
+        words = text.split()
+        words[20:24] = rnd.sample(["other", "elsewhere", "later", "more"], 4)
+        got = {h[0]: h[2] for h in index.search(" ".join(words))}
+        assert k in got and 0.8 <= got[k] < 1.0
+
+
+def test_least_share_bounds_what_any_passage_keeps():
+    rnd = random.Random(6)
+    for _ in range(200):
+        words = [f"w{rnd.randint(0, 14)}" for _ in range(rnd.randint(1, 16))]
+        item = decontam.Item(0, " ".join(words))
+        shares = {w: rnd.random() for w in words}
+        least = item.least_share(shares)
+        assert least > 0
+        for _ in range(50):
+            gone = set(rnd.sample(sorted(shares), rnd.randint(0, min(4, len(shares)))))
+            left = {s for s in item.shingles if not gone & set(s)}
+            if len(left) >= decontam.SIMILARITY * len(item.shingles):
+                assert sum(v for w, v in shares.items() if w not in gone) >= least - 1e-9
+
+
 def test_edited_items_and_lone_words(spark):
     text = " ".join(f"alpha{i} beta{i % 5} gamma{i}" for i in range(12))
     words = text.split()
