@@ -12,13 +12,15 @@ block over the threshold, block-max WAND finds all items at or above it. These a
 item's five-word shingles the passage must hold 0.8, and the overlaps of question and of answer must
 both reach ``PART_OVERLAP``. An item's answer follows its last "answer:", or else is its last third.
 
-The index travels to the executors only up to ``INDEX_BYTES`` of item text; more items are indexed in
-as many parts by hash, each held against all passages.
+The index travels to the executors only up to ``INDEX_BYTES`` of item text; more items are dealt into
+parts of about half of that. The parts are held against all passages one after another, and their
+results written, so the driver never holds more than one part.
 
 Defined results: null and empty texts and items match nothing; items of fewer than five words match
 as a whole sequence; items that repeat give rows of their own; repeated and null document ids are
-kept; empty tables give no rows; other columns are not read, and pass through
-:func:`drop_contaminated` unchanged.
+kept; items with a null id are searched like others, and their rows have a null item id; whole-number
+item ids are returned as longs, others in their own type; empty tables give no rows; other columns
+are not read, and pass through :func:`drop_contaminated` unchanged.
 """
 
 from __future__ import annotations
@@ -30,14 +32,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from crosspan.llm.common import text_of
+from crosspan.llm.common import fresh_name, text_of, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 SEGMENT, ITEMS_PER_BLOCK, THRESHOLD = 64, 4, 1.0
 SHINGLE, SIMILARITY, PART_OVERLAP = 5, 0.8, 0.5
 INDEX_BYTES = 16 << 20
+#: Sums and bounds that a slice of a text's windows may take at once.
+CELLS = 1 << 22
 
 
 def words_of(text: str) -> list[str]:
@@ -53,7 +58,7 @@ def shingles(words: list[str]) -> list[tuple[str, ...]]:
 class Item:
     """An item's words and its shingles, those of the question and those that end in the answer."""
 
-    def __init__(self, key: int, text: str) -> None:
+    def __init__(self, key: object, text: str) -> None:
         self.key, self.words = key, words_of(text)
         at = text.lower().rfind("answer:")
         cut = len(words_of(text[: at + 7])) if at >= 0 else len(self.words) - len(self.words) // 3
@@ -102,14 +107,14 @@ class Item:
 class Index:
     """BM25 postings with block maxima; items are sorted by their words so that blocks are alike."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]]) -> None:
         made = [Item(k, t) for k, t in items]
         everywhere: dict[str, int] = {}
         for item in made:
             for w in set(item.words):
                 everywhere[w] = everywhere.get(w, 0) + 1
         # Items that share their commonest words (and so their language) stand together.
-        made.sort(key=lambda x: (sorted(set(x.words), key=lambda w: (-everywhere[w], w)), x.key))
+        made.sort(key=lambda x: (sorted(set(x.words), key=lambda w: (-everywhere[w], w)), x.key is None, x.key))
         self.items = [x for x in made if x.words]
         self.segment = max([SEGMENT, *(len(x.words) for x in self.items)])
         n = len(self.items)
@@ -159,11 +164,20 @@ class Index:
         pairs = np.unique(np.concatenate([own, own[segment > 0] - size]))
         window, term = pairs // size, pairs % size
         n = self.starts[term + 1] - self.starts[term]
-        flat = np.repeat(self.starts[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        key = np.repeat(window * self.blocks, n) + self.where[flat]
+        # The windows go in slices, so that neither a long text nor a large index makes large arrays.
         windows = -(-len(terms) // self.segment)
-        bound = np.bincount(key, weights=self.most[flat], minlength=windows * self.blocks).reshape(windows, self.blocks)
-        return np.flatnonzero(bound.max(axis=1) >= THRESHOLD - 1e-9)
+        ends = np.searchsorted(window, np.arange(windows + 1))
+        spent = np.cumsum(np.bincount(window, weights=n, minlength=windows) + self.blocks)
+        lots = np.unique((spent // CELLS).astype(np.int64), return_index=True)[1].tolist()
+        out = []
+        for lo, hi in zip(lots, [*lots[1:], windows], strict=True):
+            own = slice(ends[lo], ends[hi])
+            starts, m = self.starts[term[own]], n[own]
+            flat = np.repeat(starts - np.cumsum(m) + m, m) + np.arange(m.sum())
+            key = np.repeat((window[own] - lo) * self.blocks, m) + self.where[flat]
+            bound = np.bincount(key, weights=self.most[flat], minlength=(hi - lo) * self.blocks).reshape(hi - lo, self.blocks)
+            out.append(lo + np.flatnonzero(bound.max(axis=1) >= THRESHOLD - 1e-9))
+        return np.concatenate(out)
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """Items whose score against the distinct ``terms`` reaches the threshold, by block-max WAND."""
@@ -236,24 +250,31 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
-HITS = "array<struct<item_id:long,score:double,overlap:double,question_overlap:double,answer_overlap:double,first_word:long>>"
+HITS = "array<struct<item_id:{},score:double,overlap:double,question_overlap:double,answer_overlap:double,first_word:long>>"
 
 
-def item_parts(items: DataFrame, item_id: str, text_col: str, index_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items, in parts of about ``index_bytes`` of text; each part is what one index holds."""
-    rows = items.select(items[item_id].cast("long").alias("k"), text_of(items, text_col).alias("t")).where("k is not null")
+def item_parts(items: DataFrame, item_id: str, text_col: str, index_bytes: int) -> tuple[int, Iterator[list[tuple[object, str]]]]:
+    """The number of parts, and the items, part by part; each part is what one index holds."""
+    rows = items.select(items[item_id].cast(id_type(items, item_id)).alias("k"), text_of(items, text_col).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-total // index_bytes))
-    if parts == 1:
-        return [[(r.k, r.t) for r in rows.collect()]]
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(2 * parts)))
-    return [[(r.k, r.t) for r in dealt.where(F.col("part") == p).collect()] for p in range(2 * parts)]
+    if total <= index_bytes:
+        return 1, iter([[(r.k, r.t) for r in rows.collect()]])
+    parts = 2 * -(-total // index_bytes)
+    # Written once, since the numbers differ from run to run; rows that repeat go to all parts.
+    dealt = written(rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))), "items")
+    return parts, ([(r.k, r.t) for r in dealt.where(F.col("part") == p).collect()] for p in range(parts))
 
 
-def searching(items: list[tuple[int, str]]):
+def id_type(items: DataFrame, item_id: str) -> str:
+    """The type of the item ids in results."""
+    kind = items.schema[item_id].dataType
+    return "bigint" if isinstance(kind, IntegralType) else kind.simpleString()
+
+
+def searching(items: list[tuple[object, str]], kind: str):
     """A function of a text column that gives the verified items of each text."""
 
-    @F.pandas_udf(HITS)
+    @F.pandas_udf(HITS.format(kind))
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = Index(items)
         names = ("item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word")
@@ -265,16 +286,28 @@ def searching(items: list[tuple[int, str]]):
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document and item found in it: ids, score, overlaps, where the passage begins."""
-    out = None
-    for part in item_parts(items, item_id, item_text, index_bytes):
-        hits = docs.select(docs[id_col].alias(id_col), F.explode(searching(part)(text_of(docs, text_col))).alias("h"))
-        rows = hits.select(id_col, "h.*")
+    kind, out = id_type(items, item_id), None
+    count, parts = item_parts(items, item_id, item_text, index_bytes)
+    for part in parts:
+        hits = docs.select(docs[id_col].alias(id_col), F.explode(searching(part, kind)(text_of(docs, text_col))).alias("h"))
+        rows = hits.select(id_col, "h.*") if count == 1 else written(hits.select(id_col, "h.*"), "hits")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` without those in which an item is found."""
-    for part in item_parts(items, item_id, item_text, index_bytes):
-        docs = docs.where(F.size(searching(part)(text_of(docs, text_col))) == 0)
-    return docs
+    kind, found = id_type(items, item_id), None
+    count, parts = item_parts(items, item_id, item_text, index_bytes)
+    text = text_of(docs, text_col)
+    for part in parts:
+        if count == 1:
+            return docs.where(F.size(searching(part, kind)(text)) == 0)
+        # Items stand in texts, whatever the row: what goes is known by the digests of its texts.
+        rows = docs.where(F.size(searching(part, kind)(text)) > 0).select(F.sha2(text.cast("binary"), 256).alias("gone"))
+        rows = written(rows.distinct(), "found")
+        found = rows if found is None else found.union(rows)
+    name = fresh_name(docs, "text_sha256")
+    keyed = docs.withColumn(name, F.sha2(text.cast("binary"), 256))
+    found = found.distinct()
+    return keyed.join(found, keyed[name] == found["gone"], "left_anti").drop(name)

@@ -192,6 +192,30 @@ def test_least_share_bounds_what_any_passage_keeps():
                 assert sum(v for w, v in shares.items() if w not in gone) >= least - 1e-9
 
 
+def test_items_without_numeric_ids_in_one_part_and_in_several(spark):
+    texts = {k: " ".join(f"{k or 'null'}word{i}" for i in range(12)) for k in ("a", "b", None)}
+    docs = spark.createDataFrame([(1, "x " + texts["a"]), (2, texts[None] + " y"), (3, "clean words only"), (2, "clean too"), (None, texts["b"]), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame(list(texts.items()), "item_id string, text string")
+    for size in (1 << 24, 100):
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, index_bytes=size).collect()}
+        assert got == {(1, "a"), (2, None), (None, "b")}
+        kept = decontam.drop_contaminated(docs, items, index_bytes=size)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(2, "clean too"), (3, "clean words only"), (4, "")]
+
+
+def test_windows_in_slices(monkeypatch):
+    rnd = random.Random(9)
+    items = [(k, " ".join(f"w{rnd.randint(0, 60)}" for _ in range(20))) for k in range(40)]
+    index = decontam.Index(items)
+    text = " ".join(" ".join([rnd.choice(items)[1], *(f"w{rnd.randint(0, 60)}" for _ in range(90))]) for _ in range(30))
+    terms = np.array([index.terms.get(w, -1) for w in text.split()])
+    whole, found = index.promising(terms).tolist(), index.search(text)
+    for cells in (1, 500, 5000):
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        assert index.promising(terms).tolist() == whole and index.search(text) == found
+
+
 def test_edited_items_and_lone_words(spark):
     text = " ".join(f"alpha{i} beta{i % 5} gamma{i}" for i in range(12))
     words = text.split()
