@@ -4,7 +4,8 @@ Five small transducers rewrite or weigh the classes of a clause's words: *report
 what stands after a reporting verb, *negation* marks the next few words after a negator, *target*
 marks hits in a clause that addresses someone, *insult* and *threat* weigh the marked classes. They
 are composed into one machine, which reads a clause and gives its weight; a document is judged by
-its clauses' weights, not by isolated words.
+its clauses' weights, not by isolated words. A target may follow what is aimed at it, so a second
+target machine reads the clause backwards first and marks the hits before a target.
 
 The lexicon's weights are learned: of a bounded sample of labelled rows (``sample_rows``), words and
 word beginnings whose log-odds for label 1 are strong become insult entries beside the fixed ones.
@@ -90,11 +91,11 @@ def negated(symbols: list[Symbol], scope: int = 3, factor: float = 0.4) -> Trans
 
 
 def targeted(symbols: list[Symbol], factor: float = 1.5) -> Transducer:
-    """Hits after a target word of the same clause get the mark t."""
+    """Hits after a target word of the same clause get the mark t, once."""
     t = Transducer(0)
     for s in symbols:
         for state in (0, 1):
-            hit = state and s[0] in "IH"
+            hit = state and s[0] in "IH" and "t" not in s[1]
             t.arcs[state, s] = (1 if s[0] == "T" or state else 0, (s[0], s[1] + "t") if hit else s, factor if hit else 1.0)
     return t
 
@@ -123,11 +124,11 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
 
 
 def grammar() -> Transducer:
-    """All five, composed in the order of the marks."""
-    machine = reported(alphabet(()))
-    machine = compose(machine, negated(alphabet(("r",))))
-    machine = compose(machine, targeted(alphabet(("r", "n"))))
-    return compose(machine, weighed(alphabet(("r", "n", "t"))))
+    """All five, composed in the order of the marks; what it reads may have the mark t already."""
+    machine = reported(alphabet(("t",)))
+    machine = compose(machine, negated(alphabet(("t", "r"))))
+    machine = compose(machine, targeted(alphabet(("t", "r", "n"))))
+    return compose(machine, weighed([*alphabet(("t", "r", "n")), *alphabet(("r", "n", "t"))]))
 
 
 # ------------------------------------------------------------------------------------- scoring
@@ -149,7 +150,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         import ahocorasick
 
-        self.model, self.machine = model, grammar()
+        self.model, self.machine, self.backward = model, grammar(), targeted(alphabet(()))
         self.classes = {w: c for c, words in (("H", THREATS), ("T", TARGETS), ("N", NEGATORS), ("R", REPORTERS)) for w in words}
         self.classes |= dict.fromkeys('"“”«»', "Q")
         self.words = {k: w for k, w in model.lexicon.items() if not k.endswith("*")}
@@ -171,13 +172,17 @@ class Scorer:
 
     def clause(self, words: list[str]) -> float:
         """The machine's weight for a clause; the lexicon's weights scale the insults."""
+        lexical = [self.weight(word) for word in words]
+        read = [("I" if own else self.classes.get(word, "-"), "") for word, own in zip(words, lexical, strict=True)]
+        # Backwards, for the hits whose target follows.
+        state, before = self.backward.start, [1.0] * len(words)
+        for i in range(len(words) - 1, -1, -1):
+            state, read[i], before[i] = self.backward.arcs[state, read[i]]
         state, total = self.machine.start, 0.0
-        for word in words:
-            lexical = self.weight(word)
-            kind = "I" if lexical else self.classes.get(word, "-")
-            state, _, w = self.machine.arcs[state, (kind, "")]
+        for symbol, own, v in zip(read, lexical, before, strict=True):
+            state, _, w = self.machine.arcs[state, symbol]
             if w:
-                total += w * (lexical or FIXED_WEIGHT)
+                total += v * w * (own or FIXED_WEIGHT)
         return total
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:

@@ -53,6 +53,16 @@ def test_grammar_marks_clauses():
     assert w('"idiot" is a word') == pytest.approx(plain * 0.5)
 
 
+def test_targets_count_on_either_side():
+    s = toxicity.Scorer(toxicity.Model({"idiot": 2.0}))
+    w = lambda t: s.clause(toxicity.TOKEN.findall(t.lower()))
+    assert w("I will kill you") == w("you I will kill") == pytest.approx(1.5 * toxicity.FIXED_WEIGHT)
+    assert w("kill the process") == 0 and w("we will hurt them") > 0
+    assert w("idiot, you") == w("you idiot") == w("you idiot, you") == pytest.approx(3.0)
+    assert w("I said I will never kill you") == pytest.approx(1.5 * toxicity.FIXED_WEIGHT * 0.5 * 0.4)
+    assert [x for _, _, x in s.clauses("Run. I will kill you! Kill the process.")] == [pytest.approx(4.5)]
+
+
 def test_composition_equals_running_one_after_another():
     a, b = toxicity.reported(toxicity.alphabet(())), toxicity.negated(toxicity.alphabet(("r",)))
     both, rnd = toxicity.compose(a, b), random.Random(1)
