@@ -2,7 +2,9 @@
 
 One automaton pass finds the fixed keywords that each rule needs. A rule's anchored pattern is then
 tried only at its keywords' places, and rules whose tokens carry a checksum (GitHub's base62 CRC-32,
-Luhn, IBAN mod 97, JWT's JSON header) are kept only if it holds.
+Luhn, IBAN mod 97, JWT's JSON header) are kept only if it holds. What follows a card number or an
+IBAN may look like more of it, so all their admissible ends are tried, the longest first; an IBAN has
+the length of its country, where that is known. Their keywords are found in either case.
 
 Defined results: null and empty texts have no spans; repeated rows each give their own row; tables
 without rows give none; columns other than the id and the text are neither read nor returned by
@@ -52,9 +54,21 @@ def luhn(token: str) -> bool:
     return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and (sum(digits[-1::-2]) + sum(doubled)) % 10 == 0
 
 
+#: Lengths of the countries' IBANs.
+IBAN_LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+LENGTH_OF = {code: n for n, codes in IBAN_LENGTHS.items() for code in codes}
+
+
 def iban(token: str) -> bool:
     compact = token.replace(" ", "")
-    if not 15 <= len(compact) <= 34:
+    if not 15 <= len(compact) <= 34 or len(compact) != LENGTH_OF.get(compact[:2], len(compact)):
         return False
     moved = compact[4:] + compact[:4]
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
@@ -68,7 +82,7 @@ def jwt(token: str) -> bool:
         return False
 
 
-#: kind, keywords (as they stand in the text), anchored pattern, characters before the keyword at
+#: kind, keywords (as they stand in the text; those of OPEN_ENDED in lower case), anchored pattern, characters before the keyword at
 #: which the pattern may begin, and the checksum (None: none is embedded).
 RULES = (
     ("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), 0, github_checksum),
@@ -77,9 +91,11 @@ RULES = (
     ("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(r"xox[bpar]-[0-9]{6,}-[A-Za-z0-9-]{10,}"), 0, None),
     ("stripe", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}"), 0, None),
     ("google", ("AIza",), re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"), 0, None),
-    ("card", ("card",), re.compile(r"card(?: number| no)?[ :=]{1,3}((?:[0-9][ -]?){12,18}[0-9])(?![0-9])"), 0, luhn),
-    ("iban", ("IBAN",), re.compile(r"IBAN[ :=]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])"), 0, iban),
+    ("card", ("card",), re.compile(r"(?i:card(?: number| no)?)[ :=]{1,3}((?:[0-9][ -]?){12,18}[0-9])(?![0-9])"), 0, luhn),
+    ("iban", ("iban",), re.compile(r"(?i:iban)[ :=]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])"), 0, iban),
 )
+#: Kinds whose match may be too long: a shorter token ends before one of these characters at no place.
+OPEN_ENDED = {"card": re.compile(r"[0-9]"), "iban": re.compile(r"[A-Z0-9]")}
 
 
 class Scanner:
@@ -91,7 +107,7 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         wanted: dict[str, list] = {}
         for rule in RULES:
-            for word in rule[1]:
+            for word in rule[1] if rule[0] not in OPEN_ENDED else ():
                 wanted.setdefault(word, []).append(rule)
         wanted.setdefault("AKIA", []).append("access")
         for word, rules in wanted.items():
@@ -99,28 +115,43 @@ class Scanner:
         self.automaton.make_automaton()
         self.lower = ahocorasick.Automaton()
         for word in ASSIGN_WORDS:
-            self.lower.add_word(word, len(word))
+            self.lower.add_word(word, (len(word), []))
+        for rule in RULES:
+            for word in rule[1] if rule[0] in OPEN_ENDED else ():
+                self.lower.add_word(word, (len(word), [rule]))
         self.lower.make_automaton()
 
-    def assigns(self, text: str) -> list[tuple[int, int]]:
+    def assigns(self, text: str, hits: list[tuple[int, tuple[int, list]]]) -> list[tuple[int, int]]:
         """Leftmost non-overlapping assignments whose value has 8 or more characters."""
         # The pattern begins with a keyword, so it can match only where the automaton has hit.
-        low = text.lower() if text.isascii() else "".join(c.lower() if c < "\x80" else c for c in text)
         out, free = [], 0
-        for start in sorted({end - n + 1 for end, n in self.lower.iter(low)}):
+        for start in sorted({end - n + 1 for end, (n, rules) in hits if not rules}):
             if start >= free and (m := ASSIGN.match(text, start)):
                 free = m.end()
                 if m.end(2) - m.start(2) >= 8:
                     out.append((m.start(), m.end()))
         return out
 
+    def end(self, rule: tuple, text: str, at: int, span: tuple[int, int]) -> int | None:
+        """The furthest admissible end of the token in ``span`` at which its checksum holds."""
+        start, last = span
+        for stop in range(last, start, -1):
+            if stop < last and OPEN_ENDED[rule[0]].match(text, stop):
+                continue
+            m = rule[2].fullmatch(text, at, stop)
+            if m and m.start(1) == start and rule[4](m.group(1)):
+                return stop
+        return None
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         if not text:
             return []
-        found = [(s, e, "assign") for s, e in self.assigns(text)]
+        low = text.lower() if text.isascii() else "".join(c.lower() if c < "\x80" else c for c in text)
+        hits = list(self.lower.iter(low))
+        found = [(s, e, "assign") for s, e in self.assigns(text, hits)]
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
         free: dict[str, int] = {}
-        for end, (n, rules) in self.automaton.iter(text):
+        for end, (n, rules) in (*self.automaton.iter(text), *hits):
             at = end - n + 1
             for rule in rules:
                 kind = rule if isinstance(rule, str) else rule[0]
@@ -133,7 +164,11 @@ class Scanner:
                             found.append((at, m.end(), kind))
                 elif m := rule[2].match(text, at):
                     group = 1 if rule[2].groups else 0
-                    if rule[4] is None or rule[4](m.group(group)):
+                    if kind in OPEN_ENDED:
+                        if stop := self.end(rule, text, at, m.span(1)):
+                            free[kind] = stop
+                            found.append((m.start(1), stop, kind))
+                    elif rule[4] is None or rule[4](m.group(group)):
                         free[kind] = m.end()
                         found.append((m.start(group), m.end(group), kind))
         order = {k: i for i, k in enumerate((*KINDS, *(r[0] for r in RULES)))}

@@ -486,6 +486,19 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()} == {1: "a [secret:assign] b", 2: None, 3: "clean"}
 
 
+def test_cards_and_ibans_end_where_their_checksum_holds():
+    scanner = secrets.Scanner()
+    iban, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    card, grouped = "4111111111111111", "4111 1111 1111 1111"
+    for text, token, kind in (
+        (f"IBAN {iban} Please pay", iban, "iban"), (f"IBAN: {spaced} BIC COBADEFF", spaced, "iban"), (f"iban: {iban} 77", iban, "iban"), (f"Iban {iban}", iban, "iban"),
+        (f"card: {grouped} 12/27", grouped, "card"), (f"card number {card} 123", card, "card"), (f"Card number {card}", card, "card"), (f"CARD NO: {grouped}-123", grouped, "card"),
+    ):
+        assert [(text[a:b], k) for a, b, k in scanner.spans(text)] == [(token, kind)], text
+    for text in ("card number 4111111111111112 123", "IBAN DE88370400440532013000 Please", f"card {card}9", f"IBAN {iban}X", "card 1 2 3"):
+        assert scanner.spans(text) == [], text
+
+
 # --------------------------------------------------------------------------------------- simhash
 
 
