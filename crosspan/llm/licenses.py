@@ -2,7 +2,8 @@
 
 Rules are hand-written patterns, one family after another, each with a label, a priority and the
 keyword without which it can't match. One Aho-Corasick pass over the lower-cased text finds the
-keywords that occur; only the rules that they open are run. Of the detections, one that lies inside
+keywords that occur; only the rules that they open are run. Both read the text with every run of
+whitespace folded to one blank, so that wrapped lines don't matter; places are those of the text. Of the detections, one that lies inside
 the interval of another of higher priority (or of equal priority and longer) is suppressed.
 
 Defined results: null and empty texts have no words, no places and score 0; repeated rows each give
@@ -25,6 +26,8 @@ from crosspan.llm.common import text_of
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = re.compile(WORD + "+")
+#: Runs of whitespace other than one blank.
+RUN = re.compile(r"\s{2,}|[^\S ]")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 #: Fixed phrases of the base scan and their labels.
@@ -71,7 +74,7 @@ FAMILIES = (
     ("sspl", "server side public", r"server side public licen[cs]e", ("1",)),
     ("upl", "universal permissive", r"universal permissive licen[cs]e", ("1.0",)),
     ("zpl", "zope public", r"zope public licen[cs]e", ("1.0", "1.1", "2.0", "2.1")),
-    ("odbl", "open database", r"open (?:data commons )?database licen[cs]e", ("1.0",)),
+    ("odbl", "database licen", r"open (?:data commons )?database licen[cs]e", ("1.0",)),
     ("mulan", "mulan", r"mulan (?:permissive|public) (?:software )?licen[cs]e", ("1", "2")),
 )
 #: Creative Commons terms by short name and title.
@@ -86,7 +89,7 @@ CC_TERMS = (
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 #: Names, grants and notices that have no version.
 SINGLE = (
-    Rule("mit", 60, "mit license", r"\bmit licen[cs]e\b"),
+    Rule("mit", 60, "mit licen", r"\bmit licen[cs]e\b"),
     Rule("mit", 90, "permission is hereby granted, free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     Rule("mit", 70, "licensed under the mit", r"licensed under the mit\b(?: licen[cs]e)?"),
     Rule("bsd", 55, "bsd", r"\bbsd licen[cs]e\b"),
@@ -97,7 +100,7 @@ SINGLE = (
     Rule("bsd-3-clause", 95, "neither the name of", r"neither the name of [^.\n]{1,200}may be used to endorse or promote"),
     Rule("bsd-4-clause", 95, "all advertising materials", r"all advertising materials mentioning features or use of this software"),
     Rule("isc", 90, "permission to use, copy, modify, and", r"permission to use, copy, modify, and(?:/or)? distribute this software for any\s+purpose"),
-    Rule("isc", 60, "isc license", r"\bisc licen[cs]e\b"),
+    Rule("isc", 60, "isc licen", r"\bisc licen[cs]e\b"),
     Rule("zlib", 90, "provided 'as-is', without any express", r"this software is provided 'as-is', without any express or implied\s+warranty"),
     Rule("zlib", 60, "zlib", r"\bzlib(?:/libpng)? licen[cs]e\b"),
     Rule("unlicense", 90, "unencumbered software released into the public domain", r"free and unencumbered software released into the public domain"),
@@ -117,15 +120,15 @@ SINGLE = (
     Rule("copyright", 20, "copyright", r"copyright\s+(?:\(c\)|©)?\s*[12][0-9]{3}(?:\s*[-,]\s*[12][0-9]{3})*"),
     Rule("reserved", 30, "some rights reserved", r"some rights reserved"),
     Rule("proprietary", 50, "proprietary", r"proprietary and confidential"),
-    Rule("proprietary", 50, "unauthorized copying", r"unauthori[sz]ed copying of this (?:file|work)"),
+    Rule("proprietary", 50, "copying of this", r"unauthori[sz]ed copying of this (?:file|work)"),
     Rule("beerware", 60, "beer-ware", r"the beer-ware licen[cs]e"),
     Rule("ncsa", 60, "ncsa", r"(?:university of illinois/)?ncsa open source licen[cs]e"),
     Rule("openssl", 60, "openssl", r"\bopenssl licen[cs]e\b"),
     Rule("postgresql", 60, "postgresql", r"\bpostgresql licen[cs]e\b"),
-    Rule("curl", 60, "curl license", r"\bcurl licen[cs]e\b"),
-    Rule("vim", 60, "vim license", r"\bvim licen[cs]e\b"),
-    Rule("x11", 60, "x11 license", r"\bx11 licen[cs]e\b"),
-    Rule("elastic-2.0", 75, "elastic license", r"elastic licen[cs]e(?:,? (?:version )?2\.0)?"),
+    Rule("curl", 60, "curl licen", r"\bcurl licen[cs]e\b"),
+    Rule("vim", 60, "vim licen", r"\bvim licen[cs]e\b"),
+    Rule("x11", 60, "x11 licen", r"\bx11 licen[cs]e\b"),
+    Rule("elastic-2.0", 75, "elastic licen", r"elastic licen[cs]e(?:,? (?:version )?2\.0)?"),
 )
 
 
@@ -172,6 +175,19 @@ def suppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]
     return kept
 
 
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with runs of whitespace as one blank; the places after them, and how much went so far."""
+    parts, after, gone, at, shift, size = [], [], [], 0, 0, 0
+    for m in RUN.finditer(text):
+        parts += [text[at : m.start()], " "]
+        size += m.start() - at + 1
+        shift += m.end() - m.start() - 1
+        at = m.end()
+        after.append(size)
+        gone.append(shift)
+    return "".join([*parts, text[at:]]) if parts else text, after, gone
+
+
 class LicenseScanner:
     def __init__(self) -> None:
         import ahocorasick
@@ -188,13 +204,18 @@ class LicenseScanner:
         self.base = [(re.compile(f"(?<!{WORD})" + SEP.join(p.split()) + f"(?!{WORD})"), label) for p, label in BASE]
         self.gates = [p.split()[1] if label == "cc-by" else p.split()[-1] for p, label in BASE]
 
-    def detections(self, low: str) -> list[tuple[int, int, Rule]]:
-        opened = {i for _, which in self.automaton.iter(low) for i in which}
+    def opened(self, flat: str) -> set[int]:
+        """The rules whose keyword is in the folded text."""
+        return {i for _, which in self.automaton.iter(flat) for i in which}
+
+    def detections(self, low: str, gate: bool = True) -> list[tuple[int, int, Rule]]:
+        flat, after, gone = folded(low)
+        place = lambda p: p + gone[k - 1] if (k := bisect_right(after, p)) else p
         found = []
-        for i in opened:
+        for i in self.opened(flat) if gate else range(len(self.rules)):
             if i not in self.compiled:
                 self.compiled[i] = re.compile(self.rules[i].pattern)
-            found += [(m.start(), m.end(), self.rules[i]) for m in self.compiled[i].finditer(low)]
+            found += [(place(m.start()), place(m.end() - 1) + 1, self.rules[i]) for m in self.compiled[i].finditer(flat)]
         return suppressed(found)
 
     def row(self, text: str) -> dict:

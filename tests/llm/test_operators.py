@@ -453,6 +453,20 @@ def base_spans(t):
     return sorted(out + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 32])
 
 
+def test_license_gates_open_all_that_their_rules_match():
+    s = licenses.LicenseScanner()
+    names = ["MIT", "ISC", "curl", "Vim", "X11", "Elastic", "BSD", "zlib", "OpenSSL", "PostgreSQL", "Mozilla Public", "Open Database", "Open Data Commons Database", "Open Data Commons Open Database", "GNU General Public", "Python", "PHP", "CeCILL free software", "Mulan Permissive Software", "Apache Software"]
+    texts = [f"the {n}{gap}{w} version 2.0" for n in names for w in ("License", "Licence", "LICENSE") for gap in (" ", "\n", " \t ")]
+    texts += [f"Unauthori{c}ed copying{gap}of this {x}" for c in "sz" for gap in (" ", "\n") for x in ("file", "work")]
+    for text in texts:
+        assert s.detections(text.lower()) == s.detections(text.lower(), gate=False), text
+    for text, label in (("MIT Licence", "mit"), ("unauthorised copying of this file", "proprietary"), ("Open Data Commons Database License", "odbl"), ("the Mozilla Public\n   License here", "mpl"), ("X11 licence", "x11")):
+        row = s.row("so\n\n" + text)
+        assert label in row["labels"].split(","), text
+        spans = [("so\n\n" + text)[d["start"] : d["end"]] for d in row["detections"]]
+        assert all(x == x.strip() and x in text for x in spans), spans
+
+
 @needs_tables
 def test_secret_base_scan(spark, texts):
     got = by_id(secrets.secret_digests(spark.read.parquet(f"{SF}/documents.parquet")))
