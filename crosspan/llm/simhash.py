@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspan.llm.common import text_of, written
+from crosspan.llm.common import fresh_name, text_of, written
 
 BITS, WORDS, SEED, DISTANCE = 64, 3, 42, 2
 #: The three pieces of the 64 bits, from the most significant: (shift, width).
@@ -55,15 +55,20 @@ def fingerprint_of(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprinting():
+    """A function of a text column that gives the fingerprint as a signed 64-bit number."""
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(docs[id_col].alias("id"), fp(text_of(docs, text_col)).alias("fp"))
+    return fp
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): the fingerprint as a signed 64-bit number."""
+    return docs.select(docs[id_col].alias("id"), fingerprinting()(text_of(docs, text_col)).alias("fp"))
 
 
 def _subtries(fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -182,18 +187,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", "v"))
 
 
+def rooted(fps: DataFrame) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints: their least id, and what names the component."""
+    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    found = components(links(distinct))
+    return written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the least id reachable over links, the document's own included.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    distinct = written(distinct, "distinct")
-    found = components(links(distinct))
-    rooted = written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    roots = rooted(fps)
+    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(names, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -202,10 +211,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one that names it.
+    """``docs`` with one row of each component: one with the least id, and of its texts the least fingerprint.
 
-    Rows with a null id stay; rows that repeat an id are one document and stay or go together.
+    Rows with a null id stay. Rows are told apart by id and fingerprint, so an id that repeats with
+    another text stays where that text's component has no other; of rows that repeat, one stays.
     """
-    near = near_duplicates(docs.where(docs[id_col].isNotNull()), id_col, text_col)
-    gone = near.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    fps = written(fingerprints(docs.where(docs[id_col].isNotNull()), id_col, text_col), "fingerprints")
+    chosen = rooted(fps).groupBy("root").agg(F.min(F.struct("least", "fp")).alias("k"))
+    chosen = written(chosen.select(F.col("k.least").alias("id"), F.col("k.fp").alias("fp")), "chosen")
+    gone = fps.join(chosen, ["id", "fp"], "left_anti").distinct().select(F.col("id").alias("__id"), F.col("fp").alias("__fp"))
+    again = fps.join(chosen, ["id", "fp"], "left_semi").groupBy("id", "fp").count().where("count > 1")
+    again = written(again.select(F.col("id").alias("__id"), F.col("fp").alias("__fp")), "again")
+    name = fresh_name(docs, "simhash")
+    keyed = docs.withColumn(name, fingerprinting()(text_of(docs, text_col)))
+    same = lambda other: (keyed[id_col] == other["__id"]) & (keyed[name] == other["__fp"])
+    kept = keyed.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return kept.drop(name)
+    # Of the repeated rows, which are few if any, each map task keeps one before they are dealt out.
+    once = keyed.join(again, same(again), "left_semi").dropDuplicates([id_col, name])
+    return kept.join(again, (kept[id_col] == again["__id"]) & (kept[name] == again["__fp"]), "left_anti").unionByName(once).drop(name)

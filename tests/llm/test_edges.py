@@ -72,6 +72,15 @@ def test_filters_keep_columns_and_clean_rows(spark):
     assert sorted(repr(r.doc_id) for r in kept.select("doc_id").collect()) == sorted(map(repr, [1, 2, 5, None, 7, 8]))
 
 
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    a, b, c = ("first text with some words of its own", "another entirely different passage stands here", "a third one that nobody else has written")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (7, c), (9, c), (None, b), (None, b)]
+    for docs in (table(spark, rows).repartition(4), table(spark, rows, extra=True)):
+        kept = simhash.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, a), (5, b), (7, c), (None, b), (None, b)], key=repr)
+
+
 def test_warc_edges(spark):
     pages = [(3, "http://x/a b\n", "<p>ü</p>"), (1, None, None), (2, "u", ""), (4, "http://x", "<p>ü</p>"), (4, "http://x", "<p>ü</p>"), (None, "http://y", "<p>ü</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))
