@@ -26,9 +26,20 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def work_root(spark: SparkSession) -> str:
+    """The folder of this application's work files, below the shared folder."""
+    return f"{shared_root(spark)}/work/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/work/{name}-{uuid.uuid4().hex}"
+    """A fresh path among this application's work files."""
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's work files; DataFrames that operators have returned can't be used after."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,14 +50,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Like :func:`written`, as a table bucketed by ``column``: a join on it leaves these rows in place.
+    """Like :func:`written`, as files bucketed by ``column``: a join on it leaves these rows in place.
 
-    The rows aren't shuffled to be written; each task writes to the buckets that its rows have.
+    The rows aren't shuffled to be written; each task writes to the buckets that its rows have. The
+    name that the writer needs is dropped from the catalog at once, so only the files stay.
     """
-    buckets = max(8, min(8192, 2 * df.rdd.getNumPartitions()))
+    spark = df.sparkSession
+    buckets = max(8, min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")), 2 * df.rdd.getNumPartitions()))
     table = f"crosspan_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", work_path(df.sparkSession, name)).bucketBy(buckets, column).saveAsTable(table)
-    return df.sparkSession.table(table)
+    df.write.format("parquet").option("compression", "zstd").option("path", work_path(spark, name)).bucketBy(buckets, column).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -6,15 +6,20 @@ Every 200-byte string that starts at two places of the corpus is to go. Two suff
 1. *Cover sample.* Positions whose residue modulo ``PERIOD`` = q*q + q + 1 lies in a perfect
    difference set (12 of 133) are sampled. For any two positions i and j there is a d < PERIOD such
    that i + d and j + d are both sampled, so two suffixes that tie for 200 bytes tie at a sampled
-   place for the 200 - PERIOD + 1 = 68 bytes after it. The samples are ranked once: a sample's rank
-   says if its 68 bytes occur elsewhere. The ranks are fingerprints, since only ties matter and not
-   the order of what doesn't tie.
-2. *Buckets.* Suffixes whose cover samples have no tie can't tie and aren't sorted at all. The rest
-   is dealt to suffix buckets by a hash of their first 200 bytes, and one bucket is sorted at a
-   time; neighbours that agree are repeats. The name within a bucket has 64 bits besides those that
-   chose the bucket.
-
-Whole copies of a text are named once by digest; one of them stands for all in step 2.
+   place for the 200 - PERIOD + 1 = 68 bytes after it. Suffixes whose samples all stand alone can't
+   tie and are left out.
+2. *Suffixes.* The rest are compared by short names of their 200 bytes; those whose name stands alone
+   can't tie either. Names decide nothing else: equal names only say that bytes must be compared.
+3. *Buckets.* What is left is dealt to buckets with its bytes. A suffix's *anchor* is the least
+   8-byte string (by a fixed mix) in its 200 bytes, so equal suffixes have the same anchor at the same
+   distance. Suffixes of one place whose distances to one anchor differ by less than ``GROUP`` go
+   together as one row, and share the 137 bytes that lie in each of them: their *core*. A bucket is
+   sorted by bytes: cores are ranked first, and that rank resolves what ties that long; the bytes
+   before and behind it, sorted in turn, part the rest. Only equal bytes tie.
+
+Whole copies of a text are named once by a digest of 128 bits; one of them stands for all in steps 2
+and 3. A bucket's rows are counted by their bytes within a block first, so a passage that stands in a
+third of all documents is one row a block.
 
 Defined results: null texts are empty; texts under 200 bytes lose nothing; the rows that repeat a
 document are copies of it, so each loses all bytes that lie in a 200-byte string; ids aren't used and
@@ -28,17 +33,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from crosspan.llm.blocks import BLOCK_BYTES, answers_of, block_table, bucket_count, documents_of, exchange, joined, rows_of, scaled
+from crosspan.llm.blocks import answers_of, block_table, bucket_count, documents_of, exchange, joined, rows_of, scaled
 
 WIDTH, ORDER = 200, 11
 PERIOD = ORDER * ORDER + ORDER + 1
 #: Multipliers of the two rolling hashes (fixed odd numbers).
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SEGMENT = 1 << 20
+#: Suffixes in a row, the bytes that all of them share, and the bytes that a row can have.
+GROUP, ANCHOR = 64, 8
+CORE, SPAN = WIDTH - GROUP + 1, WIDTH + GROUP - 1
 
 
 def difference_cover(q: int) -> list[int]:
@@ -124,13 +134,12 @@ class Numbered:
         self.order = np.argsort(dealt, kind="stable")
         self.edges = np.searchsorted(dealt[self.order], np.arange(buckets + 1))
 
-    def payloads(self, flags: np.ndarray, narrow: bool) -> Iterator[tuple[int, bytes]]:
-        """(bucket, keys then flag bits); ``flags`` say which keys are known to repeat."""
-        keys, flags = self.keys[self.order], flags[self.order]
-        kind = np.uint32 if narrow else np.uint64
+    def payloads(self, flags: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, short keys then flag bits); ``flags`` say which keys are known to repeat."""
+        keys, flags = self.keys[self.order].astype(np.uint32), flags[self.order]
         for b in np.flatnonzero(np.diff(self.edges)):
             lo, hi = self.edges[b], self.edges[b + 1]
-            yield int(b), keys[lo:hi].astype(kind).tobytes() + np.packbits(flags[lo:hi]).tobytes()
+            yield int(b), keys[lo:hi].tobytes() + np.packbits(flags[lo:hi]).tobytes()
 
     def repeated(self, answers: dict[int, bytes], shift: int = 0) -> np.ndarray:
         """Which of the block's places have a name that repeats."""
@@ -142,12 +151,11 @@ class Numbered:
         return out[self.inverse]
 
 
-def ties(payloads: list[bytes], kind: type) -> list[bytes]:
-    """Sort one bucket; for each payload the bits of those keys that tie with another."""
-    width = np.dtype(kind).itemsize
-    counts = [(8 * len(p)) // (8 * width + 1) for p in payloads]
-    keys = np.concatenate([np.frombuffer(p, kind, n) for p, n in zip(payloads, counts, strict=True)])
-    flags = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=n * width), count=n) for p, n in zip(payloads, counts, strict=True)])
+def ties(payloads: list[bytes]) -> list[bytes]:
+    """Sort one bucket of short names; for each payload the bits of those that stand elsewhere too."""
+    counts = [(8 * len(p)) // 33 for p in payloads]
+    keys = np.concatenate([np.frombuffer(p, np.uint32, n) for p, n in zip(payloads, counts, strict=True)])
+    flags = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=n * 4), count=n) for p, n in zip(payloads, counts, strict=True)])
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
     same = sorted_keys[1:] == sorted_keys[:-1]
@@ -159,6 +167,138 @@ def ties(payloads: list[bytes], kind: type) -> list[bytes]:
     return [np.packbits(tied[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def anchors(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The distance from each of the sorted ``starts`` to its anchor: the first of the least 8-byte strings."""
+    out = np.empty(len(starts), np.int64)
+    wide = WIDTH - ANCHOR + 1
+    edges = np.searchsorted(starts, np.arange(0, len(data) + SEGMENT, SEGMENT))
+    for k in range(len(edges) - 1):
+        lo, hi = edges[k], edges[k + 1]
+        if lo == hi:
+            continue
+        s = int(starts[lo])
+        word = data[s : int(starts[hi - 1]) + WIDTH].astype(np.uint64)
+        for step in (1, 2, 4):
+            word = (word[:-step] << np.uint64(8 * step)) | word[step:]
+        word = (word ^ (word >> np.uint64(31))) * np.uint64(FIRST)
+        # The upper bits order the strings, the lower ones, a place in the segment, prefer the first.
+        word = (word & ~np.uint64(0x3FFFFF)) | np.arange(len(word), dtype=np.uint64)
+        n = -(-len(word) // wide) * wide
+        padded = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
+        padded[: len(word)] = word
+        parts = padded.reshape(-1, wide)
+        ahead = np.minimum.accumulate(parts, axis=1).ravel()
+        behind = np.minimum.accumulate(parts[:, ::-1], axis=1)[:, ::-1].ravel()
+        at = starts[lo:hi] - s
+        least = np.minimum(behind[at], ahead[at + wide - 1])
+        out[lo:hi] = (least & np.uint64(0x3FFFFF)).astype(np.int64) - at
+    return out
+
+
+def grouped(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[bytes, bytes, int, np.ndarray]]:
+    """Rows of the sorted ``starts``: (core, row, place, the starts); a row is 64 flags, then bytes.
+
+    Flag w says that the string at ``place`` + w is meant; the bytes go from the first to the last end.
+    """
+    if not len(starts):
+        return
+    distance = anchors(data, starts)
+    group = distance // GROUP
+    place = starts + distance - GROUP * group - (GROUP - 1)
+    cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(group) != 0)) + 1
+    edges = [0, *cuts.tolist(), len(starts)]
+    raw = data.tobytes()
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        mine, at = starts[lo:hi], int(place[lo])
+        flags = np.bitwise_or.reduce(np.uint64(1) << (mine - at).astype(np.uint64))
+        yield raw[at + GROUP - 1 : at + WIDTH], int(flags).to_bytes(8, "little") + raw[int(mine[0]) : int(mine[-1]) + WIDTH], at, mine
+
+
+def packed_rows(rows: dict[bytes, bool]) -> bytes:
+    """Rows and whether each is known to repeat, as one payload."""
+    flags = np.frombuffer(b"".join(r[:8] for r in rows), "<u8")
+    many = np.packbits(np.fromiter(rows.values(), bool, len(rows))).tobytes()
+    return len(rows).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(flags.tobytes() + many + b"".join(r[8:] for r in rows))
+
+
+def low_and_high(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the first and the last set flag."""
+    bits = np.unpackbits(flags.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.argmax(axis=1), GROUP - 1 - bits[:, ::-1].argmax(axis=1)
+
+
+def sorted_ties(payloads: list[bytes]) -> list[bytes]:
+    """Sort one bucket by bytes; for each payload's rows the flags of the strings that stand elsewhere too."""
+    flags, many, lines = [], [], []
+    counts = []
+    for p in payloads:
+        n = int.from_bytes(bytes(p[:4]), "little")
+        raw = zstandard.ZstdDecompressor().decompress(bytes(p[4:]))
+        f = np.frombuffer(raw, "<u8", n)
+        bits = -(-n // 8)
+        many.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits, 8 * n), count=n).astype(bool))
+        first, last = low_and_high(f)
+        size = last - first + WIDTH
+        text = np.frombuffer(raw, np.uint8, offset=8 * n + bits)
+        line = np.zeros((n, SPAN), np.uint8)
+        at = np.repeat(np.arange(n) * SPAN + first - (np.cumsum(size) - size), size) + np.arange(len(text))
+        line.ravel()[at] = text
+        flags.append(f)
+        lines.append(line)
+        counts.append(n)
+    return [t.astype("<u8").tobytes() for t in np.split(tied_flags(np.concatenate(lines), np.concatenate(flags), np.concatenate(many)), np.cumsum(counts)[:-1])]
+
+
+def ordered(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows of a byte matrix, and how many leading bytes each shares with the one before."""
+    width = columns.shape[1]
+    order = np.argsort(np.ascontiguousarray(columns).view(f"V{width}").ravel(), kind="stable")
+    unlike = columns[order[1:]] != columns[order[:-1]]
+    return order, np.concatenate([[-1], np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)])
+
+
+def tied_flags(lines: np.ndarray, flags: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Of each row's flagged strings, those that stand in another row, or in one that is known to repeat."""
+    out = np.where(many, flags, np.uint64(0))
+    # Rows that agree in all bytes and flags tie at once.
+    order, shared = ordered(np.hstack([flags.astype("<u8").view(np.uint8).reshape(-1, 8), lines]))
+    equal = np.zeros(len(flags), bool)
+    equal[order[1:]] |= shared[1:] == 8 + SPAN
+    equal[order[:-1]] |= shared[1:] == 8 + SPAN
+    name = np.empty(len(flags), np.int64)
+    name[order] = np.cumsum(shared < 8 + SPAN) - 1
+    out[equal] = flags[equal]
+    # One of each is enough for the rest; those that tie wholly stand for two.
+    kept = np.unique(name, return_index=True)[1]
+    lines, flags, twice = lines[kept], flags[kept], out[kept] == flags[kept]
+    # Ranks of the cores; only those with several rows, one of them open, are looked into.
+    order, shared = ordered(lines[:, GROUP - 1 : WIDTH])
+    core = np.empty(len(kept), np.int64)
+    core[order] = np.cumsum(shared < CORE) - 1
+    sizes, still = np.bincount(core), np.bincount(core, weights=~twice)
+    open_rows = np.flatnonzero((sizes[core] > 1) & (still[core] > 0))
+    found = np.where(twice, flags, np.uint64(0))
+    if len(open_rows):
+        lines, mine, twice, core = lines[open_rows], flags[open_rows], twice[open_rows], core[open_rows]
+        ranked = core.astype(">u8").view(np.uint8).reshape(-1, 8)
+        left, left_shared = ordered(np.hstack([ranked, lines[:, GROUP - 2 :: -1]]))
+        right, right_shared = ordered(np.hstack([ranked, lines[:, WIDTH:]]))
+        weight = 1 + twice.astype(np.int64)
+        add = np.zeros(len(mine), np.uint64)
+        a, b = np.empty(len(mine), np.int64), np.empty(len(mine), np.int64)
+        for w in range(GROUP):
+            rows = np.flatnonzero(mine >> np.uint64(w) & np.uint64(1))
+            if not len(rows):
+                continue
+            a[left] = np.cumsum(left_shared < 8 + GROUP - 1 - w)
+            b[right] = np.cumsum(right_shared < 8 + w)
+            _, inverse = np.unique(a[rows] * (len(mine) + 1) + b[rows], return_inverse=True)
+            held = np.bincount(inverse, weights=weight[rows])
+            add[rows[held[inverse] > 1]] |= np.uint64(1) << np.uint64(w)
+        found[open_rows] |= add
+    return out | found[name]
+
+
 def copies(payloads: list[bytes], blocks: list[int]) -> list[bytes]:
     """For each digest: 0 if it stands alone, 1 in the block that stands for it, 2 in the others.
 
@@ -198,7 +338,7 @@ class Block:
 
     def emit_samples(self) -> Iterator[tuple[int, bytes]]:
         numbered, _ = self.sampled()
-        yield from numbered.payloads(numbered.twice, narrow=True)
+        yield from numbered.payloads(numbered.twice)
         dealt: dict[int, list[bytes]] = {}
         for digest, n in self.digests.items():
             dealt.setdefault(self.home(digest), []).append(digest + bytes([n > 1]))
@@ -248,30 +388,64 @@ class Block:
         numbered, _, known, _ = self.suffixes(answers)
         flags = numbered.twice.copy()
         np.logical_or.at(flags, numbered.inverse[known], True)
-        yield from numbered.payloads(flags, narrow=False)
+        yield from numbered.payloads(flags)
 
-    def results(self, answers: dict[int, bytes], replies: dict[int, bytes]) -> Iterator[tuple]:
-        """(id, bytes, kept bytes, number of spans) of each document."""
+    def survivors(self, answers: dict[int, bytes], replies: dict[int, bytes]) -> tuple[list[np.ndarray | None], dict[bytes, int]]:
+        """By document, the suffixes whose names stand elsewhere too (None: a copy of another)."""
         numbered, starts, _, roles = self.suffixes(answers)
-        tied, at = numbered.repeated(replies), 0
-        for (key, data, digest), mine in zip(self.docs, starts, strict=True):
+        tied, at, out = numbered.repeated(replies), 0, []
+        for mine in starts:
+            out.append(None if mine is None else mine[tied[at : at + len(mine)]])
+            at += 0 if mine is None else len(mine)
+        return out, roles
+
+    def rows(self, starts: list[np.ndarray | None], roles: dict[bytes, int]) -> tuple[dict[int, dict[bytes, bool]], list[list[tuple[int, bytes, int]]]]:
+        """Each bucket's distinct rows and if they repeat, and by document (bucket, row, place)."""
+        dealt: dict[int, dict[bytes, bool]] = {}
+        made: list[list[tuple[int, bytes, int]]] = []
+        for (_, data, digest), mine in zip(self.docs, starts, strict=True):
+            of: list[tuple[int, bytes, int]] = []
             if mine is not None:
-                found = mine[tied[at : at + len(mine)]]
-                at += len(mine)
+                copied = bool(roles.get(digest))
+                for core, row, place, _ in grouped(data, mine):
+                    b = xxhash.xxh64_intdigest(core) * self.buckets >> 64
+                    bucket = dealt.setdefault(b, {})
+                    bucket[row] = copied or row in bucket
+                    of.append((b, row, place))
+            made.append(of)
+        return dealt, made
+
+    def emit_rows(self, answers: dict[int, bytes], replies: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+        for b, found in self.rows(*self.survivors(answers, replies))[0].items():
+            yield b, packed_rows(found)
+
+    def results(self, answers: dict[int, bytes], replies: dict[int, bytes], verdicts: dict[int, bytes]) -> Iterator[tuple]:
+        """(id, bytes, kept bytes, number of spans) of each document."""
+        starts, roles = self.survivors(answers, replies)
+        dealt, made = self.rows(starts, roles)
+        tied = {b: dict(zip(found, np.frombuffer(verdicts[b], "<u8").tolist(), strict=True)) for b, found in dealt.items()}
+        for (key, data, digest), of in zip(self.docs, made, strict=True):
+            flags = [(place, tied[b][row]) for b, row, place in of]
             if roles.get(digest):
                 yield key, data, b"", 1
-            elif not len(found):
-                yield key, data, data.tobytes(), 0
-            else:
-                change = np.zeros(len(data) + 1, np.int32)
-                change[found] += 1
-                change[found + WIDTH] -= 1
-                gone = np.cumsum(change[:-1]) > 0
+                continue
+            change = np.zeros(len(data) + 1, np.int32)
+            for place, bits in flags:
+                while bits:
+                    low = (bits & -bits).bit_length() - 1
+                    run = ((~(bits >> low)) & -(~(bits >> low))).bit_length() - 1
+                    change[place + low] += 1
+                    change[place + low + run - 1 + WIDTH] -= 1
+                    bits &= ~(((1 << run) - 1) << low)
+            gone = np.cumsum(change[:-1]) > 0
+            if gone.any():
                 runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 yield key, data, data[~gone].tobytes(), runs
+            else:
+                yield key, data, data.tobytes(), 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per document: the id, ``kept`` (its remaining bytes), ``n_bytes`` and ``n_spans``."""
     blocks = block_table(docs, id_col, text_col, block_bytes)
     buckets, cover = bucket_count(blocks), np.array(difference_cover(ORDER), np.int64)
@@ -280,20 +454,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return Block(row, cover, buckets).emit_samples()
 
     def rank(bucket: int, payloads: list[bytes], of: list[int]) -> tuple[list[bytes], int]:
-        return (ties(payloads, np.uint32) if bucket < buckets else copies(payloads, of)), 0
+        return (ties(payloads) if bucket < buckets else copies(payloads, of)), 0
 
     ranks, _ = exchange(blocks, emit_samples, rank, "ranks")
 
     def emit_suffixes(row: dict) -> Iterator[tuple[int, bytes]]:
         return Block(row, cover, buckets).emit_suffixes(answers_of(row, "ranks"))
 
-    sorted_buckets, _ = exchange(joined(blocks, ranks), emit_suffixes, lambda _, p, __: (ties(p, np.uint64), 0), "suffixes")
+    named, _ = exchange(joined(blocks, ranks), emit_suffixes, lambda _, p, __: (ties(p), 0), "suffixes")
+
+    def emit_rows(row: dict) -> Iterator[tuple[int, bytes]]:
+        return Block(row, cover, buckets).emit_rows(answers_of(row, "ranks"), answers_of(row, "suffixes"))
+
+    sorted_buckets, _ = exchange(joined(blocks, ranks, named), emit_rows, lambda _, p, __: (sorted_ties(p), 0), "rows")
     kind = blocks.schema["ids"].dataType.elementType
     arrow = to_arrow_type(kind)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            out = list(Block(row, cover, buckets).results(answers_of(row, "ranks"), answers_of(row, "suffixes")))
+            out = list(Block(row, cover, buckets).results(answers_of(row, "ranks"), answers_of(row, "suffixes"), answers_of(row, "rows")))
             yield pa.RecordBatch.from_pydict({
                 id_col: pa.array([r[0] for r in out], arrow),
                 "kept": pa.array([r[2] for r in out], pa.binary()),
@@ -301,7 +480,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 "n_spans": pa.array([r[3] for r in out], pa.int64()),
             })
 
-    return joined(blocks, ranks, sorted_buckets).mapInArrow(finish, f"`{id_col}` {kind.simpleString()}, kept binary, n_bytes long, n_spans long")
+    return joined(blocks, ranks, named, sorted_buckets).mapInArrow(finish, f"`{id_col}` {kind.simpleString()}, kept binary, n_bytes long, n_spans long")
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

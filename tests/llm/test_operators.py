@@ -274,6 +274,50 @@ def test_repeats_at_every_offset_and_block(spark, monkeypatch):
         assert (r.n_bytes, r.n_bytes - len(kept), r.n_spans, hashlib.sha256(kept).hexdigest()) == want[r.doc_id]
 
 
+def repeats_without_spark(docs, size, buckets=3):
+    """Blocks of ``size`` documents through the exchanges of the operator, in plain Python."""
+    keys = list(docs)
+    rows = [{"block": n, "ids": keys[n * size : (n + 1) * size], "sizes": [len(docs[k]) for k in keys[n * size : (n + 1) * size]], "data": b"".join(docs[k] for k in keys[n * size : (n + 1) * size])} for n in range(-(-len(keys) // size))]
+    blocks = [repeats.Block(r, np.array(repeats.difference_cover(11)), buckets) for r in rows]
+
+    def exchanged(emit, answer):
+        sent = defaultdict(list)
+        for n, block in enumerate(blocks):
+            for b, data in emit(n, block):
+                sent[b].append((n, data))
+        out = [{} for _ in blocks]
+        for b, got in sent.items():
+            for (n, _), made in zip(got, answer(b, [d for _, d in got], [n for n, _ in got]), strict=True):
+                out[n][b] = made
+        return out
+
+    ranks = exchanged(lambda n, x: x.emit_samples(), lambda b, p, of: repeats.ties(p) if b < buckets else repeats.copies(p, of))
+    named = exchanged(lambda n, x: x.emit_suffixes(ranks[n]), lambda b, p, of: repeats.ties(p))
+    verdicts = exchanged(lambda n, x: x.emit_rows(ranks[n], named[n]), lambda b, p, of: repeats.sorted_ties(p))
+    out = {}
+    for n, block in enumerate(blocks):
+        for key, data, kept, spans in block.results(ranks[n], named[n], verdicts[n]):
+            out[key] = (len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("name", ["own", "constant"])
+def test_repeats_are_decided_by_bytes(monkeypatch, name):
+    """Names that say nothing cost time but change nothing."""
+    if name == "constant":
+        monkeypatch.setattr(repeats, "names", lambda data, starts, width, base: np.full(len(starts), 7, np.uint64))
+    rnd = random.Random(17)
+    word = lambda n: bytes(rnd.choice(b"ab c") for _ in range(n))
+    one = word(200)
+    unlike = {1: one, 2: one[:-1] + b"!", 3: b"x" + one[:199], 4: one[:199] + b"y"}
+    assert set(repeats_without_spark(unlike, 2).values()) == {(200, 0, 0, hashlib.sha256(v).hexdigest()) for v in unlike.values()}
+    shared = [word(n) for n in (199, 200, 201, 263, 264, 600)]
+    docs = {i: word(rnd.randint(0, 150)) + rnd.choice(shared) + word(rnd.randint(0, 150)) for i in range(40)}
+    docs |= {50: b"z" * 450, 51: word(300) * 2, 52: b"", 53: word(199), 54: shared[5], 55: shared[5], 56: b"ab" * 400, 57: b"!" + b"ab" * 150}
+    for size in (1, 7, 60):
+        assert repeats_without_spark(docs, size) == loop_repeats(docs)
+
+
 def test_long_texts_are_named_alike_across_segments(monkeypatch):
     data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
     at = np.arange(0, 4800)
