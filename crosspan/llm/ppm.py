@@ -8,8 +8,10 @@ symbols already offered are excluded; below order 0 what is left of the 256 byte
 Counts come from all training documents. The trie is never gathered whole: blocks of documents send
 their distinct (context, symbol) pairs with training counts to the bucket of the context's last two
 bytes; a bucket therefore holds whole subtries, computes the code length of each pair, and answers
-each block for its own pairs only. Orders 1 and 0 have at most 65,792 counts, which is the proven
-bound of what is collected and sent to all. A base model of words is scored by the same exchange.
+each block for its own pairs only. Two bytes before more than one symbol in ``HEAVY`` are split by the
+third, so no bucket is bound to hold them. What is collected and sent to all are the counts of orders 1
+and 0 (65,792) and those after heavy two bytes (fewer than ``HEAVY`` * 256), whatever the input. A base
+model of words is scored by the same exchange.
 
 A text is scored in its lower-cased form, words joined by single spaces, closed by an end symbol.
 
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from crosspan.llm.blocks import BLOCK_BYTES, answers_of, block_table, bucket_count, documents_of, exchange, joined, rows_of, scaled
+from crosspan.llm.blocks import BLOCK_BYTES, answers_of, block_table, bucket_count, documents_of, exchange, joined, rows_of, scaled, sized
+from crosspan.llm.common import written
 
 ORDER, FOLDS, HELD = 5, 7, 2
 END = 10  # closes a text and stands before its first symbol; normalised text has no other
 START = bytes([END]) * ORDER
 MASK = [np.uint64((1 << (8 * k)) - 1) for k in range(ORDER + 2)]
 LARGEST_TABLE = 1 << 26
+HEAVY = 1024
 MODEL_BLOCK_BYTES = 2 * BLOCK_BYTES  # larger blocks repeat fewer grams
 
 
@@ -124,11 +128,30 @@ def hashes(words: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def bucket_of_pair(gram: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a gram, by the last two bytes of its context."""
-    mixed = ((gram >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    return scaled(mixed * np.uint64(0xBF58476D1CE4E5B9), buckets)
+class Low:
+    """Training counts of low orders: of all contexts below order 2, of the heavy ones at order 2."""
+
+    def __init__(self, pairs: np.ndarray, heavy: np.ndarray, after: np.ndarray) -> None:
+        #: ``heavy``: sorted contexts of two bytes; ``after``: the counts of each symbol after them.
+        self.heavy = heavy
+        self.tables = (pairs.sum(axis=0)[None, :], pairs, after)
+
+    def rows(self, k: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which contexts of order k have a row in ``tables[k]``, and the row."""
+        if k > 2 or (k == 2 and not len(self.heavy)):
+            return np.zeros(len(contexts), bool), np.zeros(len(contexts), np.int64)
+        if k < 2:
+            return np.ones(len(contexts), bool), contexts.astype(np.int64)
+        at = np.minimum(np.searchsorted(self.heavy, contexts), len(self.heavy) - 1)
+        return self.heavy[at] == contexts, at
+
+    def buckets_of(self, gram: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of each gram, by the last two bytes of its context, or three if two are heavy."""
+        two = (gram >> np.uint64(8)) & np.uint64(0xFFFF)
+        mixed = np.where(self.rows(2, two)[0], (gram >> np.uint64(8)) & np.uint64(0xFFFFFF) | np.uint64(1 << 24), two)
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        return scaled(mixed * np.uint64(0xBF58476D1CE4E5B9), buckets)
 
 
 def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,42 +172,41 @@ def unpacked_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return wide.view(np.uint64).ravel(), np.frombuffer(data, np.uint8, offset=(ORDER + 1) * n).view(np.uint32).astype(np.int64)
 
 
-def code_lengths(keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+def code_lengths(keys: np.ndarray, counts: np.ndarray, low: Low) -> np.ndarray:
     """log10 probability of each gram's symbol in its context.
 
-    ``keys`` (distinct, sorted) and ``counts`` must hold all grams whose context ends in the same
-    two bytes. ``low``: counts of pairs (256 x 256) over the whole training text.
+    ``keys`` (distinct, sorted) and ``counts`` must hold all grams of every context that ``low`` lacks.
     """
     result = np.zeros(len(keys))
     found = np.zeros(len(keys), bool)
-    above: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # of the next higher order
-    higher = np.empty(0, np.uint64)
+    #: Of the next higher order: each gram's context, first grams of the symbols offered, numbers of
+    #: distinct symbols, contexts, and where ``low`` has them.
+    above: tuple | None = None
     symbol = (keys & np.uint64(255)).astype(np.int64)
-    zero = low.sum(axis=0)
     for k in range(ORDER, -1, -1):
-        node = keys & MASK[k + 1]
-        if k >= 2:
-            nodes, back = np.unique(node, return_inverse=True)
-            total = np.bincount(back, weights=counts).astype(np.int64)
-            contexts, at = np.unique(nodes >> np.uint64(8), return_inverse=True)
-            n = np.bincount(at, weights=total)
-            d = np.bincount(at, weights=total > 0)
-            own, place = total[back], at[back]
-        else:  # from the counts that everyone has
-            contexts, place = np.unique(node >> np.uint64(8), return_inverse=True)
-            table = low[contexts.astype(np.int64)] if k else zero[None, :]
-            n, d = table.sum(axis=1).astype(float), (table > 0).sum(axis=1).astype(float)
-            own = table[place, symbol]
+        nodes, back = np.unique(keys & MASK[k + 1], return_inverse=True)
+        contexts, at = np.unique(nodes >> np.uint64(8), return_inverse=True)
+        total = np.bincount(back, weights=counts).astype(np.int64)
+        n = np.bincount(at, weights=total)
+        d = np.bincount(at, weights=total > 0)
+        own, place = total[back], at[back]
+        known, row = low.rows(k, contexts)
+        if known.any():
+            table = low.tables[k][row[known]]
+            n[known], d[known] = table.sum(axis=1), (table > 0).sum(axis=1)
+            mine = known[place]
+            own[mine] = low.tables[k][row[place[mine]], symbol[mine]]
         if above is None:
             n_left, d_left = n[place], d[place]
         else:
             # Exclusion: what the next higher context offers is taken out of this one's counts.
-            up_place, up_first, up_d = above
-            if k:
-                offered = np.zeros(len(up_d))
-                np.add.at(offered, up_place[up_first], own[up_first])
-            else:  # an order-1 context may go on elsewhere with symbols that these grams lack
-                offered = (low[higher.astype(np.int64)] > 0).astype(float) @ zero
+            up_place, up_first, up_d, up_contexts, up_known, up_row = above
+            offered = np.zeros(len(up_d))
+            here = up_first[~up_known[up_place[up_first]]]
+            np.add.at(offered, up_place[here], own[here])
+            if up_known.any():  # it may offer symbols that these grams lack
+                parent = low.rows(k, up_contexts[up_known] & MASK[k])[1]
+                offered[up_known] = ((low.tables[k + 1][up_row[up_known]] > 0) * low.tables[k][parent]).sum(axis=1)
             n_left = n[place] - offered[up_place]
             d_left = d[place] - up_d[up_place]
         alive = ~found
@@ -197,43 +219,61 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.nd
         seen = own > 0
         pairs = place.astype(np.int64) << 8 | symbol
         _, first = np.unique(pairs, return_index=True)
-        first = first[seen[first]]
-        above, higher = (place, first, d), contexts
+        above = (place, first[seen[first]], d, contexts, known, row)
     rest = ~found
-    result[rest] -= np.log10(256 - np.count_nonzero(zero))
+    result[rest] -= np.log10(256 - np.count_nonzero(low.tables[0]))
     return result
 
 
-def low_orders(blocks: DataFrame) -> tuple[np.ndarray, int]:
-    """Pair counts (256 x 256) and the number of tokens of the training texts."""
+def low_orders(blocks: DataFrame) -> tuple[Low, int]:
+    """Counts of low orders and the number of tokens of the training texts."""
+    end = np.int64(END)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, tokens = np.zeros(1 << 16, np.int64), 0
+        triples, tokens = np.zeros(1 << 24, np.int64), 0
         for row in rows_of(batches):
-            for _, key, text in documents_of(row):
-                if not is_held(key):
-                    t = START[:1] + normal(text) + START[:1]
-                    seq = np.frombuffer(t, np.uint8)
-                    pairs += np.bincount(seq[:-1].astype(np.int32) << 8 | seq[1:], minlength=1 << 16)
-                    tokens += 1 + (t.count(b" ") + 1 if len(t) > 2 else 0)
-        used = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array([*used.tolist(), -1], pa.int32()), "n": pa.array([*pairs[used].tolist(), tokens], pa.int64())})
-
-    rows = blocks.select("ids", "sizes", "data").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    found = {r.pair: r.n for r in rows}  # at most 65,537 rows
-    low = np.zeros(1 << 16, np.int64)
-    for pair, n in found.items():
-        if pair >= 0:
-            low[pair] = n
-    return low.reshape(256, 256), found.get(-1, 0)
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = MODEL_BLOCK_BYTES) -> DataFrame:
+            texts = [normal(text) for _, key, text in documents_of(row) if not is_held(key)]
+            tokens += sum(1 + (t.count(b" ") + 1 if t else 0) for t in texts)
+            seq = np.frombuffer(b"".join(START[:2] + t + START[:1] for t in texts), np.uint8)
+            if not len(seq):
+                continue
+            symbols = np.flatnonzero(np.bincount(seq, minlength=256))
+            to = np.zeros(256, np.int32)
+            to[symbols] = np.arange(len(symbols))
+            small, wide = to[seq], len(symbols)
+            seen = np.bincount((small[:-2] * wide + small[1:-1]) * wide + small[2:], minlength=wide**3)
+            used = np.flatnonzero(seen)
+            code = (symbols[used // wide**2] << 16) | (symbols[used // wide % wide] << 8) | symbols[used % wide]
+            # Two ends in a row at the end of a triple stand between texts, but for empty texts.
+            inside = (code & 0xFFFF) != (end << 8 | end)
+            triples[code[inside]] += seen[used[inside]]
+            triples[end << 16 | end << 8 | end] += sum(not t for t in texts)
+        used = np.flatnonzero(triples)
+        yield pa.RecordBatch.from_pydict({"triple": pa.array([*used.tolist(), -1], pa.int32()), "n": pa.array([*triples[used].tolist(), tokens], pa.int64())})
+
+    made = blocks.select("ids", "sizes", "data").mapInArrow(count, "triple int, n long")
+    triples = written(made.groupBy("triple").agg(F.sum("n").alias("n")), "triples")
+    pairs = np.zeros(1 << 16, np.int64)
+    for r in triples.where("triple >= 0").groupBy(F.expr("triple & 65535").alias("pair")).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+        pairs[r.pair] = r.n
+    tokens = triples.where("triple < 0").agg(F.sum("n")).first()[0] or 0
+    # Fewer than HEAVY contexts can hold more than one symbol in HEAVY each.
+    found = triples.where("triple >= 0").groupBy(F.expr("shiftright(triple, 8)").alias("two")).agg(F.sum("n").alias("n"))
+    heavy = np.array(sorted(r.two for r in found.where(F.col("n") * HEAVY > int(pairs.sum())).collect()), np.uint64)
+    after = np.zeros((len(heavy), 256), np.int64)
+    if len(heavy):
+        rows = triples.where(F.expr("shiftright(triple, 8)").isin(heavy.tolist())).collect()
+        for r in rows:  # fewer than HEAVY * 256
+            after[np.searchsorted(heavy, np.uint64(r.triple >> 8)), r.triple & 255] = r.n
+    return Low(pairs.reshape(256, 256), heavy, after), tokens
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
     Documents of the fold crc32(id) mod 7 = 2 are scored by a model that hasn't seen them.
     """
-    blocks = block_table(docs, id_col, text_col, block_bytes)
+    blocks = block_table(docs, id_col, text_col, block_bytes or sized(docs, text_col, MODEL_BLOCK_BYTES))
     buckets = bucket_count(blocks)
     low, tokens = low_orders(blocks)
 
@@ -242,7 +282,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         code, gram = text.coded()
         trained = np.repeat(~text.held, text.sizes)
         counts = np.bincount(code[trained], minlength=len(gram))
-        order, edges = dealt(bucket_of_pair(gram, buckets), buckets)
+        order, edges = dealt(low.buckets_of(gram, buckets), buckets)
         for b in np.flatnonzero(np.diff(edges)):
             part = order[edges[b] : edges[b + 1]]
             yield int(b), packed_grams(gram[part], counts[part])
@@ -279,7 +319,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             text, got = Text(row), answers_of(row, "model")
             code, gram = text.coded()
             length = np.empty(len(gram))
-            order, edges = dealt(bucket_of_pair(gram, buckets), buckets)
+            order, edges = dealt(low.buckets_of(gram, buckets), buckets)
             for b in np.flatnonzero(np.diff(edges)):
                 length[order[edges[b] : edges[b + 1]]] = np.frombuffer(got[int(b)], np.float32)
             score = np.add.reduceat(length[code], np.cumsum(text.sizes) - text.sizes)

@@ -123,7 +123,8 @@ def test_code_lengths_are_a_distribution():
     rnd = random.Random(2)
     seq = np.frombuffer(b"\n" * ppm.ORDER + bytes(rnd.choice(b"abc ") for _ in range(500)) + b"\n", np.uint8)
     grams = ppm.grams(seq)
-    low = np.bincount(seq[ppm.ORDER - 1 : -1].astype(np.int64) << 8 | seq[ppm.ORDER :], minlength=1 << 16).reshape(256, 256)
+    pairs = np.bincount(seq[ppm.ORDER - 1 : -1].astype(np.int64) << 8 | seq[ppm.ORDER :], minlength=1 << 16).reshape(256, 256)
+    low = ppm.Low(pairs, np.empty(0, np.uint64), np.empty((0, 256), np.int64))
     context = int(grams[100]) >> 8
     keys = np.unique(np.concatenate([grams[(grams >> np.uint64(8)) & np.uint64(0xFFFF) == np.uint64(context & 0xFFFF)], np.array([context << 8 | x for x in range(256)], np.uint64)]))
     counts = np.array([int((grams == k).sum()) for k in keys])
