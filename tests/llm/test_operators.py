@@ -355,12 +355,23 @@ def test_packing_holds_every_id_once(spark, texts):
             assert start == at
             at += n
         assert at == len(ids[i])
+    padded = 0
     for spans in sequences.values():
         at = 0
         for offset, n in sorted(spans):
             assert offset == at
             at += n
         assert at <= packing.LENGTH
+        padded += packing.LENGTH - at if at & (at - 1) else 0
+    assert padded < 0.01 * sum(map(len, ids.values()))
+
+
+def test_more_places_than_are_broadcast(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 90)) for i in range(2000)], "doc_id long, text string")
+    a, b = packing.pack(docs), packing.pack(docs, most_places=1)
+    order = lambda df: sorted(tuple(r) for r in df.collect())
+    assert order(a) == order(b)
+    assert not any("Broadcast" in line and "Range" in line for line in b._jdf.queryExecution().toString().splitlines())
 
 
 def test_fast_tokens_equal_the_tokenizer():
@@ -374,16 +385,36 @@ def test_fast_tokens_equal_the_tokenizer():
         assert t.ids(s).tolist() == t.exact.encode(s, add_special_tokens=False).ids, repr(s)
 
 
-def test_histogram_packing_is_whole_and_tight():
+def test_long_texts_have_the_tokenizers_ids():
+    import public_tokenizers
+
+    t = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rnd = random.Random(9)
+    words = ["over", "Straße", "42", "isn't", "(see", "x_y", "naïve,", "end.\n", "12,000", "漢字", "\tq", "a" * 300, "--", "https://x.y/z?q=1"]
+    for k in (20_000, 40_000):
+        s = " ".join(rnd.choice(words) for _ in range(k))
+        assert t.ids(s).tolist() == t.exact.encode(s, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("histogram", [{100: 1000}, {700: 1000, 600: 1000}, {1500: 1000}, {3: 1000}, {700: 1}, {2048: 3}, {1: 1}, {}, None])
+def test_histogram_packing_is_whole_and_tight(histogram):
     rnd = random.Random(6)
-    histogram = Counter(min(2048, int(rnd.lognormvariate(5.5, 1)) + 1) for _ in range(50_000))
-    patterns = packing.pack_histogram(dict(histogram))
-    used: Counter = Counter()
-    for p, n in patterns:
-        assert sum(p) <= 2048
-        for size in p:
-            used[size] += n
-    assert used == histogram and packing.padding(patterns) < 0.01 * sum(k * v for k, v in histogram.items())
+    if histogram is None:
+        histogram = Counter(min(2048, int(rnd.lognormvariate(5.5, 1)) + 1) for _ in range(50_000))
+    places = packing.pack_histogram(dict(histogram))
+    held, filled = defaultdict(int), defaultdict(list)
+    for p in places:
+        assert 0 <= p.offset and p.offset + p.taken <= 2048 and 0 <= p.at and p.at + p.taken <= p.size
+        for k in range(p.high - p.low):
+            held[p.size, p.low + k] += p.taken
+            filled[p.first + k].append((p.offset, p.taken))
+    assert {k for k, _ in held} == set(histogram) and all(n == size for (size, _), n in held.items())
+    assert Counter(size for size, _ in held) == Counter(dict(histogram))
+    for spans in filled.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
+    assert packing.padding(places) == 0
+    assert len(places) <= 64 + 12 * len(histogram) + 2048 * (len(histogram) < 3)
 
 
 # ------------------------------------------------------------------------------------------ warc

@@ -48,12 +48,17 @@ def test_pipeline(spark):
             if s >= at:
                 out += [t[at:s], f"[secret:{k}]"]
             at = max(at, e)
-        ids = [*tokenizer.encode("".join([*out, t[at:]]), add_special_tokens=False).ids, 1]
-        for start in range(0, len(ids), 2048):
-            part = ids[start : start + 2048]
-            want[i, start] = (len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
-    got = {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == want
+        want[i] = [*tokenizer.encode("".join([*out, t[at:]]), add_special_tokens=False).ids, 1]
+    parts: dict[int, list] = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert r.doc_tokens == len(want[r.doc_id])
+        assert zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        parts.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert set(parts) == set(want)
+    for i, spans in parts.items():
+        spans.sort()
+        assert [s for s, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+        assert sum(n for _, n in spans) == len(want[i])
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
