@@ -1,24 +1,30 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Five small transducers rewrite or weigh the classes of a clause's words: *reported speech* marks
-what stands after a reporting verb, *negation* marks the next few words after a negator, *target*
-marks hits in a clause that addresses someone, *insult* and *threat* weigh the marked classes. They
-are composed into one machine, which reads a clause and gives its weight; a document is judged by
-its clauses' weights, not by isolated words. A target may follow what is aimed at it, so a second
-target machine reads the clause backwards first and marks the hits before a target.
-
-The lexicon's weights are learned: of a bounded sample of labelled rows (``sample_rows``), words and
-word beginnings whose log-odds for label 1 are strong become insult entries beside the fixed ones.
-A logistic curve, fitted on the same rows, turns clause weights into a score. Nothing but the text
-is an input of a score.
+what stands after a reporting verb or in quotation marks, *negation* marks the next few words after a
+negator, *target* marks hits in a clause that addresses someone, *insult* and *threat* weigh the
+marked classes. They are composed into one machine, which reads a clause and gives its weight and the
+classes that it has found. A target may follow what is aimed at it, so a second target machine reads
+the clause backwards first and marks the hits before a target.
+
+A document is judged by the classes that the machine puts out: insults, aimed insults and aimed threats
+count as attacks; what is negated or reported counts as mitigated, apart from them; a threat without a
+target counts for nothing. A logistic curve over the classes' strengths is fitted to labelled rows from
+prior weights (``PRIOR``); the prior of mitigated hits is tight, so that they don't become attacks
+because a few labelled texts have nothing else.
+
+The lexicon is learned from the same rows: beside the fixed entries, words whose odds for label 1 are
+strong and can't be chance, and beginnings of words that several different words support. A bounded
+sample of labelled rows (``sample_rows``) serves. Nothing but the text is an input of a score.
 
 Defined results: null and empty texts score as texts without a hit; without any training rows the
-fixed lexicon and a default curve hold; repeated rows each give a row; an empty table gives none;
+fixed lexicon and the prior weights hold; repeated rows each give a row; an empty table gives none;
 other columns are not read, and pass unchanged through :func:`drop_toxic`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -30,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosspan.llm.common import fold, fresh_name, text_of
+from crosspan.llm.common import fold, fresh_name, text_of, written
 
 #: Fixed word lists of the grammar's classes.
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "bastard", "crétin", "imbécile", "dummkopf", "abschaum", "basura", "estúpido", "escoria")
@@ -38,7 +44,14 @@ THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "tuer", "
 TARGETS = ("you", "your", "yours", "he", "she", "they", "them", "him", "her", "his", "their", "people", "du", "ihr", "tu", "vous", "usted", "ellos")
 NEGATORS = ("not", "no", "never", "isn't", "aren't", "don't", "nicht", "kein", "pas", "jamais", "nunca")
 REPORTERS = ("said", "says", "wrote", "called", "claimed", "quoted", "reported", "sagte", "dit", "dijo")
-FIXED_WEIGHT, SAMPLE_ROWS, LEXICON_SIZE, PREFIXES, TRAIN_FOLDS = 3.0, 10_000, 2_000, range(4, 13), 5
+FIXED_WEIGHT, SAMPLE_ROWS, LEXICON_SIZE, PREFIXES, TRAIN_FOLDS = 3.0, 10_000, 2_000, range(4, 9), 5
+#: A beginning needs so many different words, and none of them more than this share of its support.
+LEAST_WORDS, LARGEST_SHARE = 4, 0.5
+#: The curve's features, each with its weight before anything is learned and how firmly that holds.
+PRIOR = {
+    "": (-3.0, 0.01), "attacks": (5.0, 0.05), "aimed insults": (0.5, 0.5), "aimed threats": (0.5, 5.0),
+    "mitigated insults": (0.3, 40.0), "mitigated threats": (0.3, 40.0), "length": (0.0, 1.0), "density": (0.0, 1.0),
+}
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»]")
 BREAK = re.compile(r"[.!?;:\n|]")
@@ -136,10 +149,13 @@ def grammar() -> Transducer:
 
 @dataclass
 class Model:
-    """Lexicon entries (word, or word beginning with a trailing *) and the curve."""
+    """Lexicon entries (word, or word beginning with a trailing *) and the curve, as ``PRIOR`` has it."""
 
     lexicon: dict[str, float]
-    curve: tuple[float, ...] = (-3.0, 1.0, 0.3, 0.0, 0.3)
+    curve: tuple[float, ...] = tuple(w for w, _ in PRIOR.values())
+
+    def digest(self) -> str:
+        return hashlib.sha256(repr((sorted(self.lexicon.items()), self.curve)).encode()).hexdigest()
 
 
 def fixed_lexicon() -> dict[str, float]:
@@ -170,25 +186,29 @@ class Scorer:
                 return w
         return 0.0
 
-    def clause(self, words: list[str]) -> float:
-        """The machine's weight for a clause; the lexicon's weights scale the insults."""
+    def hits(self, words: list[str]) -> list[tuple[Symbol, float, float]]:
+        """What the machine puts out for a clause's insults and threats: class and marks, strength, weight."""
         lexical = [self.weight(word) for word in words]
         read = [("I" if own else self.classes.get(word, "-"), "") for word, own in zip(words, lexical, strict=True)]
         # Backwards, for the hits whose target follows.
         state, before = self.backward.start, [1.0] * len(words)
         for i in range(len(words) - 1, -1, -1):
             state, read[i], before[i] = self.backward.arcs[state, read[i]]
-        state, total = self.machine.start, 0.0
+        state, out = self.machine.start, []
         for symbol, own, v in zip(read, lexical, before, strict=True):
-            state, _, w = self.machine.arcs[state, symbol]
+            state, made, w = self.machine.arcs[state, symbol]
             if w:
-                total += v * w * (own or FIXED_WEIGHT)
-        return total
+                out.append((made, own or FIXED_WEIGHT, v * w))
+        return out
 
-    def clauses(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the clauses in which a lexicon entry or threat begins a word."""
+    def clause(self, words: list[str]) -> float:
+        """The machine's weight for a clause; the lexicon's weights scale the insults."""
+        return sum(own * w for _, own, w in self.hits(words))
+
+    def found(self, text: str) -> Iterator[tuple[int, int, list[tuple[Symbol, float, float]]]]:
+        """(start, end, hits) of the clauses in which a lexicon entry or threat begins a word."""
         low = text.lower()
-        out, done = [], 0
+        done = 0
         for end, n in self.automaton.iter(low):
             at = end - n + 1
             if at < done or (at and (low[at - 1].isalnum() or low[at - 1] == "_")):
@@ -196,29 +216,42 @@ class Scorer:
             left = max([done, *(low.rfind(c, done, at) + 1 for c in ".!?;:\n|")])
             m = BREAK.search(low, end)
             right = m.start() if m else len(low)
-            weight = self.clause(TOKEN.findall(low, left, right))
+            hits = self.hits(TOKEN.findall(low, left, right))
             done = right
-            if weight:
-                out.append((left, right, weight))
-        return out
+            if hits:
+                yield left, right, hits
 
-    def features(self, text: str) -> list[float]:
-        weights = [w for _, _, w in self.clauses(text)]
-        total, words = sum(weights), 1 + text.count(" ")
-        return [math.log1p(total), max(weights, default=0.0), math.log(words), math.log1p(1000.0 * total / words)]
+    def clauses(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the clauses that weigh anything."""
+        return [(a, b, sum(own * w for _, own, w in hits)) for a, b, hits in self.found(text)]
+
+    def judged(self, text: str) -> tuple[list[float], int, float]:
+        """The curve's features, the number of clauses with a hit, and the heaviest clause's weight."""
+        clauses = [hits for _, _, hits in self.found(text)]
+        return features(clauses, text), len(clauses), max((sum(own * w for _, own, w in hits) for hits in clauses), default=0.0)
 
     def score(self, text: str) -> float:
-        z = self.model.curve[0] + sum(a * b for a, b in zip(self.model.curve[1:], self.features(text), strict=True))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
+        return curve(self.model, self.judged(text)[0])
 
 
-# ------------------------------------------------------------------------------------ learning
+def features(clauses: list[list[tuple[Symbol, float, float]]], text: str) -> list[float]:
+    """The features of ``PRIOR``, from the hits of a text's clauses."""
+    strength = dict.fromkeys(("I", "It", "Ht", "Im", "Hm"), 0.0)
+    for hits in clauses:
+        for (base, marks), own, _ in hits:
+            mark = "m" if "n" in marks or "r" in marks else "t" if "t" in marks else ""
+            strength[base + mark] += own / FIXED_WEIGHT
+    attacks, words = strength["I"] + strength["It"] + strength["Ht"], 1 + text.count(" ")
+    parts = (attacks, strength["It"], strength["Ht"], strength["Im"], strength["Hm"], math.log(words), 1000.0 * attacks / words)
+    return [math.log1p(x) for x in parts]
+
+
+def curve(model: Model, x: list[float]) -> float:
+    z = model.curve[0] + sum(a * b for a, b in zip(model.curve[1:], x, strict=True))
+    return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def entries(text: str) -> set[str]:
-    """The distinct words of a text, and their beginnings (with a trailing *)."""
-    words = set(TOKEN.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in PREFIXES if n < len(w)}
+# ------------------------------------------------------------------------------------ learning
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
@@ -233,59 +266,72 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from ``labels`` (id, toxic); rows of the fold ``held`` aren't learned from."""
     if held is not None:
         labels = labels.where(fold(labels[id_col], TRAIN_FOLDS) != held)
-    rows = sampled(docs, labels, id_col, text_col, sample_rows)
+    rows = written(sampled(docs, labels, id_col, text_col, sample_rows), "labelled")
 
     def count(batches):
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                seen[int(y)].update(entries(text))
+                seen[int(y)].update(set(TOKEN.findall(text.lower())))
                 seen[int(y)][""] += 1
-        keys = [*({**seen[1], "": 0})]  # what no toxic row has can't be an entry
-        yield pd.DataFrame({"entry": keys, "bad": [seen[1][k] for k in keys], "good": [seen[0][k] for k in keys]})
-
-    def rest(batches):
-        yield from count(batches)
-
-    counted = rows.select("text", "y").mapInPandas(rest, "entry string, bad long, good long")
-    summed = counted.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    total = summed.where("entry = ''").first()
-    n_bad, n_good = (total.bad or 0, total.good or 0) if total else (0, 0)
-    if not n_bad or not n_good:
+        found = sorted(seen[0] | seen[1])
+        for at in range(0, len(found), 50_000):
+            keys = found[at : at + 50_000]
+            yield pd.DataFrame({"entry": keys, "bad": [seen[1][k] for k in keys], "good": [seen[0][k] for k in keys]})
+
+    counted = rows.select("text", "y").mapInPandas(count, "entry string, bad long, good long")
+    words = written(counted.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "words")
+    total = words.where("entry = ''").first()
+    if not total or not total.bad or not total.good:
         return Model(fixed_lexicon())
-    odds = F.log((F.col("bad") + 0.5) / (n_bad - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (n_good - F.col("good") + 0.5))
-    strong = summed.where("entry <> '' and bad >= 4").withColumn("w", odds).where("w > 2.0")
+    words = words.where("entry <> ''")
+    sums = words.agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    own = telling(words, total.bad, total.good, sums.n or 1).withColumn("rank", F.col("w") * F.sqrt("bad"))
+    begun = words.where(F.length("entry") > PREFIXES[0]).select(F.explode(F.array([F.when(F.length("entry") > n, F.substring("entry", 1, n)) for n in PREFIXES])).alias("entry"), "bad", "good").where("entry is not null")
+    begun = begun.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("bad").alias("most"), F.count(F.when(F.col("bad") > 0, 1)).alias("words"))
+    begun = begun.where((F.col("words") >= LEAST_WORDS) & (F.col("most") <= LARGEST_SHARE * F.col("bad")))
+    begun = telling(begun, sums.bad or 1, sums.good or 1, sums.n or 1).select(F.concat("entry", F.lit("*")).alias("entry"), "bad", "w", (F.col("w") * F.sqrt("bad")).alias("rank"))
     # LEXICON_SIZE is a parameter of the model, like the size of any vocabulary.
-    kept = strong.orderBy(F.desc(F.col("w") * F.sqrt("bad")), "entry").limit(LEXICON_SIZE).collect()
-    lexicon = fixed_lexicon() | {r.entry: float(r.w) for r in kept}
-    # A word needs no entry of its own where its beginning says the same.
-    scorer = Scorer(Model(lexicon))
-    feature = F.pandas_udf(lambda texts: pd.Series([scorer_features(scorer.model, t) for t in texts]), "array<double>")
-    table = rows.select(feature("text").alias("x"), "y").toPandas()  # at most sample_rows rows of four numbers
-    return Model(lexicon, logistic(np.array(table["x"].tolist(), float), table["y"].to_numpy(float)))
+    kept = own.select("entry", "bad", "w", "rank").union(begun).orderBy(F.desc("rank"), "entry").limit(LEXICON_SIZE).collect()
+    model = Model({r.entry: float(r.w) for r in kept} | fixed_lexicon())
+    feature = F.pandas_udf(lambda texts: pd.Series([scorer_of(model).judged(t)[0] for t in texts]), "array<double>")
+    table = rows.select(feature("text").alias("x"), "y").toPandas()  # at most sample_rows rows of seven numbers
+    return Model(model.lexicon, logistic(np.array(table["x"].tolist(), float), table["y"].to_numpy(float)))
+
+
+def telling(counts: DataFrame, n_bad: int, n_good: int, tried: int) -> DataFrame:
+    """The entries whose odds for label 1 are strong (``w``) and, of so many tried, not chance."""
+    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
+    odds = F.log(bad / (n_bad + 1)) - F.log(good / (n_good + 1))
+    share = n_bad / (n_bad + n_good)
+    n = F.col("bad") + F.col("good")
+    # Twice this is the likelihood ratio against the labels' own share.
+    evidence = F.col("bad") * F.log(F.greatest(F.col("bad"), F.lit(0.5)) / (n * share)) + F.col("good") * F.log(F.greatest(F.col("good"), F.lit(0.5)) / (n * (1 - share)))
+    return counts.withColumn("w", odds).where((F.col("w") > 2.0) & (evidence > math.log(tried) + 3.0))
 
 
-_cached: dict[int, Scorer] = {}
+_cached: dict[str, Scorer] = {}
 
 
-def scorer_features(model: Model, text: str) -> list[float]:
-    key = hash((len(model.lexicon), model.curve, *model.lexicon))
+def scorer_of(model: Model) -> Scorer:
+    key = model.digest()
     if key not in _cached:
         _cached.clear()
         _cached[key] = Scorer(model)
-    return _cached[key].features(text)
+    return _cached[key]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton's method; intercept first."""
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, from the weights of ``PRIOR`` and held by their firmness."""
     x1 = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x1.shape[1])
+    prior, firm = np.array(list(PRIOR.values())).T
+    w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        g = x1.T @ (p - y) + ridge * w
-        h = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + ridge * np.eye(len(w))
+        g = x1.T @ (p - y) + firm * (w - prior)
+        h = (x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(firm)
         step = np.linalg.solve(h, g)
-        w -= step
+        w -= step * min(1.0, 2.0 / np.abs(step).max()) if np.abs(step).max() else 0.0
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)
@@ -303,9 +349,8 @@ def scoring(model: Model):
         for texts in batches:
             rows = []
             for t in texts:
-                f = scorer.features(t)
-                z = model.curve[0] + sum(a * b for a, b in zip(model.curve[1:], f, strict=True))
-                rows.append((1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))), round(math.expm1(f[0]) > 0), f[1]))
+                x, clauses, heaviest = scorer.judged(t)
+                rows.append((curve(model, x), clauses, heaviest))
             yield pd.DataFrame(rows, columns=["score", "clauses", "heaviest"])
 
     return score

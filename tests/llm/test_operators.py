@@ -38,7 +38,72 @@ def test_toxicity_ranks_held_out_documents(spark):
     rows = queries.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
     auc = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
-    assert auc > 0.93 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert auc > 0.95 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def toxicity_model(spark):
+    sf = SF.replace("0.001", "0.01")
+    return toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+ATTACKS = ["I will kill you", "you idiot", "You are all worthless scum.", "Shut up, stupid. Nobody asked.", "They are trash"]
+HARMLESS = ["The mountain path is worth the climb.", "you are not an idiot", "He said you are an idiot", 'He wrote "idiot" on the wall', "kill the process", "", "I will never hurt you"]
+
+
+@needs_tables
+def test_the_grammar_decides(toxicity_model, monkeypatch):
+    """Without the classes of negators, reporters, marks and targets, other texts are called toxic."""
+    predicted = lambda: [toxicity.Scorer(toxicity_model).score(t) >= 0.5 for t in ATTACKS + HARMLESS]
+    want = [True] * len(ATTACKS) + [False] * len(HARMLESS)
+    assert predicted() == want
+    for name in ("NEGATORS", "REPORTERS", "TARGETS"):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, name, ())
+            assert sum(a != b for a, b in zip(predicted(), want, strict=True)) >= 1, name
+
+
+@needs_tables
+def test_composed_scores_equal_transducers_one_after_another(texts, toxicity_model):
+    s = toxicity.Scorer(toxicity_model)
+    steps = [toxicity.reported(toxicity.alphabet(("t",))), toxicity.negated(toxicity.alphabet(("t", "r"))), toxicity.targeted(toxicity.alphabet(("t", "r", "n")))]
+    for t in [*texts.values(), *ATTACKS, *HARMLESS]:
+        clauses = []
+        for part in re.split(r"[.!?;:\n|]", t.lower()):
+            words = toxicity.TOKEN.findall(part)
+            read = [("I" if s.weight(w) else s.classes.get(w, "-"), "") for w in words]
+            for i, (base, _) in enumerate(read):
+                if base in "IH" and any(b == "T" for b, _ in read[i:]):
+                    read[i] = (base, "t")
+            states, hits = [x.start for x in steps], []
+            for word, symbol in zip(words, read, strict=True):
+                for k, step in enumerate(steps):
+                    states[k], symbol, _ = step.arcs[states[k], symbol]
+                if symbol[0] == "I" or (symbol[0] == "H" and "t" in symbol[1]):
+                    hits.append((symbol, s.weight(word) or toxicity.FIXED_WEIGHT, 1.0))
+            clauses.append(hits)
+        assert s.judged(t)[0] == pytest.approx(toxicity.features(clauses, t))
+
+
+@needs_tables
+def test_held_out_labels_have_no_influence(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = f"crc32(cast(cast(doc_id as string) as binary)) % {toxicity.TRAIN_FOLDS} = 0"
+    turned = labels.selectExpr("doc_id", f"case when {held} then 1 - toxic else toxic end as toxic")
+    a, b = (toxicity.score_toxicity(docs, toxicity.learn(docs, x)).collect() for x in (labels, turned))
+    assert by_id_rows(a) == by_id_rows(b)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in a)
+
+
+def by_id_rows(rows):
+    return {r.doc_id: tuple(r) for r in rows}
+
+
+def test_a_beginning_needs_several_words(spark):
+    rows = [(i, f"filler {'pathetic' if i % 3 == 0 else 'calm'} mood{i % 7} {'grumbl' + 'abcdefgh'[i % 8] + 'er' if i % 3 == 0 else 'pathway'}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.learn(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) as toxic")).lexicon
+    assert "grumbl*" in lexicon and not any(k.startswith("path") and k.endswith("*") for k in lexicon)
 
 
 def test_grammar_marks_clauses():
