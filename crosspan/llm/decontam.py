@@ -1,9 +1,10 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
 The items are indexed (terms, postings, impacts, and each block's largest impact), and every passage
-of every text is a query: windows of two segments of at least ``SEGMENT`` words, each window begun
-one segment after the last, so an item no longer than a segment lies whole in some window. Impacts
-are multiples of the lowest score that a passage with 0.8 of the item's shingles can have
+of every text is a query: windows of two segments, each window begun one segment after the last, so an
+item no longer than a segment lies whole in some window. Items stand on shelves by length, so that a
+long item doesn't widen the windows of others: a segment is ``SEGMENT`` words, doubled until the item
+fits. Impacts are multiples of the lowest score that a passage with 0.8 of the item's shingles can have
 (:meth:`Item.least_share`), so one threshold, 1, serves all items and the retrieval drops no passage
 that the verification would accept.
 
@@ -13,20 +14,25 @@ item's five-word shingles the passage must hold 0.8, and the overlaps of questio
 both reach ``PART_OVERLAP``. An item's answer follows its last "answer:", or else is its last third.
 
 The index travels to the executors only up to ``INDEX_BYTES`` of item text; more items are dealt into
-parts of about half of that. The parts are held against all passages one after another, and their
-results written, so the driver never holds more than one part.
+parts of about half of that. Document frequencies, the number of items and their mean length are those
+of all items in every part, so the rows don't depend on the number of parts. The parts are held against
+all passages one after another, and their results written, so the driver never holds more than one
+part. Each part costs a scan of the texts: 100 MB of items are some 13.
 
 Defined results: null and empty texts and items match nothing; items of fewer than five words match
 as a whole sequence; items that repeat give rows of their own; repeated and null document ids are
 kept; items with a null id are searched like others, and their rows have a null item id; whole-number
 item ids are returned as longs, others in their own type; empty tables give no rows; other columns
-are not read, and pass through :func:`drop_contaminated` unchanged.
+are not read, and pass through :func:`drop_contaminated` unchanged; where the id's column is called
+like a column of the result, the latter's name gets an underscore.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -104,42 +110,75 @@ class Item:
         return sum(shares[w] for w in times) - float(lost.max())
 
 
-class Index:
-    """BM25 postings with block maxima; items are sorted by their words so that blocks are alike."""
+@dataclass
+class Statistics:
+    """What BM25 takes from all items: their number, mean length, and each term's document frequency."""
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
-        made = [Item(k, t) for k, t in items]
-        everywhere: dict[str, int] = {}
+    items: int
+    mean: float
+    frequency: dict[str, int]
+
+    @staticmethod
+    def of(made: list[Item]) -> Statistics:
+        frequency: dict[str, int] = {}
         for item in made:
             for w in set(item.words):
-                everywhere[w] = everywhere.get(w, 0) + 1
-        # Items that share their commonest words (and so their language) stand together.
-        made.sort(key=lambda x: (sorted(set(x.words), key=lambda w: (-everywhere[w], w)), x.key is None, x.key))
-        self.items = [x for x in made if x.words]
-        self.segment = max([SEGMENT, *(len(x.words) for x in self.items)])
-        n = len(self.items)
-        self.blocks = -(-n // ITEMS_PER_BLOCK)
+                frequency[w] = frequency.get(w, 0) + 1
+        return Statistics(len(made), sum(len(x.words) for x in made) / max(1, len(made)), frequency)
+
+    def impacts(self, item: Item) -> dict[str, float]:
+        """The BM25 impact of each of the item's words."""
+        norm = K1 * (1 - B + B * len(item.words) / self.mean)
+        out = {}
+        for w in item.words:
+            out[w] = out.get(w, 0) + 1
+        for w, f in out.items():
+            n = self.frequency[w]
+            out[w] = math.log1p((self.items - n + 0.5) / (n + 0.5)) * f * (K1 + 1) / (f + norm)
+        return out
+
+
+class Index:
+    """Items on shelves by length, with common terms."""
+
+    def __init__(self, items: list[tuple[object, str]], statistics: Statistics | None = None) -> None:
+        made = [x for x in (Item(k, t) for k, t in items) if x.words]
+        statistics = statistics or Statistics.of(made)
         self.terms: dict[str, int] = {}
-        counts: list[dict[int, int]] = []
-        for item in self.items:
-            c: dict[int, int] = {}
-            for w in item.words:
-                t = self.terms.setdefault(w, len(self.terms))
-                c[t] = c.get(t, 0) + 1
-            counts.append(c)
-        frequency = np.bincount([t for c in counts for t in c], minlength=len(self.terms)) if n else np.zeros(0)
-        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
-        mean = sum(len(x.words) for x in self.items) / max(1, n)
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        by_segment: dict[int, list[Item]] = {}
+        for item in made:
+            segment = SEGMENT
+            while segment < len(item.words):
+                segment *= 2
+            by_segment.setdefault(segment, []).append(item)
+        self.shelves = [Shelf(segment, by_segment[segment], self.terms, statistics) for segment in sorted(by_segment)]
+
+    def search(self, text: str) -> list[tuple[object, float, float, float, float, int]]:
+        """(item, score, overlap, question's, answer's, first word) of each verified item, its best passage."""
+        words = words_of(text)
+        get = self.terms.get
+        terms = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return [hit for shelf in self.shelves for hit in shelf.search(words, terms)]
+
+
+class Shelf:
+    """BM25 postings with block maxima; items are sorted by their words so that blocks are alike."""
+
+    def __init__(self, segment: int, items: list[Item], terms: dict[str, int], statistics: Statistics) -> None:
+        # Items that share their commonest words (and so their language) stand together.
+        self.items = sorted(items, key=lambda x: (sorted(set(x.words), key=lambda w: (-statistics.frequency[w], w)), x.key is None, x.key))
+        self.segment = segment
+        self.blocks = -(-len(self.items) // ITEMS_PER_BLOCK)
+        postings: dict[int, list[tuple[int, float]]] = {}
         self.least: list[float] = []
-        for i, (item, c) in enumerate(zip(self.items, counts, strict=True)):
-            norm = K1 * (1 - B + B * len(item.words) / mean)
-            impact = {t: float(idf[t]) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
+        for i, item in enumerate(self.items):
+            impact = statistics.impacts(item)
             own = sum(impact.values()) or 1.0
-            least = item.least_share({w: impact[self.terms[w]] / own for w in set(item.words)})
+            least = item.least_share({w: v / own for w, v in impact.items()})
             self.least.append(least)
-            for t, v in impact.items():
-                self.postings[t].append((i, v / own / least))
+            for w, v in impact.items():
+                postings.setdefault(terms.setdefault(w, len(terms)), []).append((i, v / own / least))
+        self.postings = [postings.get(t, []) for t in range(len(terms))]
         # Block maxima, by term: blocks and their largest impacts, one after another.
         starts, where, most = [0], [], []
         for posting in self.postings:
@@ -154,12 +193,12 @@ class Index:
 
     def promising(self, terms: np.ndarray) -> np.ndarray:
         """The windows (by first segment) in which some block's upper bound reaches the threshold."""
-        at = np.flatnonzero(terms >= 0)
+        at = np.flatnonzero((terms >= 0) & (terms < len(self.postings)))
         if not len(at) or not self.blocks:
             return np.empty(0, np.int64)
         # Each window's distinct terms: a word is in the window that begins with its segment, and in
         # the one before.
-        segment, size = at // self.segment, len(self.terms)
+        segment, size = at // self.segment, len(self.postings)
         own = segment * size + terms[at]
         pairs = np.unique(np.concatenate([own, own[segment > 0] - size]))
         window, term = pairs // size, pairs % size
@@ -226,15 +265,12 @@ class Index:
                 while cursor[k] < len(posting) and posting[cursor[k]][0] < goal:
                     cursor[k] += 1
 
-    def search(self, text: str) -> list[tuple[int, float, float, float, float, int]]:
-        """(item, score, overlap, question's, answer's, first word) of each verified item, its best passage."""
-        words = words_of(text)
-        get = self.terms.get
-        terms = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    def search(self, words: list[str], terms: np.ndarray) -> list[tuple[object, float, float, float, float, int]]:
+        """The shelf's verified items, each with its best passage."""
         best: dict[int, tuple[int, float, float, float, float, int]] = {}
         for segment in self.promising(terms).tolist():
             lo, hi = segment * self.segment, (segment + 2) * self.segment
-            hits = self.wand(sorted({t for t in terms[lo:hi].tolist() if t >= 0}))
+            hits = self.wand(sorted({t for t in terms[lo:hi].tolist() if 0 <= t < len(self.postings)}))
             held = None
             for i, score in hits:
                 item = self.items[i]
@@ -250,19 +286,29 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
+FOUND = ("item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word")
 HITS = "array<struct<item_id:{},score:double,overlap:double,question_overlap:double,answer_overlap:double,first_word:long>>"
 
 
-def item_parts(items: DataFrame, item_id: str, text_col: str, index_bytes: int) -> tuple[int, Iterator[list[tuple[object, str]]]]:
-    """The number of parts, and the items, part by part; each part is what one index holds."""
+def item_parts(items: DataFrame, item_id: str, text_col: str, index_bytes: int) -> tuple[int, Iterator[tuple[list[tuple[object, str]], Statistics | None]]]:
+    """The number of parts, and each part's items with the statistics of all; a part is what one index holds."""
     rows = items.select(items[item_id].cast(id_type(items, item_id)).alias("k"), text_of(items, text_col).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if total <= index_bytes:
-        return 1, iter([[(r.k, r.t) for r in rows.collect()]])
+        return 1, iter([([(r.k, r.t) for r in rows.collect()], None)])
     parts = 2 * -(-total // index_bytes)
+    split = F.pandas_udf(lambda texts: texts.map(words_of), "array<string>")
     # Written once, since the numbers differ from run to run; rows that repeat go to all parts.
-    dealt = written(rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))), "items")
-    return parts, ([(r.k, r.t) for r in dealt.where(F.col("part") == p).collect()] for p in range(parts))
+    dealt = written(rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))).withColumn("words", split("t")), "items")
+    size = dealt.where("size(words) > 0").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    held = dealt.select("part", F.explode(F.array_distinct("words")).alias("term"))
+    frequency = written(held.distinct().join(held.groupBy("term").agg(F.count("*").alias("n")), "term"), "frequency")
+
+    def one(p: int) -> tuple[list[tuple[object, str]], Statistics]:
+        mine = {r.term: r.n for r in frequency.where(F.col("part") == p).collect()}
+        return [(r.k, r.t) for r in dealt.where(F.col("part") == p).select("k", "t").collect()], Statistics(size.n, size.mean or 1.0, mine)
+
+    return parts, map(one, range(parts))
 
 
 def id_type(items: DataFrame, item_id: str) -> str:
@@ -271,15 +317,14 @@ def id_type(items: DataFrame, item_id: str) -> str:
     return "bigint" if isinstance(kind, IntegralType) else kind.simpleString()
 
 
-def searching(items: list[tuple[object, str]], kind: str):
+def searching(part: tuple[list[tuple[object, str]], Statistics | None], kind: str):
     """A function of a text column that gives the verified items of each text."""
 
     @F.pandas_udf(HITS.format(kind))
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(items)
-        names = ("item_id", "score", "overlap", "question_overlap", "answer_overlap", "first_word")
+        index = Index(*part)
         for texts in batches:
-            yield pd.Series([[dict(zip(names, hit, strict=True)) for hit in index.search(t)] for t in texts])
+            yield pd.Series([[dict(zip(FOUND, hit, strict=True)) for hit in index.search(t)] for t in texts])
 
     return find
 
@@ -290,7 +335,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     count, parts = item_parts(items, item_id, item_text, index_bytes)
     for part in parts:
         hits = docs.select(docs[id_col].alias(id_col), F.explode(searching(part, kind)(text_of(docs, text_col))).alias("h"))
-        rows = hits.select(id_col, "h.*") if count == 1 else written(hits.select(id_col, "h.*"), "hits")
+        named = hits.select(id_col, *[F.col(f"h.{c}").alias(c + "_" if c.lower() == id_col.lower() else c) for c in FOUND])
+        rows = named if count == 1 else written(named, "hits")
         out = rows if out is None else out.unionByName(rows)
     return out
 

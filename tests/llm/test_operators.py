@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crosspan.llm import arc, decontam, licenses, media, packing, ppm, queries, repeats, secrets, simhash, toxicity
 
@@ -218,19 +219,64 @@ def test_decontamination_against_all_pairs(spark, texts):
     for i, t in texts.items():
         s = shingles(t)
         want |= {(i, k) for k, x in prepared if x and len(x & s) >= 0.8 * len(x)}
+    found = []
     for size in (1 << 24, 2000):  # one index, and several parts
         rows = decontam.contaminated(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"), index_bytes=size).collect()
         assert {(r.doc_id, r.item_id) for r in rows} == want
+        found.append(sorted((r.doc_id, r.item_id, round(r.score, 9), r.overlap, r.first_word) for r in rows))
+    assert found[0] == found[1]
+
+
+def test_no_item_that_the_rule_accepts_is_lost():
+    """Edited, truncated and interrupted items in windows, against all pairs by the rule alone."""
+    rnd = random.Random(12)
+    words = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(4000)]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(4, 60))) + (" answer: " + " ".join(rnd.sample(words, 3)) if k % 3 == 0 else "")) for k in range(200)]
+    items.append((900, " ".join(f"long{i}" for i in range(20_000))))
+    index, made = decontam.Index(items), [decontam.Item(k, t) for k, t in items]
+    assert [x.segment for x in index.shelves] == [64, 32768]
+    kept = 0
+    for _ in range(120):
+        text = []
+        for k in rnd.sample(range(200), 4):
+            w = items[k][1].split()
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(w))
+                w[at : at + 1] = rnd.choice([[], ["other"], [w[at], "more"]]) or ["x"]
+            text += w[rnd.randint(0, 3) : len(w) - rnd.randint(0, 3)] + [rnd.choice(words) for _ in range(rnd.randint(0, 40))]
+        words_of = decontam.words_of(" ".join(text))
+        want = set()
+        for at in range(0, len(words_of), 64):
+            held: dict = {}
+            for item in made:
+                n = len(next(iter(item.shingles)))
+                if n not in held:
+                    held[n] = set(decontam.shingles(words_of[at : at + 128])) if n == 5 else {tuple(words_of[at : at + 128][j : j + n]) for j in range(min(128, len(words_of) - at) - n + 1)}
+                overlap, question, answer = item.overlaps(held[n])
+                if overlap >= 0.8 and question >= 0.5 and answer >= 0.5:
+                    want.add(item.key)
+        assert {h[0] for h in index.search(" ".join(text))} == want
+        kept += len(want)
+    assert kept > 100
+
+
+def test_an_id_called_like_a_result_column(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six")], "score long, text string").withColumn("item_id", F.lit(0))
+    items = spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string")
+    out = decontam.contaminated(docs, items, id_col="score")
+    assert out.columns == ["score", "item_id", "score_", "overlap", "question_overlap", "answer_overlap", "first_word"]
+    assert [(r.score, r.item_id) for r in out.collect()] == [(1, 7)]
 
 
 def test_wand_finds_all_above_the_threshold():
     rnd = random.Random(3)
     words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(5000)]
     items = [(i, " ".join(rnd.sample(words, rnd.randint(6, 40)))) for i in range(120)]
-    index = decontam.Index(items)
+    whole = decontam.Index(items)
+    index = whole.shelves[0]
     hits = 0
     for _ in range(150):
-        terms = sorted({index.terms[w] for i in rnd.sample(range(len(index.items)), 2) for w in rnd.sample(index.items[i].words, max(3, len(index.items[i].words) * 3 // 4))})
+        terms = sorted({whole.terms[w] for i in rnd.sample(range(len(index.items)), 2) for w in rnd.sample(index.items[i].words, max(3, len(index.items[i].words) * 3 // 4))})
         full: dict[int, float] = {}
         for t in terms:
             for i, v in index.postings[t]:
@@ -286,10 +332,10 @@ def test_windows_in_slices(monkeypatch):
     index = decontam.Index(items)
     text = " ".join(" ".join([rnd.choice(items)[1], *(f"w{rnd.randint(0, 60)}" for _ in range(90))]) for _ in range(30))
     terms = np.array([index.terms.get(w, -1) for w in text.split()])
-    whole, found = index.promising(terms).tolist(), index.search(text)
+    whole, found = index.shelves[0].promising(terms).tolist(), index.search(text)
     for cells in (1, 500, 5000):
         monkeypatch.setattr(decontam, "CELLS", cells)
-        assert index.promising(terms).tolist() == whole and index.search(text) == found
+        assert index.shelves[0].promising(terms).tolist() == whole and index.search(text) == found
 
 
 def test_edited_items_and_lone_words(spark):
