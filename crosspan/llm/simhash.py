@@ -6,27 +6,38 @@ first, so a group of copies is one fingerprint however large it is.
 
 Of three pieces of the 64 bits, two fingerprints that link agree in one; of three pieces of the
 other bits they agree in one again. Every fingerprint goes to the nine subtries that these two
-pieces name (about 35 bits of common prefix, after the bits are put in that order), so no subtrie
-holds more than the fingerprints that share 35 bits. In each, the trie over the rest is joined with
-itself: pairs of nodes are walked together, adding up the bits in which they differ, and a pair is
-left as soon as it has more than two. Within a subtrie only the links that join two parts are kept
-(a spanning forest), which loses no link between different components.
+pieces name (about 35 bits of common prefix, after the bits are put in that order). In each, the trie
+over the rest is joined with itself: pairs of nodes are walked together, adding up the bits in which
+they differ, and a pair is left as soon as it has more than two. A subtrie of more than
+``MOST_MEMBERS`` fingerprints is split by further bits into nodes, and each pair of nodes that differ
+in at most two of these bits becomes a join of its own. Within a join only the links that join two
+parts are kept (a spanning forest), which loses no link between different components.
 
 Components come from alternating large-star and small-star steps on the remaining links, each step
 written to the shared folder.
 
+:func:`one_of_each`, which filters a corpus, asks for a similarity of 0.8 on five-word shingles. Such
+texts differ in about a seventh of the bits, so it takes a signature of 256 bits and a budget of
+``WIDE_BUDGET``, and subtries of a few bits in several tables: each table names subtries of
+about ``SUBTRIE`` signatures by bits of its own, and there are so many tables that a pair at
+the similarity limit shares a subtrie of one of them with probability ``RECALL``. In a subtrie, pairs of
+leaves are compared piece by piece and left when the budget is spent. Large subtries become pairs of
+parts; the work in them grows with the square of their distinct signatures, in parallel.
+
 Defined results: texts without words (null, empty, blank) have fingerprint zero and link like any
-other; with fewer than three words the whole sequence is the shingle; repeated rows each give a row;
-rows with a null id take part in the links but name no component unless they are alone (then the
+other; with fewer words than a shingle the whole sequence is the shingle; repeated rows each give a
+row; rows with a null id take part in the links but name no component unless they are alone (then the
 component is null); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +46,28 @@ from crosspan.llm.common import fresh_name, text_of, written
 BITS, WORDS, SEED, DISTANCE = 64, 3, 42, 2
 #: The three pieces of the 64 bits, from the most significant: (shift, width).
 PIECES = ((43, 21), (22, 21), (0, 22))
+#: The most members of one join (or of each side of it).
+MOST_MEMBERS = 4096
+#: The signature of :func:`one_of_each`: bits, words, and the bits that a similarity of 0.8 leaves unlike
+#: (39, and one standard deviation of 6 more); members of a subtrie, and the share of pairs to be found.
+WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 256, 5, 44, 0.15, 256, 0.95
 
 
-def fingerprint_of(text: str, words: int = WORDS) -> int:
-    """Majority of the bits of the shingles' XXH64; ties and no shingles give 0 bits."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of the shingles of ``words`` words; of fewer words, of the whole sequence."""
     import xxhash
 
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(tokens) < words:
-        return digest(b" ".join(tokens), SEED)
-    h = np.array([digest(b" ".join(s), SEED) for s in zip(*(tokens[i:] for i in range(words)), strict=False)], np.uint64)
+        return np.array([digest(b" ".join(tokens), SEED)], np.uint64)
+    return np.array([digest(b" ".join(s), SEED) for s in zip(*(tokens[i:] for i in range(words)), strict=False)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the numbers have."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 4096):  # the sums of a slice fit 16 bits
         part = np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -55,6 +75,23 @@ def fingerprint_of(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
 
 
+def fingerprint_of(text: str, words: int = WORDS) -> int:
+    """Majority of the bits of the shingles' XXH64; ties and no shingles give 0 bits."""
+    return majority(shingle_hashes(text, words))
+
+
+def signature_of(text: str) -> list[int]:
+    """The 256 bits of five-word shingles: four numbers, each from one mix of the shingles' XXH64."""
+    h = shingle_hashes(text, WIDE_WORDS)
+    out = []
+    for k in range(WIDE // BITS):
+        x = h + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
 def fingerprinting():
     """A function of a text column that gives the fingerprint as a signed 64-bit number."""
 
@@ -86,14 +123,22 @@ def _subtries(fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             yield 3 * i + j, (head << np.uint64(wide)) | part, over | under
 
 
-def trie_links(rest: np.ndarray, budget: int = DISTANCE) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of (distinct) values that differ in at most ``budget`` bits.
+def trie_links(rest: np.ndarray, other: np.ndarray | None = None, budget: int = DISTANCE) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of values that differ in at most ``budget`` bits.
 
-    The sorted values are the trie: a node is a range of them and a depth. Pairs of nodes start with
-    the root and itself, and carry the bits in which they differ so far.
+    The pairs are those of (distinct) ``rest`` with itself, or with ``other``. The sorted values are the
+    trie: a node is a range of them and a depth. Pairs of nodes start with the roots, and carry the bits in
+    which they differ so far.
     """
+    if not len(rest) or (other is not None and not len(other)):
+        return []
     order = np.argsort(rest, kind="stable")
-    values = [int(v) for v in rest[order]]
+    values = rest[order].tolist()
+    count, first = len(values), 0
+    if other is not None:
+        second = np.argsort(other, kind="stable")
+        first, values = count, values + other[second].tolist()
+        order = np.concatenate([order, second])
     parent = list(range(len(values)))
 
     def root(x: int) -> int:
@@ -113,7 +158,8 @@ def trie_links(rest: np.ndarray, budget: int = DISTANCE) -> list[tuple[int, int]
         return lo
 
     links = []
-    stack = [(0, len(values), 0, len(values), max(values[0] ^ values[-1], 1).bit_length() - 1, 0)] if len(values) > 1 else []
+    top = max(max(values[0], values[count - 1], values[first], values[-1]), 1).bit_length() - 1
+    stack = [(0, count, first, len(values), top, 0)] if len(values) > 1 else []
     while stack:
         a, b, c, d, bit, spent = stack.pop()
         if b - a == 1 and d - c == 1:
@@ -124,7 +170,7 @@ def trie_links(rest: np.ndarray, budget: int = DISTANCE) -> list[tuple[int, int]
                     links.append((int(order[a]), int(order[c])))
             continue
         if bit < 0:
-            continue
+            continue  # values are distinct on each side, so no range is left wider
         m = cut(a, b, bit)
         if (a, b) == (c, d):
             pairs = ((a, m, a, m, 0), (m, b, m, b, 0), (a, m, m, b, 1))
@@ -137,7 +183,7 @@ def trie_links(rest: np.ndarray, budget: int = DISTANCE) -> list[tuple[int, int]
     return links
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, most_members: int = MOST_MEMBERS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp), spanning every component."""
 
     def spread(batches):
@@ -148,18 +194,33 @@ def links(distinct: DataFrame) -> DataFrame:
 
     keyed = distinct.select("fp").mapInPandas(spread, "k int, prefix long, fp long, rest long")
 
-    groups = keyed.groupBy("k", "prefix").agg(F.collect_list(F.struct("fp", "rest")).alias("members")).where(F.size("members") > 1)
+    keyed = keyed.withColumn("node", F.lit(0).cast("long")).withColumn("side", F.lit(0).cast("long"))
+    large = keyed.groupBy("k", "prefix").count().where(F.col("count") > most_members)
+    large = written(large.select("k", "prefix", F.ceil(F.log2(F.col("count") / most_members)).cast("int").alias("more")), "large")
+    if not large.isEmpty():
+        # Nodes by so many further bits; a join of two nodes is named by both, and sides say whose a member is.
+        wide = keyed.drop("node", "side").join(large, ["k", "prefix"])
+        other = F.explode(F.expr("filter(sequence(0L, shiftleft(1L, more) - 1), x -> bit_count(x) <= 2)"))
+        # At most 29 bits remain, the lower ones of ``rest``.
+        wide = wide.withColumn("own", F.expr("shiftrightunsigned(rest, 29 - more)")).withColumn("change", other)
+        wide = wide.withColumn("with", F.col("own").bitwiseXOR(F.col("change")))
+        wide = wide.select("k", "prefix", "fp", "rest", (F.least("own", "with") * (1 << 32) + F.greatest("own", "with")).alias("node"), (F.col("own") > F.col("with")).cast("long").alias("side"))
+        keyed = keyed.join(large, ["k", "prefix"], "left_anti").unionByName(wide)
+    groups = keyed.groupBy("k", "prefix", "node").agg(F.collect_list("fp").alias("fp"), F.collect_list("rest").alias("rest"), F.collect_list("side").alias("side")).where(F.size("fp") > 1)
 
     def join(batches):
         for pdf in batches:
             out = []
-            for members in pdf["members"]:
-                fp = [m["fp"] for m in members]
-                rest = np.array([m["rest"] for m in members], np.int64).view(np.uint64)
-                out += [(fp[i], fp[j]) for i, j in trie_links(rest)]
+            for fp, rest, side in zip(pdf["fp"], pdf["rest"], pdf["side"], strict=True):
+                rest, side = np.array(rest, np.int64).view(np.uint64), np.array(side)
+                if side.any():
+                    a, b = np.flatnonzero(side == 0), np.flatnonzero(side)
+                    out += [(fp[a[i]], fp[b[j]]) for i, j in trie_links(rest[a], rest[b])]
+                else:
+                    out += [(fp[i], fp[j]) for i, j in trie_links(rest)]
             yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return groups.select("members").mapInPandas(join, "a long, b long")
+    return groups.select("fp", "rest", "side").mapInPandas(join, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -210,24 +271,112 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def tables_for(distinct: int) -> list[list[int]]:
+    """The bits that name a subtrie, table by table, for so many distinct signatures."""
+    width = max(4, math.ceil(math.log2(max(2, distinct) / SUBTRIE)))
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - UNLIKE) ** width))
+    return [sorted(np.random.default_rng(t).permutation(WIDE)[:width].tolist()) for t in range(count)]
+
+
+def near_links(a: np.ndarray, b: np.ndarray | None = None, budget: int = WIDE_BUDGET, rows: int = 256) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of signatures (n x 4) of ``a``, or of ``a`` and ``b``, within the budget."""
+    both = a if b is None else np.concatenate([a, b])
+    first = 0 if b is None else len(a)
+    label, links = np.arange(len(both)), []
+    for lo in range(0, len(a), rows):
+        mine = a[lo : lo + rows]
+        # Two pieces for all pairs; few are within the budget then and go on.
+        spent = np.bitwise_count(mine[:, None, 0] ^ both[None, first:, 0])
+        spent += np.bitwise_count(mine[:, None, 1] ^ both[None, first:, 1])
+        i, j = np.nonzero(spent <= budget)
+        spent = spent[i, j].astype(np.int32)
+        for k in range(2, a.shape[1]):
+            spent += np.bitwise_count(mine[i, k] ^ both[first + j, k])
+            near = spent <= budget
+            i, j, spent = i[near], j[near], spent[near]
+        edges = np.searchsorted(i, np.arange(len(mine) + 1))
+        for at in np.flatnonzero(np.diff(edges) > (b is None)).tolist():
+            near = first + j[edges[at] : edges[at + 1]]
+            labels, where = np.unique(label[near], return_index=True)
+            own = label[lo + at]
+            for name, k in zip(labels.tolist(), where.tolist(), strict=True):
+                if name != own:
+                    links.append((lo + at, int(near[k])))
+                    label[label == name] = own
+    return links
+
+
+def signatures(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """``docs`` with the signature in the four columns ``names``."""
+
+    @F.pandas_udf("array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.array(signature_of(t), np.uint64).view(np.int64) for t in texts])
+
+    made = fresh_name(docs, "signature")
+    signed = docs.withColumn(made, sign(text_of(docs, text_col)))
+    return signed.withColumns({n: F.col(made)[k] for k, n in enumerate(names)}).drop(made)
+
+
+def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMBERS) -> DataFrame:
+    """Links (a, b) of the distinct signatures (columns node and s0 to s3) that differ within the budget."""
+    tables = tables_for(count)
+    words = [f"s{k}" for k in range(WIDE // BITS)]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.column_stack([batch.column(1 + k).to_numpy() for k in range(len(words))])
+            bits = np.unpackbits(sig.astype(">i8").view(np.uint8).reshape(len(sig), -1), axis=1)
+            for t, places in enumerate(tables):
+                key = bits[:, places].astype(np.int64) @ (1 << np.arange(len(places), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(key), *batch.columns], names=["t", "key", "node", *words])
+
+    keyed = distinct.select("node", *words).mapInArrow(spread, "t int, key long, node long, s0 long, s1 long, s2 long, s3 long")
+    keyed = keyed.withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(0)})
+    large = keyed.groupBy("t", "key").count().where(F.col("count") > most_members)
+    large = written(large.select("t", "key", F.ceil(F.col("count") / most_members).cast("int").alias("parts")), "large")
+    if not large.isEmpty():
+        split = keyed.drop("pair", "side").join(large, ["t", "key"])
+        split = split.withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)")).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+        pair = F.least("own", "with").cast("long") * (1 << 31) + F.greatest("own", "with")
+        split = split.select("t", "key", "node", *words, pair.alias("pair"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+        # A part joined with itself is one join, of one side.
+        keyed = keyed.join(large, ["t", "key"], "left_anti").unionByName(split)
+
+    def join(members: pa.Table) -> pa.Table:
+        node, side = members["node"].to_numpy(), members["side"].to_numpy()
+        sig = np.column_stack([members[w].to_numpy() for w in words]).view(np.uint64)
+        order = np.argsort(side, kind="stable")
+        cut = int(np.count_nonzero(side == 0))
+        sig, node = sig[order], node[order]
+        pairs = np.array(near_links(sig[:cut], sig[cut:] if cut < len(sig) else None), np.int64).reshape(-1, 2)
+        return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    return keyed.groupBy("t", "key", "pair").applyInArrow(join, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: one with the least id, and of its texts the least fingerprint.
+    """``docs`` with one row of each group of near-duplicates: one with the least id.
 
-    Rows with a null id stay. Rows are told apart by id and fingerprint, so an id that repeats with
-    another text stays where that text's component has no other; of rows that repeat, one stays.
+    Groups are the components of texts whose five-word shingles are alike to 0.8, by their signatures.
+    Rows with a null id stay. Rows are told apart one by one: an id that repeats with another text stays
+    where that text's group has no other row; of rows that repeat, one stays.
     """
-    fps = written(fingerprints(docs.where(docs[id_col].isNotNull()), id_col, text_col), "fingerprints")
-    chosen = rooted(fps).groupBy("root").agg(F.min(F.struct("least", "fp")).alias("k"))
-    chosen = written(chosen.select(F.col("k.least").alias("id"), F.col("k.fp").alias("fp")), "chosen")
-    gone = fps.join(chosen, ["id", "fp"], "left_anti").distinct().select(F.col("id").alias("__id"), F.col("fp").alias("__fp"))
-    again = fps.join(chosen, ["id", "fp"], "left_semi").groupBy("id", "fp").count().where("count > 1")
-    again = written(again.select(F.col("id").alias("__id"), F.col("fp").alias("__fp")), "again")
-    name = fresh_name(docs, "simhash")
-    keyed = docs.withColumn(name, fingerprinting()(text_of(docs, text_col)))
-    same = lambda other: (keyed[id_col] == other["__id"]) & (keyed[name] == other["__fp"])
-    kept = keyed.join(gone, same(gone), "left_anti")
-    if again.isEmpty():
-        return kept.drop(name)
-    # Of the repeated rows, which are few if any, each map task keeps one before they are dealt out.
-    once = keyed.join(again, same(again), "left_semi").dropDuplicates([id_col, name])
-    return kept.join(again, (kept[id_col] == again["__id"]) & (kept[name] == again["__fp"]), "left_anti").unionByName(once).drop(name)
+    words = [f"s{k}" for k in range(WIDE // BITS)]
+    taken = docs
+    names: list[str] = []
+    for stem in ("row", *words):
+        names.append(fresh_name(taken, stem))
+        taken = taken.withColumn(names[-1], F.lit(None))
+    marked = written(signatures(docs.withColumn(names[0], F.monotonically_increasing_id()), text_col, names[1:]), "signed")
+    rows = marked.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(n).alias(c) for n, c in zip(names, ("row", *words), strict=True)])
+    distinct = rows.groupBy(*words).agg(F.min(F.struct("id", "row")).alias("least"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    found = components(similar_links(distinct, distinct.count()))
+    roots = distinct.join(found, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
+    roots = written(roots, "rooted")
+    chosen = roots.groupBy("root").agg(F.min("least").alias("chosen"))
+    named = roots.join(chosen, "root").select(*words, F.col("chosen.row").alias("chosen"))
+    gone = rows.join(named, words).where("row <> chosen").select(F.col("row").alias("gone"))
+    return marked.join(gone, marked[names[0]] == gone["gone"], "left_anti").select(*docs.columns)

@@ -754,12 +754,51 @@ def test_tries_link_every_component(spark):
         for b in ordered[k + 1 :]:
             if (a ^ b).bit_count() <= 2:
                 parent[root(parent, a)] = root(parent, b)
-    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in links)
-    mine = {v: v for v in values}
-    for a, b in links:
-        mine[root(mine, a)] = root(mine, b)
-    assert len({(root(parent, v), root(mine, v)) for v in values}) == len({root(parent, v) for v in values}) == len({root(mine, v) for v in values})
+    for most in (simhash.MOST_MEMBERS, 2, 1):  # whole subtries, and pairs of their nodes
+        links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, most).collect()]
+        assert all((a ^ b).bit_count() <= 2 for a, b in links)
+        mine = {v: v for v in values}
+        for a, b in links:
+            mine[root(mine, a)] = root(mine, b)
+        assert len({(root(parent, v), root(mine, v)) for v in values}) == len({root(parent, v) for v in values}) == len({root(mine, v) for v in values})
+
+
+def test_joins_of_two_tries():
+    rnd = random.Random(2)
+    for _ in range(50):
+        a, b = ({rnd.getrandbits(7) for _ in range(rnd.randint(0, 30))} for _ in range(2))
+        left, right = (np.array(sorted(x), np.uint64) for x in (a, b - a))
+        parent = {int(v): int(v) for v in [*left, *right]}
+
+        def root(p, x):
+            while p[x] != x:
+                x = p[x]
+            return x
+
+        mine = dict(parent)
+        for x in left.tolist():
+            for y in right.tolist():
+                if (x ^ y).bit_count() <= 2:
+                    parent[root(parent, x)] = root(parent, y)
+        for i, j in simhash.trie_links(left, right):
+            j -= len(left) if j >= len(left) + len(right) else 0
+            x, y = int(left[i]), int(right[j])
+            assert (x ^ y).bit_count() <= 2
+            mine[root(mine, x)] = root(mine, y)
+        names = {(root(parent, v), root(mine, v)) for v in parent}
+        assert len(names) == len({n for n, _ in names}) == len({n for _, n in names})
+
+
+def test_similar_signatures_in_parts(spark):
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, (60, 4), dtype=np.uint64)
+    sig = np.concatenate([base, *[base ^ np.bitwise_or.reduce([np.uint64(1) << rnd.integers(0, 63, (60, 4), dtype=np.uint64) for _ in range(6)]) for _ in range(3)]])
+    rows = [(k, *map(int, s.view(np.int64))) for k, s in enumerate(sig)]
+    df = spark.createDataFrame(rows, "node long, s0 long, s1 long, s2 long, s3 long")
+    name = lambda links: {r.node: r.root for r in simhash.components(links).collect()}
+    whole = name(simhash.similar_links(df, len(sig)))
+    assert len(whole) == 240 and len(set(whole.values())) == 60
+    assert name(simhash.similar_links(df, len(sig), 5)) == whole
 
 
 def test_components_of_paths_stars_and_cliques(spark):
