@@ -3,14 +3,16 @@
 ARC files (versions 1 and 2) are streams of records, each a header line of space-separated fields and
 as many bytes as the line declares. A file begins with a version block that names its fields, so a
 record's line is parsed by the fields of its own version. Conversion gives each record a WARC header
-with a synthesised identifier (a name-based UUID of target, date and digest), an ISO timestamp, a
-type and SHA-1 digests; records whose payload another has already become ``revisit``.
+with a synthesised identifier (a name-based UUID of its archive and place, so no two are the same), an
+ISO timestamp, a type and SHA-1 digests; records whose payload another has already become ``revisit``
+and name that record's identifier. Each WARC archive begins with a ``warcinfo`` record.
 
-Archives are gzip members, one a record, held in rows of an archive table (name, part, data): Spark's
+Archives are gzip members, one a record, held in rows of an archive table (name, data): Spark's
 writers commit each task's rows once, so a retried or lost task leaves nothing half-written.
-``export`` puts them into single files.
+``export`` puts them into single files. An archive is closed when its records have ``ARCHIVE_BYTES``
+unpacked, and read member by member, so a task holds little more than that, or one longer record.
 
-Defined results: a null html or url is empty; a null page id sorts after all others, is kept, and
+Defined results: page ids must be whole numbers (another type raises ``TypeError``); a null html or url is empty; a null page id sorts after all others, is kept, and
 is a response; rows that repeat an id are records of their own, and where that id is the smallest
 of its payload all of them are responses; an empty table gives no rows; other columns are not read.
 """
@@ -23,17 +25,20 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from crosspan.llm.common import bucketed, written
 
-ARCHIVE_BYTES, SALTS = 8 << 20, 16
+ARCHIVE_BYTES = 8 << 20
+#: Records of one digest that one task joins, and the most digests that are sent to all to be salted.
+PER_SALT, MOST_HOT = 20_000, 100_000
 #: Fixed field lists of the two header versions.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -95,29 +100,32 @@ def members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an unpacked ARC file, its version block left out.
+def parse_arc(chunks: Iterable[bytes]) -> Iterator[ArcRecord]:
+    """The records of an ARC file's unpacked chunks (gzip members, or the whole), version block left out.
 
-    Field names come from the version block; the declared length alone says where content ends.
+    Field names come from the version block; the declared length alone says where content ends. A
+    record lies in one chunk.
     """
-    at, names = 0, ARC_FIELDS[1]
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        size = int(values[-1])
-        content = data[end + 1 : end + 1 + size]
-        if len(content) < size:
-            raise ValueError(f"record at {at} declares {size} bytes; {len(content)} are there")
-        at = end + 1 + size
-        if values[0].startswith("filedesc://"):
-            names = tuple(content.decode().split("\n")[1].split(" "))
-            continue
-        if len(values) != len(names):
-            raise ValueError(f"record line has {len(values)} fields, not {len(names)}")
-        yield ArcRecord(dict(zip(names, values, strict=True)), content)
+    names = ARC_FIELDS[1]
+    for data in chunks:
+        at = 0
+        while at < len(data):
+            if data[at : at + 1] in b"\r\n":
+                at += 1
+                continue
+            end = data.index(b"\n", at)
+            values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+            size = int(values[-1])
+            content = data[end + 1 : end + 1 + size]
+            if len(content) < size:
+                raise ValueError(f"record at {at} declares {size} bytes; {len(content)} are there")
+            at = end + 1 + size
+            if values[0].startswith("filedesc://"):
+                names = tuple(content.decode().split("\n")[1].split(" "))
+                continue
+            if len(values) != len(names):
+                raise ValueError(f"record line has {len(values)} fields, not {len(names)}")
+            yield ArcRecord(dict(zip(names, values, strict=True)), content)
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
@@ -134,15 +142,26 @@ def iso_date(date: str) -> str:
     return datetime.strptime(date.ljust(14, "0"), "%Y%m%d%H%M%S").replace(tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record_id(url: str, date: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {digest}')}>"
+def record_id(archive: str, number: int) -> str:
+    """The identifier of what an archive's record is converted to."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{archive} {number}')}>"
+
+
+def warc_info(name: str) -> bytes:
+    """The first record of a WARC archive."""
+    body = b"software: crosspan\r\nformat: WARC File Format 1.1\r\n"
+    heads = f"WARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name, -1)}\r\nWARC-Date: {iso_date('20000101')}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return b"WARC/1.1\r\n" + heads.encode() + body + b"\r\n\r\n"
 
 
-def warc_record(kind: str, url: str, page: str, date: str, digest: str, content: bytes, size: int, refers: str | None) -> bytes:
-    """One WARC/1.1 record; ``content`` is the whole HTTP message, or only its head for a revisit."""
+def warc_record(identifier: str, url: str, page: str, date: str, digest: str, content: bytes, size: int, refers: tuple[str, str] | None) -> bytes:
+    """One WARC/1.1 record; ``content`` is the whole HTTP message, or only its head for a revisit.
+
+    ``refers``: the identifier and page of the response that a revisit repeats.
+    """
     heads = [
-        ("WARC-Type", kind),
-        ("WARC-Record-ID", record_id(f"{url}#page={page}", date, digest)),
+        ("WARC-Type", "revisit" if refers else "response"),
+        ("WARC-Record-ID", identifier),
         ("WARC-Date", date),
         ("WARC-Target-URI", url),
         ("WARC-Page-ID", page),
@@ -152,8 +171,8 @@ def warc_record(kind: str, url: str, page: str, date: str, digest: str, content:
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(content))),
     ]
-    if kind == "revisit":
-        heads += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page", refers or "-")]
+    if refers:
+        heads += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers[0]), ("WARC-Refers-To-Page", refers[1])]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in heads).encode() + b"\r\n" + content + b"\r\n\r\n"
 
 
@@ -174,8 +193,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # ----------------------------------------------------------------------------------- operators
 
 
-def archive_rows(records: Iterator[tuple[int, bytes]], heads: dict[int, bytes], limit: int) -> Iterator[pa.RecordBatch]:
-    """Pack gzip members to archives of about ``limit`` bytes, one run per version."""
+def archive_rows(records: Iterator[tuple[int, bytes]], head: Callable[[int, str], bytes], limit: int) -> Iterator[pa.RecordBatch]:
+    """Pack records to archives of about ``limit`` unpacked bytes, one run per version."""
     from pyspark import TaskContext
 
     held: dict[int, list[bytes]] = {}
@@ -185,14 +204,14 @@ def archive_rows(records: Iterator[tuple[int, bytes]], heads: dict[int, bytes],
     def row(version: int) -> pa.RecordBatch:
         nonlocal number
         number += 1
-        data = b"".join([*([gzip.compress(heads[version], 6, mtime=0)] if version in heads else []), *held.pop(version)])
+        name = f"part-{TaskContext.get().partitionId():06d}-{number:06d}-v{version}"
+        data = b"".join([gzip.compress(head(version, name), 6, mtime=0), *held.pop(version)])
         sizes.pop(version)
-        return pa.RecordBatch.from_pydict({"name": pa.array([f"part-{TaskContext.get().partitionId():06d}-{number:06d}-v{version}"]), "data": pa.array([data], pa.binary())})
+        return pa.RecordBatch.from_pydict({"name": pa.array([name]), "data": pa.array([data], pa.binary())})
 
     for version, record in records:
-        packed = gzip.compress(record, 6, mtime=0)
-        held.setdefault(version, []).append(packed)
-        sizes[version] = sizes.get(version, 0) + len(packed)
+        held.setdefault(version, []).append(gzip.compress(record, 6, mtime=0))
+        sizes[version] = sizes.get(version, 0) + len(record)
         if sizes[version] >= limit:
             yield row(version)
     for version in list(held):
@@ -201,6 +220,8 @@ def archive_rows(records: Iterator[tuple[int, bytes]], heads: dict[int, bytes],
 
 def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", limit: int = ARCHIVE_BYTES) -> DataFrame:
     """(name, data): ARC archives of ``pages``; odd ids in version 2, the others in version 1."""
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"page ids must be whole numbers, not {pages.schema[id_col].dataType.simpleString()}")
     empty = lambda c: F.coalesce(pages[c].cast("string"), F.lit(""))
     source = pages.select(F.coalesce(pages[id_col].cast("string"), F.lit("-")).alias("page"), empty(url_col).alias("url"), empty(html_col).alias("html"))
 
@@ -211,14 +232,14 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     version = 2 if page[-1:] in "13579" else 1
                     yield version, arc_record(version, f"v{version}.arc.gz", url, page, html.encode())
 
-        yield from archive_rows(records(), {v: arc_head(v, f"v{v}.arc.gz") for v in ARC_FIELDS}, limit)
+        yield from archive_rows(records(), arc_head, limit)
 
     return source.mapInArrow(pack, "name string, data binary")
 
 
 def records_of(data: bytes) -> Iterator[tuple[str, str, ArcRecord]]:
     """(page, url, record) of a packed ARC archive."""
-    for record in parse_arc(b"".join(members(data))):
+    for record in parse_arc(members(data)):
         url, _, page = record.fields["URL"].rpartition("#page=")
         yield page, url, record
 
@@ -242,36 +263,40 @@ def number_of(page: Column) -> Column:
 
 
 def revisits(index: DataFrame, least: int = 0) -> DataFrame:
-    """(name, told array<struct<number, first>>): the records that revisit another page's.
+    """(name, told array<struct<number, id, first_name, first_number>>): the records that revisit another's.
 
     Of payloads of at least ``least`` bytes that are equal, the smallest page's record is the
-    response. Only digests that repeat are joined, repeated by salt, so a hot one's records spread.
+    response. Only digests that repeat are joined. Those with more than ``PER_SALT`` records, of which
+    there can be one in so many records, get a salt for each as many.
     """
     keyed = index.select("name", "number", number_of(F.col("page")).alias("id"), "digest").where(F.col("size") >= least)
-    first = keyed.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = keyed.withColumn("salt", F.pmod(F.xxhash64("name", "number"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
-    return told.where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("name").agg(F.collect_list(F.struct("number", "first")).alias("told"))
+    place = F.when(F.col("id").isNotNull(), F.struct("id", "name", "number"))
+    first = keyed.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = written(first.withColumn("salts", F.ceil(F.col("n") / PER_SALT).cast("int")), "first")
+    hot = first.where("salts > 1").select("digest", "salts")
+    count = hot.count()
+    salted = first.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))) if 0 < count <= MOST_HOT else first.withColumn("salt", F.lit(0))
+    spread = F.pmod(F.xxhash64("name", "number"), F.coalesce("salts", F.lit(1))).cast("int")
+    keyed = keyed.join(F.broadcast(hot), "digest", "left").withColumn("salt", spread).drop("salts") if 0 < count <= MOST_HOT else keyed.withColumn("salt", F.lit(0))
+    told = keyed.join(salted.select("digest", "salt", "first"), ["digest", "salt"]).where(~F.col("id").eqNullSafe(F.col("first.id")))
+    return told.groupBy("name").agg(F.collect_list(F.struct("number", "first.id", F.col("first.name").alias("first_name"), F.col("first.number").alias("first_number"))).alias("told"))
 
 
 def write_warc(archives: DataFrame, told: DataFrame, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """(name, data): WARC archives of ARC ``archives``. Only the revisits are shuffled to them."""
-    joined = archives.join(told.hint("shuffle_hash"), "name", "left").select("data", "told")
+    joined = archives.join(told.hint("shuffle_hash"), "name", "left").select("name", "data", "told")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[tuple[int, bytes]]:
             for batch in batches:
-                for data, told in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    first = {t["number"]: t["first"] for t in told or ()}
+                for name, data, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                    first = {t["number"]: (record_id(t["first_name"], t["first_number"]), str(t["id"])) for t in told or ()}
                     for k, (page, url, record) in enumerate(records_of(data.as_py())):
                         head, payload = split_http(record.content)
-                        date, digest = iso_date(record.fields["Archive-date"]), base32_sha1(payload)
-                        if k in first:
-                            yield 0, warc_record("revisit", url, page, date, digest, head, len(payload), str(first[k]))
-                        else:
-                            yield 0, warc_record("response", url, page, date, digest, record.content, len(payload), None)
+                        date, digest, refers = iso_date(record.fields["Archive-date"]), base32_sha1(payload), first.get(k)
+                        yield 0, warc_record(record_id(name, k), url, page, date, digest, head if refers else record.content, len(payload), refers)
 
-        yield from archive_rows(made(), {}, limit)
+        yield from archive_rows(made(), lambda _, name: warc_info(name), limit)
 
     return joined.mapInArrow(pack, "name string, data binary")
 
@@ -288,6 +313,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
             for data in batch.column(batch.schema.get_field_index("data")):
                 for member in members(data.as_py()):
                     for heads, block in parse_warc(member):
+                        if heads["WARC-Type"] == "warcinfo":
+                            continue
                         digest, size = heads["WARC-Payload-Digest"].removeprefix("sha1:"), int(heads["WARC-Payload-Length"])
                         if heads["WARC-Type"] == "response":
                             payload = split_http(block)[1]

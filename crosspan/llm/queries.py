@@ -1,4 +1,7 @@
-"""The registered queries of this subpackage, and their SQL where SQL can express them."""
+"""The registered queries of this subpackage, and their SQL where SQL can express them.
+
+The others have results that SQL can't give: learned scores, XXH64, tokenizers, media formats, rule sets.
+"""
 
 from __future__ import annotations
 
@@ -54,4 +57,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_ppm, op3_decontam, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # Each start of 200 bytes, in hexadecimal digits; bytes under a start that occurs elsewhere too go.
+    "op4_repeats": """
+        WITH source AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        texts AS (SELECT r, doc_id, hex(encode(t)) AS h, octet_length(encode(t)) AS n FROM source),
+        starts AS (SELECT r, unnest(range(n - 199)) AS place, h FROM texts WHERE n >= 200),
+        named AS (SELECT r, place, substr(h, 2 * place + 1, 400) AS s FROM starts),
+        many AS (SELECT s FROM named GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT r, place, place - lag(place, 1, -1000) OVER (PARTITION BY r ORDER BY place) > 200 AS opens FROM named JOIN many USING (s)),
+        runs AS (SELECT r, place, sum(opens::INT) OVER (PARTITION BY r ORDER BY place) AS run FROM gone),
+        spans AS (SELECT r, run, min(place) AS a, max(place) + 200 AS b FROM runs GROUP BY r, run),
+        edges AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS kept_from FROM spans),
+        kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS k
+                 FROM edges JOIN texts USING (r) GROUP BY r)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(k || substr(h, 2 * tail + 1), h))) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (r)
+    """,
+    # A digest's 160 bits in groups of five, from the nibbles that hold them.
+    "op6_warc": """
+        WITH source AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        digests AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM source),
+        parts AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+                      (instr('0123456789abcdef', substr(h, ((5 * i) // 4 + 1)::INT, 1)) - 1) * 16
+                      + instr('0123456789abcdef', substr(h, ((5 * i) // 4 + 2)::INT, 1)) - 1) >> (3 - (5 * i) % 4)::INT) & 31)::INT, 1)) AS letters FROM digests)
+        SELECT page_id, n AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM parts
+    """,
+}
