@@ -3,13 +3,15 @@
 :func:`to_avi` keeps bytes as 24 x 24 grey intra frames. A byte is a quantised DCT coefficient, the
 unit that baseline JPEG codes without loss: bytes are the 256 values of magnitude category 8, whose
 extra bits are the byte itself. Each block of 64 is a restart interval, so the first coefficient's
-prediction is always 0. :func:`parse_avi` finds the frames by the RIFF index, :func:`decode` reads a
-frame's coefficients (any baseline grey JPEG; streams whose codes are all eight bits long go through
-numpy), and :func:`shots` cuts where the histograms of the decoded pixels differ by more than their
-recent course, giving timed clips.
+prediction is always 0. :func:`parse_avi` finds the frames by the RIFF index, :func:`decode` reads the
+coefficients of any baseline grey JPEG by the Huffman tables of its header, all restart intervals of
+many frames at a time, and :func:`shots` cuts where the histograms of the decoded pixels differ by more
+than their recent course, giving timed clips.
 
 Defined results: null and empty texts are one frame of padding; repeated rows and equal texts give
-equal values; ids aren't used; an empty table gives no rows; other columns are not read.
+equal values; ids aren't used; an empty table gives no rows; other columns are not read. A text's file
+is some 2.3 times its size and must stay below the 2 GiB of one binary value (texts up to 900 MB, whatever
+their bytes up to 700 MB); a longer one raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,7 @@ from crosspan.llm.common import text_of
 
 SIDE, BLOCK, FPS, PAD = 24, 64, 25, 255
 FRAME = SIDE * SIDE
+LARGEST, FRAMES_AT_ONCE = (1 << 31) - (1 << 16), 2048
 BLOCKS = FRAME // BLOCK
 BINS, WINDOW, SHARPNESS, LEAST_CHANGE = 16, 12, 2.0, 0.5
 #: The zigzag order of a block's coefficients: by anti-diagonals, turning at each.
@@ -85,6 +89,8 @@ def chunk(name: bytes, body: bytes) -> bytes:
 def to_avi(payload: bytes) -> bytes:
     """An AVI file of motion-JPEG frames with an idx1 index."""
     frames = frames_of(payload)
+    if sum(map(len, frames)) + 26 * len(frames) >= LARGEST:
+        raise ValueError(f"a text of {len(payload)} bytes is too long for one AVI file")
     largest = max(map(len, frames), default=0)
     avih = struct.pack("<14I", 1_000_000 // FPS, largest * FPS, 0, 0x10, len(frames), 0, 1, largest, SIDE, SIDE, 0, 0, 0, 0)
     strh = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, 1, FPS, 0, len(frames), largest, 0, 0, 0, 0, SIDE, SIDE)
@@ -134,9 +140,13 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
 
 @lru_cache(maxsize=64)
 def parsed_head(head: bytes) -> tuple[dict, dict, tuple[int, int], int]:
-    """(quantisation tables, Huffman tables, (height, width), restart interval) of a header."""
+    """(quantisation tables, Huffman tables, (height, width), restart interval) of a header.
+
+    A Huffman table is two arrays over all 16 bits that can come next: the code's length (0: no such
+    code) and its symbol.
+    """
     quants: dict[int, np.ndarray] = {}
-    codes: dict[int, dict[tuple[int, int], int]] = {}
+    codes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     shape, interval, at = (0, 0), 0, 2
     while at + 4 <= len(head):
         marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
@@ -148,14 +158,16 @@ def parsed_head(head: bytes) -> tuple[dict, dict, tuple[int, int], int]:
                 body = body[1 + 64 * wide :]
         elif marker == 0xC4:
             while body:
-                counts, symbols, code, table = body[1:17], body[17:], 0, {}
-                for length, n in enumerate(counts, 1):
+                lengths, symbols = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+                code = used = 0
+                for length, n in enumerate(body[1:17], 1):
                     for _ in range(n):
-                        table[length, code] = symbols[len(table)]
-                        code += 1
+                        span = slice(code << (16 - length), (code + 1) << (16 - length))
+                        lengths[span], symbols[span] = length, body[17 + used]
+                        code, used = code + 1, used + 1
                     code <<= 1
-                codes[body[0]] = table
-                body = body[17 + len(table) :]
+                codes[body[0]] = (lengths, symbols)
+                body = body[17 + used :]
         elif marker == 0xC0:
             shape = struct.unpack_from(">HH", body, 1)
             if body[5] != 1:
@@ -169,73 +181,90 @@ def parsed_head(head: bytes) -> tuple[dict, dict, tuple[int, int], int]:
 
 
 def split_jpeg(jpeg: bytes) -> tuple[bytes, bytes]:
-    """(header up to and with SOS, entropy-coded data up to EOI)."""
+    """(header up to and with SOS, entropy-coded data with the EOI after it)."""
     at = 2
     while jpeg[at + 1] != 0xDA:
         at += 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
     at += 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
-    return jpeg[:at], jpeg[at : jpeg.rindex(b"\xff\xd9")]
+    return jpeg[:at], jpeg[at : jpeg.rindex(b"\xff\xd9") + 2]
 
 
-def coefficients(jpeg: bytes) -> np.ndarray:
-    """(blocks, 64) quantised coefficients in zigzag order, of any baseline grey frame."""
-    head, data = split_jpeg(jpeg)
-    _, codes, (height, width), interval = parsed_head(head)
-    total = -(-height // 8) * -(-width // 8)
-    out = np.zeros((total, 64), np.int64)
-    parts, at = [], 0
-    for k in range(len(data) - 1):
-        if data[k] == 0xFF and 0xD0 <= data[k + 1] <= 0xD7:
-            parts.append(data[at:k])
-            at = k + 2
-    parts.append(data[at:])
-    block = 0
-    for part in parts:
-        bits = "".join(f"{b:08b}" for b in part.replace(b"\xff\0", b"\xff"))
-        place, previous, left = 0, 0, interval or total
-
-        def symbol(table: dict[tuple[int, int], int], bits: str = bits) -> int:
-            nonlocal place
-            for n in range(1, 17):
-                if (found := table.get((n, int(bits[place : place + n], 2)))) is not None:
-                    place += n
-                    return found
+class Bits:
+    """Bit streams that are read side by side, each from its own place."""
+
+    def __init__(self, data: np.ndarray, places: np.ndarray) -> None:
+        padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.int64)
+        #: 32 bits from each byte on.
+        self.words = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
+        self.places = places
+
+    def ahead(self, who: np.ndarray) -> np.ndarray:
+        """The next 16 bits of the streams ``who``."""
+        at = self.places[who]
+        return (self.words[at >> 3] >> (16 - (at & 7))) & 0xFFFF
+
+    def symbol(self, who: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        bits = self.ahead(who)
+        lengths = table[0][bits]
+        if not lengths.all():
             raise ValueError("no such code")
+        self.places[who] += lengths
+        return table[1][bits]
 
-        def extra(n: int, bits: str = bits) -> int:
-            nonlocal place
-            if not n:
-                return 0
-            v = int(bits[place : place + n], 2)
-            place += n
-            return v if v >> (n - 1) else v - (1 << n) + 1
-
-        while left and block < total:
-            previous += extra(symbol(codes[0x00]))
-            out[block, 0], k = previous, 1
-            while k < 64:
-                s = symbol(codes[0x10])
-                if s == 0:
-                    break
-                k += s >> 4
-                if s & 15:
-                    out[block, k] = extra(s & 15)
-                k += 1
-            block, left = block + 1, left - 1
-    return out
+    def extra(self, who: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number that ``size`` more bits stand for."""
+        value = self.ahead(who) >> (16 - size)
+        self.places[who] += size
+        return np.where((value << 1) >> size, value, value - (1 << size) + 1)
 
 
-def decode(frames: list[bytes]) -> np.ndarray:
-    """(frames, blocks, 64) coefficients; frames with this module's header are read by numpy."""
-    size = len(HEAD) + BLOCKS * (2 * BLOCK + 2)
-    flat = []
-    for f in frames:
-        if not f.startswith(HEAD):
-            return np.stack([coefficients(f) for f in frames])
-        flat.append(f if len(f) == size else HEAD + f[len(HEAD) :].replace(b"\xff\0", b"\xff"))
-    data = np.frombuffer(b"".join(flat), np.uint8).reshape(len(frames), size)[:, len(HEAD) :]
-    values = data.reshape(len(frames), BLOCKS, 2 * BLOCK + 2)[:, :, 1 : 2 * BLOCK : 2].astype(np.int16)
-    return np.where(values < 128, values - 255, values)
+def scans(head: bytes, parts: list[bytes]) -> np.ndarray:
+    """(frames, blocks, 64) quantised coefficients, in zigzag order, of frames with one header."""
+    _, codes, (height, width), interval = parsed_head(head)
+    total = -(-height // 8) * -(-width // 8)
+    interval = interval or total
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    marks = np.flatnonzero(raw[:-1] == 0xFF)
+    after = raw[marks + 1]
+    ends = marks[(after >= 0xD0) & (after <= 0xD9)]  # a restart, or the end of the image
+    keep = np.ones(len(raw), bool)
+    keep[marks[after == 0] + 1] = False  # stuffed
+    keep[ends] = keep[ends + 1] = False
+    stop = (np.cumsum(keep) - keep)[ends]
+    per_frame = -(-total // interval)
+    if len(ends) != per_frame * len(parts):
+        raise ValueError(f"{len(ends)} restart intervals in {len(parts)} frames, not {per_frame} in each")
+    streams = Bits(raw[keep], np.concatenate([[0], stop[:-1]]) * 8)
+    out = np.zeros((len(parts), per_frame * interval, 64), np.int16)
+    flat = out.reshape(-1, 64)
+    first = np.arange(len(ends)) * interval
+    size = np.minimum(interval, total - np.arange(len(ends)) % per_frame * interval)
+    previous = np.zeros(len(ends), np.int64)
+    for block in range(interval):
+        live = np.flatnonzero(block < size)
+        previous[live] += streams.extra(live, streams.symbol(live, codes[0x00]))
+        flat[first[live] + block, 0] = previous[live]
+        k = np.ones(len(ends), np.int64)
+        while len(live):
+            symbol = streams.symbol(live, codes[0x10])
+            live, symbol = live[symbol > 0], symbol[symbol > 0]
+            k[live] += symbol >> 4
+            valued = symbol & 15 > 0
+            who = live[valued]
+            if (k[who] > 63).any():
+                raise ValueError("a coefficient beyond its block")
+            flat[first[who] + block, k[who]] = streams.extra(who, symbol[valued] & 15)
+            k[live] += 1
+            live = live[k[live] < 64]
+    return out[:, :total]
+
+
+def decode(frames: list[bytes]) -> Iterator[np.ndarray]:
+    """(frames, blocks, 64) coefficients, of runs of frames with the same header."""
+    for head, run in groupby(map(split_jpeg, frames), key=lambda x: x[0]):
+        parts = [part for _, part in run]
+        for at in range(0, len(parts), FRAMES_AT_ONCE):
+            yield scans(head, parts[at : at + FRAMES_AT_ONCE])
 
 
 def bytes_of(coded: np.ndarray) -> bytes:
@@ -319,25 +348,34 @@ def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     kinds = (pa.binary(), pa.int64(), pa.string(), pa.list_(clip), pa.float64(), pa.int64())
     names, arrow = [id_col, "payload", "media_bytes", "media_sha256", "clips", "peak", "padding"], to_arrow_type(kind)
 
-    def row(data: bytes) -> tuple:
-        rate, frames = parse_avi(data)
-        coded = decode(frames)
-        levels = histograms(pixels(coded))
-        clips = [{"first": a, "end": b, "start_s": a / rate, "end_s": b / rate} for a, b in shots(levels)]
-        peak = float(np.abs(np.diff(levels, axis=0)).sum(axis=1).max(initial=0.0))
-        payload = bytes_of(coded)
-        return payload, len(data), hashlib.sha256(data).hexdigest(), clips, peak, len(payload) - len(payload.rstrip(bytes([PAD])))
+    def rows(files: list[bytes]) -> Iterator[tuple]:
+        """The files' results; the frames of all are decoded together."""
+        parsed = [parse_avi(data) for data in files]
+        parts, seen, sizes = [], [], []
+        for coded in decode([f for _, frames in parsed for f in frames]):
+            seen.append(histograms(pixels(coded)))
+            parts.append(bytes_of(coded))
+            sizes.append(np.full(len(coded), coded[0].size))
+        whole, levels = b"".join(parts), np.concatenate(seen)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).tolist()
+        at = 0
+        for data, (rate, frames) in zip(files, parsed, strict=True):
+            mine, payload = levels[at : at + len(frames)], whole[ends[at] : ends[at + len(frames)]]
+            at += len(frames)
+            clips = [{"first": a, "end": b, "start_s": a / rate, "end_s": b / rate} for a, b in shots(mine)]
+            peak = float(np.abs(np.diff(mine, axis=0)).sum(axis=1).max(initial=0.0))
+            yield payload, len(data), hashlib.sha256(data).hexdigest(), clips, peak, len(payload) - len(payload.rstrip(bytes([PAD])))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                rows, held, first = [], 0, at
+                files, held, first = [], 0, at
                 while at < batch.num_rows and held < 4 << 20:
-                    rows.append(row(batch.column(1)[at].as_py()))
-                    held, at = held + rows[-1][1], at + 1
-                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)).cast(arrow), *arrays], names=names)
+                    files.append(batch.column(1)[at].as_py())
+                    held, at = held + len(files[-1]), at + 1
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows(files), strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(files)).cast(arrow), *arrays], names=names)
 
     return source.mapInArrow(read, f"`{id_col}` {kind.simpleString()}, {DECODED}")
 
