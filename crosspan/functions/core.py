@@ -72,10 +72,3 @@ def average_rank(value: str | Column, *keys: str) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     ties = F.count("*").over(Window.partitionBy(*keys, value))
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2.0
-
-
-def nearest_quantile(value: Column, q: float, w: WindowSpec) -> Column:
-    """The value nearest to the quantile's rank, of the non-null values of a window partition."""
-    sorted_values = F.array_sort(F.collect_list(value).over(w))
-    n = F.size(sorted_values)
-    return F.when(n > 0, F.get(sorted_values, F.floor(F.lit(q) * (n - 1) + 0.5).cast("int")))

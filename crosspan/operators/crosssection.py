@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import average_rank, is_finite, nearest_quantile, ratio
+from crosspan.functions.core import average_rank, is_finite, ratio
 
 def at_time() -> WindowSpec:
     return Window.partitionBy("timestamp")
@@ -23,9 +23,16 @@ def valid_value() -> Column:
 
 
 def winsorize(df: DataFrame, lower: float, upper: float) -> DataFrame:
-    """C1. Valid values drawn in to the nearest-rank quantiles of their time."""
-    df = df.withColumns({"_lo": nearest_quantile(valid_value(), lower, at_time()), "_hi": nearest_quantile(valid_value(), upper, at_time())})
-    return replaced(df, F.greatest(F.least("value", "_hi"), "_lo"), "INVALID_WINSORIZE").drop("_lo", "_hi")
+    """C1. Valid values drawn in to the nearest-rank quantiles of their time.
+
+    The quantiles are found where the rank is theirs: no row holds more than its own value.
+    """
+    n = F.count(valid_value()).over(at_time())
+    rank = F.row_number().over(at_time().orderBy(valid_value().asc_nulls_last()))
+    df = df.withColumns({"_n": n, "_k": rank})
+    for name, q in (("_lo", lower), ("_hi", upper)):
+        df = df.withColumn(name, F.max(F.when(F.col("_k") == F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5) + 1, valid_value())).over(at_time()))
+    return replaced(df, F.greatest(F.least("value", "_hi"), "_lo"), "INVALID_WINSORIZE").drop("_lo", "_hi", "_n", "_k")
 
 
 def rank01(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -334,10 +335,13 @@ def kama(n: int = 10, fast: int = 2, slow: int = 30) -> Callable[[DataFrame], Da
         if len(close) > n:
             a, b = 2.0 / (fast + 1.0), 2.0 / (slow + 1.0)
             level = close[n - 1]
+            # Only the level is sequential; the windows' movements come from all sliding windows at once.
+            noise = np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(close)), n).sum(axis=1)
+            direction = np.abs(close[n:] - close[:-n])
+            pace = ((np.divide(direction, noise, out=np.zeros_like(noise), where=noise > 0) * (a - b) + b) ** 2).tolist()
             for i in range(n, len(close)):
-                noise = sum(abs(close[j] - close[j - 1]) for j in range(i - n + 1, i + 1))
-                if noise > 0:
-                    level += (abs(close[i] - close[i - n]) / noise * (a - b) + b) ** 2 * (close[i] - level)
+                if noise[i - n] > 0:
+                    level += pace[i - n] * (close[i] - level)
                     value = close[i] / level - 1.0 if level else math.nan
                     out[i] = value if math.isfinite(value) else None
         return pd.DataFrame({"timestamp": pdf["close_time"], "symbol": pdf["symbol"], "raw_value": pd.array(out, "Float64")})

@@ -1,18 +1,22 @@
 """Portfolio valuation of many candidates over one market.
 
-All bar-level work is joins and aggregates. Only equity growth from boundary to boundary is
-sequential; that fold sees boundary rows of held names alone, one candidate a group.
+All bar-level work is joins and aggregates over the spans in which a name is held. Only equity growth
+from boundary to boundary is sequential, since what a trade costs depends on it; that fold sees the
+boundary rows of held names alone, one candidate a group.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspan.functions.core import ms, ratio, seconds
+from crosspan.functions.work import kept
 from crosspan.operators.portfolio import snapshot_index
 from crosspan.operators.timeaxis import asof, interval_join
 
@@ -71,8 +75,9 @@ FOLDED = "candidate string, idx long, symbol string, weight double, quantity dou
 def fold(rows: DataFrame, costs: Costs, initial: float) -> DataFrame:
     """V2, V9. Equity, weights, turnover and average entry at each boundary.
 
-    ``rows``: candidate, idx, symbol, open (null: no real open; the mark is carried), mark, target
-    (null: not named), rebalance, rate (funding at this boundary's interval). Per boundary the
+    ``rows``: candidate, idx, symbol (null: the boundary alone), open (null: no real open; the mark is
+    carried), mark, target (null: not named), rebalance, rate (funding at this boundary's interval). Names
+    that aren't held and don't trade need no rows; every boundary needs one. Per boundary the
     weights drift by d = w * (mark / mark before) / g; at a rebalance names take their targets
     (unnamed ones 0, names without a real open keep d); g = 1 - costs + returns + funding.
     """
@@ -81,26 +86,26 @@ def fold(rows: DataFrame, costs: Costs, initial: float) -> DataFrame:
         held: dict[str, float] = {}
         marks: dict[str, float] = {}
         entry: dict[str, float] = {}
-        equity, out = initial, []
-        name = pdf["candidate"].iloc[0]
-        for idx, g in pdf.sort_values(["idx", "symbol"]).groupby("idx", sort=True):
-            now = dict(zip(g["symbol"], g["mark"], strict=True))
-            growth = 1.0
-            if held:
-                gain = sum(w * (now.get(s, marks[s]) / marks[s] - 1.0) for s, w in held.items())
-                growth = base + gain
-                equity *= growth
-                held = {s: w * (now.get(s, marks[s]) / marks[s]) / growth for s, w in held.items()}
-            elif out:
-                growth = base
-                equity *= growth
-            drifted = dict(held)
-            if bool(g["rebalance"].max()):
-                for r in g.itertuples():
-                    if pd.notna(r.open):
-                        held[r.symbol] = float(r.target) if pd.notna(r.target) else 0.0
-                    elif r.symbol not in drifted and pd.notna(r.target) and r.target:
-                        raise ValueError(f"{r.symbol} has no open to trade at")
+        equity, base, out = initial, 1.0, []
+        pdf = pdf.sort_values(["idx", "symbol"])
+        name, at = pdf["candidate"].iloc[0], pdf["idx"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        symbols, opens, prices, targets, rebalance, rates = (pdf[c].tolist() for c in ("symbol", "open", "mark", "target", "rebalance", "rate"))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            here = [i for i in range(lo, hi) if isinstance(symbols[i], str)]
+            now = {symbols[i]: prices[i] for i in here}
+            moved = {s: w * (now.get(s, marks[s]) / marks[s]) for s, w in held.items()}
+            growth = base + sum(moved[s] - w for s, w in held.items())
+            equity *= growth
+            drifted = {s: w / growth for s, w in moved.items()}
+            held = dict(drifted)
+            if any(rebalance[lo:hi]):
+                for i in here:
+                    s, target = symbols[i], targets[i]
+                    if not math.isnan(opens[i]):
+                        held[s] = 0.0 if math.isnan(target) else target
+                    elif s not in drifted and target and not math.isnan(target):
+                        raise ValueError(f"{s} has no open to trade at")
             delta = {s: held.get(s, 0.0) - drifted.get(s, 0.0) for s in {*held, *drifted}}
             total = sum(map(abs, delta.values()))
             if costs.max_turnover is not None and total > costs.max_turnover:
@@ -118,47 +123,65 @@ def fold(rows: DataFrame, costs: Costs, initial: float) -> DataFrame:
                 elif abs(w1) > abs(w0) + 1e-15:
                     entry[s] = (entry[s] * abs(w0) + price * abs(d)) / abs(w1)
             marks |= now
-            rate = dict(zip(g["symbol"], g["rate"].fillna(0.0), strict=True))
+            rate = {symbols[i]: rates[i] for i in here if not math.isnan(rates[i])}
             funding = -sum(w * rate.get(s, 0.0) for s, w in held.items())
             base = 1.0 - costs.rate * total + funding
             for s in sorted({*held, *(s for s, d in delta.items() if d)}) or [None]:
                 w = held.get(s, 0.0)
-                out.append((name, idx, s, w, w * equity / marks[s] if s else 0.0, entry.get(s), marks.get(s), equity, total, funding, delta.get(s, 0.0)))
+                out.append((name, int(at[lo]), s, w, w * equity / marks[s] if s else 0.0, entry.get(s), marks.get(s), equity, total, funding, delta.get(s, 0.0)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")]).astype({"symbol": object})
 
     return rows.groupBy("candidate").applyInPandas(run, FOLDED)
 
 
 def boundary_rows(bars: DataFrame, targets: DataFrame, rebalances: DataFrame, cuts: DataFrame, funding: DataFrame | None, interval: str) -> DataFrame:
-    """What :func:`fold` reads: each candidate's names at each boundary, with marks carried forward."""
-    names = targets.select("candidate", "symbol").distinct()
-    grid = names.join(cuts.select(F.col("open_time").alias("timestamp"), "idx"))  # names by boundaries: the fold's own size
+    """What :func:`fold` reads: each name at the boundaries of its holding spans, with marks carried forward.
+
+    A span goes from a target to the candidate's next rebalance at which the name has an open.
+    """
+    at = cuts.select(F.col("open_time").alias("timestamp"), F.col("idx").cast("long").alias("idx"))
     opens = bars.where("is_complete").select(F.col("open_time").alias("timestamp"), "symbol", "open")
-    carried = asof(grid, bars.select("symbol", "close_time", "close"), "timestamp", "close_time", ["symbol"])
     t = targets.select("candidate", F.col("fill_time").alias("timestamp"), "symbol", F.col("target_weight").alias("target"))
-    r = rebalances.select("candidate", F.col("fill_time").alias("timestamp"), F.lit(True).alias("rebalance")).distinct()
-    j = carried.drop("close_time").join(opens, ["timestamp", "symbol"], "left").join(t, ["candidate", "timestamp", "symbol"], "left").join(r, ["candidate", "timestamp"], "left")
+    r = rebalances.select("candidate", F.col("fill_time").alias("timestamp")).distinct()
+    trades = r.join(t.select("candidate", "symbol").distinct(), "candidate").join(opens, ["timestamp", "symbol"]).join(t, ["candidate", "timestamp", "symbol"], "left").join(at, "timestamp")
+    w = Window.partitionBy("candidate", "symbol").orderBy("idx")
+    spans = trades.withColumn("_to", F.lead("idx").over(w)).where("target is not null and target <> 0").crossJoin(at.agg(F.max("idx").alias("_last")))
+    held = spans.select("candidate", "symbol", F.explode(F.sequence("idx", F.coalesce("_to", "_last"))).alias("idx"))
+    named = t.join(at, "timestamp").select("candidate", "symbol", "idx")
+    rows = held.union(named).distinct().join(at, "idx")
+    marks = asof(rows.select("symbol", "timestamp").distinct(), bars.select("symbol", "close_time", "close"), "timestamp", "close_time", ["symbol"]).drop("close_time").join(opens, ["timestamp", "symbol"], "left")
     if funding is not None:
         step = seconds(interval) * 1000
         e = ms("funding_time") - 1
         rates = funding.groupBy(F.timestamp_millis(e - e % step).alias("timestamp"), "symbol").agg(F.sum("funding_rate").alias("rate"))
-        j = j.join(rates, ["timestamp", "symbol"], "left")
+        marks = marks.join(rates, ["timestamp", "symbol"], "left")
     else:
-        j = j.withColumn("rate", F.lit(None).cast("double"))
-    return j.select("candidate", "idx", "symbol", "open", F.coalesce("open", "close").alias("mark"), "target", F.coalesce("rebalance", F.lit(False)).alias("rebalance"), "rate").where("mark is not null")
+        marks = marks.withColumn("rate", F.lit(None).cast("double"))
+    marks = marks.select("symbol", "timestamp", "open", F.coalesce("open", "close").alias("mark"), "rate").where("mark is not null")
+    full = rows.join(marks, ["symbol", "timestamp"]).join(t, ["candidate", "timestamp", "symbol"], "left").select("candidate", "idx", "timestamp", "symbol", "open", "mark", "target", "rate")
+    null = F.lit(None).cast("double")
+    alone = t.select("candidate").union(r.select("candidate")).distinct().crossJoin(at)  # candidates by boundaries: one row each
+    alone = alone.select("candidate", "idx", "timestamp", F.lit(None).cast("string").alias("symbol"), null.alias("open"), null.alias("mark"), null.alias("target"), null.alias("rate"))
+    out = full.unionByName(alone).join(r.withColumn("rebalance", F.lit(True)), ["candidate", "timestamp"], "left")
+    return out.select("candidate", "idx", "symbol", "open", "mark", "target", F.coalesce("rebalance", F.lit(False)).alias("rebalance"), "rate")
 
 
 def value(bars: DataFrame, targets: DataFrame, rebalances: DataFrame, interval: str, costs: Costs = Costs(), initial: float = 1e6, funding: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """V4-V6, V10. (returns, positions) of all candidates at every bar of the market's clock."""
+    """V4-V6, V10. (returns, positions) of all candidates at every bar of the market's clock.
+
+    Marks are carried forward once for each (symbol, bar) that any candidate needs, then joined.
+    """
     step = seconds(interval) * 1000
-    cuts = boundaries(bars, rebalances, funding, interval)
-    state = fold(boundary_rows(bars, targets, rebalances, cuts, funding, interval), costs, initial)
+    # Both are small beside the market and read several times.
+    cuts = kept(boundaries(bars, rebalances, funding, interval), "boundaries")
+    rows = kept(boundary_rows(bars, targets, rebalances, cuts, funding, interval), "boundary_rows")
+    state = fold(rows, costs, initial)
     clock = bars.select("open_time").distinct()
     spans = cuts.select("idx", F.explode(F.sequence(ms("open_time"), ms("next_time") - 1, F.lit(step))).alias("_t"), F.col("open_time").alias("boundary")).select("idx", F.timestamp_millis("_t").alias("open_time"), "boundary")
     spans = spans.join(clock, "open_time", "left_semi")
-    grid = state.join(spans, "idx")
-    marks = bars.select("symbol", F.col("open_time").alias("_at"), F.col("close").alias("mark_price"))
-    positions = asof(grid, marks, "open_time", "_at", ["symbol"]).drop("_at")
+    needed = rows.where("symbol is not null").select("symbol", "idx").distinct().join(spans.select("idx", "open_time"), "idx").select("symbol", "open_time").distinct()
+    marks = asof(needed, bars.select("symbol", F.col("open_time").alias("_at"), F.col("close").alias("mark_price")), "open_time", "_at", ["symbol"]).drop("_at")
+    positions = state.join(spans, "idx").join(marks, ["symbol", "open_time"], "left")
     positions = positions.withColumns({"unrealized": F.col("weight") * F.col("equity") * (ratio(F.col("mark_price"), F.col("mark")) - 1.0), "notional": F.col("quantity") * F.col("mark_price")})
     held = F.col("symbol").isNotNull()
     totals = positions.groupBy("candidate", "open_time", "boundary").agg(

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspan.functions.core import ms
+from crosspan.functions.work import shared
 from crosspan.operators import quality, timeaxis
 from crosspan.plans import sql
 from crosspan.plans.research_queries import CONTRACTS, END, START, everyone, scores
@@ -100,7 +98,7 @@ def j2_asof_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", ms("timestamp").alias("t"), ms("snapshot_time").alias("snapshot_t"), "status", ms("delivery_time").alias("delivery_t"))
 
 
-@query(f"WITH {B6}, fu AS (SELECT event_id, event_type AS symbol, (epoch_us(ts) // 1000) AS ft FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT f.event_id, f.symbol, b.t, b.close FROM fu f JOIN bars b ON b.symbol = f.symbol AND f.ft > b.t AND f.ft <= b.t + {H6}")
+@query(f"WITH {B6}, fu AS (SELECT event_id, event_type AS symbol, (epoch_us(ts) // 1000) AS ft FROM events WHERE value IS NOT NULL) SELECT f.event_id, f.symbol, b.t, b.close FROM fu f JOIN bars b ON b.symbol = f.symbol AND f.ft > b.t AND f.ft <= b.t + {H6}")
 def j5_interval_join(spark: SparkSession, sf: str) -> DataFrame:
     out = timeaxis.interval_join(panel.funding(spark, sf), panel.bars(spark, sf, "6h"), "funding_time", "6h")
     return out.select("event_id", "symbol", ms("open_time").alias("t"), "close")
@@ -239,17 +237,6 @@ def q16_panel_stats(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------------------- sources, sinks
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (a temporary one under a local master)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
-
-
 def published(spark: SparkSession, sf: str) -> str:
     path = shared(spark, "bars")
     files.publish(panel.bars(spark, sf, "1h"), path)
@@ -263,7 +250,27 @@ def io1_publish_and_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", ms("open_time").alias("t"), "close")
 
 
-@query(f"WITH fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS t, round((value % 1 - 0.5) / 100, 9) AS funding_rate FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT symbol, t, funding_rate FROM fu WHERE t >= {START + 3 * D} AND t < {START + 9 * D}")
+@query(f"WITH {B1} SELECT symbol, t, open, close FROM bars WHERE t >= {START + 2 * D} AND t < {START + 8 * D}")
+def io2_scan_marks(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared(spark, "marks")
+    panel.bars(spark, sf, "1h").select(*files.names(files.MARKS)).write.parquet(path)
+    at = lambda d: F.timestamp_millis(F.lit(START + d * D))
+    out = files.scan(spark, path, files.MARKS, "events-v1", "open_time", at(2), at(8), "1h")
+    return out.select("symbol", ms("open_time").alias("t"), "open", "close")
+
+
+@query(f"WITH {CONTRACTS} SELECT symbol, st AS snapshot_t, contract_type, status FROM snaps WHERE st >= {START + 5 * D} AND st < {START + 25 * D}")
+def io4_scan_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared(spark, "contracts")
+    missing = {c: F.lit(None).cast(k) for c, k in (part.split(" ") for part in files.CONTRACTS.split(", "))}
+    have = panel.contracts(spark, sf)
+    have.select(*(have[c] if c in have.columns else missing[c].alias(c) for c in files.names(files.CONTRACTS))).write.parquet(path)
+    at = lambda d: F.timestamp_millis(F.lit(START + d * D))
+    out = files.scan(spark, path, files.CONTRACTS, "orders-v1", "snapshot_time", at(5), at(25))
+    return out.select("symbol", ms("snapshot_time").alias("snapshot_t"), "contract_type", "status")
+
+
+@query(f"WITH fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS t, round((value % 1 - 0.5) / 100, 9) AS funding_rate FROM events WHERE value IS NOT NULL) SELECT symbol, t, funding_rate FROM fu WHERE t >= {START + 3 * D} AND t < {START + 9 * D}")
 def io3_scan_funding(spark: SparkSession, sf: str) -> DataFrame:
     path = shared(spark, "funding")
     panel.funding(spark, sf).select("funding_time", "symbol", "funding_rate", "mark_price", F.lit(8).alias("funding_interval_hours"), F.lit("events").alias("source_object_id"), "dataset_version").write.parquet(path)
@@ -273,12 +280,12 @@ def io3_scan_funding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(df: DataFrame) -> DataFrame:
-    """Bars as klines' cells: times in ms, the close inclusive, a fault in each row with 9 trades."""
+    """Bars as klines' cells: times in ms, the close inclusive, a fault in each row with 9 or 11 trades."""
     v = lambda c: F.col(c).cast("string")
-    return df.select("symbol", F.array(ms("open_time").cast("string"), v("open"), v("high"), v("low"), F.when(F.col("trades") == 9, "n/a").otherwise(v("close")), v("volume"), (ms("close_time") - 1).cast("string"), v("quote_volume"), v("trades"), v("taker_buy_volume"), v("taker_buy_quote_volume"), F.lit("0")).alias("c"))
+    return df.select("symbol", F.array(F.concat(F.when(F.col("trades") == 11, "x").otherwise(""), ms("open_time").cast("string")), v("open"), v("high"), v("low"), F.when(F.col("trades") == 9, "n/a").otherwise(v("close")), v("volume"), (ms("close_time") - 1).cast("string"), v("quote_volume"), v("trades"), v("taker_buy_volume"), v("taker_buy_quote_volume"), F.lit("0")).alias("c"))
 
 
-@query(f"WITH {B1} SELECT symbol, t, close, trades, true AS is_complete FROM bars WHERE trades <> 9")
+@query(f"WITH {B1} SELECT symbol, t, close, trades, true AS is_complete FROM bars WHERE trades NOT IN (9, 11)")
 def io6_csv_klines(spark: SparkSession, sf: str) -> DataFrame:
     path = shared(spark, "csv")
     raw = cells(panel.bars(spark, sf, "1h"))
@@ -288,38 +295,80 @@ def io6_csv_klines(spark: SparkSession, sf: str) -> DataFrame:
     return bars.select("symbol", ms("open_time").alias("t"), "close", "trades", "is_complete")
 
 
-@query(f"WITH {B1} SELECT symbol, t, close, t + {HOUR} <= {START + 20 * D} AS is_complete FROM bars WHERE trades <> 9")
+@query(f"WITH {B1} SELECT symbol, t, close, t + {HOUR} <= {START + 20 * D} AS is_complete FROM bars WHERE trades NOT IN (9, 11)")
 def io7_json_klines(spark: SparkSession, sf: str) -> DataFrame:
     raw = cells(panel.bars(spark, sf, "1h"))
-    pages = raw.groupBy("symbol", F.floor(F.get("c", F.lit(0)).cast("long") / D)).agg(F.to_json(F.collect_list("c")).alias("value"))
+    pages = raw.groupBy("symbol", F.floor(F.get("c", F.lit(6)).cast("long") / D)).agg(F.to_json(F.collect_list("c")).alias("value"))
     bars, _ = files.json_klines(pages, "1h", "v1", F.timestamp_millis(F.lit(START + 20 * D)))
     return bars.select("symbol", ms("open_time").alias("t"), "close", "is_complete")
 
 
-@query(f"WITH {B1} SELECT symbol, count(*) AS rejects FROM bars WHERE trades = 9 GROUP BY 1")
+@query(f"WITH {B1} SELECT symbol, count(*) AS rejects FROM bars WHERE trades IN (9, 11) GROUP BY 1")
 def io10_rejects(spark: SparkSession, sf: str) -> DataFrame:
     raw = cells(panel.bars(spark, sf, "1h")).select("symbol", F.array_join("c", ",").alias("value"))
     return files.csv_klines(raw, "1h", "v1")[1].groupBy("symbol").agg(F.count("*").alias("rejects"))
 
 
-@query("SELECT upper(event_type) AS symbol, (epoch_us(ts) // 1000) AS t, round((value % 1 - 0.5) / 100, 9) AS funding_rate, CASE WHEN event_type = 'click' THEN 4 ELSE 8 END AS hours FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL")
-def io8_funding_json(spark: SparkSession, sf: str) -> DataFrame:
+def settlements(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Funding as strings in both dialects, each in its own columns and one rate in 97 damaged; and hours."""
     f = panel.funding(spark, sf)
-    rate, t = F.format_string("%.12f", "funding_rate"), ms("funding_time").cast("string")
-    old = F.col("event_id") % 16 == 0
-    obj = F.struct("symbol", F.when(old, t).alias("calc_time"), F.when(~old, t).alias("fundingTime"), F.when(old, rate).alias("last_funding_rate"), F.when(~old, rate).alias("fundingRate"))
-    pages = f.groupBy("symbol", F.floor(ms("funding_time") / D)).agg(F.to_json(F.collect_list(obj)).alias("value"))
-    hours = f.select("symbol").distinct().withColumn("funding_interval_hours", F.when(F.col("symbol") == "click", 4).otherwise(8))
-    return files.funding_rows(pages, hours, "v1").select("symbol", ms("funding_time").alias("t"), F.round("funding_rate", 9).alias("funding_rate"), F.col("funding_interval_hours").alias("hours"))
+    rate = F.when(F.col("event_id") % 97 == 0, "n/a").otherwise(F.format_string("%.12f", "funding_rate"))
+    t, old = ms("funding_time").cast("string"), F.col("event_id") % 2 == 0
+    raw = f.select("symbol", "funding_time", "event_id", F.when(old, t).alias("calc_time"), F.when(~old, t).alias("fundingTime"), F.when(old, rate).alias("last_funding_rate"), F.when(~old, rate).alias("fundingRate"))
+    return raw, f.select("symbol").distinct().withColumn("funding_interval_hours", F.when(F.col("symbol") == "click", 4).otherwise(8))
+
+
+def funding_columns(df: DataFrame) -> DataFrame:
+    return df.select("symbol", ms("funding_time").alias("t"), F.round("funding_rate", 9).alias("funding_rate"), F.col("funding_interval_hours").alias("hours"))
+
+
+FUNDING = "SELECT upper(event_type) AS symbol, (epoch_us(ts) // 1000) AS t, round((value % 1 - 0.5) / 100, 9) AS funding_rate, CASE WHEN event_type = 'click' THEN 4 ELSE 8 END AS hours FROM events WHERE value IS NOT NULL AND event_id % 97 <> 0"
 
 
-@query(f"WITH {CONTRACTS} SELECT 'C' || symbol AS symbol, st AS snapshot_t, contract_type, status, quote_asset, onboard AS onboard_t, 0.01::DOUBLE AS price_tick, 0.001::DOUBLE AS quantity_step, 5.0::DOUBLE AS min_notional FROM snaps")
+def funding_pages(raw: DataFrame) -> DataFrame:
+    obj = F.struct("symbol", "calc_time", "fundingTime", "last_funding_rate", "fundingRate")
+    return raw.groupBy("symbol", F.floor(ms("funding_time") / D)).agg(F.to_json(F.collect_list(obj)).alias("value"))
+
+
+@query(FUNDING)
+def io8_funding_json(spark: SparkSession, sf: str) -> DataFrame:
+    raw, hours = settlements(spark, sf)
+    return funding_columns(files.funding_rows(funding_pages(raw), hours, "v1")[0])
+
+
+@query(FUNDING)
+def io8_funding_csv(spark: SparkSession, sf: str) -> DataFrame:
+    raw, hours = settlements(spark, sf)
+    old, new = shared(spark, "funding_old"), shared(spark, "funding_new")
+    raw.where("calc_time is not null").select("symbol", "calc_time", "last_funding_rate").write.partitionBy("symbol").option("header", True).csv(old)
+    raw.where("fundingTime is not null").select("symbol", "fundingTime", "fundingRate").write.partitionBy("symbol").option("header", True).csv(new)
+    parts = [files.csv_funding(spark.read.option("header", True).csv(p), hours, "v1")[0] for p in (old, new)]
+    return funding_columns(parts[0].unionByName(parts[1]))
+
+
+@query("SELECT upper(event_type) AS symbol, count(*) AS rejects FROM events WHERE value IS NOT NULL AND event_id % 97 = 0 GROUP BY 1")
+def io8_funding_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    raw, hours = settlements(spark, sf)
+    return files.funding_rows(funding_pages(raw), hours, "v1")[1].groupBy("symbol").agg(F.count("*").alias("rejects"))
+
+
+@query(f"WITH {CONTRACTS} SELECT 'C' || symbol AS symbol, st AS snapshot_t, contract_type, status, quote_asset, onboard AS onboard_t, 0.01::DOUBLE AS price_tick, 0.001::DOUBLE AS quantity_step, 5.0::DOUBLE AS min_notional FROM snaps WHERE symbol NOT LIKE '%7'")
 def io9_contract_json(spark: SparkSession, sf: str) -> DataFrame:
+    out = files.contract_rows(contract_pages(spark, sf), "v1")[0]
+    return out.select("symbol", ms("snapshot_time").alias("snapshot_t"), "contract_type", "status", "quote_asset", ms("onboard_time").alias("onboard_t"), "price_tick", "quantity_step", "min_notional")
+
+
+@query(f"WITH {CONTRACTS} SELECT st AS snapshot_t, count(*) AS rejects FROM snaps WHERE symbol LIKE '%7' GROUP BY 1")
+def io9_contract_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return files.contract_rows(contract_pages(spark, sf), "v1")[1].groupBy(ms("snapshot_time").alias("snapshot_t")).agg(F.count("*").alias("rejects"))
+
+
+def contract_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots as exchange metadata; symbols that end in 7 have no lot size."""
     c = panel.contracts(spark, sf)
     sizes = F.array(F.struct(F.lit("PRICE_FILTER").alias("filterType"), F.lit("0.01").alias("tickSize"), F.lit(None).cast("string").alias("stepSize"), F.lit(None).cast("string").alias("minQty"), F.lit(None).cast("string").alias("notional")), F.struct(F.lit("LOT_SIZE").alias("filterType"), F.lit(None).cast("string").alias("tickSize"), F.lit("0.001").alias("stepSize"), F.lit("0.001").alias("minQty"), F.lit(None).cast("string").alias("notional")), F.struct(F.lit("MIN_NOTIONAL").alias("filterType"), F.lit(None).cast("string").alias("tickSize"), F.lit(None).cast("string").alias("stepSize"), F.lit(None).cast("string").alias("minQty"), F.lit("5").alias("notional")))
-    row = F.struct(F.concat(F.lit("c"), "symbol").alias("symbol"), F.lower("contract_type").alias("contractType"), "status", F.lit("btc").alias("baseAsset"), F.lower("quote_asset").alias("quoteAsset"), F.col("margin_asset").alias("marginAsset"), ms("onboard_time").cast("string").alias("onboardDate"), sizes.alias("filters"))
-    pages = c.groupBy("snapshot_time", F.pmod(F.xxhash64("symbol"), F.lit(8))).agg(F.to_json(F.struct(F.collect_list(row).alias("symbols"))).alias("value"))
-    return files.contract_rows(pages, "v1").select("symbol", ms("snapshot_time").alias("snapshot_t"), "contract_type", "status", "quote_asset", ms("onboard_time").alias("onboard_t"), "price_tick", "quantity_step", "min_notional")
+    row = F.struct(F.concat(F.lit("c"), "symbol").alias("symbol"), F.lower("contract_type").alias("contractType"), "status", F.lit("btc").alias("baseAsset"), F.lower("quote_asset").alias("quoteAsset"), F.col("margin_asset").alias("marginAsset"), ms("onboard_time").cast("string").alias("onboardDate"), F.filter(sizes, lambda f: ~F.col("symbol").endswith("7") | (f["filterType"] != "LOT_SIZE")).alias("filters"))
+    return c.groupBy("snapshot_time", F.pmod(F.xxhash64("symbol"), F.lit(8))).agg(F.to_json(F.struct(F.collect_list(row).alias("symbols"))).alias("value"))
 
 
 @query(f"WITH {B1} SELECT '1h' AS interval, year(make_timestamp(t * 1000)) AS year, month(make_timestamp(t * 1000)) AS month, count(*) AS row_count, min(t) AS min_t, max(t) AS max_t, count(DISTINCT symbol) AS symbols FROM bars GROUP BY 1, 2, 3")

@@ -131,6 +131,11 @@ s_query("k10", "tsi", "CASE WHEN d2 > 0 THEN n2 / d2 * 100 END", ctes=("ab AS (S
 ROCS = "rocs AS (SELECT *, " + ", ".join(f"close / lag(close, {r}) OVER w - 1 AS r{r}" for r in (4, 6, 8, 10)) + " FROM seg WINDOW w AS (PARTITION BY symbol, segment ORDER BY t))"
 s_query("k11", "kst", f"CASE WHEN {has(6, 'r10')} THEN (avg(r4) OVER w4 + 2 * avg(r6) OVER w4 + 3 * avg(r8) OVER w4 + 4 * avg(r10) OVER w6) * 100 END", 4, 6, ctes=(ROCS,), source="rocs")
 QUERIES["k12_kama"] = lambda spark, sf: told(factors.segment_factor(panel.bars(spark, sf, "6h"), "6h", "kama"))
+SQL["k12_kama"] = f"""WITH RECURSIVE {sql.bars("6h")}, {sql.segments("6h")},
+kp AS (SELECT symbol, segment, t, i, close, abs(close - lag(close, 10) OVER w) AS dir, sum(abs(ch)) OVER (w ROWS 9 PRECEDING) AS noise FROM seg WHERE is_complete WINDOW w AS (PARTITION BY symbol, segment ORDER BY t)),
+lv AS (SELECT symbol, segment, t, i, close, close AS l, 0.0::DOUBLE AS noise FROM kp WHERE i = 10
+ UNION ALL SELECT k.symbol, k.segment, k.t, k.i, k.close, CASE WHEN k.noise > 0 THEN lv.l + pow(k.dir / k.noise * (2 / 3.0::DOUBLE - 2 / 31.0::DOUBLE) + 2 / 31.0::DOUBLE, 2) * (k.close - lv.l) ELSE lv.l END, k.noise FROM lv JOIN kp k ON k.symbol = lv.symbol AND k.segment = lv.segment AND k.i = lv.i + 1)
+SELECT symbol, t + {sql.STEP["6h"]} AS t, round(close / l - 1, 6) AS value FROM lv WHERE i > 10 AND noise > 0"""
 s_query("k13", "vortex", f"CASE WHEN {has(10, 'c1')} THEN (sum(abs(high - l1)) OVER w10 - sum(abs(low - h1)) OVER w10) / nullif(sum(greatest(high - low, abs(high - c1), abs(low - c1))) OVER w10, 0) END", 10)
 s_query("k14", "price_volume_trend", f"CASE WHEN {has(10, 'c1')} AND sum(volume) OVER w10 > 0 THEN sum(volume * (close / c1 - 1)) OVER w10 / sum(volume) OVER w10 END", 10)
 

@@ -35,7 +35,7 @@ def inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
 HOURS = f"""{sql.bars('1h')}, h AS (SELECT symbol, t + {H} AS t, close FROM bars WHERE close > 0),
 hr AS (SELECT *, CASE WHEN t - lag(t) OVER w = {H} THEN ln(close / lag(close) OVER w) END AS r, ln(close / lag(close) OVER w) / sqrt((t - lag(t) OVER w) / {H}.0) AS g FROM h WINDOW w AS (PARTITION BY symbol ORDER BY t)),
 dc AS (SELECT unnest(generate_series({START + D}, {END - 1}, {D})) AS t),
-fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS f, ts, event_id, (value % 1 - 0.5) / 100 AS rate FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL)"""
+fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) AS f, ts, event_id, (value % 1 - 0.5) / 100 AS rate FROM events WHERE value IS NOT NULL)"""
 
 
 @query(f"""WITH {HOURS}, v AS (SELECT dc.t, x.symbol, count(x.r) AS n, stddev_samp(x.r) AS s FROM dc JOIN hr x ON x.t > dc.t - {12 * H} AND x.t <= dc.t GROUP BY 1, 2)

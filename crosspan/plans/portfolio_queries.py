@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspan.functions.core import ms
+from crosspan.functions.work import kept
 from crosspan.operators import barriers, crosssection, metrics, portfolio, reconcile, valuation
 from crosspan.plans import sql
 from crosspan.plans.research_queries import SCORES, SNAP, rounded, scores
@@ -92,7 +93,11 @@ def p9_water_filling(spark: SparkSession, sf: str) -> DataFrame:
     side = scores(spark, sf).where("is_valid").withColumn("volatility", F.abs("value"))
     return rounded(portfolio.water_filling(side), "weight").select("symbol", "t", "weight")
 
-@query(None)
+@query(f"""WITH RECURSIVE {SCORES}, {SNAP}, {TIMES}, li AS (SELECT t, idx, list(symbol ORDER BY rk) FILTER (WHERE rk <= 20) AS near, list(symbol ORDER BY rk) FILTER (WHERE rk <= 10) AS top FROM snap JOIN ti USING (t) GROUP BY 1, 2),
+hy AS (SELECT t, idx, top AS chosen, []::VARCHAR[] AS kept FROM li WHERE idx = 1
+ UNION ALL SELECT t, idx, k || list_filter(top, lambda s: NOT list_contains(k, s))[1:10 - len(k)], k FROM (SELECT li.*, list_filter(li.near, lambda s: list_contains(hy.chosen, s))[1:10] AS k FROM hy JOIN li ON li.idx = hy.idx + 1)),
+ch AS (SELECT t, kept, unnest(chosen) AS symbol FROM hy)
+SELECT strategy, symbol, ch.t, rk::INT AS ordinal_rank, list_contains(kept, symbol) AS kept FROM ch JOIN snap USING (symbol, t), (SELECT unnest(['a', 'b']) AS strategy)""")
 def p10_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     ranked = snapshots(spark, sf).withColumn("strategy", F.explode(F.array(F.lit("a"), F.lit("b"))))
     return rounded(portfolio.hysteresis(ranked, 10, 20)).select("strategy", "symbol", "t", "ordinal_rank", "kept")
@@ -123,12 +128,16 @@ def val_targets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     names = spark.createDataFrame([("top1",), ("top2",)], "candidate string")
     return targets, rebalances.join(names)
 
-@query(f"WITH {TARGETS} SELECT 0::BIGINT AS duplicate_keys, 0::BIGINT AS fill_not_after_signal, 0::BIGINT AS non_finite_weights, count(*) FILTER (WHERE t % {4 * D} <> 0) AS undeclared_times FROM tg WHERE candidate = 'top2'")
+@query(f"WITH {TARGETS}, t2 AS (SELECT * FROM tg WHERE candidate = 'top2'), u AS (SELECT symbol, t FROM t2 UNION ALL SELECT symbol, t FROM t2 WHERE t % {4 * D} = 0 AND w > 0) SELECT (SELECT count(*) FROM t2 WHERE t % {4 * D} = 0 AND w > 0) AS duplicate_keys, count(*) FILTER (WHERE symbol < 'd') AS fill_not_after_signal, count(*) FILTER (WHERE symbol > 's') AS non_finite_weights, count(*) FILTER (WHERE t % {4 * D} <> 0) AS undeclared_times FROM u")
 def p11_schedule_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """A schedule with rows twice, signals at their fill, weights that are no numbers and undeclared times."""
     targets, rebalances = val_targets(spark, sf)
-    return portfolio.schedule_faults(targets.where("candidate = 'top2'"), rebalances.where(ms("fill_time") % (4 * D) == 0))
+    own = targets.where("candidate = 'top2'")
+    bad = own.unionByName(own.where((ms("fill_time") % (4 * D) == 0) & (F.col("target_weight") > 0)))
+    bad = bad.withColumns({"signal_time": F.when(F.col("symbol") < "d", F.col("fill_time")).otherwise(F.col("signal_time")), "target_weight": F.when(F.col("symbol") > "s", float("nan")).otherwise(F.col("target_weight"))})
+    return portfolio.schedule_faults(bad, rebalances.where(ms("fill_time") % (4 * D) == 0))
 
-@query(f"WITH {sql.bars('1d')}, fu AS (SELECT user_id::VARCHAR AS symbol, (epoch_us(ts) // 1000) // {5 * D} AS e FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL), n AS (SELECT count(DISTINCT e) AS n FROM fu), h AS (SELECT symbol, count(DISTINCT e) AS k FROM fu GROUP BY 1) SELECT s.symbol, coalesce(k, 0) AS events, coalesce(k, 0) < n.n AS zeroed FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN h ON s.symbol = h.symbol, n")
+@query(f"WITH {sql.bars('1d')}, fu AS (SELECT user_id::VARCHAR AS symbol, (epoch_us(ts) // 1000) // {5 * D} AS e FROM events WHERE value IS NOT NULL), n AS (SELECT count(DISTINCT e) AS n FROM fu), h AS (SELECT symbol, count(DISTINCT e) AS k FROM fu GROUP BY 1) SELECT s.symbol, coalesce(k, 0) AS events, coalesce(k, 0) < n.n AS zeroed FROM (SELECT DISTINCT symbol FROM bars) s LEFT JOIN h ON s.symbol = h.symbol, n")
 def p12_symbols_to_zero(spark: SparkSession, sf: str) -> DataFrame:
     funding = panel.funding(spark, sf, True).withColumn("funding_time", F.floor(ms("funding_time") / (5 * D)))
     return portfolio.symbols_to_zero(panel.bars(spark, sf, "1d"), funding)
@@ -141,49 +150,85 @@ def p13_static_sizing(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- valuation
 
-FREE = valuation.Costs()
 PAID = valuation.Costs(fee_bps=4.0, slippage_bps=2.0)
 INITIAL = 1e6
-VALUED = f"""{TARGETS}, bd AS (SELECT t, lead(t) OVER (ORDER BY t) AS nt FROM (SELECT t FROM reb UNION SELECT min(t) FROM bars)),
-cand AS (SELECT 'top' || unnest([1, 2]) AS candidate),
-g AS (SELECT c.candidate, bd.t, bd.nt, 1 + coalesce(sum(tg.w * (o2.open / o1.open - 1)), 0) AS g FROM cand c CROSS JOIN bd LEFT JOIN tg ON tg.candidate = c.candidate AND tg.t = bd.t LEFT JOIN bars o1 ON o1.symbol = tg.symbol AND o1.t = bd.t LEFT JOIN bars o2 ON o2.symbol = tg.symbol AND o2.t = bd.nt GROUP BY c.candidate, bd.t, bd.nt),
-e AS (SELECT *, {INITIAL} * coalesce(exp(sum(ln(g)) OVER (PARTITION BY candidate ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS base FROM g),
-ck AS (SELECT DISTINCT t AS bt FROM bars),
-eq AS (SELECT e.candidate, ck.bt AS t, e.t AS k, e.base, e.base * (1 + coalesce(sum(tg.w * (b.close / o.open - 1)), 0)) AS equity, coalesce(sum(abs(tg.w * e.base / o.open * b.close)), 0) AS gross
- FROM e JOIN ck ON ck.bt >= e.t AND (e.nt IS NULL OR ck.bt < e.nt) LEFT JOIN tg ON tg.candidate = e.candidate AND tg.t = e.t LEFT JOIN bars o ON o.symbol = tg.symbol AND o.t = e.t LEFT JOIN bars b ON b.symbol = tg.symbol AND b.t = ck.bt GROUP BY e.candidate, ck.bt, e.t, e.base),
-rt AS (SELECT *, equity / coalesce(lag(equity) OVER w, {INITIAL}) - 1 AS r, equity / greatest(max(equity) OVER w, {INITIAL}) - 1 AS dd, gross / equity AS gx FROM eq WINDOW w AS (PARTITION BY candidate ORDER BY t))"""
-
-def free_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return valuation.value(val_bars(spark, sf), *val_targets(spark, sf), "6h", FREE, INITIAL)[0]
+SETTLED = f"fr AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, sum((value % 1 - 0.5) / 100) AS rate FROM events WHERE value IS NOT NULL GROUP BY 1, 2)"
+# ``st``: every name of a candidate at every boundary, one boundary after another: the weight before
+# (d) and after (w) trading, equity before costs (e), turnover, funding, and the average entry (en).
+FOLDED = f"""RECURSIVE {TARGETS}, {SETTLED},
+bt AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx, lead(t) OVER (ORDER BY t) AS nt FROM (SELECT t FROM reb UNION SELECT min(t) FROM bars UNION SELECT t FROM fr)),
+nm AS (SELECT DISTINCT candidate, symbol FROM tg),
+ca AS (SELECT nm.candidate, nm.symbol, bt.t, bt.idx, c.close FROM nm CROSS JOIN bt ASOF LEFT JOIN (SELECT symbol, t + {H6} AS ct, close FROM bars) c ON c.symbol = nm.symbol AND bt.t >= c.ct),
+gr AS (SELECT ca.candidate, ca.symbol, ca.t, ca.idx, o.open, coalesce(o.open, ca.close) AS mark, tg.w AS target, reb.t IS NOT NULL AS isreb, coalesce(fr.rate, 0) AS rate
+ FROM ca LEFT JOIN bars o ON o.symbol = ca.symbol AND o.t = ca.t LEFT JOIN tg ON tg.candidate = ca.candidate AND tg.symbol = ca.symbol AND tg.t = ca.t LEFT JOIN reb ON reb.t = ca.t LEFT JOIN fr ON fr.symbol = ca.symbol AND fr.t = ca.t),
+st AS (SELECT candidate, symbol, t, idx, mark, 0.0::DOUBLE AS d, 0.0::DOUBLE AS w, {INITIAL}::DOUBLE AS e, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS funding, NULL::DOUBLE AS en FROM gr WHERE idx = 0
+ UNION ALL
+ SELECT candidate, symbol, t, idx, mark, d, w, e, sum(abs(w - d)) OVER (PARTITION BY candidate), -sum(w * rate) OVER (PARTITION BY candidate),
+  CASE WHEN abs(w) < 1e-15 THEN NULL WHEN d * w <= 0 THEN mark WHEN abs(w) > abs(d) + 1e-15 THEN (pen * abs(d) + mark * abs(w - d)) / abs(w) ELSE pen END
+ FROM (SELECT *, CASE WHEN isreb AND open IS NOT NULL THEN coalesce(target, 0) ELSE d END AS w FROM (SELECT *, pw * rr / g AS d, pe * g AS e FROM (
+  SELECT n.*, p.w AS pw, p.e AS pe, p.en AS pen, coalesce(n.mark / p.mark, 1) AS rr, 1 - {PAID.rate!r} * p.turnover + p.funding + sum(p.w * (coalesce(n.mark / p.mark, 1) - 1)) OVER (PARTITION BY n.candidate) AS g
+  FROM st p JOIN gr n ON n.candidate = p.candidate AND n.symbol = p.symbol AND n.idx = p.idx + 1))))"""
+VALUED = f"""{FOLDED}, ck AS (SELECT DISTINCT t AS bt FROM bars),
+po AS (SELECT st.candidate, st.symbol, ck.bt AS t, bt.t AS k, st.e, st.turnover, st.funding, st.w, st.w * st.e / st.mark AS q, st.mark, m.close AS price
+ FROM st JOIN bt USING (idx) JOIN ck ON ck.bt >= bt.t AND (bt.nt IS NULL OR ck.bt < bt.nt) ASOF LEFT JOIN bars m ON m.symbol = st.symbol AND ck.bt >= m.t),
+eq AS (SELECT candidate, t, k, any_value(e) AS e, any_value(turnover) AS tu, any_value(funding) AS fu, any_value(e) * (1 - {PAID.rate!r} * any_value(turnover) + any_value(funding)) + coalesce(sum(w * e * (price / mark - 1)), 0) AS equity,
+ coalesce(sum(abs(q * price)), 0) AS gross, coalesce(sum(q * price), 0) AS net FROM po GROUP BY candidate, t, k),
+ru AS (SELECT *, coalesce(lag(equity) OVER w, {INITIAL}) AS prev, equity / greatest(max(equity) OVER w, {INITIAL}) - 1 AS dd, gross / equity AS gx, net / equity AS nx FROM eq WINDOW w AS (PARTITION BY candidate ORDER BY t)),
+rt AS (SELECT candidate, t, equity, dd, gx, nx, equity / prev - 1 AS r, CASE WHEN t = k THEN e * tu * {PAID.fee_bps} / 1e4 / prev ELSE 0 END AS fee, CASE WHEN t = k THEN e * tu * {PAID.slippage_bps} / 1e4 / prev ELSE 0 END AS slip,
+ CASE WHEN t = k THEN e * fu / prev ELSE 0 END AS fund, CASE WHEN t = k THEN e * tu / prev ELSE 0 END AS turn FROM ru),
+rg AS (SELECT *, r + fee + slip - fund AS gp FROM rt)"""
+RETURN_COLUMNS = "round(gp, 7) AS gross_price_return, round(fee, 8) AS fee_cost, round(slip, 8) AS slippage_cost, round(fund, 7) AS funding_return, round(r, 7) AS net_return, round(equity, 2) AS equity, round(dd, 6) AS drawdown, round(gx, 6) AS gross_exposure, round(nx, 6) AS net_exposure, round(turn, 6) AS turnover"
+
+def market(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bars, targets and rebalances, each worked out once: the valuation reads them several times."""
+    bars, (targets, rebalances) = kept(val_bars(spark, sf), "bars"), val_targets(spark, sf)
+    return bars, kept(targets, "targets"), rebalances
+
+def valued(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Returns and positions with fees, slippage and funding."""
+    return valuation.value(*market(spark, sf), "6h", PAID, INITIAL, panel.funding(spark, sf))
 
 def paid_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return valuation.value(val_bars(spark, sf), *val_targets(spark, sf), "6h", PAID, INITIAL, panel.funding(spark, sf))[0]
+    return valued(spark, sf)[0]
 
-@query(f"WITH {VALUED} SELECT candidate, t, round(equity, 3) AS equity, round(r, 6) AS net_return, round(dd, 6) AS drawdown, round(gx, 6) AS gross_exposure FROM rt")
+DIGITS = {"gross_price_return": 7, "fee_cost": 8, "slippage_cost": 8, "funding_return": 7, "net_return": 7, "equity": 2, "drawdown": 6, "gross_exposure": 6, "net_exposure": 6, "turnover": 6}
+
+@query(f"WITH {VALUED} SELECT candidate, t, {RETURN_COLUMNS} FROM rg")
 def v6_valuation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(free_returns(spark, sf), "net_return", "drawdown", "gross_exposure").select("candidate", "t", F.round("equity", 3).alias("equity"), "net_return", "drawdown", "gross_exposure")
+    out = rounded(paid_returns(spark, sf))
+    return out.select("candidate", "t", *(F.round(c, n).alias(c) for c, n in DIGITS.items()))
 
-@query(f"WITH {VALUED} SELECT eq.candidate, eq.t, tg.symbol, round(tg.w * eq.base / o.open, 4) AS quantity, round(tg.w * eq.base * (b.close / o.open - 1), 3) AS unrealized FROM eq JOIN tg ON tg.candidate = eq.candidate AND tg.t = eq.k JOIN bars o ON o.symbol = tg.symbol AND o.t = eq.k JOIN bars b ON b.symbol = tg.symbol AND b.t = eq.t")
+@query(f"WITH {VALUED} SELECT candidate, t, symbol, round(w, 7) AS weight, round(q, 3) AS quantity, round(q * price, 2) AS notional, round(w * e * (price / mark - 1), 2) AS unrealized FROM po WHERE abs(w) >= 1e-15")
 def v10_positions(spark: SparkSession, sf: str) -> DataFrame:
-    p = valuation.value(val_bars(spark, sf), *val_targets(spark, sf), "6h", FREE, INITIAL)[1]
-    return p.select("candidate", ms("open_time").alias("t"), "symbol", F.round("quantity", 4).alias("quantity"), F.round("unrealized", 3).alias("unrealized"))
+    p = valued(spark, sf)[1]
+    return p.select("candidate", ms("open_time").alias("t"), "symbol", F.round("weight", 7).alias("weight"), F.round("quantity", 3).alias("quantity"), F.round("notional", 2).alias("notional"), F.round("unrealized", 2).alias("unrealized"))
 
-@query(None)
-def v2_boundary_fold(spark: SparkSession, sf: str) -> DataFrame:
-    bars, (targets, rebalances), funding = val_bars(spark, sf), val_targets(spark, sf), panel.funding(spark, sf)
+def boundary_states(spark: SparkSession, sf: str) -> DataFrame:
+    bars, targets, rebalances = market(spark, sf)
+    funding = panel.funding(spark, sf)
     cuts = valuation.boundaries(bars, rebalances, funding, "6h")
     return valuation.fold(valuation.boundary_rows(bars, targets, rebalances, cuts, funding, "6h"), PAID, INITIAL)
 
-@query(f"WITH {TARGETS}, b AS (SELECT t FROM reb UNION SELECT min(t) FROM bars UNION SELECT (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM b")
+@query(f"""WITH {FOLDED}, hs AS (SELECT * FROM st WHERE abs(w) >= 1e-15 OR w <> d),
+al AS (SELECT candidate, idx, symbol, w, e, mark, turnover, funding, w - d AS traded FROM hs
+ UNION ALL SELECT candidate, idx, NULL, 0, any_value(e), NULL, any_value(turnover), any_value(funding), 0 FROM st WHERE (candidate, idx) NOT IN (SELECT (candidate, idx) FROM hs) GROUP BY 1, 2)
+SELECT candidate, idx, symbol, round(w, 7) AS weight, round(coalesce(w * e / mark, 0), 3) AS quantity, round(mark, 6) AS mark, round(e, 2) AS equity, round(turnover, 6) AS turnover, round(funding, 7) AS funding, round(traded, 7) AS traded FROM al""")
+def v2_boundary_fold(spark: SparkSession, sf: str) -> DataFrame:
+    out = boundary_states(spark, sf)
+    digits = {"weight": 7, "quantity": 3, "mark": 6, "equity": 2, "turnover": 6, "funding": 7, "traded": 7}
+    return out.select("candidate", "idx", "symbol", *(F.round(c, n).alias(c) for c, n in digits.items()))
+
+@query(f"WITH {TARGETS}, b AS (SELECT t FROM reb UNION SELECT min(t) FROM bars UNION SELECT (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} FROM events WHERE value IS NOT NULL) SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM b")
 def v1_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     cuts = valuation.boundaries(val_bars(spark, sf), val_targets(spark, sf)[1], panel.funding(spark, sf), "6h")
     return cuts.select(ms("open_time").alias("t"), F.col("idx").cast("long").alias("idx"))
 
-@query(None)
+@query(f"WITH {VALUED} SELECT candidate, t, round(gp, 7) AS gross_price_return, round(fee + slip, 8) AS trade_costs, round(fund, 7) AS funding_return, round(dd, 6) AS drawdown FROM rg WHERE fee <> 0 OR fund <> 0")
 def v5_bar_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(paid_returns(spark, sf))
+    out = rounded(paid_returns(spark, sf).where("fee_cost <> 0 or funding_return <> 0"))
+    return out.select("candidate", "t", F.round("gross_price_return", 7).alias("gross_price_return"), F.round(F.col("fee_cost") + F.col("slippage_cost"), 8).alias("trade_costs"), F.round("funding_return", 7).alias("funding_return"), F.round("drawdown", 6).alias("drawdown"))
 
-@query(f"WITH {VAL_BARS}, fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, (value % 1 - 0.5) / 100 AS rate, value AS mark, event_id FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL) SELECT f.event_id, f.symbol, round(-10 * mark * rate, 6) AS cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t")
+@query(f"WITH {VAL_BARS}, fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, (value % 1 - 0.5) / 100 AS rate, value AS mark, event_id FROM events WHERE value IS NOT NULL) SELECT f.event_id, f.symbol, round(-10 * mark * rate, 6) AS cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t")
 def v3_funding_cash(spark: SparkSession, sf: str) -> DataFrame:
     holdings = val_bars(spark, sf).select("symbol", "open_time", "open", F.lit(10.0).alias("quantity"))
     return rounded(valuation.funding_cash(panel.funding(spark, sf), holdings, "6h"), "cash", time=False).select("event_id", "symbol", "cash")
@@ -207,62 +252,85 @@ TRADES = f"{TARGETS}, trd AS (SELECT candidate, tg.t, tg.symbol, w * {INITIAL} A
 def v8_trade_costs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(val_trades(spark, sf), "fill_price").select("candidate", "t", "symbol", F.round("fee", 4).alias("fee"), F.round("slippage", 4).alias("slippage"), "fill_price")
 
-@query(None)
+@query(f"WITH {FOLDED} SELECT candidate, idx, symbol, round(w, 7) AS weight, round(en, 6) AS entry_price FROM st WHERE abs(w) >= 1e-15")
 def v9_average_entry(spark: SparkSession, sf: str) -> DataFrame:
-    return v2_boundary_fold(spark, sf).where("symbol is not null").select("candidate", "idx", "symbol", "weight", "entry_price")
+    out = boundary_states(spark, sf).where("symbol is not null and weight <> 0")
+    return out.select("candidate", "idx", "symbol", F.round("weight", 7).alias("weight"), F.round("entry_price", 6).alias("entry_price"))
 
-@query(f"WITH {TRADES}, fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, -10 * value * (value % 1 - 0.5) / 100 AS cash FROM events WHERE event_id % 8 = 0 AND value IS NOT NULL), u AS (SELECT candidate, t, symbol, -abs(dn) * 4 / 1e4 AS fee, -abs(dn) * 2 / 1e4 AS slip, 0.0 AS cash FROM trd UNION ALL SELECT 'top1', f.t, f.symbol, 0, 0, cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t) SELECT candidate, t, symbol, round(sum(fee), 4) AS fee, round(sum(slip), 4) AS slippage, round(sum(cash), 4) AS funding FROM u GROUP BY 1, 2, 3")
+@query(f"WITH {TRADES}, fu AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, -10 * value * (value % 1 - 0.5) / 100 AS cash FROM events WHERE value IS NOT NULL), u AS (SELECT candidate, t, symbol, -abs(dn) * 4 / 1e4 AS fee, -abs(dn) * 2 / 1e4 AS slip, 0.0 AS cash FROM trd UNION ALL SELECT 'top1', f.t, f.symbol, 0, 0, cash FROM fu f JOIN bars b ON b.symbol = f.symbol AND b.t = f.t) SELECT candidate, t, symbol, round(sum(fee), 4) AS fee, round(sum(slip), 4) AS slippage, round(sum(cash), 4) AS funding FROM u GROUP BY 1, 2, 3")
 def v11_cost_ledger(spark: SparkSession, sf: str) -> DataFrame:
     holdings = val_bars(spark, sf).select("symbol", "open_time", "open", F.lit(10.0).alias("quantity"))
     cash = valuation.funding_cash(panel.funding(spark, sf), holdings, "6h").select(F.lit("top1").alias("candidate"), F.col("open_time").alias("timestamp"), "symbol", "cash")
     out = rounded(valuation.cost_ledger(val_trades(spark, sf), cash))
     return out.withColumns({c: F.round(c, 4) for c in ("fee", "slippage", "funding")})
 
-@query(f"WITH {VALUED} SELECT candidate, round(arg_max(equity, t), 2) AS ending_equity, round(arg_max(equity, t) / {INITIAL} - 1, 6) AS total_return, round(min(dd), 6) AS max_drawdown FROM rt GROUP BY 1")
+@query(f"WITH {VALUED} SELECT candidate, round(arg_max(equity, t), 2) AS ending_equity, round(arg_max(equity, t) / {INITIAL} - 1, 6) AS total_return, round(min(dd), 6) AS max_drawdown, count(*) FILTER (WHERE turn > 0) AS trading_bars FROM rg GROUP BY 1")
 def v12_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    out = rounded(valuation.leaderboard(free_returns(spark, sf), INITIAL), "total_return", "max_drawdown", time=False)
-    return out.select("candidate", F.round("ending_equity", 2).alias("ending_equity"), "total_return", "max_drawdown")
+    out = rounded(valuation.leaderboard(paid_returns(spark, sf), INITIAL), "total_return", "max_drawdown", time=False)
+    return out.select("candidate", F.round("ending_equity", 2).alias("ending_equity"), "total_return", "max_drawdown", "trading_bars")
 
-@query(f"WITH {VALUED} SELECT candidate, round(exp(sum(ln(1 + r))) - 1, 6) AS net_return, round(exp(sum(ln(1 + r))) - 1, 6) AS gross_return, round(avg(gx), 6) AS mean_gross FROM rt GROUP BY 1")
+@query(f"WITH {VALUED} SELECT candidate, round(exp(sum(ln(1 + r))) - 1, 6) AS net_return, round(exp(sum(ln(1 + gp))) - 1, 6) AS gross_return, round(sum(fee), 7) AS fees, round(sum(slip), 7) AS slippage, round(sum(fund), 6) AS funding, round(sum(turn), 5) AS turnover, round(avg(gx), 6) AS mean_gross FROM rg GROUP BY 1")
 def v13_matrix_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(valuation.matrix_summary(free_returns(spark, sf)), "net_return", "gross_return", "mean_gross", time=False).select("candidate", "net_return", "gross_return", "mean_gross")
+    out = rounded(valuation.matrix_summary(paid_returns(spark, sf)), "net_return", "gross_return", "mean_gross", "funding", time=False)
+    return out.withColumns({"fees": F.round("fees", 7), "slippage": F.round("slippage", 7), "turnover": F.round("turnover", 5)})
 
 # ------------------------------------------------------------------------------------ metrics
 
 A = 365.25 * 86400 / 21600
 
-@query(f"""WITH {VALUED}, s AS (SELECT candidate, count(*) AS n, arg_max(equity, t) / {INITIAL} - 1 AS tot, avg(r) AS m, stddev_pop(r) AS s, sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) AS d, min(dd) AS mdd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM rt GROUP BY 1)
-SELECT candidate, n AS observations, round(tot, 6) AS total_return, round(s * sqrt({A}), 6) AS volatility, round(m / s * sqrt({A}), 5) AS sharpe, round(m / d * sqrt({A}), 5) AS sortino, round(mdd, 6) AS max_drawdown, round(hit, 6) AS hit_rate FROM s""")
+@query(f"""WITH {VALUED}, s AS (SELECT candidate, count(*) AS n, arg_max(equity, t) / {INITIAL} - 1 AS tot, avg(r) AS m, stddev_pop(r) AS s, sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) AS d, min(dd) AS mdd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit FROM rg GROUP BY 1)
+SELECT candidate, n AS observations, round(tot, 6) AS total_return, round(pow(1 + tot, {A} / n) - 1, 4) AS annualized_return, round(s * sqrt({A}), 6) AS volatility, round(m / s * sqrt({A}), 5) AS sharpe, round(m / d * sqrt({A}), 5) AS sortino, round(mdd, 6) AS max_drawdown, round((pow(1 + tot, {A} / n) - 1) / -mdd, 4) AS calmar, round(hit, 6) AS hit_rate FROM s""")
 def m1_performance(spark: SparkSession, sf: str) -> DataFrame:
-    out = rounded(metrics.performance(free_returns(spark, sf), "6h"), "total_return", "volatility", "max_drawdown", "hit_rate", time=False)
-    return out.select("candidate", "observations", "total_return", "volatility", F.round("sharpe", 5).alias("sharpe"), F.round("sortino", 5).alias("sortino"), "max_drawdown", "hit_rate")
+    out = rounded(metrics.performance(paid_returns(spark, sf), "6h"), "total_return", "volatility", "max_drawdown", "hit_rate", time=False)
+    return out.withColumns({"annualized_return": F.round("annualized_return", 4), "sharpe": F.round("sharpe", 5), "sortino": F.round("sortino", 5), "calmar": F.round("calmar", 4)})
+
+#: Ledgers with one fault each, made of top1's: a row twice, without a time, without a return, with a
+#: return below -1, with equity below 0, and with equity that the returns don't make.
+FAULTS = ("twice", "untimed", "unreal", "lost", "under", "drift")
+LEDGERS = f"""{VALUED}, nu AS (SELECT candidate, t, r, equity, row_number() OVER (PARTITION BY candidate ORDER BY t) AS i FROM rg),
+ld AS (SELECT candidate, t, r, equity, i, 0 AS copy FROM nu UNION ALL SELECT f, CASE WHEN f = 'untimed' AND i = 4 THEN NULL ELSE t END, CASE WHEN f = 'unreal' AND i = 5 THEN 'NaN'::DOUBLE WHEN f = 'lost' AND i = 6 THEN -1.5 ELSE r END,
+ CASE WHEN f = 'under' AND i = 7 THEN -equity WHEN f = 'drift' AND i = 8 THEN equity * 1.001 ELSE equity END, i, 0 FROM nu, (SELECT unnest({list(FAULTS)}) AS f) WHERE candidate = 'top1' UNION ALL SELECT 'twice', t, r, equity, i, 1 FROM nu WHERE candidate = 'top1' AND i = 3),
+lf AS (SELECT *, lag(t) OVER w = t AS same, coalesce(lag(equity) OVER w, equity / nullif(1 + r, 0)) * (1 + r) AS made FROM ld WINDOW w AS (PARTITION BY candidate ORDER BY t NULLS FIRST, copy))"""
+
+def ledgers(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = paid_returns(spark, sf).select("candidate", "timestamp", "net_return", "equity").withColumn("i", F.row_number().over(Window.partitionBy("candidate").orderBy("timestamp")))
+    top = rows.where("candidate = 'top1'")
+    at = lambda f, i: (F.col("candidate") == f) & (F.col("i") == i)
+    bad = top.withColumn("candidate", F.explode(F.array(*map(F.lit, FAULTS)))).withColumns({
+        "timestamp": F.when(~at("untimed", 4), F.col("timestamp")), "net_return": F.when(at("unreal", 5), float("nan")).when(at("lost", 6), -1.5).otherwise(F.col("net_return")),
+        "equity": F.when(at("under", 7), -F.col("equity")).when(at("drift", 8), F.col("equity") * 1.001).otherwise(F.col("equity")),
+    })
+    return rows.unionByName(bad).unionByName(top.where("i = 3").withColumn("candidate", F.lit("twice"))).drop("i")
 
-@query(f"WITH {VALUED} SELECT DISTINCT candidate, false AS duplicate_timestamp, false AS null_timestamp, false AS bad_return, false AS return_below_floor, false AS nonpositive_equity, false AS compound_mismatch FROM rt")
+@query(f"WITH {LEDGERS} SELECT candidate, coalesce(bool_or(same), false) AS duplicate_timestamp, bool_or(t IS NULL) AS null_timestamp, bool_or(NOT isfinite(r)) AS bad_return, bool_or(r <= -1) AS return_below_floor, bool_or(equity <= 0) AS nonpositive_equity, coalesce(bool_or(abs(made - equity) > 1e-10 * greatest(1, abs(made), abs(equity))), false) AS compound_mismatch FROM lf GROUP BY 1")
 def m2_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.integrity(free_returns(spark, sf))
+    return metrics.integrity(ledgers(spark, sf))
 
-@query(f"WITH {VALUED} SELECT candidate, round(avg(gx), 6) AS mean_gross, round(max(gx), 6) AS max_gross FROM rt GROUP BY 1")
+@query(f"WITH {VALUED} SELECT candidate, round(avg(gx), 6) AS mean_gross, round(max(gx), 6) AS max_gross, round(avg(abs(nx)), 6) AS mean_net, round(max(abs(nx)), 6) AS max_net, round(avg(turn), 6) AS mean_turnover, round(max(turn), 6) AS max_turnover, round(sum(turn), 5) AS total_turnover FROM rg GROUP BY 1")
 def m3_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.risk(free_returns(spark, sf)), "mean_gross", "max_gross", time=False).select("candidate", "mean_gross", "max_gross")
+    out = rounded(metrics.risk(paid_returns(spark, sf)), "mean_gross", "max_gross", "mean_net", "max_net", "mean_turnover", "max_turnover", time=False)
+    return out.withColumn("total_turnover", F.round("total_turnover", 5))
 
-@query(f"WITH {VALUED} SELECT candidate, round(sum(r), 6) AS gross_price_return, 0.0::DOUBLE AS fee_cost, round(sum(r), 6) AS net_return, true AS exact FROM rt GROUP BY 1")
+@query(f"WITH {VALUED} SELECT candidate, round(sum(gp), 6) AS gross_price_return, round(sum(fee), 7) AS fee_cost, round(sum(slip), 7) AS slippage_cost, round(sum(fund), 6) AS funding_return, round(sum(r), 6) AS net_return, max(abs(gp - fee - slip + fund - r)) <= 1e-12 AS exact FROM rg GROUP BY 1")
 def m4_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    out = rounded(metrics.attribution(free_returns(spark, sf)), "gross_price_return", "fee_cost", "net_return", time=False)
-    return out.select("candidate", "gross_price_return", "fee_cost", "net_return", (F.col("identity_error") <= 1e-12).alias("exact"))
+    out = rounded(metrics.attribution(paid_returns(spark, sf)), "gross_price_return", "funding_return", "net_return", time=False)
+    return out.select("candidate", "gross_price_return", F.round("fee_cost", 7).alias("fee_cost"), F.round("slippage_cost", 7).alias("slippage_cost"), "funding_return", "net_return", (F.col("identity_error") <= 1e-12).alias("exact"))
 
 @query(f"WITH {TRADES} SELECT candidate, count(*) AS trades, count(*) FILTER (WHERE dn > 0) AS buys, count(*) FILTER (WHERE dn < 0) AS sells, count(DISTINCT symbol) AS symbols, min(t) AS first_t, max(t) AS last_t, round(sum(abs(dn)), 2) AS notional FROM trd GROUP BY 1")
 def m5_trade_stats(spark: SparkSession, sf: str) -> DataFrame:
     out = metrics.trade_stats(val_trades(spark, sf))
     return out.select("candidate", "trades", "buys", "sells", "symbols", ms("first").alias("first_t"), ms("last").alias("last_t"), F.round("notional", 2).alias("notional"))
 
-@query(f"WITH {VALUED}, i AS (SELECT candidate, t, dd, row_number() OVER (PARTITION BY candidate ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY candidate) AS n FROM rt), x AS (SELECT candidate, t FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY dd, t) AS k FROM i) WHERE k = 1) SELECT i.candidate, i.t FROM i LEFT JOIN x ON x.candidate = i.candidate AND x.t = i.t WHERE x.t IS NOT NULL OR i.i = 0 OR i.i = n - 1 OR floor(i.i * 9.0 / greatest(n - 1, 1)) <> floor((i.i - 1) * 9.0 / greatest(n - 1, 1))")
+@query(f"WITH {VALUED}, i AS (SELECT candidate, t, dd, row_number() OVER (PARTITION BY candidate ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY candidate) AS n FROM rg), x AS (SELECT candidate, t FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY dd, t) AS k FROM i) WHERE k = 1) SELECT i.candidate, i.t FROM i LEFT JOIN x ON x.candidate = i.candidate AND x.t = i.t WHERE x.t IS NOT NULL OR i.i = 0 OR i.i = n - 1 OR floor(i.i * 9.0 / greatest(n - 1, 1)) <> floor((i.i - 1) * 9.0 / greatest(n - 1, 1))")
 def m6_series_sample(spark: SparkSession, sf: str) -> DataFrame:
-    r = free_returns(spark, sf).withColumn("drawdown", F.col("drawdown"))
+    r = paid_returns(spark, sf).withColumn("drawdown", F.col("drawdown"))
     return rounded(metrics.series_sample(r, 10)).select("candidate", "t")
 
-@query(f"WITH {VALUED}, f AS (SELECT a.t, a.equity AS l, b.equity AS r FROM rt a JOIN rt b ON a.t = b.t WHERE a.candidate = 'top1' AND b.candidate = 'top2' AND abs(a.equity - b.equity) > 1e-9 ORDER BY a.t LIMIT 1) SELECT t, 'equity' AS field, round(l, 3) AS l, round(r, 3) AS r FROM f")
+@query(f"WITH {VALUED}, f AS (SELECT a.t, a.equity AS l, b.equity AS r FROM rg a JOIN rg b ON a.t = b.t WHERE a.candidate = 'top1' AND b.candidate = 'top2' AND abs(a.equity - b.equity) > 1e-9 ORDER BY a.t LIMIT 1) SELECT t, 'equity' AS field, round(l, 3) AS l, round(r, 3) AS r FROM f")
 def m7_first_difference(spark: SparkSession, sf: str) -> DataFrame:
-    r = free_returns(spark, sf)
+    r = paid_returns(spark, sf)
     out = metrics.first_difference(r.where("candidate = 'top1'"), r.where("candidate = 'top2'"), ["equity"])
     return rounded(out).select("t", "field", F.round("left", 3).alias("l"), F.round("right", 3).alias("r"))
 
@@ -291,9 +359,9 @@ def b3_next_open_exit(spark: SparkSession, sf: str) -> DataFrame:
     out = barriers.first_touch(entries(spark, sf), val_bars(spark, sf), "6h", BARRIERS, 12, next_open=True)
     return rounded(out, "exit_price", time=False).select("entry_id", "reason", "exit_price")
 
-@query(f"WITH {VALUED}, pk AS (SELECT *, greatest({INITIAL}, coalesce(max(equity) OVER (PARTITION BY candidate ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {INITIAL})) AS peak FROM rt), h AS (SELECT candidate, t, CASE WHEN equity <= {INITIAL} * 0.97 THEN 'PORTFOLIO_STOP_LOSS' WHEN equity <= peak * 0.98 THEN 'PORTFOLIO_MAX_DRAWDOWN' WHEN equity >= {INITIAL} * 1.05 THEN 'PORTFOLIO_TAKE_PROFIT' END AS reason FROM pk) SELECT candidate, min(t) AS t, arg_min(reason, t) AS reason FROM h WHERE reason IS NOT NULL GROUP BY 1")
+@query(f"WITH {VALUED}, pk AS (SELECT *, greatest({INITIAL}, coalesce(max(equity) OVER (PARTITION BY candidate ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {INITIAL})) AS peak FROM rg), h AS (SELECT candidate, t, CASE WHEN equity <= {INITIAL} * 0.97 THEN 'PORTFOLIO_STOP_LOSS' WHEN equity <= peak * 0.98 THEN 'PORTFOLIO_MAX_DRAWDOWN' WHEN equity >= {INITIAL} * 1.05 THEN 'PORTFOLIO_TAKE_PROFIT' END AS reason FROM pk) SELECT candidate, min(t) AS t, arg_min(reason, t) AS reason FROM h WHERE reason IS NOT NULL GROUP BY 1")
 def b4_portfolio_touch(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(barriers.portfolio_touch(free_returns(spark, sf), INITIAL, 0.03, 0.02, 0.05)).select("candidate", "t", "reason")
+    return rounded(barriers.portfolio_touch(paid_returns(spark, sf), INITIAL, 0.03, 0.02, 0.05)).select("candidate", "t", "reason")
 
 PRIORITY = {"1-URGENT": 0, "2-HIGH": 100, "3-MEDIUM": 200, "4-NOT SPECIFIED": 300, "5-LOW": 400}
 

@@ -10,9 +10,16 @@ from crosspan.functions.core import is_finite, seconds
 KLINE = ("open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trades", "taker_buy_volume", "taker_buy_quote_volume")
 BARS = "open_time timestamp, close_time timestamp, symbol string, interval string, open double, high double, low double, close double, volume double, quote_volume double, trades long, taker_buy_volume double, taker_buy_quote_volume double, is_complete boolean, source string, source_object_id string, dataset_version string"
 FUNDING = "funding_time timestamp, symbol string, funding_rate double, mark_price double, funding_interval_hours int, source_object_id string, dataset_version string"
+MARKS = "open_time timestamp, close_time timestamp, symbol string, interval string, open double, high double, low double, close double, is_complete boolean, source string, source_object_id string, dataset_version string"
+CONTRACTS = "snapshot_time timestamp, symbol string, contract_type string, status string, base_asset string, quote_asset string, margin_asset string, onboard_time timestamp, delivery_time timestamp, price_tick double, quantity_step double, min_quantity double, min_notional double, dataset_version string"
 EPOCH_MS = (0, 4_102_444_800_000)
 
 
+def names(schema: str) -> list[str]:
+    """The columns of a schema string."""
+    return [part.split(" ")[0] for part in schema.split(", ")]
+
+
 def scan(spark: SparkSession, root: str, schema: str, version: str, time: str, start: Column, end: Column, interval: str | None = None, columns: list[str] | None = None, symbols: list[str] | None = None) -> DataFrame:
     """IO1-IO4. A version's rows with start <= time < end. Filters stand on raw columns, so files,
     row groups and columns that aren't needed aren't read."""
@@ -66,9 +73,14 @@ def klines(cells: Column, df: DataFrame, symbol: Column, interval: str, source:
 
 
 def csv_klines(lines: DataFrame, interval: str, version: str, value: str = "value", symbol: str = "symbol") -> tuple[DataFrame, DataFrame]:
-    """IO6. Lines of archive CSV with (symbol, value); a line whose first cell has no digits is a header."""
-    body = lines.where(F.col(value).rlike("^[0-9]"))
-    return klines(F.split(F.col(value), ","), body, F.col(symbol), interval, "archive", version)
+    """IO6. Lines of archive CSV with (symbol, value).
+
+    Lines of a text scan have no order, so a header is told by what it is: names and not a number among
+    its cells. Any other line without a readable time is damaged, and a reject.
+    """
+    cells = F.split(F.col(value), ",")
+    body = lines.where(F.exists(cells, lambda c: c.rlike(r"[0-9]")) & (F.trim(F.col(value)) != ""))
+    return klines(cells, body, F.col(symbol), interval, "archive", version)
 
 
 def json_klines(payloads: DataFrame, interval: str, version: str, retrieved: Column, value: str = "value", symbol: str = "symbol") -> tuple[DataFrame, DataFrame]:
@@ -77,27 +89,50 @@ def json_klines(payloads: DataFrame, interval: str, version: str, retrieved: Col
     return klines(F.col("_row"), rows, F.col(symbol), interval, "rest", version, retrieved)
 
 
-def funding_rows(payloads: DataFrame, hours: DataFrame, version: str, value: str = "value") -> DataFrame:
-    """IO8. Objects in either dialect (fundingTime / calc_time, fundingRate / last_funding_rate), with
-    the interval's hours by symbol."""
-    kind = "array<struct<symbol:string,fundingTime:string,calc_time:string,fundingRate:string,last_funding_rate:string,markPrice:string>>"
-    r = payloads.select(F.explode(F.from_json(value, kind)).alias("r")).select("r.*")
-    out = r.select(
-        epoch_ms(F.coalesce("fundingTime", "calc_time")).alias("funding_time"), F.upper(F.trim("symbol")).alias("symbol"), finite(F.coalesce("fundingRate", "last_funding_rate")).alias("funding_rate"),
-        finite(F.col("markPrice")).alias("mark_price"), F.lit("raw").alias("source_object_id"), F.lit(version).alias("dataset_version"),
+FUNDING_CELLS = ("symbol", "fundingTime", "calc_time", "fundingRate", "last_funding_rate", "markPrice")
+
+
+def funding_table(cells: DataFrame, hours: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """(settlements, rejects) of rows whose ``FUNDING_CELLS`` are strings; columns that are absent are null.
+
+    A row without a readable time, symbol or rate is a reject, and so is one whose mark isn't a number.
+    """
+    c = lambda name: F.col(name) if name in cells.columns else F.lit(None).cast("string")
+    out = cells.select(
+        epoch_ms(F.coalesce(c("fundingTime"), c("calc_time"))).alias("funding_time"), F.upper(printable(c("symbol"))).alias("symbol"), finite(F.coalesce(c("fundingRate"), c("last_funding_rate"))).alias("funding_rate"),
+        finite(c("markPrice")).alias("mark_price"), F.lit("raw").alias("source_object_id"), F.lit(version).alias("dataset_version"), F.to_json(F.struct(*(c(x).alias(x) for x in FUNDING_CELLS))).alias("_raw"), (c("markPrice").isNotNull() & (F.trim(c("markPrice")) != "")).alias("_marked"),
     )
-    return out.join(hours.select(F.upper("symbol").alias("symbol"), "funding_interval_hours"), "symbol", "left")
+    bad = F.col("funding_time").isNull() | F.col("symbol").isNull() | F.col("funding_rate").isNull() | (F.col("_marked") & F.col("mark_price").isNull())
+    good = out.where(~bad).drop("_raw", "_marked").join(hours.select(F.upper("symbol").alias("symbol"), "funding_interval_hours"), "symbol", "left")
+    return good, out.where(bad).select("symbol", "_raw")
+
+
+def funding_rows(payloads: DataFrame, hours: DataFrame, version: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """IO8. (settlements, rejects) of objects in either dialect (fundingTime / calc_time, fundingRate /
+    last_funding_rate), with the interval's hours by symbol."""
+    kind = f"array<struct<{','.join(f'{x}:string' for x in FUNDING_CELLS)}>>"
+    return funding_table(payloads.select(F.explode(F.from_json(value, kind)).alias("r")).select("r.*"), hours, version)
+
 
+def csv_funding(rows: DataFrame, hours: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """IO8. (settlements, rejects) of archive CSV read with its header; files of one dialect at a time."""
+    return funding_table(rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns if c in FUNDING_CELLS)), hours, version)
 
-def contract_rows(payloads: DataFrame, version: str, value: str = "value", snapshot: str = "snapshot_time") -> DataFrame:
-    """IO9. Exchange metadata: one row per symbol, sizes from its nested filters."""
+
+def contract_rows(payloads: DataFrame, version: str, value: str = "value", snapshot: str = "snapshot_time") -> tuple[DataFrame, DataFrame]:
+    """IO9. (contracts, rejects) of exchange metadata: one row per symbol, sizes from its nested filters.
+
+    A symbol without a price tick or a quantity step above 0 is a reject.
+    """
     kind = "struct<symbols:array<struct<symbol:string,contractType:string,status:string,baseAsset:string,quoteAsset:string,marginAsset:string,onboardDate:string,deliveryDate:string,filters:array<struct<filterType:string,tickSize:string,stepSize:string,minQty:string,notional:string>>>>>"
-    s = payloads.select(F.col(snapshot), F.explode(F.from_json(value, kind)["symbols"]).alias("s")).select(snapshot, "s.*")
+    s = payloads.select(F.col(snapshot), F.explode(F.from_json(value, kind)["symbols"]).alias("s")).select(snapshot, F.to_json("s").alias("_raw"), "s.*")
     pick = lambda name, field: finite(F.get(F.filter("filters", lambda f: f["filterType"] == name), F.lit(0))[field])
-    return s.select(
-        F.col(snapshot).alias("snapshot_time"), F.upper("symbol").alias("symbol"), F.upper("contractType").alias("contract_type"), F.upper("status").alias("status"), F.upper("baseAsset").alias("base_asset"), F.upper("quoteAsset").alias("quote_asset"), F.upper("marginAsset").alias("margin_asset"),
-        epoch_ms(F.col("onboardDate")).alias("onboard_time"), epoch_ms(F.col("deliveryDate")).alias("delivery_time"), pick("PRICE_FILTER", "tickSize").alias("price_tick"), pick("LOT_SIZE", "stepSize").alias("quantity_step"), pick("LOT_SIZE", "minQty").alias("min_quantity"), pick("MIN_NOTIONAL", "notional").alias("min_notional"), F.lit(version).alias("dataset_version"),
+    out = s.select(
+        F.col(snapshot).alias("snapshot_time"), F.upper(printable(F.col("symbol"))).alias("symbol"), F.upper("contractType").alias("contract_type"), F.upper("status").alias("status"), F.upper("baseAsset").alias("base_asset"), F.upper("quoteAsset").alias("quote_asset"), F.upper("marginAsset").alias("margin_asset"),
+        epoch_ms(F.col("onboardDate")).alias("onboard_time"), epoch_ms(F.col("deliveryDate")).alias("delivery_time"), pick("PRICE_FILTER", "tickSize").alias("price_tick"), pick("LOT_SIZE", "stepSize").alias("quantity_step"), pick("LOT_SIZE", "minQty").alias("min_quantity"), pick("MIN_NOTIONAL", "notional").alias("min_notional"), F.lit(version).alias("dataset_version"), "_raw",
     )
+    good = F.coalesce(F.col("symbol").isNotNull() & (F.col("price_tick") > 0) & (F.col("quantity_step") > 0), F.lit(False))
+    return out.where(good).drop("_raw"), out.where(~good).select("snapshot_time", "symbol", "_raw")
 
 
 def publish(bars: DataFrame, path: str) -> None:

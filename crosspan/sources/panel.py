@@ -44,8 +44,8 @@ def bars(spark: SparkSession, sf_dir: str, kind: str = "6h") -> DataFrame:
 
 
 def funding(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
-    """Sparse settlements: every eighth event; its rate is the value's fraction about 0, in percent."""
-    events = table(spark, sf_dir, "events").where("event_id % 8 = 0 and value is not null")
+    """A settlement for each event; its rate is the value's fraction about 0, in percent."""
+    events = table(spark, sf_dir, "events").where("value is not null")
     symbol = F.col("user_id").cast("string") if by_user else F.col("event_type")
     return events.select(
         F.col("ts").cast("timestamp").alias("funding_time"), symbol.alias("symbol"), ((F.col("value") % 1 - 0.5) / 100).alias("funding_rate"),

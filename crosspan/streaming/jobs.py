@@ -44,34 +44,66 @@ def without_duplicates(bars: DataFrame, delay: str) -> DataFrame:
     return bars.withWatermark("open_time", delay).dropDuplicatesWithinWatermark(["symbol", "open_time"])
 
 
-def stateful(stream: DataFrame, key: str, fn, output: str, state: str) -> DataFrame:
-    return stream.groupBy(key).applyInPandasWithState(fn, output, state, "append", GroupStateTimeout.NoTimeout)
+KEEP = "400d"
 
 
-def history(bars: DataFrame) -> DataFrame:
+def stateful(stream: DataFrame, time: str, delay: str, keep: str, step, output: str, state: str, least: bool = True) -> DataFrame:
+    """A state for each symbol, which goes ``keep`` after the symbol's last row by event time.
+
+    ``step`` takes the symbol, its rows in order of ``t`` (``time`` in ms) and the state or None, and gives
+    the new state and the rows to put out. The state's last field is the last ``t``; with ``least`` rows at
+    or before it are left out, as duplicates or rewound.
+    """
+    names = [part.split()[0] for part in output.split(", ")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        before = held.get if held.exists else None
+        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
+        if least:
+            rows = rows.drop_duplicates("t")
+            rows = rows[rows["t"] > before[-1]] if before else rows
+        if not len(rows):
+            return
+        after, out = step(key[0], rows, before)
+        held.update((*after, max(int(rows["t"].max()), before[-1] if before else 0)))
+        held.setTimeoutTimestamp(max(held.get[-1] + seconds(keep) * 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    timed = stream.withColumn("t", ms(time)).withWatermark(time, delay)
+    return timed.groupBy("symbol").applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def forward_only(bars: DataFrame, delay: str = "1 day", keep: str = KEEP) -> DataFrame:
+    """Z2. Bars that open after all that their symbol has had: duplicates and rewound bars are left out."""
+
+    def step(symbol: str, rows: pd.DataFrame, before: tuple | None) -> tuple[tuple, list[tuple]]:
+        return (), [(symbol, int(r.t), float(r.close)) for r in rows.itertuples()]
+
+    return stateful(bars.select("symbol", "open_time", "close"), "open_time", delay, keep, step, "symbol string, t long, close double", "last long")
+
+
+def history(bars: DataFrame, delay: str = "1 day", keep: str = KEEP) -> DataFrame:
     """Z3. After each batch: bars so far and the first open, of the symbols that it had."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, first = state.get if state.exists else (0, None)
-        for pdf in batches:
-            n += int(pdf["is_complete"].sum())
-            least = pdf["open_time"].min()
-            first = least if first is None or least < first else first
-        state.update((n, first))
-        yield pd.DataFrame({"symbol": [key[0]], "history_bars": [n], "first_bar_open": [first]})
+    def step(symbol: str, rows: pd.DataFrame, before: tuple | None) -> tuple[tuple, list[tuple]]:
+        n, first, _ = before or (0, int(rows["t"].min()), 0)
+        n, first = n + int(rows["is_complete"].sum()), min(first, int(rows["t"].min()))
+        return (n, first), [(symbol, n, pd.Timestamp(first, unit="ms"))]
 
-    return stateful(bars.select("symbol", "open_time", "is_complete"), "symbol", step, "symbol string, history_bars long, first_bar_open timestamp", "n long, first timestamp")
+    return stateful(bars.select("symbol", "open_time", "is_complete"), "open_time", delay, keep, step, "symbol string, history_bars long, first_bar_open timestamp", "n long, first long, last long", least=False)
 
 
-def live_ema(bars: DataFrame, interval: str, candle: str, fast: int, slow: int) -> DataFrame:
+def live_ema(bars: DataFrame, interval: str, candle: str, fast: int, slow: int, delay: str = "1 day", keep: str = KEEP) -> DataFrame:
     """Z4. Live ratio of two averages; the state holds the closed candles' averages and the open candle."""
     step_ms, base = seconds(candle) * 1000, seconds(interval) * 1000
     n = step_ms // base
     a, b = 2.0 / (fast + 1), 2.0 / (slow + 1)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        f, s, samples, bucket, seen, whole, last = state.get if state.exists else (0.0, 0.0, 0, -1, 0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("t")
+    def step(symbol: str, rows: pd.DataFrame, before: tuple | None) -> tuple[tuple, list[tuple]]:
+        f, s, samples, bucket, seen, whole, last, _ = before or (0.0, 0.0, 0, -1, 0, 0, 0.0, 0)
         out = []
         for r in rows.itertuples():
             mine = r.t - r.t % step_ms
@@ -85,36 +117,31 @@ def live_ema(bars: DataFrame, interval: str, candle: str, fast: int, slow: int)
                 bucket, seen, whole = mine, 0, 0
             seen, whole, last = seen + 1, whole + bool(r.is_complete), float(r.close)
             expected = (r.t + base - bucket) // base
-            value = None
             if r.is_complete and seen == expected and whole == expected and samples + 1 >= slow and r.close > 0:
                 x, y = (a * last + (1 - a) * f, b * last + (1 - b) * s) if samples else (last, last)
-                value = x / y - 1.0 if y > 0 else None
-            out.append((key[0], int(r.t + base), value))
-        state.update((f, s, samples, int(bucket), seen, whole, last))
-        yield pd.DataFrame(out, columns=["symbol", "t", "raw_value"]).astype({"raw_value": "Float64"})
+                if y > 0:
+                    out.append((symbol, int(r.t + base), x / y - 1.0))
+        return (f, s, samples, int(bucket), seen, whole, last), out
 
-    rows = bars.select("symbol", ms("open_time").alias("t"), "close", "is_complete")
-    return stateful(rows, "symbol", step, "symbol string, t long, raw_value double", "f double, s double, samples long, bucket long, seen long, whole long, last double")
+    return stateful(bars.select("symbol", "open_time", "close", "is_complete"), "open_time", delay, keep, step, "symbol string, t long, raw_value double", "f double, s double, samples long, bucket long, seen long, whole long, close double, last long")
 
 
-def crossover_alerts(scores: DataFrame, entry: float, exit_: float, every: str) -> DataFrame:
+def crossover_alerts(scores: DataFrame, entry: float, exit_: float, every: str, delay: str = "1 day", keep: str = KEEP) -> DataFrame:
     """Z5. LONG and FLAT alerts between scores that are ``every`` apart; the state is the last score."""
     gap = seconds(every) * 1000
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t0, prior = state.get if state.exists else (-1, 0.0)
+    def step(symbol: str, rows: pd.DataFrame, before: tuple | None) -> tuple[tuple, list[tuple]]:
+        prior, t0 = before or (0.0, -1)
         out = []
-        for r in pd.concat(list(batches)).sort_values("t").itertuples():
+        for r in rows.itertuples():
             if t0 >= 0 and r.t - t0 == gap:
                 side = "LONG" if prior <= entry < r.value else "FLAT" if prior >= exit_ > r.value else None
                 if side:
-                    out.append((key[0], int(r.t), float(r.value), side))
+                    out.append((symbol, int(r.t), float(r.value), side))
             t0, prior = int(r.t), float(r.value)
-        state.update((t0, prior))
-        yield pd.DataFrame(out, columns=["symbol", "t", "score", "side"]).astype({"t": "int64", "score": float})
+        return (prior,), out
 
-    rows = scores.where("is_valid").select("symbol", ms("timestamp").alias("t"), "value")
-    return stateful(rows, "symbol", step, "symbol string, t long, score double, side string", "t long, prior double")
+    return stateful(scores.where("is_valid").select("symbol", "timestamp", "value"), "timestamp", delay, keep, step, "symbol string, t long, score double, side string", "prior double, last long")
 
 
 def rank_snapshots(scores: DataFrame, delay: str) -> DataFrame:
@@ -123,26 +150,24 @@ def rank_snapshots(scores: DataFrame, delay: str) -> DataFrame:
     return closed.select("timestamp", F.size("rows").alias("sample_count"), F.posexplode("rows").alias("_i", "r")).select("timestamp", "r.symbol", (F.col("_i") + 1).alias("ordinal_rank"), "sample_count")
 
 
-def descent_alerts(ranks: DataFrame, start: int, entry: int, every: str) -> DataFrame:
+def descent_alerts(ranks: DataFrame, start: int, entry: int, every: str, delay: str = "1 day", keep: str = KEEP) -> DataFrame:
     """Z6. Fires once in an unbroken run of falling ranks from ``start`` when it reaches ``entry``."""
     gap = seconds(every) * 1000
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t0, previous, alive = state.get if state.exists else (-1, 0, False)
+    def step(symbol: str, rows: pd.DataFrame, before: tuple | None) -> tuple[tuple, list[tuple]]:
+        previous, alive, t0 = before or (0, False, -1)
         out = []
-        for r in pd.concat(list(batches)).sort_values("t").itertuples():
+        for r in rows.itertuples():
             rank = int(r.ordinal_rank)
             if t0 < 0 or r.t - t0 != gap or rank > previous:
                 alive = rank >= start
             elif alive and rank == entry:
-                out.append((key[0], int(r.t), rank))
+                out.append((symbol, int(r.t), rank))
                 alive = False
             t0, previous = int(r.t), rank
-        state.update((t0, previous, alive))
-        yield pd.DataFrame(out, columns=["symbol", "t", "ordinal_rank"]).astype({"t": "int64", "ordinal_rank": "int64"})
+        return (previous, alive), out
 
-    rows = ranks.select("symbol", ms("timestamp").alias("t"), "ordinal_rank")
-    return stateful(rows, "symbol", step, "symbol string, t long, ordinal_rank long", "t long, previous long, alive boolean")
+    return stateful(ranks.select("symbol", "timestamp", "ordinal_rank"), "timestamp", delay, keep, step, "symbol string, t long, ordinal_rank long", "previous long, alive boolean, last long")
 
 
 def funding_join(funding: DataFrame, bars: DataFrame, interval: str, delay: str) -> DataFrame:

@@ -83,3 +83,21 @@ def test_durations():
             seconds(bad)
     with pytest.raises(ValueError):
         bars_in("5h", "2h")
+
+
+def test_damaged_lines_are_rejects_and_headers_are_not(spark):
+    good = "1704067200000,1,2,0.5,1.5,10,1704070799999,15,3,5,7,0"
+    lines = ["open_time,open,high,low,close", good, "x" + good, good.replace("1704067200000", ""), "", good.replace(",2,", ",n/a,")]
+    df = spark.createDataFrame([("a", v) for v in lines], "symbol string, value string")
+    bars, rejects = files.csv_klines(df, "1h", "v1")
+    assert bars.count() == 1 and rejects.count() == 3
+
+
+def test_unreadable_settlements_and_contracts_are_rejects(spark):
+    hours = spark.createDataFrame([("a", 8)], "symbol string, funding_interval_hours int")
+    rows = [("a", "1704067200000", "0.1", "5"), ("a", "later", "0.1", None), ("a", "1704067200000", "NaN", None), (None, "1704067200000", "0.1", None), ("a", "1704067200000", "0.1", "much")]
+    good, bad = files.csv_funding(spark.createDataFrame(rows, "symbol string, calc_time string, last_funding_rate string, markPrice string"), hours, "v1")
+    assert [(r.symbol, r.funding_rate, r.mark_price, r.funding_interval_hours) for r in good.collect()] == [("A", 0.1, 5.0, 8)] and bad.count() == 4
+    text = '{"symbols": [{"symbol": "x", "filters": [{"filterType": "PRICE_FILTER", "tickSize": "0.1"}, {"filterType": "LOT_SIZE", "stepSize": "1", "minQty": "1"}]}, {"symbol": "y", "filters": [{"filterType": "PRICE_FILTER", "tickSize": "0.1"}]}, {"symbol": "z"}]}'
+    good, bad = files.contract_rows(spark.createDataFrame([(text,)], "value string").selectExpr("value", "timestamp_millis(0) as snapshot_time"), "v1")
+    assert [r.symbol for r in good.collect()] == ["X"] and sorted(r.symbol for r in bad.collect()) == ["Y", "Z"]

@@ -71,3 +71,23 @@ def test_late_bars_are_dropped_and_windows_close_once(spark, tmp_path):
     out = jobs.run_available(jobs.resample(jobs.source(spark, folder), "1h", "1 hour"), str(tmp_path / "out"))
     got = {(r.o, r.open, r.high, r.close, r.trades) for r in out.select(F.unix_millis("open_time").alias("o"), "open", "high", "close", "trades").collect()}
     assert got == {(T0, 1.0, 3.0, 3.0, 2), (T0 + 4 * H, 2.0, 2.0, 2.0, 1)}
+
+
+def test_rewound_bars_are_left_out_and_idle_states_go(spark, tmp_path):
+    rows = [("a", T0 + 5 * H, 1.0), ("a", T0 + 6 * H, 2.0)], [("a", T0 + 4 * H, 3.0), ("a", T0 + 6 * H, 4.0), ("a", T0 + 7 * H, 5.0), ("b", T0 + 6 * H, 6.0)], [("b", T0 + 500 * H, 7.0)], [("b", T0 + 501 * H, 8.0)]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in rows:
+        df = spark.createDataFrame(part, "symbol string, t long, close double").withColumn("open_time", F.timestamp_millis("t"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+        got = jobs.run_available(jobs.forward_only(jobs.source(spark, folder), "2 hours", "24h"), out)
+    assert sorted((r.symbol, (r.t - T0) // H) for r in got.collect()) == [("a", 5), ("a", 6), ("a", 7), ("b", 6), ("b", 500), ("b", 501)]
+
+
+def test_null_values_are_no_trades(spark, tmp_path, monkeypatch):
+    from crosspan.plans import stream_queries
+
+    rows = [(1, T0, "click", 1.0), (2, T0 + 1000, "click", None), (3, T0 + 2000, "click", 3.0), (4, T0 + 90 * H, "click", 1.0)]
+    df = spark.createDataFrame(rows, "event_id long, t long, event_type string, value double").selectExpr("event_id", "timestamp_millis(t) as ts", "event_type", "value")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = stream_queries.z1_stream_resample(spark, str(tmp_path)).collect()
+    assert [(r.open, r.close, r.trades) for r in got] == [(1.0, 3.0, 2)]
