@@ -48,6 +48,8 @@ BITS, WORDS, SEED, DISTANCE = 64, 3, 42, 2
 PIECES = ((43, 21), (22, 21), (0, 22))
 #: The most members of one join (or of each side of it).
 MOST_MEMBERS = 4096
+#: Rows of one component that one task joins, and the most larger components whose names are broadcast.
+PER_TASK, MOST_LARGE = 1000, 100_000
 #: The signature of :func:`one_of_each`: bits, words, and the bits that a similarity of 0.8 leaves unlike
 #: (39, and one standard deviation of 6 more); members of a subtrie, and the share of pairs to be found.
 WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 256, 5, 44, 0.15, 256, 0.95
@@ -248,6 +250,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("v", "v"))
 
 
+def by_root(roots: DataFrame, value) -> DataFrame:
+    """``roots`` with an aggregate of their component in the column ``named``.
+
+    Components of more than ``PER_TASK`` rows, of which there can be one in so many rows, aren't dealt
+    out by their root: their names are sent to all, up to ``MOST_LARGE``.
+    """
+    named = written(roots.groupBy("root").agg(value.alias("named"), F.count("*").alias("n")), "named")
+    large = named.where(F.col("n") > PER_TASK).select("root", "named")
+    if not 0 < large.count() <= MOST_LARGE:
+        return roots.join(named.select("root", "named"), "root")
+    large = F.broadcast(large)
+    rest = roots.join(large, "root", "left_anti").join(named.where(F.col("n") <= PER_TASK).select("root", "named"), "root")
+    return rest.unionByName(roots.join(large, "root"))
+
+
 def rooted(fps: DataFrame) -> DataFrame:
     """(fp, least, root) of the distinct fingerprints: their least id, and what names the component."""
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
@@ -262,8 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     roots = rooted(fps)
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(names, "root").select("fp", "component_id")
+    named = by_root(roots, F.min("least")).select("fp", F.col("named").alias("component_id"))
     return fps.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -376,7 +392,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = components(similar_links(distinct, distinct.count()))
     roots = distinct.join(found, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     roots = written(roots, "rooted")
-    chosen = roots.groupBy("root").agg(F.min("least").alias("chosen"))
-    named = roots.join(chosen, "root").select(*words, F.col("chosen.row").alias("chosen"))
+    named = by_root(roots, F.min("least")).select(*words, F.col("named.row").alias("chosen"))
     gone = rows.join(named, words).where("row <> chosen").select(F.col("row").alias("gone"))
     return marked.join(gone, marked[names[0]] == gone["gone"], "left_anti").select(*docs.columns)

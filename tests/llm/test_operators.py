@@ -917,6 +917,15 @@ def test_joins_of_two_tries():
         assert len(names) == len({n for n, _ in names}) == len({n for _, n in names})
 
 
+def test_large_components_are_named_like_small_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3 if i < 30 else i, i) for i in range(50)], "root long, least long").repartition(3)
+    want = {(r.root, r.least): r.root if r.least < 30 else r.least for r in df.collect()}
+    for most, per in ((100_000, 1000), (100_000, 5), (0, 5)):
+        monkeypatch.setattr(simhash, "PER_TASK", per)
+        monkeypatch.setattr(simhash, "MOST_LARGE", most)
+        assert {(r.root, r.least): r.named for r in simhash.by_root(df, F.min("least")).collect()} == want
+
+
 def test_similar_signatures_in_parts(spark):
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 1 << 63, (60, 4), dtype=np.uint64)
