@@ -744,7 +744,7 @@ NOTICES = {
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy": "bsl-1.0",
     "Redistribution and use in source and binary forms, with or without\nmodification, are permitted": "bsd", "Neither the name of the Company nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
     "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee": "isc", "This is free and unencumbered software released into the public domain.": "unlicense",
-    "subject to the terms of the Mozilla Public\n * License, v. 2.0"[:36] + "License, v. 2.0": "mpl-2.0", "This software is provided 'as-is', without any express or implied warranty.": "zlib",
+    "subject to the terms of the Mozilla Public\nLicense, v. 2.0": "mpl-2.0", "This software is provided 'as-is', without any express or implied warranty.": "zlib",
     "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0", "under the same terms as Perl itself": "artistic", "The Software shall be used for Good, not Evil.": "json", "Creative Commons Attribution-ShareAlike 3.0": "cc-by-sa-3.0",
     "https://creativecommons.org/licenses/by-nc/4.0/": "cc-by-nc-4.0", "CC0 1.0 Universal": "cc0", "Unauthorised copying of this file is forbidden": "proprietary", "All rights reserved.": "reserved", "Licensed under the EUPL-1.2": "eupl-1.2",
     "You should have received a copy of the GNU Affero General Public License": "agpl", "Llama 3.1 Community License": "llama", "SIL Open Font License, Version 1.1": "ofl-1.1",
