@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crosspan.llm import arc, decontam, licenses, media, packing, ppm, repeats, secrets, simhash, toxicity
+from crosspan.llm import arc, decontam, exact, licenses, media, packing, ppm, repeats, secrets, simhash, toxicity
 from crosspan.llm.common import read
 
 
@@ -54,8 +54,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ppm, op3_decontam, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_ppm, op3_decontam, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash, op11_exact)
 }
 SQL: dict[str, str] = {
     # Each start of 200 bytes, in hexadecimal digits; bytes under a start that occurs elsewhere too go.
@@ -86,4 +90,9 @@ SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
         FROM parts
     """,
+    "op11_exact": r"""
+        WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM texts WINDOW w AS (PARTITION BY t)
+    """,
 }
