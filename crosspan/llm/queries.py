@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crosspan.llm import arc, decontam, exact, licenses, media, packing, ppm, repeats, secrets, simhash, toxicity
+from crosspan.llm import arc, decontam, dialogue, exact, licenses, media, negatives, packing, ppm, repeats, secrets, simhash, toxicity
 from crosspan.llm.common import read
 
 
@@ -58,8 +59,19 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_digests(read(spark, sf_dir, "conversations"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are wrong on purpose, and each hundredth row is an anchor."""
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ppm, op3_decontam, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash, op11_exact)
+    f.__name__: f for f in (op1_toxicity, op2_ppm, op3_decontam, op4_repeats, op5_packing, op6_warc, op7_media, op8_licenses, op9_secrets, op10_simhash, op11_exact, op12_dialogue, op13_negatives)
 }
 SQL: dict[str, str] = {
     # Each start of 200 bytes, in hexadecimal digits; bytes under a start that occurs elsewhere too go.
@@ -95,4 +107,19 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM texts WINDOW w AS (PARTITION BY t)
     """,
+    # All anchors against all rows.
+    "op13_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ),
+        positives AS (SELECT * FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, p.other_id AS positive_id, (row_number() OVER w)::INTEGER AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) QUALIFY rank <= 5
+    """,
 }
