@@ -44,24 +44,6 @@ def by_symbol(*more: str) -> WindowSpec:
     return Window.partitionBy("symbol", *more).orderBy("open_time")
 
 
-def rows(w: WindowSpec, n: int) -> WindowSpec:
-    """The current row and the n - 1 before it."""
-    return w.rowsBetween(-(n - 1), 0)
-
-
-def full(agg: Column, counted: Column, w: WindowSpec, n: int) -> Column:
-    """``agg`` over n rows, null unless all n values of ``counted`` are there."""
-    return F.when(F.count(counted).over(rows(w, n)) == n, agg.over(rows(w, n)))
-
-
-def rolling_sum(c: Column, w: WindowSpec, n: int) -> Column:
-    return full(F.sum(c), c, w, n)
-
-
-def rolling_mean(c: Column, w: WindowSpec, n: int) -> Column:
-    return full(F.avg(c), c, w, n)
-
-
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation from moments; null where either side is constant."""
     return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))

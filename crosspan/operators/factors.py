@@ -10,12 +10,12 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import bars_in, by_symbol, correlation, full, is_finite, ms, ratio, rolling_mean, rolling_sum, rows, seconds
+from crosspan.functions import rolling
+from crosspan.functions.core import bars_in, by_symbol, is_finite, ms, ratio, seconds
+from crosspan.functions.rolling import Windows
 from crosspan.operators.timeaxis import segments, thin
 
 SEGMENT = ("segment",)
@@ -60,24 +60,29 @@ def sma(bars: DataFrame, value: str, n: int, m: int, out: str) -> DataFrame:
 # --------------------------------------------------------------- families over whole symbols (F)
 
 
-def complete_run(w: WindowSpec, n: int) -> Column:
-    """All of the last n bars are complete."""
-    return F.coalesce(F.sum(F.col("is_complete").cast("int")).over(rows(w, n)) == n, F.lit(False))
+def of_symbols() -> Windows:
+    return Windows(("symbol",))
+
+
+def complete_run(w: Windows, n: int, skip: int = 0) -> Column:
+    """The n bars that end ``skip`` bars ago are there and complete: the last that isn't lies before them."""
+    bad = F.when(~F.coalesce("is_complete", F.lit(False)), F.col("_at"))
+    last_bad = w.ask(F.max(bad).over(w.window.rowsBetween(Window.unboundedPreceding, -skip)), None)
+    return F.coalesce(last_bad, F.lit(-1)) < F.col("_at") - (skip + n - 1)
 
 
 def momentum(bars: DataFrame, interval: str, lookback: str, skip: str | None = None, reverse: bool = False) -> DataFrame:
     """F1, F2. Return over ``lookback`` that ended ``skip`` ago."""
-    w, n, k = by_symbol(), bars_in(lookback, interval), bars_in(skip, interval) if skip else 0
-    now, past = F.lag("close", k).over(w), F.lag("close", k + n).over(w)
-    t0, t1 = ms(F.lag("close_time", k).over(w)), ms(F.lag("close_time", k + n).over(w))
-    whole = complete_run(w, n + 1) if not k else F.sum(F.col("is_complete").cast("int")).over(w.rowsBetween(-(k + n), -k)) == n + 1
-    good = is_finite(now) & is_finite(past) & (now > 0) & (past > 0) & whole & (t0 - t1 == n * seconds(interval) * 1000)
+    w, n, k = of_symbols(), bars_in(lookback, interval), bars_in(skip, interval) if skip else 0
+    now, past = w.lag(F.col("close"), k), w.lag(F.col("close"), k + n)
+    t0, t1 = ms(w.lag(F.col("close_time"), k)), ms(w.lag(F.col("close_time"), k + n))
+    good = is_finite(now) & is_finite(past) & (now > 0) & (past > 0) & complete_run(w, n + 1, k) & (t0 - t1 == n * seconds(interval) * 1000)
     value = ratio(now, past) - 1.0
-    return raw(bars, F.when(good, -value if reverse else value))
+    return raw(w.added(bars), F.when(good, -value if reverse else value))
 
 
-def contiguous(w: WindowSpec, n: int, interval: str) -> Column:
-    return ms("open_time") - ms(F.lag("open_time", n).over(w)) == n * seconds(interval) * 1000
+def contiguous(w: Windows, n: int, interval: str) -> Column:
+    return ms("open_time") - ms(w.lag(F.col("open_time"), n)) == n * seconds(interval) * 1000
 
 
 def log_close() -> Column:
@@ -86,34 +91,40 @@ def log_close() -> Column:
 
 def volatility(bars: DataFrame, interval: str, window: str) -> DataFrame:
     """F3. Population deviation of log returns."""
-    w, n = by_symbol(), bars_in(window, interval)
-    b = bars.withColumn("_r", log_close() - F.lag(log_close()).over(w))
+    w, n = of_symbols(), bars_in(window, interval)
+    value = w.std(log_close() - w.lag(log_close(), 1), n, 0)
     good = contiguous(w, n, interval) & complete_run(w, n + 1)
-    return raw(b, F.when(good, full(F.stddev_pop("_r"), F.col("_r"), w, n)))
+    return raw(w.added(bars), F.when(good, value))
+
+
+def last_sum(w: Windows, column: str, n: int) -> Column:
+    return w.over(rolling.total(F.col(column)), n, F.col(column))
 
 
 def quote_volume(bars: DataFrame, interval: str, window: str) -> DataFrame:
     """F4. Rolling quote volume of complete, adjacent bars."""
-    w, n = by_symbol(), bars_in(window, interval)
-    good = (ms("open_time") - ms(F.lag("open_time", n - 1).over(w)) == (n - 1) * seconds(interval) * 1000) & complete_run(w, n)
-    return raw(bars, F.when(good, F.sum("quote_volume").over(rows(w, n))))
+    w, n = of_symbols(), bars_in(window, interval)
+    value = last_sum(w, "quote_volume", n)
+    good = contiguous(w, n - 1, interval) & complete_run(w, n)
+    return raw(w.added(bars), F.when(good, value))
 
 
 def taker_ratio(bars: DataFrame, interval: str, window: str) -> DataFrame:
     """F5. Share of taker buys in rolling quote volume."""
-    w, n = by_symbol(), bars_in(window, interval)
-    total = F.sum("quote_volume").over(rows(w, n))
-    good = (ms("open_time") - ms(F.lag("open_time", n - 1).over(w)) == (n - 1) * seconds(interval) * 1000) & complete_run(w, n) & (total > 0)
-    return raw(bars, F.when(good, ratio(F.sum("taker_buy_quote_volume").over(rows(w, n)), total)))
+    w, n = of_symbols(), bars_in(window, interval)
+    total, taker = last_sum(w, "quote_volume", n), last_sum(w, "taker_buy_quote_volume", n)
+    good = contiguous(w, n - 1, interval) & complete_run(w, n) & (total > 0)
+    return raw(w.added(bars), F.when(good, ratio(taker, total)))
 
 
 def illiquidity(bars: DataFrame, interval: str, window: str) -> DataFrame:
     """F6. Mean of absolute log return per million of quote volume."""
-    w, n = by_symbol(), bars_in(window, interval)
-    r = F.abs(log_close() - F.lag(log_close()).over(w))
-    b = bars.withColumn("_a", F.when((F.col("close") > 0) & (F.col("quote_volume") > 0), ratio(r, F.col("quote_volume")) * 1e6))
-    b = b.withColumn("_a", F.when(is_finite(F.col("_a")), F.col("_a")))
-    return raw(b, F.when(contiguous(w, n, interval) & complete_run(w, n + 1), full(F.avg("_a"), F.col("_a"), w, n)))
+    w, n = of_symbols(), bars_in(window, interval)
+    r = F.abs(log_close() - w.lag(log_close(), 1))
+    a = F.when((F.col("close") > 0) & (F.col("quote_volume") > 0), ratio(r, F.col("quote_volume")) * 1e6)
+    value = w.mean(F.when(is_finite(a), a), n)
+    good = contiguous(w, n, interval) & complete_run(w, n + 1)
+    return raw(w.added(bars), F.when(good, value))
 
 
 def sampled_mean(bars: DataFrame, interval: str, sample_interval: str, samples: int, reverse: bool = False) -> DataFrame:
@@ -180,122 +191,117 @@ def prepared(bars: DataFrame, interval: str) -> DataFrame:
     return b.withColumns(before).withColumn("change", F.col("close") - F.col("close1"))
 
 
-def delay(c: str, n: int) -> Column:
-    return F.lag(c, n).over(by_symbol(*SEGMENT))
+def delay(w: Windows, c: str, n: int) -> Column:
+    return w.lag(F.col(c), n)
 
 
 def zero_unless(test: Column, value: Column) -> Column:
     return F.when(test, value).otherwise(0.0)
 
 
-def of_mean(n: int) -> Callable[[], Column]:
-    def build() -> Column:
-        mean = rolling_mean(F.col("close"), by_symbol(*SEGMENT), n)
+def of_mean(n: int) -> Callable[[Windows], Column]:
+    def build(w: Windows) -> Column:
+        mean = w.mean(F.col("close"), n)
         return ratio(F.col("close") - mean, mean) * 100.0
 
     return build
 
 
-def roc(n: int) -> Callable[[], Column]:
-    return lambda: ratio(F.col("close") - delay("close", n), delay("close", n)) * 100.0
+def roc(n: int) -> Callable[[Windows], Column]:
+    def build(w: Windows) -> Column:
+        before = delay(w, "close", n)
+        return ratio(F.col("close") - before, before) * 100.0
 
+    return build
 
-def up_down_volume(n: int, volume: str = "volume") -> Column:
-    w, c, p = by_symbol(*SEGMENT), F.col("close"), F.col("close1")
-    up = rolling_sum(zero_unless(c > p, F.col(volume)), w, n)
-    down = rolling_sum(zero_unless(c <= p, F.col(volume)), w, n)
+
+def up_down_volume(w: Windows, n: int, volume: str = "volume") -> Column:
+    c, p = F.col("close"), F.col("close1")
+    up = w.sum(zero_unless(c > p, F.col(volume)), n)
+    down = w.sum(zero_unless(c <= p, F.col(volume)), n)
     return F.when(down > 0, ratio(up, down) * 100.0)
 
 
-def strength(n: int, scale: float) -> Column:
-    w, d = by_symbol(*SEGMENT), F.col("change")
-    up = rolling_sum(zero_unless(d > 0, d), w, n)
-    down = rolling_sum(zero_unless(d < 0, -d), w, n)
+def strength(w: Windows, n: int, scale: float) -> Column:
+    d = F.col("change")
+    up = w.sum(zero_unless(d > 0, d), n)
+    down = w.sum(zero_unless(d < 0, -d), n)
     return F.when(up + down > 0, ratio(up - down, up + down) * scale)
 
 
-def regression(n: int) -> tuple[Column, Column]:
+def regression(w: Windows, n: int) -> tuple[Column, Column]:
     """Slope of the close on its index over n bars, and the fit's share of variance."""
-    w, c = by_symbol(*SEGMENT), F.col("close")
-    centre = (n - 1) / 2.0
-    weighted = sum((((i - centre) * (delay("close", n - 1 - i) if i < n - 1 else c)) for i in range(n)), F.lit(0.0))
-    squares = n * (n * n - 1) / 12.0
-    spread = rolling_sum(c * c, w, n) - rolling_sum(c, w, n) * rolling_sum(c, w, n) / n
-    return weighted / squares, F.when(spread > 0, ratio(weighted * weighted, squares * spread))
+    place, c = F.col("_at").cast("double"), F.col("close")
+    fitted = lambda told: w.over(rolling.whole(rolling.moments(place, c, told), c, n), n, c)
+    return fitted(lambda m, xx, yy, xy: F.try_divide(xy, xx)), fitted(lambda m, xx, yy, xy: F.when(yy > 0, F.try_divide(xy * xy, xx * yy)))
 
 
-def trend(n: int) -> Column:
-    return ratio(regression(n)[0], F.col("close"))
+def trend(w: Windows, n: int) -> Column:
+    return ratio(regression(w, n)[0], F.col("close"))
 
 
-def signed_fit(n: int) -> Column:
-    slope, fit = regression(n)
+def signed_fit(w: Windows, n: int) -> Column:
+    slope, fit = regression(w, n)
     return F.when(fit.isNotNull(), fit * F.signum(slope))
 
 
-def range_position(n: int) -> Column:
-    w = by_symbol(*SEGMENT)
-    low, high = F.min("low").over(rows(w, n)), F.max("high").over(rows(w, n))
-    return F.when((F.count("close").over(rows(w, n)) == n) & (high > low), ratio(F.col("close") - low, high - low))
+def range_position(w: Windows, n: int) -> Column:
+    c = F.col("close")
+    low, high = (w.over(rolling.whole(kind(F.col(name)), c, n), n, c) for kind, name in ((rolling.lowest, "low"), (rolling.highest, "high")))
+    return F.when(high > low, ratio(c - low, high - low))
 
 
-def extreme_times(n: int) -> Column:
-    """Place of the highest high less that of the lowest low (1 is the oldest), over n."""
-    w = rows(by_symbol(*SEGMENT), n)
-    place = lambda c, f: F.array_position(F.collect_list(c).over(w), f(c).over(w))
-    return F.when(F.count("close").over(w) == n, (place("high", F.max) - place("low", F.min)) / F.lit(float(n)))
+def extreme_times(w: Windows, n: int) -> Column:
+    """Place of the highest high less that of the lowest low (1 is the oldest), over n; the first of equals."""
+    c, at = F.col("close"), F.col("_at")
+    of = lambda name, place: F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("v"), place.alias("p")))
+    high = w.over(rolling.whole(rolling.highest(of("high", -at)), c, n), n, c)
+    low = w.over(rolling.whole(rolling.lowest(of("low", at)), c, n), n, c)
+    return (-high["p"] - low["p"]) / F.lit(float(n))
 
 
-def persistence(n: int) -> Column:
+def persistence(w: Windows, n: int) -> Column:
     """Share of rises less share of falls; the segment's first bar has neither."""
-    w, d = by_symbol(*SEGMENT), F.col("change")
-    return rolling_mean((d > 0).cast("double"), w, n) - rolling_mean((d < 0).cast("double"), w, n)
+    d = F.col("change")
+    return w.mean((d > 0).cast("double"), n) - w.mean((d < 0).cast("double"), n)
 
 
-def rises(n: int) -> Column:
-    return rolling_sum((F.col("change") > 0).cast("double"), by_symbol(*SEGMENT), n) / float(n) * 100.0
+def rises(w: Windows, n: int) -> Column:
+    return w.sum((F.col("change") > 0).cast("double"), n) / float(n) * 100.0
 
 
-def price_volume_corr(n: int) -> Column:
-    w = rows(by_symbol(*SEGMENT), n)
+def price_volume_corr(w: Windows, n: int) -> Column:
     x, v = ratio(F.col("close"), F.col("close1")), ratio(F.col("volume"), F.col("volume1"))
-    y = F.when(x.isNotNull() & (v > -1), F.log(v + 1.0))
-    x = F.when(y.isNotNull(), x)
-    value = F.try_divide(F.covar_pop(x, y).over(w), F.sqrt(F.var_pop(x).over(w) * F.var_pop(y).over(w)))
-    return F.when(F.count(y).over(w) == n, value)
+    return w.corr(x, F.when(x.isNotNull() & (v > -1), F.log(v + 1.0)), n)
 
 
-def kst(rocs: tuple[int, ...] = (10, 15, 20, 30), smooths: tuple[int, ...] = (10, 10, 10, 15)) -> Callable[[DataFrame], DataFrame]:
-    def build(b: DataFrame) -> DataFrame:
-        w = by_symbol(*SEGMENT)
-        b = b.withColumns({f"_roc{i}": ratio(F.col("close"), delay("close", r)) - 1.0 for i, r in enumerate(rocs)})
-        total = sum(((i + 1) * rolling_mean(F.col(f"_roc{i}"), w, s) for i, s in enumerate(smooths)), F.lit(0.0))
-        return raw(b, total * 100.0)
+def kst(rocs: tuple[int, ...] = (10, 15, 20, 30), smooths: tuple[int, ...] = (10, 10, 10, 15)) -> Callable[[Windows], Column]:
+    def build(w: Windows) -> Column:
+        changes = [ratio(F.col("close"), delay(w, "close", r)) - 1.0 for r in rocs]
+        return sum(((i + 1) * w.mean(c, n) for i, (c, n) in enumerate(zip(changes, smooths, strict=True))), F.lit(0.0)) * 100.0
 
     return build
 
 
-def vortex(n: int) -> Column:
-    w = by_symbol(*SEGMENT)
+def vortex(w: Windows, n: int) -> Column:
     h, low = F.col("high"), F.col("low")
     spread = F.greatest(h - low, F.abs(h - F.col("close1")), F.abs(low - F.col("close1")))
-    up, down = rolling_sum(F.abs(h - F.col("low1")), w, n), rolling_sum(F.abs(low - F.col("high1")), w, n)
-    total = rolling_sum(spread, w, n)
+    up, down = w.sum(F.abs(h - F.col("low1")), n), w.sum(F.abs(low - F.col("high1")), n)
+    total = w.sum(spread, n)
     return F.when(total > 0, ratio(up - down, total))
 
 
-def price_volume_trend(n: int) -> Column:
-    w = by_symbol(*SEGMENT)
+def price_volume_trend(w: Windows, n: int) -> Column:
     r = ratio(F.col("close"), F.col("close1")) - 1.0
-    total = rolling_sum(F.col("volume"), w, n)
-    return F.when(total > 0, ratio(rolling_sum(F.col("volume") * r, w, n), total))
+    total = w.sum(F.col("volume"), n)
+    return F.when(total > 0, ratio(w.sum(F.col("volume") * r, n), total))
 
 
 def trix(n: int) -> Callable[[DataFrame], DataFrame]:
     def build(b: DataFrame) -> DataFrame:
         for a, c in (("close", "_e1"), ("_e1", "_e2"), ("_e2", "_e3")):
             b = span_average(b, a, n, c)
-        before = delay("_e3", 1)
+        before = F.lag("_e3", 1).over(by_symbol(*SEGMENT))
         return raw(b, F.when(before > 0, (ratio(F.col("_e3"), before) - 1.0) * 100.0))
 
     return build
@@ -313,7 +319,7 @@ def tsi(slow: int = 25, fast: int = 13) -> Callable[[DataFrame], DataFrame]:
 
 def smoothed_difference(lag: int, n: int) -> Callable[[DataFrame], DataFrame]:
     def build(b: DataFrame) -> DataFrame:
-        b = b.withColumn("_x", F.col("close") - delay("close", lag))
+        b = b.withColumn("_x", F.col("close") - F.lag("close", lag).over(by_symbol(*SEGMENT)))
         return raw(sma(b, "_x", n, 1, "_y"), F.col("_y"))
 
     return build
@@ -324,36 +330,48 @@ def macd_like(b: DataFrame) -> DataFrame:
     return raw(sma(b, "_d", 10, 2, "_s"), 2.0 * (F.col("_d") - F.col("_s")))
 
 
+def affine(b: DataFrame, a: str, add: str, out: str, keys: tuple[str, ...] = ("symbol", "segment"), order: str = "open_time", forgotten: float = 60.0) -> DataFrame:
+    """y = a y_before + add over ``keys`` in order, for 0 < a <= 1, from y_before = 0; rows with a null ``a`` leave y as it is.
+
+    The maps of a stretch compose to one: y = P (y_before + sum of add / P), P the product of a so far.
+    A stretch ends where the logarithm of its product has fallen by ``forgotten``: then what came
+    before the last whole stretch weighs less than rounding, so a row needs its own stretch and the end
+    of the one before. A first row of which y shall begin takes a = 1 and ``add`` = y.
+    """
+    x = F.coalesce(F.log(a), F.lit(0.0))
+    w = Window.partitionBy(*keys).orderBy(order)
+    b = b.withColumn("_s", F.floor(-F.sum(x).over(w) / forgotten))
+    inside = Window.partitionBy(*keys, "_s").orderBy(order)
+    b = b.withColumn("_p", F.exp(F.sum(x).over(inside)))
+    b = b.withColumn("_own", F.col("_p") * F.sum(F.coalesce(F.col(add), F.lit(0.0)) / F.col("_p")).over(inside))
+    b = b.withColumn("_end", F.when(F.lead("_s").over(w) > F.col("_s"), F.col("_own")))
+    before = F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return b.withColumn(out, F.col("_own") + F.coalesce(before, F.lit(0.0)) * F.col("_p")).drop("_s", "_p", "_own", "_end")
+
+
 def kama(n: int = 10, fast: int = 2, slow: int = 30) -> Callable[[DataFrame], DataFrame]:
-    """K12. Distance from Kaufman's adaptive average; its smoothing depends on the data, so each
-    segment is folded in a grouped map. A window without movement skips the update."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("close_time")
-        close = pdf["close"].to_numpy(float)
-        out: list[float | None] = [None] * len(close)
-        if len(close) > n:
-            a, b = 2.0 / (fast + 1.0), 2.0 / (slow + 1.0)
-            level = close[n - 1]
-            # Only the level is sequential; the windows' movements come from all sliding windows at once.
-            noise = np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(close)), n).sum(axis=1)
-            direction = np.abs(close[n:] - close[:-n])
-            pace = ((np.divide(direction, noise, out=np.zeros_like(noise), where=noise > 0) * (a - b) + b) ** 2).tolist()
-            for i in range(n, len(close)):
-                if noise[i - n] > 0:
-                    level += pace[i - n] * (close[i] - level)
-                    value = close[i] / level - 1.0 if level else math.nan
-                    out[i] = value if math.isfinite(value) else None
-        return pd.DataFrame({"timestamp": pdf["close_time"], "symbol": pdf["symbol"], "raw_value": pd.array(out, "Float64")})
+    """K12. Distance from Kaufman's adaptive average: level += pace (close - level), an affine step
+    whose pace depends on the data. A window without movement skips the update and has no value."""
+    if fast < 2:
+        raise ValueError("a fast span under 2 forgets the level at once")
 
     def build(b: DataFrame) -> DataFrame:
-        rows_ = b.where("is_complete").select("symbol", "segment", "close_time", "close")
-        return rows_.groupBy("symbol", "segment").applyInPandas(fold, "timestamp timestamp, symbol string, raw_value double")
+        w, c = Windows(), F.col("close")
+        before = w.lag(c, n)
+        noise = w.sum(F.abs(c - w.lag(c, 1)), n)
+        b = w.added(b.where("is_complete").drop("_at")).withColumns({"_noise": noise, "_move": F.abs(c - before)})
+        first, last = 2.0 / (fast + 1.0), 2.0 / (slow + 1.0)
+        pace = F.pow(F.col("_move") / F.col("_noise") * (first - last) + last, F.lit(2.0))
+        b = b.withColumn("_pace", F.when((F.col("_at") >= n) & (F.col("_noise") > 0), pace))
+        b = b.withColumns({"_a": 1.0 - F.col("_pace"), "_b": F.when(F.col("_at") == n - 1, c).otherwise(F.col("_pace") * c)})
+        b = affine(b, "_a", "_b", "_level")
+        value = F.when(F.col("_pace").isNotNull(), ratio(c, F.col("_level")) - 1.0)
+        return raw(b, F.when(is_finite(value), value))
 
     return build
 
 
-Builder = Callable[[], Column] | Callable[[DataFrame], DataFrame]
+Builder = Callable[[Windows], Column] | Callable[[DataFrame], DataFrame]
 
 
 class Entry(NamedTuple):
@@ -363,79 +381,59 @@ class Entry(NamedTuple):
 
 #: Registry of the factors within segments: name -> builder.
 REGISTRY: dict[str, Entry] = {
-    "alpha18": Entry(lambda: ratio(F.col("close"), delay("close", 5))),
+    "alpha18": Entry(lambda w: ratio(F.col("close"), delay(w, "close", 5))),
     "alpha20": Entry(roc(6)),
     "alpha24": Entry(smoothed_difference(5, 5), True),
     "alpha31": Entry(of_mean(12)),
-    "alpha40": Entry(lambda: up_down_volume(26)),
-    "alpha53": Entry(lambda: rises(12)),
+    "alpha40": Entry(lambda w: up_down_volume(w, 26)),
+    "alpha53": Entry(lambda w: rises(w, 12)),
     "alpha66": Entry(of_mean(6)),
     "alpha71": Entry(of_mean(24)),
     "alpha88": Entry(roc(20)),
     "alpha89": Entry(macd_like, True),
-    "alpha112": Entry(lambda: strength(12, 100.0)),
+    "alpha112": Entry(lambda w: strength(w, 12, 100.0)),
     "alpha151": Entry(smoothed_difference(20, 20), True),
-    "trend": Entry(lambda: trend(10)),
-    "signed_fit": Entry(lambda: signed_fit(10)),
-    "range_position": Entry(lambda: range_position(10)),
-    "extreme_times": Entry(lambda: extreme_times(10)),
-    "persistence": Entry(lambda: persistence(10)),
-    "strength": Entry(lambda: strength(10, 1.0)),
-    "roc_momentum": Entry(lambda: ratio(F.col("close"), delay("close", 10)) - 1.0),
-    "price_volume_corr": Entry(lambda: price_volume_corr(10)),
+    "trend": Entry(lambda w: trend(w, 10)),
+    "signed_fit": Entry(lambda w: signed_fit(w, 10)),
+    "range_position": Entry(lambda w: range_position(w, 10)),
+    "extreme_times": Entry(lambda w: extreme_times(w, 10)),
+    "persistence": Entry(lambda w: persistence(w, 10)),
+    "strength": Entry(lambda w: strength(w, 10, 1.0)),
+    "roc_momentum": Entry(lambda w: ratio(F.col("close"), delay(w, "close", 10)) - 1.0),
+    "price_volume_corr": Entry(lambda w: price_volume_corr(w, 10)),
     "trix": Entry(trix(5), True),
     "tsi": Entry(tsi(8, 4), True),
-    "kst": Entry(kst((4, 6, 8, 10), (4, 4, 4, 6)), True),
+    "kst": Entry(kst((4, 6, 8, 10), (4, 4, 4, 6))),
     "kama": Entry(kama(), True),
-    "vortex": Entry(lambda: vortex(10)),
-    "price_volume_trend": Entry(lambda: price_volume_trend(10)),
+    "vortex": Entry(lambda w: vortex(w, 10)),
+    "price_volume_trend": Entry(lambda w: price_volume_trend(w, 10)),
 }
 
 
 def segment_factor(bars: DataFrame, interval: str, name: str) -> DataFrame:
     """A registered factor over ``bars``: (timestamp, symbol, raw_value)."""
     entry, b = REGISTRY[name], prepared(bars, interval)
-    return entry.build(b) if entry.whole else raw(b.withColumn("_v", entry.build()), F.when(F.col("is_complete"), F.col("_v")))
+    if entry.whole:
+        return entry.build(b)
+    w = Windows()
+    value = entry.build(w)
+    return raw(w.added(b), F.when(F.col("is_complete"), value))
 
 
 # ------------------------------------------------------------------------- user expressions (E)
 
 
-class Bars:
-    """Builders for user expressions, as plain columns over ``symbol`` and ``segment``."""
+class Bars(Windows):
+    """Builders for user expressions over ``symbol`` and ``segment``: lags, and means, sums, minima, maxima, deviations and correlations of the last n bars."""
 
     FIELDS = ("open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_volume", "taker_buy_quote_volume")
 
-    def __init__(self) -> None:
-        self.w = by_symbol(*SEGMENT)
-
-    def lag(self, c: Column, n: int) -> Column:
-        return F.lag(c, n).over(self.w)
-
-    def mean(self, c: Column, n: int) -> Column:
-        return rolling_mean(c, self.w, n)
-
-    def sum(self, c: Column, n: int) -> Column:
-        return rolling_sum(c, self.w, n)
-
-    def min(self, c: Column, n: int) -> Column:
-        return full(F.min(c), c, self.w, n)
-
-    def max(self, c: Column, n: int) -> Column:
-        return full(F.max(c), c, self.w, n)
-
-    def std(self, c: Column, n: int) -> Column:
-        return full(F.stddev_samp(c), c, self.w, n)
-
-    def corr(self, x: Column, y: Column, n: int) -> Column:
-        return full(correlation(x, y), y, self.w, n)
-
 
 def expression_factor(bars: DataFrame, interval: str, build: Callable[[Bars], Column], direction: int = 1) -> DataFrame:
     """E1, E2, E5. A user's column over gap segments, with the sign of ``direction``."""
-    b = segments(bars, interval)
-    value = build(Bars())
-    return raw(b.withColumn("_v", value), F.when(F.col("is_complete"), F.col("_v") * direction))
+    w = Bars()
+    value = build(w)
+    return raw(w.added(segments(bars, interval)), F.when(F.col("is_complete"), value * direction))
 
 
 # --------------------------------------------------------------------------------- the driver A0

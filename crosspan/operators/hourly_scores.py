@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspan.functions import rolling
 from crosspan.functions.core import ms, ratio
+from crosspan.functions.rolling import Windows
 from crosspan.operators.crosssection import midrank, robust_z
 from crosspan.operators.timeaxis import asof
 
@@ -26,11 +28,6 @@ def shifted(h: DataFrame, by: int, name: str) -> DataFrame:
     return h.select("symbol", (F.col("t") + by * H).alias("t"), F.col("close").alias(name))
 
 
-def span(first: int, last: int):
-    """Rows from ``first`` to ``last`` hours ago, by time."""
-    return Window.partitionBy("symbol").orderBy("t").rangeBetween(-first * H, -last * H)
-
-
 def with_returns(h: DataFrame) -> DataFrame:
     """``r``: log return of exactly one hour; ``g``: of the hours since the close before, per root hour."""
     w = Window.partitionBy("symbol").orderBy("t")
@@ -45,10 +42,10 @@ def at_decisions(h: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def buffered_momentum(hours: DataFrame, decisions: DataFrame, long: int = 696, skip: int = 24, vol: int = 168, floor: float = 0.002) -> DataFrame:
     """L1. log(p_skip / p_long) over root time and the hourly deviation, which needs every hour."""
-    h = with_returns(keyed(hours))
-    w = span(vol - 1, 0)
-    h = at_decisions(h.withColumns({"_n": F.count("r").over(w), "_s": F.stddev_samp("r").over(w)}), decisions)
-    j = h.join(shifted(keyed(hours), long, "_old"), ["symbol", "t"]).join(shifted(keyed(hours), skip, "_skip"), ["symbol", "t"]).where(F.col("_n") == vol)
+    w = Windows(("symbol",), "t")
+    deviation, first = w.std(F.col("r"), vol), w.lag(F.col("t"), vol - 1)
+    h = w.added(with_returns(keyed(hours))).withColumn("_s", F.when(F.col("t") - first == (vol - 1) * H, deviation))
+    j = at_decisions(h.select("symbol", "t", "_s"), decisions).join(shifted(keyed(hours), long, "_old"), ["symbol", "t"]).join(shifted(keyed(hours), skip, "_skip"), ["symbol", "t"]).where("_s is not null")
     return j.select("symbol", "t", (F.log(F.col("_skip") / F.col("_old")) / (float(long - skip) ** 0.5 * F.greatest("_s", F.lit(floor)))).alias("score"))
 
 
@@ -57,9 +54,9 @@ def blend(hours: DataFrame, funding: DataFrame, decisions: DataFrame, far: int =
     w = Window.partitionBy("symbol").orderBy("funding_time").rowsBetween(-2, 0)
     last3 = funding.select("symbol", "funding_time", F.when(F.count("funding_rate").over(w) == 3, -F.avg("funding_rate").over(w)).alias("carry"))
     h = with_returns(keyed(hours))
-    frame = span(far - 1, near)
-    h = at_decisions(h.withColumns({"_n": F.count("g").over(frame), "_s": F.stddev_samp("g").over(frame)}), decisions)
-    j = h.join(shifted(keyed(hours), far, "_far"), ["symbol", "t"]).join(shifted(keyed(hours), near, "_near"), ["symbol", "t"]).where((F.col("_n") >= least) & (F.col("_s") > 0))
+    now, g = at_decisions(h.select("symbol", "t", "close"), decisions), F.col("g")
+    past = rolling.at_times(h.select("symbol", "t", "g"), now.select("symbol", (F.col("t") - near * H).alias("t")), (far - 1 - near) * H + 1, {"_n": rolling.counted(g), "_s": rolling.deviation(g, 1)})
+    j = now.join(past.withColumn("t", F.col("t") + near * H), ["symbol", "t"]).join(shifted(keyed(hours), far, "_far"), ["symbol", "t"]).join(shifted(keyed(hours), near, "_near"), ["symbol", "t"]).where((F.col("_n") >= least) & (F.col("_s") > 0))
     j = j.select("symbol", "t", F.timestamp_millis("t").alias("timestamp"), (F.log(F.col("_near") / F.col("_far")) / F.col("_s")).alias("momentum"), (-F.log(F.col("close") / F.col("_near"))).alias("reversal"))
     j = asof(j, last3, "timestamp", "funding_time", ["symbol"]).where("carry is not null")
     total: Column = F.lit(0.0)

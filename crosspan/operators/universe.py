@@ -68,8 +68,9 @@ def build(bars: DataFrame, contracts: DataFrame, start_ms: int, end_ms: int, eve
     """U6 (with U1-U5, U7). One row per scheduled time and symbol.
 
     Schedule, bars and snapshots of a symbol meet in one window, so the panel takes one shuffle: the
-    latest snapshot, the running counts and the sums over (t - window, t] all come from it. The
-    windows move with the schedule, also where bars have stopped. ``offsets`` (symbol,
+    latest snapshot, the running counts and the sums over (t - window, t] all come from it. A sum is
+    the end of the block of time before and the beginning of the own one, whatever the window's length.
+    The windows move with the schedule, also where bars have stopped. ``offsets`` (symbol,
     history_bars_offset, prior_first_bar_open) adds what stands before the range that is read.
     """
     step = seconds(every) * 1000
@@ -79,18 +80,29 @@ def build(bars: DataFrame, contracts: DataFrame, start_ms: int, end_ms: int, eve
     kind = contracts.select(F.struct(*facts).alias("s")).schema["s"].dataType
     symbols = bars.select("symbol").union(contracts.select("symbol")).distinct() if rules.use_contracts else bars.select("symbol").distinct()
     none = lambda t: F.lit(None).cast(t)
-    grid = symbols.select("symbol", F.explode(F.sequence(F.lit(start_ms), F.lit(end_ms - 1), F.lit(step))).alias("t"), F.lit(1).alias("side"), none(kind).alias("c"), none("long").alias("open_ms"), none("long").alias("whole"), none("double").alias("quote"))
-    own = bars.select("symbol", ms("close_time").alias("t"), F.lit(0).alias("side"), none(kind).alias("c"), ms("open_time").alias("open_ms"), F.col("is_complete").cast("long").alias("whole"), F.when(F.col("is_complete"), F.col("quote_volume")).otherwise(0.0).alias("quote"))
-    snaps = contracts.select("symbol", ms("snapshot_time").alias("t"), F.lit(0).alias("side"), F.struct(*facts).alias("c"), none("long").alias("open_ms"), none("long").alias("whole"), none("double").alias("quote"))
-    both = grid.unionByName(own).unionByName(snaps)
+    empty = {"c": kind, "open_ms": "long", "whole": "long", "quote": "double", "target": "long", "mark": "string"}
+    filled = lambda df, **own: df.select("symbol", *(own.get(c, none(k)).alias(c) for c, k in {"t": "long", "side": "int", **empty}.items()))
+    times = symbols.select("symbol", F.explode(F.sequence(F.lit(start_ms), F.lit(end_ms - 1), F.lit(step))).alias("at"))
+    at, spans = F.col("at"), {"quote": seconds(rules.volume_window) * 1000, "whole": seconds(rules.missing_window) * 1000}
+    both = filled(bars, t=ms("close_time"), side=F.lit(0), open_ms=ms("open_time"), whole=F.col("is_complete").cast("long"), quote=F.when(F.col("is_complete"), F.col("quote_volume")).otherwise(0.0))
+    both = both.unionByName(filled(contracts, t=ms("snapshot_time"), side=F.lit(0), c=F.struct(*facts))).unionByName(filled(times, t=at, side=F.lit(1), target=at))
+    for name, width in spans.items():  # where the window of a scheduled time begins; after the rows of that moment, which it leaves out
+        both = both.unionByName(filled(times, t=at - width, side=F.lit(2), target=at, mark=F.lit(name)))
     ordered = Window.partitionBy("symbol").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    span = lambda d: Window.partitionBy("symbol").orderBy("t").rangeBetween(-(seconds(d) * 1000 - 1), 0)
+    columns = {"s": F.last("c", ignorenulls=True).over(ordered), "history_bars": F.coalesce(F.sum("whole").over(ordered), F.lit(0)), "first_ms": F.min("open_ms").over(ordered)}
+    for name, width in spans.items():  # sums forwards and backwards through blocks of the window's width
+        running = lambda *o: Window.partitionBy("symbol", F.floor(F.col("t") / width)).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)  # noqa: B023, E731
+        columns |= {f"{name}_head": F.sum(name).over(running("t", "side")), f"{name}_tail": F.when(F.col("mark") == name, F.sum(name).over(running(F.desc("t"), F.desc("side"))))}
+    now = lambda c: F.max(F.when(F.col("side") == 1, F.col(c))).alias(c)
+    met = both.withColumns(columns).where("side > 0").groupBy("symbol", F.col("target").alias("t")).agg(
+        F.first(F.when(F.col("side") == 1, F.col("s")), ignorenulls=True).alias("s"), *map(now, ("history_bars", "first_ms", "quote_head", "whole_head")), *(F.max(f"{name}_tail").alias(f"{name}_tail") for name in spans)
+    )
+    summed = lambda name: F.coalesce(F.col(f"{name}_tail"), F.lit(0)) + F.coalesce(F.col(f"{name}_head"), F.lit(0))
     expected = seconds(rules.missing_window) // seconds(base)
-    panel = both.select(
-        "*", F.last("c", ignorenulls=True).over(ordered).alias("s"), F.coalesce(F.sum("whole").over(ordered), F.lit(0)).alias("history_bars"), F.min("open_ms").over(ordered).alias("first_ms"),
-        F.coalesce(F.sum("quote").over(span(rules.volume_window)), F.lit(0.0)).alias("rolling_quote_volume"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.coalesce(F.sum("whole").over(span(rules.missing_window)), F.lit(0)) / F.lit(float(expected)))).alias("missing_ratio"),
-    ).where("side = 1")
+    panel = met.select(
+        "symbol", "t", "s", "history_bars", "first_ms", summed("quote").alias("rolling_quote_volume"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - summed("whole") / F.lit(float(expected)))).alias("missing_ratio"),
+    )
     if offsets is not None:
         panel = panel.join(offsets, "symbol", "left").withColumns({"history_bars": F.col("history_bars") + F.coalesce("history_bars_offset", F.lit(0)), "first_ms": F.coalesce(ms("prior_first_bar_open"), "first_ms")})
     panel = panel.select(F.timestamp_millis("t").alias("timestamp"), "symbol", "history_bars", "rolling_quote_volume", "missing_ratio", F.timestamp_millis("first_ms").alias("first_bar_open"), "s.*")

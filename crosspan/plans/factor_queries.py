@@ -55,6 +55,9 @@ f_query("f3_volatility", "1h", lambda b: factors.volatility(b, "1h", "4h"), f"CA
 f_query("f4_quote_volume", "1h", lambda b: factors.quote_volume(b, "1h", "4h"), f"CASE WHEN sum(CASE WHEN is_complete THEN 1 ELSE 0 END) OVER wn = 4 AND t - lag(t, 3) OVER w = {3 * sql.HOUR} THEN sum(quote_volume) OVER wn END", 4)
 f_query("f5_taker_ratio", "1h", lambda b: factors.taker_ratio(b, "1h", "4h"), f"CASE WHEN sum(CASE WHEN is_complete THEN 1 ELSE 0 END) OVER wn = 4 AND t - lag(t, 3) OVER w = {3 * sql.HOUR} AND sum(quote_volume) OVER wn > 0 THEN sum(taker_buy_quote_volume) OVER wn / sum(quote_volume) OVER wn END", 4)
 f_query("f6_illiquidity", "1h", lambda b: factors.illiquidity(b, "1h", "4h"), f"CASE WHEN {whole(4)} AND count(a) OVER wn = 4 THEN avg(a) OVER wn END", 4, (RET, "amihud AS (SELECT *, abs(r) / quote_volume * 1e6 AS a FROM ret)"), "amihud")
+# Windows of more rows than Spark's sliding frames are used for.
+f_query("f3_volatility_long", "6h", lambda b: factors.volatility(b, "6h", "10d"), f"CASE WHEN {whole(40, '6h')} AND count(r) OVER wn = 40 THEN stddev_pop(r) OVER wn END", 40, (RET,), "ret")
+f_query("f6_illiquidity_long", "6h", lambda b: factors.illiquidity(b, "6h", "9d"), f"CASE WHEN {whole(36, '6h')} AND count(a) OVER wn = 36 THEN avg(a) OVER wn END", 36, (RET, "amihud AS (SELECT *, abs(r) / quote_volume * 1e6 AS a FROM ret)"), "amihud")
 SAMPLED = " AND ".join(f"lag(is_complete, {n}) OVER w AND lag(close, {n}) OVER w > 0 AND t - lag(t, {n}) OVER w = {n * sql.STEP['6h']}" for n in (0, 2, 4))
 MEAN = "((close + lag(close, 2) OVER w + lag(close, 4) OVER w) / 3)"
 f_query("f7_sampled_mean", "6h", lambda b: factors.sampled_mean(b, "6h", "12h", 3), f"CASE WHEN {SAMPLED} THEN close / {MEAN} - 1 END", 2)
@@ -149,6 +152,11 @@ def e_query(name: str, build: Callable, value: str, *sizes: int, direction: int
 
 e_query("e1_expression", lambda b: F.log(F.col("high") / F.col("low")) * F.abs(F.col("close") - F.col("open")), "ln(high / low) * abs(close - open)")
 e_query("e2_rolling", lambda b: b.std(F.col("close"), 5) / b.mean(F.col("close"), 5) + (b.max(F.col("high"), 5) - b.min(F.col("low"), 5)) / b.sum(F.col("quote_volume"), 5) - b.lag(F.col("close"), 2) / F.col("close"), f"CASE WHEN {has(5)} THEN stddev_samp(close) OVER w5 / avg(close) OVER w5 + (max(high) OVER w5 - min(low) OVER w5) / sum(quote_volume) OVER w5 - lag(close, 2) OVER w / close END", 5)
+e_query(
+    "e2_rolling_long",
+    lambda b: b.std(F.col("close"), 48) / b.mean(F.col("close"), 48) + (b.max(F.col("high"), 36) - b.min(F.col("low"), 36)) / b.sum(F.col("quote_volume"), 36) + b.corr(F.col("close"), F.col("volume"), 40),
+    f"CASE WHEN {has(48)} THEN stddev_samp(close) OVER w48 / avg(close) OVER w48 + (max(high) OVER w36 - min(low) OVER w36) / sum(quote_volume) OVER w36 + corr(close, volume) OVER w40 END", 36, 40, 48,
+)
 e_query("e5_direction", lambda b: F.col("close") / b.mean(F.col("close"), 4) - 1, f"CASE WHEN {has(4)} THEN -(close / (avg(close) OVER w4) - 1) END", 4, direction=-1)
 QUERIES["e3_ema"] = lambda spark, sf: told(factors.raw(factors.span_average(factors.prepared(panel.bars(spark, sf, "6h"), "6h"), "close", 6, "y"), F.when(F.col("is_complete"), F.col("y"))))
 SQL["e3_ema"] = answer("6h", [sql.segments("6h"), sql.average("seg", "close", 2 / 7, "y", 6, "a1")], "CASE WHEN is_complete THEN y END", "a1")
