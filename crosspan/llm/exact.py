@@ -72,7 +72,8 @@ def identities(docs: DataFrame, id: str = "doc_id", text: str = "text", size: in
             break
         side = lambda k: F.coalesce(F.max(F.when(F.col("at") % 2 == k, F.col("name"))), F.lit(MISSING))
         pairs = named.where("n > 1").groupBy("row", F.expr("(n + 1) div 2").cast("int").alias("n"), F.expr("at div 2").cast("int").alias("at")).agg(side(0).alias("a"), side(1).alias("b"))
-        names = ranked(pairs.select("a", "b").distinct(), "a", "b")
+        # Written, so that both sides of the join are plain shuffles, of which Spark splits hot parts.
+        names = written(ranked(pairs.select("a", "b").distinct(), "a", "b"), f"names_{level}")
         most, level = (most + 1) // 2, level + 1
     return rows.select("id", "row", "sha").join(reduce(DataFrame.unionAll, done), "row").select("id", "row", F.col("sha").alias("text_sha256"), "level", "name")
 
