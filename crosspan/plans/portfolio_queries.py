@@ -155,10 +155,11 @@ INITIAL = 1e6
 SETTLED = f"fr AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - 1 - ((epoch_us(ts) // 1000) - 1) % {H6} AS t, sum((value % 1 - 0.5) / 100) AS rate FROM events WHERE value IS NOT NULL GROUP BY 1, 2)"
 # ``st``: every name of a candidate at every boundary, one boundary after another: the weight before
 # (d) and after (w) trading, equity before costs (e), turnover, funding, and the average entry (en).
-FOLDED = f"""RECURSIVE {TARGETS}, {SETTLED},
+def folded_sql(targets: str, settled: str, step: int) -> str:
+    return f"""RECURSIVE {targets}, {settled},
 bt AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx, lead(t) OVER (ORDER BY t) AS nt FROM (SELECT t FROM reb UNION SELECT min(t) FROM bars UNION SELECT t FROM fr)),
 nm AS (SELECT DISTINCT candidate, symbol FROM tg),
-ca AS (SELECT nm.candidate, nm.symbol, bt.t, bt.idx, c.close FROM nm CROSS JOIN bt ASOF LEFT JOIN (SELECT symbol, t + {H6} AS ct, close FROM bars) c ON c.symbol = nm.symbol AND bt.t >= c.ct),
+ca AS (SELECT nm.candidate, nm.symbol, bt.t, bt.idx, c.close FROM nm CROSS JOIN bt ASOF LEFT JOIN (SELECT symbol, t + {step} AS ct, close FROM bars) c ON c.symbol = nm.symbol AND bt.t >= c.ct),
 gr AS (SELECT ca.candidate, ca.symbol, ca.t, ca.idx, o.open, coalesce(o.open, ca.close) AS mark, tg.w AS target, reb.t IS NOT NULL AS isreb, coalesce(fr.rate, 0) AS rate
  FROM ca LEFT JOIN bars o ON o.symbol = ca.symbol AND o.t = ca.t LEFT JOIN tg ON tg.candidate = ca.candidate AND tg.symbol = ca.symbol AND tg.t = ca.t LEFT JOIN reb ON reb.t = ca.t LEFT JOIN fr ON fr.symbol = ca.symbol AND fr.t = ca.t),
 st AS (SELECT candidate, symbol, t, idx, mark, 0.0::DOUBLE AS d, 0.0::DOUBLE AS w, {INITIAL}::DOUBLE AS e, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS funding, NULL::DOUBLE AS en FROM gr WHERE idx = 0
@@ -168,7 +169,9 @@ st AS (SELECT candidate, symbol, t, idx, mark, 0.0::DOUBLE AS d, 0.0::DOUBLE AS
  FROM (SELECT *, CASE WHEN isreb AND open IS NOT NULL THEN coalesce(target, 0) ELSE d END AS w FROM (SELECT *, pw * rr / g AS d, pe * g AS e FROM (
   SELECT n.*, p.w AS pw, p.e AS pe, p.en AS pen, coalesce(n.mark / p.mark, 1) AS rr, 1 - {PAID.rate!r} * p.turnover + p.funding + sum(p.w * (coalesce(n.mark / p.mark, 1) - 1)) OVER (PARTITION BY n.candidate) AS g
   FROM st p JOIN gr n ON n.candidate = p.candidate AND n.symbol = p.symbol AND n.idx = p.idx + 1))))"""
-VALUED = f"""{FOLDED}, ck AS (SELECT DISTINCT t AS bt FROM bars),
+
+def valued_sql(folded: str) -> str:
+    return f"""{folded}, ck AS (SELECT DISTINCT t AS bt FROM bars),
 po AS (SELECT st.candidate, st.symbol, ck.bt AS t, bt.t AS k, st.e, st.turnover, st.funding, st.w, st.w * st.e / st.mark AS q, st.mark, m.close AS price
  FROM st JOIN bt USING (idx) JOIN ck ON ck.bt >= bt.t AND (bt.nt IS NULL OR ck.bt < bt.nt) ASOF LEFT JOIN bars m ON m.symbol = st.symbol AND ck.bt >= m.t),
 eq AS (SELECT candidate, t, k, any_value(e) AS e, any_value(turnover) AS tu, any_value(funding) AS fu, any_value(e) * (1 - {PAID.rate!r} * any_value(turnover) + any_value(funding)) + coalesce(sum(w * e * (price / mark - 1)), 0) AS equity,
@@ -177,6 +180,9 @@ ru AS (SELECT *, coalesce(lag(equity) OVER w, {INITIAL}) AS prev, equity / great
 rt AS (SELECT candidate, t, equity, dd, gx, nx, equity / prev - 1 AS r, CASE WHEN t = k THEN e * tu * {PAID.fee_bps} / 1e4 / prev ELSE 0 END AS fee, CASE WHEN t = k THEN e * tu * {PAID.slippage_bps} / 1e4 / prev ELSE 0 END AS slip,
  CASE WHEN t = k THEN e * fu / prev ELSE 0 END AS fund, CASE WHEN t = k THEN e * tu / prev ELSE 0 END AS turn FROM ru),
 rg AS (SELECT *, r + fee + slip - fund AS gp FROM rt)"""
+
+FOLDED = folded_sql(TARGETS, SETTLED, H6)
+VALUED = valued_sql(FOLDED)
 RETURN_COLUMNS = "round(gp, 7) AS gross_price_return, round(fee, 8) AS fee_cost, round(slip, 8) AS slippage_cost, round(fund, 7) AS funding_return, round(r, 7) AS net_return, round(equity, 2) AS equity, round(dd, 6) AS drawdown, round(gx, 6) AS gross_exposure, round(nx, 6) AS net_exposure, round(turn, 6) AS turnover"
 
 def market(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,10 +210,7 @@ def v10_positions(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("candidate", ms("open_time").alias("t"), "symbol", F.round("weight", 7).alias("weight"), F.round("quantity", 3).alias("quantity"), F.round("notional", 2).alias("notional"), F.round("unrealized", 2).alias("unrealized"))
 
 def boundary_states(spark: SparkSession, sf: str) -> DataFrame:
-    bars, targets, rebalances = market(spark, sf)
-    funding = panel.funding(spark, sf)
-    cuts = valuation.boundaries(bars, rebalances, funding, "6h")
-    return valuation.fold(valuation.boundary_rows(bars, targets, rebalances, cuts, funding, "6h"), PAID, INITIAL)
+    return valuation.states(*market(spark, sf), "6h", PAID, INITIAL, panel.funding(spark, sf))[2]
 
 @query(f"""WITH {FOLDED}, hs AS (SELECT * FROM st WHERE abs(w) >= 1e-15 OR w <> d),
 al AS (SELECT candidate, idx, symbol, w, e, mark, turnover, funding, w - d AS traded FROM hs
@@ -233,6 +236,32 @@ def v3_funding_cash(spark: SparkSession, sf: str) -> DataFrame:
     holdings = val_bars(spark, sf).select("symbol", "open_time", "open", F.lit(10.0).alias("quantity"))
     return rounded(valuation.funding_cash(panel.funding(spark, sf), holdings, "6h"), "cash", time=False).select("event_id", "symbol", "cash")
 
+# Six candidates, 64 names and 360 bars of two hours; each holds eight names and changes them every 30 bars.
+H2 = 7_200_000
+SIX_BARS = f"bars AS (SELECT (user_id % 64)::VARCHAR AS symbol, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {H2} AS t, first(v ORDER BY ts, event_id) AS open, last(v ORDER BY ts, event_id) AS close FROM (SELECT *, 100 + value / 10 AS v FROM events) WHERE ts IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2)"
+SIX_TARGETS = f"""{SIX_BARS}, reb AS (SELECT DISTINCT t FROM bars WHERE t % {30 * H2} = 0 AND t > (SELECT min(t) FROM bars)),
+rk AS (SELECT reb.t, b.symbol, row_number() OVER (PARTITION BY reb.t ORDER BY b.close DESC, b.symbol) AS r, count(*) OVER (PARTITION BY reb.t) AS n FROM reb JOIN bars b ON b.t = reb.t - {H2} JOIN bars ob ON ob.symbol = b.symbol AND ob.t = reb.t),
+tg AS (SELECT 'offset' || c AS candidate, t, symbol, CASE WHEN r BETWEEN c + 1 AND c + 4 THEN 0.125 ELSE -0.125 END AS w FROM rk, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS c) WHERE r BETWEEN c + 1 AND least(c + 4, n // 2) OR r BETWEEN greatest(n - c - 3, n // 2 + 1) AND n - c)"""
+UNSETTLED = "fr AS (SELECT NULL::VARCHAR AS symbol, NULL::BIGINT AS t, NULL::DOUBLE AS rate WHERE false)"
+
+@query(f"WITH {valued_sql(folded_sql(SIX_TARGETS, UNSETTLED, H2))} SELECT candidate, t, {RETURN_COLUMNS} FROM rg")
+def v14_six_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    events = panel.table(spark, sf, "events").withColumn("value", 100 + F.col("value") / 10)
+    bars = kept(panel.bars_of(events, (F.col("user_id") % 64).cast("string"), "2h"), "bars")
+    first = bars.agg(F.min("open_time").alias("_first"))
+    rebalances = bars.select(F.col("open_time").alias("fill_time")).distinct().crossJoin(first).where((ms("fill_time") % (30 * H2) == 0) & (F.col("fill_time") > F.col("_first"))).select("fill_time")
+    last = bars.select(F.col("close_time").alias("fill_time"), "symbol", "close")
+    w, r, n, c = Window.partitionBy("fill_time"), F.col("r"), F.col("n"), F.col("c")
+    ranked = rebalances.join(last, "fill_time").join(bars.select(F.col("open_time").alias("fill_time"), "symbol"), ["fill_time", "symbol"]).withColumns({"r": F.row_number().over(w.orderBy(F.desc("close"), "symbol")), "n": F.count("*").over(w)})
+    half = F.floor(n / 2)
+    long, short = r.between(c + 1, F.least(c + 4, half)), r.between(F.greatest(n - c - 3, half + 1), n - c)
+    targets = ranked.withColumn("c", F.explode(F.array(*map(F.lit, range(6))))).where(long | short).select(F.concat(F.lit("offset"), "c").alias("candidate"), "fill_time", "symbol", F.when(r.between(c + 1, c + 4), 0.125).otherwise(-0.125).alias("target_weight"))
+    names = spark.createDataFrame([(f"offset{k}",) for k in range(6)], "candidate string")
+    out = rounded(valuation.value(bars, kept(targets, "targets"), rebalances.join(names), "2h", PAID, INITIAL)[0])
+    return out.select("candidate", "t", *(F.round(x, d).alias(x) for x, d in DIGITS.items()))
+
 DELTAS = f"{TARGETS}, dl AS (SELECT candidate, t, symbol, w * 1.0 AS d FROM tg)"
 
 @query(f"WITH {DELTAS} SELECT candidate, t, symbol, round(d * least(1.0, 0.6 / sum(abs(d)) OVER (PARTITION BY candidate, t)), 6) AS delta FROM dl")
