@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspan.functions.core import ms
@@ -303,6 +303,19 @@ def io7_json_klines(spark: SparkSession, sf: str) -> DataFrame:
     return bars.select("symbol", ms("open_time").alias("t"), "close", "is_complete")
 
 
+@query(f"WITH {B1}, p AS (SELECT *, (t + {HOUR} - 1) // {D} AS day FROM bars) SELECT symbol, (count(*) FILTER (WHERE day % 7 <> 0 AND trades IN (9, 11)) + count(DISTINCT day) FILTER (WHERE day % 7 = 0))::BIGINT AS rejects FROM p GROUP BY 1")
+def io7_broken_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of each seventh day are cut off: one reject each, besides the rows at fault on the others."""
+    day = F.floor(F.get("c", F.lit(6)).cast("long") / D)
+    pages = cells(panel.bars(spark, sf, "1h")).groupBy("symbol", day.alias("day")).agg(F.to_json(F.collect_list("c")).alias("value"))
+    rejects = files.json_klines(cut_off(pages, F.col("day") % 7 == 0), "1h", "v1", F.timestamp_millis(F.lit(START + 20 * D)))[1]
+    return rejects.groupBy("symbol").agg(F.count("*").alias("rejects"))
+
+
+def cut_off(pages: DataFrame, test: Column) -> DataFrame:
+    return pages.withColumn("value", F.when(test, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")))
+
+
 @query(f"WITH {B1} SELECT symbol, count(*) AS rejects FROM bars WHERE trades IN (9, 11) GROUP BY 1")
 def io10_rejects(spark: SparkSession, sf: str) -> DataFrame:
     raw = cells(panel.bars(spark, sf, "1h")).select("symbol", F.array_join("c", ",").alias("value"))
@@ -352,6 +365,23 @@ def io8_funding_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return files.funding_rows(funding_pages(raw), hours, "v1")[1].groupBy("symbol").agg(F.count("*").alias("rejects"))
 
 
+@query(f"SELECT coalesce(CASE WHEN day % 5 <> 0 THEN symbol END, '?') AS symbol, count(*) FILTER (WHERE day % 5 <> 0) + count(DISTINCT (symbol, day)) FILTER (WHERE day % 5 = 0) AS rejects FROM (SELECT upper(event_type) AS symbol, (epoch_us(ts) // 1000) // {D} AS day, event_id FROM events WHERE value IS NOT NULL) WHERE day % 5 = 0 OR event_id % 97 = 0 GROUP BY 1")
+def io8_broken_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of each fifth day are cut off and can't tell their symbol."""
+    raw, hours = settlements(spark, sf)
+    obj = F.struct("symbol", "calc_time", "fundingTime", "last_funding_rate", "fundingRate")
+    pages = raw.groupBy("symbol", F.floor(ms("funding_time") / D).alias("day")).agg(F.to_json(F.collect_list(obj)).alias("value"))
+    rejects = files.funding_rows(cut_off(pages, F.col("day") % 5 == 0), hours, "v1")[1]
+    return rejects.groupBy(F.coalesce("symbol", F.lit("?")).alias("symbol")).agg(F.count("*").alias("rejects"))
+
+
+@query(f"WITH {CONTRACTS} SELECT st AS snapshot_t, CASE WHEN st // {D} % 4 = 0 THEN 1 ELSE count(*) FILTER (WHERE symbol LIKE '%7') END AS rejects FROM snaps GROUP BY 1 HAVING rejects > 0")
+def io9_broken_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata of each fourth day is cut off."""
+    pages = cut_off(contract_pages(spark, sf, 1), F.floor(ms("snapshot_time") / D) % 4 == 0)
+    return files.contract_rows(pages, "v1")[1].groupBy(ms("snapshot_time").alias("snapshot_t")).agg(F.count("*").alias("rejects"))
+
+
 @query(f"WITH {CONTRACTS} SELECT 'C' || symbol AS symbol, st AS snapshot_t, contract_type, status, quote_asset, onboard AS onboard_t, 0.01::DOUBLE AS price_tick, 0.001::DOUBLE AS quantity_step, 5.0::DOUBLE AS min_notional FROM snaps WHERE symbol NOT LIKE '%7'")
 def io9_contract_json(spark: SparkSession, sf: str) -> DataFrame:
     out = files.contract_rows(contract_pages(spark, sf), "v1")[0]
@@ -363,12 +393,12 @@ def io9_contract_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return files.contract_rows(contract_pages(spark, sf), "v1")[1].groupBy(ms("snapshot_time").alias("snapshot_t")).agg(F.count("*").alias("rejects"))
 
 
-def contract_pages(spark: SparkSession, sf: str) -> DataFrame:
+def contract_pages(spark: SparkSession, sf: str, parts: int = 8) -> DataFrame:
     """Snapshots as exchange metadata; symbols that end in 7 have no lot size."""
     c = panel.contracts(spark, sf)
     sizes = F.array(F.struct(F.lit("PRICE_FILTER").alias("filterType"), F.lit("0.01").alias("tickSize"), F.lit(None).cast("string").alias("stepSize"), F.lit(None).cast("string").alias("minQty"), F.lit(None).cast("string").alias("notional")), F.struct(F.lit("LOT_SIZE").alias("filterType"), F.lit(None).cast("string").alias("tickSize"), F.lit("0.001").alias("stepSize"), F.lit("0.001").alias("minQty"), F.lit(None).cast("string").alias("notional")), F.struct(F.lit("MIN_NOTIONAL").alias("filterType"), F.lit(None).cast("string").alias("tickSize"), F.lit(None).cast("string").alias("stepSize"), F.lit(None).cast("string").alias("minQty"), F.lit("5").alias("notional")))
     row = F.struct(F.concat(F.lit("c"), "symbol").alias("symbol"), F.lower("contract_type").alias("contractType"), "status", F.lit("btc").alias("baseAsset"), F.lower("quote_asset").alias("quoteAsset"), F.col("margin_asset").alias("marginAsset"), ms("onboard_time").cast("string").alias("onboardDate"), F.filter(sizes, lambda f: ~F.col("symbol").endswith("7") | (f["filterType"] != "LOT_SIZE")).alias("filters"))
-    return c.groupBy("snapshot_time", F.pmod(F.xxhash64("symbol"), F.lit(8))).agg(F.to_json(F.struct(F.collect_list(row).alias("symbols"))).alias("value"))
+    return c.groupBy("snapshot_time", F.pmod(F.xxhash64("symbol"), F.lit(parts))).agg(F.to_json(F.struct(F.collect_list(row).alias("symbols"))).alias("value"))
 
 
 @query(f"WITH {B1} SELECT '1h' AS interval, year(make_timestamp(t * 1000)) AS year, month(make_timestamp(t * 1000)) AS month, count(*) AS row_count, min(t) AS min_t, max(t) AS max_t, count(DISTINCT symbol) AS symbols FROM bars GROUP BY 1, 2, 3")

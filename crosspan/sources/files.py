@@ -72,21 +72,36 @@ def klines(cells: Column, df: DataFrame, symbol: Column, interval: str, source:
     return parsed.where(~bad).drop("_raw", "_step"), parsed.where(bad).select("symbol", "_raw")
 
 
+#: Names that a header of kline archives may hold, without case, spaces and underscores.
+KLINE_NAMES = (*(x.replace("_", "") for x in KLINE), "quoteassetvolume", "numberoftrades", "count", "takerbuybaseassetvolume", "takerbuyquoteassetvolume", "takerbuybasevolume", "ignore")
+
+
 def csv_klines(lines: DataFrame, interval: str, version: str, value: str = "value", symbol: str = "symbol") -> tuple[DataFrame, DataFrame]:
     """IO6. Lines of archive CSV with (symbol, value).
 
-    Lines of a text scan have no order, so a header is told by what it is: names and not a number among
-    its cells. Any other line without a readable time is damaged, and a reject.
+    Lines of a text scan have no order, so a header is told by what it is: its first cell isn't a
+    number, and a cell is the name of a column. Empty lines hold nothing. Any other line without a
+    readable time is damaged, and a reject.
     """
     cells = F.split(F.col(value), ",")
-    body = lines.where(F.exists(cells, lambda c: c.rlike(r"[0-9]")) & (F.trim(F.col(value)) != ""))
+    name = lambda c: F.lower(F.regexp_replace(c, r"[\s_\"]", ""))
+    header = ~F.coalesce(F.get(cells, F.lit(0)).rlike(r"^\s*[0-9]"), F.lit(False)) & F.exists(cells, lambda c: name(c).isin(*KLINE_NAMES))
+    body = lines.where(F.trim(F.col(value)) != "").where(~header)
     return klines(cells, body, F.col(symbol), interval, "archive", version)
 
 
+def parsed_pages(payloads: DataFrame, value: str, kind: str, items: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``payloads`` with ``_items``, the array that each holds, and those that hold none (null or no such JSON)."""
+    read = F.from_json(value, kind)
+    df = payloads.withColumn("_items", read[items] if items else read)
+    return df.where("_items is not null"), df.where("_items is null")
+
+
 def json_klines(payloads: DataFrame, interval: str, version: str, retrieved: Column, value: str = "value", symbol: str = "symbol") -> tuple[DataFrame, DataFrame]:
-    """IO7. Payloads that are arrays of arrays of strings."""
-    rows = payloads.select(F.col(symbol), F.explode(F.from_json(value, "array<array<string>>")).alias("_row"))
-    return klines(F.col("_row"), rows, F.col(symbol), interval, "rest", version, retrieved)
+    """IO7. Payloads that are arrays of arrays of strings; one that isn't is a reject as a whole."""
+    pages, broken = parsed_pages(payloads, value, "array<array<string>>")
+    good, bad = klines(F.col("_row"), pages.select(F.col(symbol), F.explode("_items").alias("_row")), F.col(symbol), interval, "rest", version, retrieved)
+    return good, bad.unionByName(broken.select(printable(F.col(symbol)).alias("symbol"), F.col(value).alias("_raw")))
 
 
 FUNDING_CELLS = ("symbol", "fundingTime", "calc_time", "fundingRate", "last_funding_rate", "markPrice")
@@ -109,9 +124,11 @@ def funding_table(cells: DataFrame, hours: DataFrame, version: str) -> tuple[Dat
 
 def funding_rows(payloads: DataFrame, hours: DataFrame, version: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """IO8. (settlements, rejects) of objects in either dialect (fundingTime / calc_time, fundingRate /
-    last_funding_rate), with the interval's hours by symbol."""
+    last_funding_rate), with the interval's hours by symbol. A payload that isn't an array of objects is a reject."""
     kind = f"array<struct<{','.join(f'{x}:string' for x in FUNDING_CELLS)}>>"
-    return funding_table(payloads.select(F.explode(F.from_json(value, kind)).alias("r")).select("r.*"), hours, version)
+    pages, broken = parsed_pages(payloads, value, kind)
+    good, bad = funding_table(pages.select(F.explode("_items").alias("r")).select("r.*"), hours, version)
+    return good, bad.unionByName(broken.select(F.lit(None).cast("string").alias("symbol"), F.col(value).alias("_raw")))
 
 
 def csv_funding(rows: DataFrame, hours: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
@@ -122,17 +139,20 @@ def csv_funding(rows: DataFrame, hours: DataFrame, version: str) -> tuple[DataFr
 def contract_rows(payloads: DataFrame, version: str, value: str = "value", snapshot: str = "snapshot_time") -> tuple[DataFrame, DataFrame]:
     """IO9. (contracts, rejects) of exchange metadata: one row per symbol, sizes from its nested filters.
 
-    A symbol without a price tick or a quantity step above 0 is a reject.
+    A symbol without a price tick or a quantity step above 0 is a reject, and so is a payload without
+    a list of symbols.
     """
     kind = "struct<symbols:array<struct<symbol:string,contractType:string,status:string,baseAsset:string,quoteAsset:string,marginAsset:string,onboardDate:string,deliveryDate:string,filters:array<struct<filterType:string,tickSize:string,stepSize:string,minQty:string,notional:string>>>>>"
-    s = payloads.select(F.col(snapshot), F.explode(F.from_json(value, kind)["symbols"]).alias("s")).select(snapshot, F.to_json("s").alias("_raw"), "s.*")
+    pages, broken = parsed_pages(payloads, value, kind, "symbols")
+    s = pages.select(F.col(snapshot), F.explode("_items").alias("s")).select(snapshot, F.to_json("s").alias("_raw"), "s.*")
     pick = lambda name, field: finite(F.get(F.filter("filters", lambda f: f["filterType"] == name), F.lit(0))[field])
     out = s.select(
         F.col(snapshot).alias("snapshot_time"), F.upper(printable(F.col("symbol"))).alias("symbol"), F.upper("contractType").alias("contract_type"), F.upper("status").alias("status"), F.upper("baseAsset").alias("base_asset"), F.upper("quoteAsset").alias("quote_asset"), F.upper("marginAsset").alias("margin_asset"),
         epoch_ms(F.col("onboardDate")).alias("onboard_time"), epoch_ms(F.col("deliveryDate")).alias("delivery_time"), pick("PRICE_FILTER", "tickSize").alias("price_tick"), pick("LOT_SIZE", "stepSize").alias("quantity_step"), pick("LOT_SIZE", "minQty").alias("min_quantity"), pick("MIN_NOTIONAL", "notional").alias("min_notional"), F.lit(version).alias("dataset_version"), "_raw",
     )
     good = F.coalesce(F.col("symbol").isNotNull() & (F.col("price_tick") > 0) & (F.col("quantity_step") > 0), F.lit(False))
-    return out.where(good).drop("_raw"), out.where(~good).select("snapshot_time", "symbol", "_raw")
+    unread = broken.select(F.col(snapshot).alias("snapshot_time"), F.lit(None).cast("string").alias("symbol"), F.col(value).alias("_raw"))
+    return out.where(good).drop("_raw"), out.where(~good).select("snapshot_time", "symbol", "_raw").unionByName(unread)
 
 
 def publish(bars: DataFrame, path: str) -> None:

@@ -101,3 +101,22 @@ def test_unreadable_settlements_and_contracts_are_rejects(spark):
     text = '{"symbols": [{"symbol": "x", "filters": [{"filterType": "PRICE_FILTER", "tickSize": "0.1"}, {"filterType": "LOT_SIZE", "stepSize": "1", "minQty": "1"}]}, {"symbol": "y", "filters": [{"filterType": "PRICE_FILTER", "tickSize": "0.1"}]}, {"symbol": "z"}]}'
     good, bad = files.contract_rows(spark.createDataFrame([(text,)], "value string").selectExpr("value", "timestamp_millis(0) as snapshot_time"), "v1")
     assert [r.symbol for r in good.collect()] == ["X"] and sorted(r.symbol for r in bad.collect()) == ["Y", "Z"]
+
+
+def test_no_payload_and_no_line_vanishes(spark):
+    """What can't be read is a reject, one a payload or line; headers and empty lines hold nothing."""
+    good = '[["1704067200000","1","2","0.5","1.5","10","1704070799999","15","3","5","7","0"]]'
+    pages = spark.createDataFrame([("A", good), ("A", good[:-1]), ("B", "no json"), ("C", None), ("D", "[]"), ("E", '{"code": -1}')], "symbol string, value string")
+    bars, rejects = files.json_klines(pages, "1h", "v1", F.timestamp_millis(F.lit(2_000_000_000_000)))
+    assert [r.symbol for r in bars.collect()] == ["A"] and sorted(r.symbol for r in rejects.collect()) == ["A", "B", "C", "E"]
+    hours = spark.createDataFrame([("A", 8)], "symbol string, funding_interval_hours int")
+    paid = spark.createDataFrame([('[{"symbol":"A","fundingTime":"1704067200000","fundingRate":"0.1"}]',), ("[{",), (None,), ("x",)], "value string")
+    settled, rejects = files.funding_rows(paid, hours, "v1")
+    assert settled.count() == 1 and rejects.count() == 3
+    meta = spark.createDataFrame([(1, '{"symbols": []}'), (2, '{"symbols": [{'), (3, "{}"), (4, None), (5, "gone")], "k int, value string").withColumn("snapshot_time", F.timestamp_seconds("k"))
+    contracts, rejects = files.contract_rows(meta, "v1")
+    assert contracts.count() == 0 and sorted(r.snapshot_time.timestamp() for r in rejects.collect()) == [2, 3, 4, 5]
+    line = "1704067200000,1,2,0.5,1.5,10,1704070799999,15,3,5,7,0"
+    lines = spark.createDataFrame([("A", x) for x in (line, "open_time,open,high", "Open Time,Open,High,Low,Close", "", "  ", "n/a,,,", "damaged", "open24h,x,close")], "symbol string, value string")
+    bars, rejects = files.csv_klines(lines, "1h", "v1")
+    assert bars.count() == 1 and sorted(r._raw for r in rejects.collect()) == ['["damaged"]', '["n/a","","",""]']
