@@ -99,7 +99,7 @@ def first_touch(entries: DataFrame, bars: DataFrame, interval: str, barriers: Ba
     """
     step = seconds(interval) * 1000
     places = kept(numbered(bars), "places")
-    levels = max(1, math.ceil(math.log(max(2, horizon_bars), FAN)) - 1)
+    levels = max(0, math.ceil(math.log(max(2, horizon_bars), FAN)) - 1)
     trailing = barriers.trailing if barriers.trailing is not None else 1.0
     fall, rise = 1.0 - trailing, 1.0 + trailing
     table = blocks(places, levels, fall, rise)
@@ -109,7 +109,8 @@ def first_touch(entries: DataFrame, bars: DataFrame, interval: str, barriers: Ba
     w = Window.partitionBy("symbol").orderBy("t", "bar").rowsBetween(Window.unboundedPreceding, 0)
     counted = marks.unionByName(places.select("symbol", ms("open_time").alias("t"), F.lit(1).alias("bar"))).withColumn("place", F.sum("bar").over(w)).where("bar = 0")
     placed = lambda t, name: counted.select("symbol", F.col("t").alias(t), F.col("place").alias(name))
-    own = entries.withColumns({"_t": begin, "_end": begin + horizon_bars * step}).join(placed("_t", "first"), ["symbol", "_t"]).join(placed("_end", "end"), ["symbol", "_end"])
+    own = entries.select("entry_id", "symbol", "side", "entry_price", begin.alias("_t"), (begin + horizon_bars * step).alias("_end"))
+    own = kept(own.join(placed("_t", "first"), ["symbol", "_t"]).join(placed("_end", "end"), ["symbol", "_end"]), "entries")
     e, long = F.col("entry_price"), F.col("side") == "LONG"
     sign = F.when(long, 1.0).otherwise(-1.0)
     at = lambda share, way: e * (1.0 + way * sign * share)

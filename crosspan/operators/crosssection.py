@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from crosspan.functions import ranks
 from crosspan.functions.core import average_rank, is_finite, ratio
 
+
 def at_time() -> WindowSpec:
     return Window.partitionBy("timestamp")
 
@@ -35,8 +37,15 @@ def winsorize(df: DataFrame, lower: float, upper: float) -> DataFrame:
     return replaced(df, F.greatest(F.least("value", "_hi"), "_lo"), "INVALID_WINSORIZE").drop("_lo", "_hi", "_n", "_k")
 
 
-def rank01(df: DataFrame) -> DataFrame:
-    """C2. Average ranks of valid values, scaled to 0..1; one row alone has 0.5."""
+def rank01(df: DataFrame, split: bool = False) -> DataFrame:
+    """C2. Average ranks of valid values, scaled to 0..1; one row alone has 0.5.
+
+    ``split``: several tasks share a time (:mod:`crosspan.functions.ranks`); for few times with very many rows.
+    """
+    if split:
+        df = ranks.tied(df, ("timestamp", "is_valid"), "value").withColumn("_r", F.col("_rank") + (F.col("_ties") - 1) / 2.0)
+        scaled = F.when(F.col("_size") == 1, 0.5).otherwise(ratio(F.col("_r") - 1.0, F.col("_size") - 1.0))
+        return replaced(df, scaled, "INVALID_RANK").drop("_r", "_rank", "_ties", "_size")
     df = df.withColumn("_r", average_rank("value", "timestamp", "is_valid"))
     n = F.count(valid_value()).over(at_time())
     return replaced(df, F.when(n == 1, 0.5).otherwise(ratio(F.col("_r") - 1.0, n - 1.0)), "INVALID_RANK").drop("_r")
@@ -68,10 +77,13 @@ def competition_ranks(df: DataFrame, value: str = "value", key: str = "timestamp
     return df.withColumns({"bullish": F.rank().over(w.orderBy(F.desc(value))), "bearish": F.rank().over(w.orderBy(value))})
 
 
-def rank_snapshots(scores: DataFrame, factor_name: str, clock: str = "rebalance") -> DataFrame:
-    """C7. Ordinal rank (score descending, symbol ascending), percentile and count of each time."""
-    good = scores.where(F.col("is_valid") & is_finite(F.col("value"))).withColumn("sample_count", F.count("*").over(at_time()).cast("int"))
-    good = good.withColumn("ordinal_rank", F.row_number().over(at_time().orderBy(F.desc("value"), "symbol")))
+def rank_snapshots(scores: DataFrame, factor_name: str, clock: str = "rebalance", split: bool = False) -> DataFrame:
+    """C7. Ordinal rank (score descending, symbol ascending), percentile and count of each time; ``split`` as in :func:`rank01`."""
+    good = scores.where(F.col("is_valid") & is_finite(F.col("value")))
+    if split:
+        good = ranks.placed(good, ("timestamp",), F.desc("value"), F.asc("symbol"), place="ordinal_rank", size="sample_count").withColumns({c: F.col(c).cast("int") for c in ("ordinal_rank", "sample_count")})
+    else:
+        good = good.withColumns({"sample_count": F.count("*").over(at_time()).cast("int"), "ordinal_rank": F.row_number().over(at_time().orderBy(F.desc("value"), "symbol"))})
     percentile = F.when(F.col("sample_count") == 1, 1.0).otherwise(1.0 - ratio(F.col("ordinal_rank") - 1.0, F.col("sample_count") - 1.0))
     return good.select("timestamp", F.lit(clock).alias("rank_clock"), "symbol", F.lit(factor_name).alias("factor_name"), F.col("value").alias("raw_score"), "ordinal_rank", percentile.alias("percentile_rank"), "sample_count", "factor_version", "universe_version")
 

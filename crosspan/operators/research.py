@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspan.functions import ranks
 from crosspan.functions.core import average_rank, bars_in, by_symbol, correlation, is_finite, ms, ratio, seconds
 
 
@@ -43,10 +44,13 @@ def information_coefficient(factors: DataFrame, labels: DataFrame) -> DataFrame:
     return ranked.groupBy("timestamp").agg(F.count("*").alias("sample_count"), correlation(F.col("value"), F.col("forward_return")).alias("ic"), correlation(F.col("_x"), F.col("_y")).alias("rank_ic"))
 
 
-def quantile_returns(factors: DataFrame, labels: DataFrame, quantiles: int = 5) -> DataFrame:
-    """D3. Mean forward return by bucket floor((ordinal - 1) q / n) + 1 of the factor's order."""
-    w = Window.partitionBy("timestamp")
-    placed = aligned(factors, labels).withColumns({"_r": F.row_number().over(w.orderBy("value", "symbol")), "_n": F.count("*").over(w)})
+def quantile_returns(factors: DataFrame, labels: DataFrame, quantiles: int = 5, split: bool = False) -> DataFrame:
+    """D3. Mean forward return by bucket floor((ordinal - 1) q / n) + 1 of the factor's order; ``split``: several tasks share a time."""
+    if split:
+        placed = ranks.placed(aligned(factors, labels), ("timestamp",), F.asc("value"), F.asc("symbol"), place="_r", size="_n")
+    else:
+        w = Window.partitionBy("timestamp")
+        placed = aligned(factors, labels).withColumns({"_r": F.row_number().over(w.orderBy("value", "symbol")), "_n": F.count("*").over(w)})
     bucket = F.floor((F.col("_r") - 1) * quantiles / F.col("_n")) + 1
     return placed.groupBy("timestamp", bucket.cast("long").alias("quantile")).agg(F.count("*").alias("sample_count"), F.avg("forward_return").alias("mean_forward_return"))
 

@@ -85,6 +85,11 @@ def c2_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(crosssection.rank01(scores(spark, sf)).where("is_valid"), "value").select("symbol", "t", "value")
 
 
+@query(f"WITH {SCORES} SELECT symbol, t, round(CASE WHEN n = 1 THEN 0.5 ELSE ({AVG_RANK} - 1) / (n - 1) END, 6) AS value FROM sc")
+def c2_rank_split(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(crosssection.rank01(scores(spark, sf), split=True).where("is_valid"), "value").select("symbol", "t", "value")
+
+
 @query(f"WITH {SCORES}, z AS (SELECT symbol, t, value, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s FROM sc WINDOW p AS (PARTITION BY t)) SELECT symbol, t, round((value - m) / s, 6) AS value FROM z WHERE s > 0")
 def c3_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(crosssection.zscore(scores(spark, sf)).where("is_valid"), "value").select("symbol", "t", "value")
@@ -117,6 +122,11 @@ def c7_rank_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(crosssection.rank_snapshots(scores(spark, sf), "momentum"), "percentile_rank").select("symbol", "t", F.col("ordinal_rank").cast("long"), "percentile_rank", F.col("sample_count").cast("long"))
 
 
+@query(f"WITH {SCORES}, {SNAP} SELECT symbol, t, rk AS ordinal_rank, round(CASE WHEN n = 1 THEN 1.0 ELSE 1 - (rk - 1) / (n - 1)::DOUBLE END, 6) AS percentile_rank, n AS sample_count FROM snap")
+def c7_rank_snapshot_split(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(crosssection.rank_snapshots(scores(spark, sf), "momentum", split=True), "percentile_rank").select("symbol", "t", F.col("ordinal_rank").cast("long"), "percentile_rank", F.col("sample_count").cast("long"))
+
+
 @query(f"WITH {SCORES}, {SNAP} SELECT symbol, t, rk AS ordinal_rank FROM snap WHERE rk <= 10")
 def c8_audit_crop(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(crosssection.crop(crosssection.rank_snapshots(scores(spark, sf), "momentum"), 10)).select("symbol", "t", F.col("ordinal_rank").cast("long"))
@@ -155,6 +165,11 @@ def d3_quantile_returns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(research.quantile_returns(scores(spark, sf), labels(spark, sf)), "mean_forward_return")
 
 
+@query(f"WITH {SCORES}, {LABELS}, {QR} SELECT t, quantile, sample_count, round(m, 6) AS mean_forward_return FROM qr")
+def d3_quantile_returns_split(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(research.quantile_returns(scores(spark, sf), labels(spark, sf), split=True), "mean_forward_return")
+
+
 COVER = "cov AS (SELECT f.t, count(*) AS eligible_count, count(*) AS factor_count, count(f.value) AS valid_factor_count, count(*) AS label_count, sum(CASE WHEN l.why IS NULL THEN 1 ELSE 0 END) AS valid_label_count, sum(CASE WHEN l.why IS NULL AND f.value IS NOT NULL THEN 1 ELSE 0 END) AS aligned_valid_count FROM fac f JOIN lab l ON f.symbol = l.symbol AND f.t = l.t GROUP BY f.t)"
 
 
