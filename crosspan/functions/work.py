@@ -17,7 +17,13 @@ def shared(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/work/core-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has kept; DataFrames that operators have returned can't be used after."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared(spark, "any")).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

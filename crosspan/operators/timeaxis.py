@@ -68,17 +68,27 @@ def fills(signals: DataFrame, bars: DataFrame, interval: str, delay_bars: int =
     return timed.join(opens, ["fill_time", "symbol"])
 
 
-def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, keys: list[str], strict: bool = False, prefix: str = "") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, keys: list[str], strict: bool = False, prefix: str = "", every: str | None = None) -> DataFrame:
     """J2. Each left row with the right row of the latest time not after it (``strict``: before it).
 
     Both sides go to one window by key: one shuffle and no pairs. The right row travels as a struct,
-    so nulls of the latest row aren't filled from older ones.
+    so nulls of the latest row aren't filled from older ones. ``every``: a key's rows go to windows of
+    this length of time, so that one key can keep many tasks at work; the last right row before a
+    stretch is carried in at its beginning, from one row for each key and stretch.
     """
     values = [c for c in right.columns if c not in keys]
     a = left.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(left_on).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("_r"))
     b = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(right_on).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_l"), F.struct(*values).alias("_r"))
-    w = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_l is not null")
+    both, named = a.unionByName(b), [f"_k{i}" for i in range(len(keys))]
+    if every is not None:
+        step = seconds(every) * 1000
+        both = both.withColumn("_slot", F.floor(ms("_t") / step))
+        ends = both.groupBy(*named, "_slot").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_end"))
+        before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*named).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+        carried = ends.withColumn("_r", before).where("_r is not null").select(*named, F.timestamp_millis(F.col("_slot") * step).alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast(dict(a.dtypes)["_l"]).alias("_l"), "_r", "_slot")
+        both, named = both.unionByName(carried), [*named, "_slot"]
+    w = Window.partitionBy(*named).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_l is not null")
     return both.select("_l.*", *(F.col(f"_m.{c}").alias(prefix + c) for c in values))
 
 

@@ -98,6 +98,12 @@ def j2_asof_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", ms("timestamp").alias("t"), ms("snapshot_time").alias("snapshot_t"), "status", ms("delivery_time").alias("delivery_t"))
 
 
+@query(f"WITH {BD}, {CONTRACTS}, {EVERY} SELECT g.symbol, g.t, s.st AS snapshot_t, s.status, s.delivery AS delivery_t FROM grid g ASOF LEFT JOIN snaps s ON g.symbol = s.symbol AND g.t >= s.st")
+def j2_asof_split(spark: SparkSession, sf: str) -> DataFrame:
+    out = timeaxis.asof(grid(spark, sf, "1d"), panel.contracts(spark, sf), "timestamp", "snapshot_time", ["symbol"], every="5d")
+    return out.select("symbol", ms("timestamp").alias("t"), ms("snapshot_time").alias("snapshot_t"), "status", ms("delivery_time").alias("delivery_t"))
+
+
 @query(f"WITH {B6}, fu AS (SELECT event_id, event_type AS symbol, (epoch_us(ts) // 1000) AS ft FROM events WHERE value IS NOT NULL) SELECT f.event_id, f.symbol, b.t, b.close FROM fu f JOIN bars b ON b.symbol = f.symbol AND f.ft > b.t AND f.ft <= b.t + {H6}")
 def j5_interval_join(spark: SparkSession, sf: str) -> DataFrame:
     out = timeaxis.interval_join(panel.funding(spark, sf), panel.bars(spark, sf, "6h"), "funding_time", "6h")

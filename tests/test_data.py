@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from crosspan.functions.core import bars_in, seconds
-from crosspan.operators import quality, universe
+from crosspan.operators import quality, timeaxis, universe
 from crosspan.sources import files
 
 H, D = 3_600_000, 86_400_000
@@ -120,3 +120,16 @@ def test_no_payload_and_no_line_vanishes(spark):
     lines = spark.createDataFrame([("A", x) for x in (line, "open_time,open,high", "Open Time,Open,High,Low,Close", "", "  ", "n/a,,,", "damaged", "open24h,x,close")], "symbol string, value string")
     bars, rejects = files.csv_klines(lines, "1h", "v1")
     assert bars.count() == 1 and sorted(r._raw for r in rejects.collect()) == ['["damaged"]', '["n/a","","",""]']
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_in_stretches_of_time(spark, strict):
+    """A key's rows in many windows give what one window gives, with nothing before, gaps and nulls."""
+    import random
+
+    rnd = random.Random(2)
+    left = spark.createDataFrame([(k, rnd.choice("ab"), rnd.randrange(-3, 400)) for k in range(300)] + [(900, "c", 5), (901, None, 7)], "id long, symbol string, s long").withColumn("t", F.timestamp_seconds(F.col("s") * 3600))
+    times = [(s, t) for s in "ab" for t in range(40, 400) if rnd.random() < 0.1 and not 150 < t < 260]
+    right = spark.createDataFrame([(s, t, rnd.choice([None, float(t)])) for s, t in times], "symbol string, r long, v double").withColumn("u", F.timestamp_seconds(F.col("r") * 3600)).drop("r")
+    one, many = (sorted(map(repr, timeaxis.asof(left, right, "t", "u", ["symbol"], strict, every=e).collect())) for e in (None, "1d"))
+    assert one == many and len(one) == 302

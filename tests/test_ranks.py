@@ -45,3 +45,14 @@ def test_split_operators_equal_the_others(spark):
     same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
     assert same(crosssection.rank_snapshots(df, "m"), crosssection.rank_snapshots(df, "m", split=True))
     assert same(crosssection.rank01(df).where("is_valid").select("timestamp", "symbol", "value"), crosssection.rank01(df, split=True).where("is_valid"))
+
+
+def test_kept_tables_are_removed(spark):
+    from pathlib import Path
+
+    from crosspan.functions import work
+
+    path = Path(work.shared(spark, "gone").removeprefix("file://"))
+    assert work.kept(table(spark, 50), "gone").count() == 50 and any(p.name.startswith("gone-") for p in path.parent.iterdir())
+    work.clean(spark)
+    assert not path.parent.exists()
