@@ -258,8 +258,9 @@ def v14_six_candidates(spark: SparkSession, sf: str) -> DataFrame:
     half = F.floor(n / 2)
     long, short = r.between(c + 1, F.least(c + 4, half)), r.between(F.greatest(n - c - 3, half + 1), n - c)
     targets = ranked.withColumn("c", F.explode(F.array(*map(F.lit, range(6))))).where(long | short).select(F.concat(F.lit("offset"), "c").alias("candidate"), "fill_time", "symbol", F.when(r.between(c + 1, c + 4), 0.125).otherwise(-0.125).alias("target_weight"))
-    names = spark.createDataFrame([(f"offset{k}",) for k in range(6)], "candidate string")
-    out = rounded(valuation.value(bars, kept(targets, "targets"), rebalances.join(names), "2h", PAID, INITIAL)[0])
+    targets = kept(targets, "targets")
+    names = targets.select("candidate").distinct()  # who never finds a name isn't valued
+    out = rounded(valuation.value(bars, targets, rebalances.crossJoin(names), "2h", PAID, INITIAL)[0])
     return out.select("candidate", "t", *(F.round(x, d).alias(x) for x, d in DIGITS.items()))
 
 DELTAS = f"{TARGETS}, dl AS (SELECT candidate, t, symbol, w * 1.0 AS d FROM tg)"
