@@ -81,7 +81,7 @@ def identities(docs: DataFrame, id: str = "doc_id", text: str = "text", size: in
 def groups(found: DataFrame) -> DataFrame:
     """``found`` of :func:`identities` with the ``first`` row of each group (id, then place; null ids last) and its ``group_size``."""
     firsts = found.groupBy("level", "name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("group_size"))
-    return found.join(firsts, ["level", "name"])
+    return found.join(written(firsts, "firsts"), ["level", "name"])  # written, as the names are
 
 
 def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
