@@ -91,3 +91,35 @@ def test_null_values_are_no_trades(spark, tmp_path, monkeypatch):
     df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got = stream_queries.z1_stream_resample(spark, str(tmp_path)).collect()
     assert [(r.open, r.close, r.trades) for r in got] == [(1.0, 3.0, 2)]
+
+
+def test_streams_go_on_from_what_a_batch_has_seen(spark, tmp_path):
+    """The state of a batch and a stream over the rest give what a stream over all gives, and so does a restart."""
+    b = bars(spark)
+    scores = b.select("symbol", "t", F.col("open_time").alias("timestamp"), F.col("close").alias("value"), F.lit(True).alias("is_valid"))
+    ranks = b.select("symbol", "t", F.col("open_time").alias("timestamp"), F.floor(F.col("close") - 50).cast("int").alias("ordinal_rank"))
+    cases = {
+        "forward": (b, lambda s, i: jobs.forward_only(s, initial=i), jobs.forward_state),
+        "ema": (b, lambda s, i: jobs.live_ema(s, "1h", "4h", 2, 3, initial=i), lambda df: jobs.live_ema_state(df, "4h", "1h", 2, 3)),
+        "cross": (scores, lambda s, i: jobs.crossover_alerts(s, 55.0, 55.0, "1h", initial=i), jobs.crossover_state),
+        "descent": (ranks, lambda s, i: jobs.descent_alerts(s, 6, 2, "1h", initial=i), lambda df: jobs.descent_state(df, 6, 2, "1h")),
+    }
+    for name, (rows, job, state) in cases.items():
+        folder = tmp_path / name
+        for _, stream in stream_of(spark, rows, str(folder / "all"), [0, 64]):
+            whole = jobs.run_available(job(stream, None), str(folder / "whole")).collect()
+        cut = T0 + 27 * H
+        for _, stream in stream_of(spark, rows.where(F.col("t") >= cut), str(folder / "rest"), [27, 45, 64]):  # the second run restarts from the checkpoint
+            rest = jobs.run_available(job(stream, state(rows.where(F.col("t") < cut))), str(folder / "out")).collect()
+        late = H if name == "ema" else 0  # its t is the close
+        rounded = lambda found: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found)
+        want = rounded(r for r in whole if r.t >= cut + late)
+        assert rounded(rest) == want and want, name
+
+
+def test_history_goes_on_from_a_batch(spark, tmp_path):
+    b = bars(spark)
+    for _, stream in stream_of(spark, b.where(F.col("t") >= T0 + 30 * H), str(tmp_path / "in"), [30, 50, 64]):
+        out = jobs.run_available(jobs.history(stream, initial=jobs.history_state(b.where(F.col("t") < T0 + 30 * H))), str(tmp_path / "out"))
+    got = {r.symbol: (r.n, r.f) for r in out.groupBy("symbol").agg(F.max("history_bars").alias("n"), F.min(F.unix_millis("first_bar_open")).alias("f")).collect()}
+    assert got == {r.symbol: (r.n, r.f) for r in b.groupBy("symbol").agg(F.count_if("is_complete").alias("n"), F.min("t").alias("f")).collect()}
