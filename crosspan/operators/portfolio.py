@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import is_finite, ms, ratio
+from crosspan.functions.core import is_finite, ms, ratio, seconds
+from crosspan.functions.work import kept
 
 def at_time() -> WindowSpec:
     return Window.partitionBy("timestamp")
@@ -139,30 +142,92 @@ def water_filling(side: DataFrame, cap: float = 0.05, budget: float = 0.5, floor
     return s.withColumn("weight", weight).drop("_s", "_i", "_rest", "_fits", "_m", "_r")
 
 
-def hysteresis(ranked: DataFrame, count: int, keep: int, strategy: str = "strategy") -> DataFrame:
+ROUNDS = 4
+
+
+def follow(near: Column, book: Column, count: int) -> Column:
+    """The rows of a snapshot (in order of rank) that are held after it, if ``book`` was held before."""
+    stay = F.slice(F.filter(near, lambda r: F.array_contains(book, r["symbol"])), 1, count)
+    top = F.filter(near, lambda r: (r["ordinal_rank"] <= count) & ~F.array_contains(book, r["symbol"]))
+    return F.concat(stay, F.slice(top, F.lit(1), F.lit(count) - F.size(stay)))
+
+
+def end_of(snaps: Column, start: Column, count: int) -> Column:
+    """The symbols held after a chunk's snapshots, in order of the alphabet."""
+    return F.sort_array(F.aggregate(snaps, start, lambda book, s: F.transform(follow(s["near"], book, count), lambda r: r["symbol"])))
+
+
+def books_of(snaps: Column, start: Column, count: int) -> Column:
+    """What is held after each snapshot of a chunk: (timestamp, rows, the symbols held before)."""
+    kind = "struct<book:array<string>,out:array<struct<timestamp:timestamp,rows:array<struct<ordinal_rank:int,symbol:string>>,before:array<string>>>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        rows = follow(s["near"], acc["book"], count)
+        one = F.struct(s["timestamp"].alias("timestamp"), rows.alias("rows"), acc["book"].alias("before"))
+        return F.struct(F.transform(rows, lambda r: r["symbol"]).alias("book"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+
+    return F.aggregate(snaps, F.struct(start.alias("book"), F.array().alias("out")).cast(kind), step, lambda acc: acc["out"])
+
+
+def in_order(chunks: DataFrame, strategy: str, count: int) -> DataFrame:
+    """(strategy, chunk, start) by following each strategy's chunks one after another: rows stream through
+    a task in order, which holds a single book. ``want`` of the first chunk is where it starts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, held = None, []
+        for pdf in batches:
+            out = []
+            for name, chunk, snaps, want in zip(pdf[strategy], pdf["chunk"], pdf["snaps"], pdf["want"], strict=True):
+                if name != mine:
+                    mine, held = name, list(want)
+                out.append((name, chunk, sorted(held)))
+                for s in snaps:
+                    near = [(r["ordinal_rank"], r["symbol"]) for r in s["near"]]
+                    before = set(held)
+                    stay = [x for _, x in near if x in before][:count]
+                    held = stay + [x for r, x in near if r <= count and x not in before][: count - len(stay)]
+            yield pd.DataFrame(out, columns=[strategy, "chunk", "start"])
+
+    rows = chunks.repartition(strategy).sortWithinPartitions(strategy, "chunk").select(strategy, "chunk", "snaps", "want")
+    return rows.mapInPandas(run, f"{strategy} {rows.schema[strategy].dataType.simpleString()}, chunk long, start array<string>")
+
+
+def hysteresis(ranked: DataFrame, count: int, keep: int, strategy: str = "strategy", every: str = "64d", rounds: int = ROUNDS) -> DataFrame:
     """P10. Hold names while they stay within rank ``keep``, fill up from the top to ``count``.
 
-    What is held depends on the time before, so each strategy is folded over its snapshots; only
-    ranks within ``keep`` reach the fold.
+    What is held depends on the time before, but seldom on much of it. So time is cut into chunks of
+    ``every`` which are followed at the same time, each from an empty book; where the book at the end of
+    a chunk isn't the one that the next began with, that one is followed again from it. Seams are compared
+    as rows of at most ``count`` names a chunk. A strategy with seams that don't meet after ``rounds``
+    times is followed in order from the first such seam on, with one book in memory. A task holds a
+    chunk's snapshots, and of these ranks within ``keep`` alone. No rows give none.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[str] = []
-        out = []
-        for t, g in pdf.sort_values(["timestamp", "ordinal_rank"]).groupby("timestamp", sort=True):
-            rank = dict(zip(g["symbol"], g["ordinal_rank"], strict=True))
-            chosen = sorted((s for s in held if s in rank), key=rank.__getitem__)[:count]
-            for s in [s for s in g["symbol"] if rank[s] <= count]:
-                if len(chosen) >= count:
-                    break
-                if s not in chosen:
-                    chosen.append(s)
-            out += [(pdf[strategy].iloc[0], t, s, int(rank[s]), s in held) for s in chosen]
-            held = chosen
-        return pd.DataFrame(out, columns=[strategy, "timestamp", "symbol", "ordinal_rank", "kept"])
-
-    rows = ranked.where(F.col("ordinal_rank") <= keep).select(strategy, "timestamp", "symbol", F.col("ordinal_rank").cast("int"))
-    return rows.groupBy(strategy).applyInPandas(fold, f"{strategy} string, timestamp timestamp, symbol string, ordinal_rank int, kept boolean")
+    span = seconds(every) * 1000
+    rows = ranked.where(F.col("ordinal_rank") <= keep).select(strategy, "timestamp", "symbol", F.col("ordinal_rank").cast("int").alias("ordinal_rank"))
+    snaps = rows.groupBy(strategy, "timestamp").agg(F.sort_array(F.collect_list(F.struct("ordinal_rank", "symbol"))).alias("near"))
+    chunked = snaps.groupBy(strategy, F.floor(ms("timestamp") / span).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("timestamp", "near"))).alias("snaps"))
+    chunks = kept(chunked, "chunks")
+    empty = F.array().cast("array<string>")
+    began = lambda df, start: df.select(strategy, "chunk", start.alias("start"), end_of(F.col("snaps"), start, count).alias("end"))
+    seams = kept(began(chunks, empty), "seams")
+    w = Window.partitionBy(strategy).orderBy("chunk")
+    for n in range(rounds + 1):
+        seams = seams.withColumn("want", F.coalesce(F.lag("end").over(w), empty))
+        apart = seams.where("start != want")
+        if apart.isEmpty():
+            break
+        if n < rounds:
+            again = began(chunks.join(apart.select(strategy, "chunk", "want"), [strategy, "chunk"]), F.col("want"))
+            seams = kept(seams.where("start = want").drop("want").unionByName(again), "seams")
+        else:
+            first = apart.groupBy(strategy).agg(F.min("chunk").alias("_from"))
+            tails = seams.join(first, strategy).where("chunk >= _from").select(strategy, "chunk", "want")
+            tails = in_order(chunks.join(tails, [strategy, "chunk"]), strategy, count)
+            before = seams.join(first, strategy, "left").where("_from is null or chunk < _from")
+            seams = before.select(strategy, "chunk", "start").unionByName(tails)
+    books = chunks.join(seams.select(strategy, "chunk", "start"), [strategy, "chunk"]).select(strategy, F.explode(books_of(F.col("snaps"), F.col("start"), count)).alias("b"))
+    held = books.select(strategy, "b.timestamp", F.explode("b.rows").alias("r"), F.col("b.before").alias("_before"))
+    return held.select(strategy, "timestamp", "r.symbol", "r.ordinal_rank", F.array_contains("_before", F.col("r.symbol")).alias("kept"))
 
 
 def schedule_faults(targets: DataFrame, rebalances: DataFrame) -> DataFrame:

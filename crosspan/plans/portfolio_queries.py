@@ -100,7 +100,7 @@ ch AS (SELECT t, kept, unnest(chosen) AS symbol FROM hy)
 SELECT strategy, symbol, ch.t, rk::INT AS ordinal_rank, list_contains(kept, symbol) AS kept FROM ch JOIN snap USING (symbol, t), (SELECT unnest(['a', 'b']) AS strategy)""")
 def p10_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     ranked = snapshots(spark, sf).withColumn("strategy", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    return rounded(portfolio.hysteresis(ranked, 10, 20)).select("strategy", "symbol", "t", "ordinal_rank", "kept")
+    return rounded(portfolio.hysteresis(ranked, 10, 20, every="5d")).select("strategy", "symbol", "t", "ordinal_rank", "kept")
 
 VAL_BARS = f"""bars AS (SELECT event_type AS symbol, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {H6} AS t, first(v ORDER BY ts, event_id) AS open, last(v ORDER BY ts, event_id) AS close, max(v) AS high, min(v) AS low FROM (SELECT *, 100 + value / 10 AS v FROM events) WHERE ts IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2)"""
 TARGETS = f"""{VAL_BARS}, reb AS (SELECT DISTINCT t FROM bars WHERE t % {2 * D} = 0 AND t > (SELECT min(t) FROM bars)),

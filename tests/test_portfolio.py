@@ -145,3 +145,36 @@ def test_hysteresis_keeps_within_the_band(spark):
     for r in portfolio.hysteresis(df, 1, 2).collect():
         got[r.timestamp] = r.symbol
     assert [got[k] for k in sorted(got)] == ["a", "b", "c"]
+
+
+def hysteresis_loop(ranks, count, keep):
+    held, out = [], set()
+    for i, x in enumerate(ranks):
+        near = sorted((r, s) for s, r in x.items() if r <= keep)
+        if not near:
+            continue
+        book = [s for _, s in near if s in held][:count]
+        for r, s in near:
+            if r <= count and s not in book and len(book) < count:
+                book.append(s)
+        out |= {(s, i, x[s], s in held) for s in book}
+        held = book
+    return out
+
+
+def test_hysteresis_in_chunks_meets_the_fold(spark):
+    """Chunks that meet, chunks that never do (a book of the first hour is held for ever), and absent snapshots."""
+    rnd = random.Random(8)
+    names = "abcdefgh"
+    mixed = [{} if i % 11 == 5 else {s: r + 1 for r, s in enumerate(rnd.sample(names, 8))} for i in range(60)]
+    # Other names lead in each chunk, but the first two never leave the band: no chunk meets the one before.
+    stuck = [{s: r + 1 for r, s in enumerate("abcdef" if i < 2 else "cdabef" if i // 6 % 2 else "efabcd")} for i in range(60)]
+    rows = [(n, T0 + i * H, s, r) for n, ranks in (("mixed", mixed), ("stuck", stuck)) for i, x in enumerate(ranks) for s, r in x.items()]
+    df = spark.createDataFrame(rows, "strategy string, t long, symbol string, ordinal_rank int").withColumn("timestamp", F.timestamp_millis("t"))
+    for rounds in (0, 1, 20):
+        got = portfolio.hysteresis(df, 2, 4, every="6h", rounds=rounds).select("strategy", "symbol", F.unix_millis("timestamp").alias("t"), "ordinal_rank", "kept").collect()
+        for n, ranks in (("mixed", mixed), ("stuck", stuck)):
+            mine = [(r.symbol, (r.t - T0) // H, r.ordinal_rank, r.kept) for r in got if r.strategy == n]
+            assert len(mine) == len(set(mine)) and set(mine) == hysteresis_loop(ranks, 2, 4), (n, rounds)
+    assert {s for s, i, _, _ in hysteresis_loop(stuck, 2, 4) if i > 30} == {"a", "b"}
+    assert portfolio.hysteresis(df.where("false"), 2, 4).collect() == []
