@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crosspan.functions.core import ms
 from crosspan.functions.work import shared
-from crosspan.operators import quality, timeaxis
+from crosspan.operators import quality, timeaxis, universe
 from crosspan.plans import sql
 from crosspan.plans.research_queries import CONTRACTS, END, START, everyone, scores
 from crosspan.sources import files, panel
@@ -256,6 +256,30 @@ def io1_publish_and_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", ms("open_time").alias("t"), "close")
 
 
+def by_symbol_published(spark: SparkSession, sf: str, interval: str, columns: list[str]) -> DataFrame:
+    """All bars, published and read back partitioned by symbol."""
+    path = shared(spark, "bars")
+    files.publish_by_symbol(panel.bars(spark, sf, interval), path, 8)
+    at = lambda t: F.timestamp_millis(F.lit(t))
+    return files.scan_by_symbol(spark, path, 8, "events-v1", at(0), at(files.EPOCH_MS[1]), interval, columns)
+
+
+@query(f"WITH {B1}, {sql.segments('1h')} SELECT symbol, t, segment::BIGINT AS segment FROM sg")
+def io11_segments_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    bars = by_symbol_published(spark, sf, "1h", ["symbol", "open_time", "is_complete"])
+    return timeaxis.segments(bars, "1h").select("symbol", ms("open_time").alias("t"), "segment")
+
+
+@query(f"WITH {BD} SELECT symbol, t + {D} AS t, sum(CASE WHEN is_complete THEN 1 ELSE 0 END) OVER w::BIGINT AS history_bars, min(t) OVER w AS first_t, round(sum(CASE WHEN is_complete THEN quote_volume ELSE 0 END) OVER w, 4) AS quote FROM bars WHERE t >= {START + 4 * D} AND t < {START + 25 * D} WINDOW w AS (PARTITION BY symbol ORDER BY t)")
+def io11_history_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a stretch of time, as a later run would read it."""
+    path = shared(spark, "bars")
+    files.publish_by_symbol(panel.bars(spark, sf, "1d"), path, 8)
+    at = lambda d: F.timestamp_millis(F.lit(START + d * D))
+    h = universe.running_history(files.scan_by_symbol(spark, path, 8, "events-v1", at(4), at(25), "1d"))
+    return h.select("symbol", ms("close_time").alias("t"), "history_bars", ms("first_bar_open").alias("first_t"), F.round("cumulative_quote", 4).alias("quote"))
+
+
 @query(f"WITH {B1} SELECT symbol, t, open, close FROM bars WHERE t >= {START + 2 * D} AND t < {START + 8 * D}")
 def io2_scan_marks(spark: SparkSession, sf: str) -> DataFrame:
     path = shared(spark, "marks")

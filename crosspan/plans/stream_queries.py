@@ -82,6 +82,27 @@ def z4_stream_live_ema(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("raw_value is not null").select("symbol", "t", F.round("raw_value", 6).alias("value"))
 
 
+def halves(spark: SparkSession, sf: str, interval: str) -> tuple[DataFrame, DataFrame]:
+    """Bars that a batch has seen, and a stream of the later ones."""
+    bars = panel.bars(spark, sf, interval)
+    return bars.where(ms("open_time") < MIDDLE), streamed(spark, bars.where(ms("open_time") >= MIDDLE), "bars")
+
+
+@query(f"WITH {sql.bars('1h')} SELECT symbol, sum(CASE WHEN is_complete THEN 1 ELSE 0 END)::BIGINT AS history_bars, min(t) AS first_t FROM bars GROUP BY 1 HAVING max(t) >= {MIDDLE}")
+def z3_stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
+    seen, later = halves(spark, sf, "1h")
+    out = jobs.run_available(jobs.history(later, initial=jobs.history_state(seen)), shared(spark, "z3"))
+    return out.groupBy("symbol").agg(F.max("history_bars").alias("history_bars"), F.min(ms("first_bar_open")).alias("first_t"))
+
+
+@query(f"SELECT * FROM ({factor_queries.SQL['f9_live_ema_ratio']}) WHERE t > {MIDDLE}")
+def z4_stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
+    seen, later = halves(spark, sf, "6h")
+    state = jobs.live_ema_state(seen, "1d", "6h", 2, 4)
+    out = jobs.run_available(jobs.live_ema(later, "6h", "1d", 2, 4, initial=state), shared(spark, "z4"))
+    return out.where("raw_value is not null").select("symbol", "t", F.round("raw_value", 6).alias("value"))
+
+
 @query(f"WITH {SCORES}, p AS (SELECT symbol, t, value, CASE WHEN t - lag(t) OVER w = {D} THEN lag(value) OVER w END AS pv FROM sc WINDOW w AS (PARTITION BY symbol ORDER BY t)) SELECT symbol, t, round(value, 6) AS score, CASE WHEN pv <= 0.2 AND value > 0.2 THEN 'LONG' ELSE 'FLAT' END AS side FROM p WHERE (pv <= 0.2 AND value > 0.2) OR (pv >= -0.2 AND value < -0.2)")
 def z5_stream_crossover(spark: SparkSession, sf: str) -> DataFrame:
     out = jobs.run_available(jobs.crossover_alerts(streamed(spark, scores(spark, sf), "scores"), 0.2, -0.2, "1d"), shared(spark, "z5"))

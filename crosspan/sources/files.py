@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +169,52 @@ def publish(bars: DataFrame, path: str) -> None:
     dealt.sortWithinPartitions("interval", "year", "month", "symbol", "open_time").write.partitionBy("interval", "year", "month").option("compression", "zstd").mode("error").parquet(path)
 
 
+UNTRACKED = "spark.sql.hive.manageFilesourcePartitions"
+
+
+@contextmanager
+def passing_table(spark: SparkSession) -> Iterator[str]:
+    """The name of a table that is gone from the catalog afterwards; its files stay. Partitions are found
+    in the folders, so that what was read through the table doesn't need it any more."""
+    name, before = f"passing_{uuid.uuid4().hex}", spark.conf.get(UNTRACKED)
+    spark.conf.set(UNTRACKED, "false")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.conf.set(UNTRACKED, before)
+
+
+def publish_by_symbol(bars: DataFrame, path: str, buckets: int) -> None:
+    """IO11. As :func:`publish`, but within each month in ``buckets`` files by hash of the symbol, sorted by
+    symbol and time; a folder that isn't empty is an error.
+
+    What :func:`scan_by_symbol` reads of it is partitioned by symbol already: windows, joins and groups by
+    symbol move no row. A bucket of all months is one task's, so choose as many as give each task what
+    it can sort, a few hundred MB, and no more: there are ``buckets`` files a month.
+    """
+    dated = bars.withColumns({"year": F.year("open_time"), "month": F.month("open_time")})
+    dealt = dated.repartition("interval", "year", "month", F.pmod(F.hash("symbol"), F.lit(buckets)))
+    with passing_table(bars.sparkSession) as name:
+        dealt.write.partitionBy("interval", "year", "month").bucketBy(buckets, "symbol").sortBy("symbol", "open_time").option("compression", "zstd").option("path", path).mode("error").saveAsTable(name, format="parquet")
+
+
+def scan_by_symbol(spark: SparkSession, path: str, buckets: int, version: str, start: Column, end: Column, interval: str, columns: list[str] | None = None, schema: str = BARS) -> DataFrame:
+    """IO1. A version's bars with start <= open_time < end of what :func:`publish_by_symbol` wrote with
+    as many ``buckets``, partitioned by symbol. ``columns`` must hold the symbol to keep this.
+
+    Whole months outside are left out by their folders, others by the statistics of their row groups.
+    """
+    fields = ", ".join(f"`{n}` {kind}" for n, kind in (part.split(" ") for part in schema.split(", ")))
+    with passing_table(spark) as name:
+        spark.sql(f"CREATE TABLE {name} ({fields}, `year` int, `month` int) USING parquet PARTITIONED BY (`interval`, `year`, `month`) CLUSTERED BY (symbol) SORTED BY (symbol, open_time) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+        df = spark.table(name)
+        month = F.col("year") * 12 + F.col("month")
+        df = df.where((F.col("dataset_version") == version) & (F.col("interval") == interval) & (F.col("open_time") >= start) & (F.col("open_time") < end))
+        df = df.where((month >= F.year(start) * 12 + F.month(start)) & (month <= F.year(end) * 12 + F.month(end)))
+        return df.select(*(columns or names(schema)))
+
+
 def manifest(bars: DataFrame) -> DataFrame:
     """IO12. By partition: rows, first and last time, symbols."""
     return bars.groupBy("dataset_version", "interval", F.year("open_time").alias("year"), F.month("open_time").alias("month")).agg(F.count("*").alias("row_count"), F.min("open_time").alias("min_time"), F.max("open_time").alias("max_time"), F.count_distinct("symbol").alias("symbols"))

@@ -133,3 +133,27 @@ def test_asof_in_stretches_of_time(spark, strict):
     right = spark.createDataFrame([(s, t, rnd.choice([None, float(t)])) for s, t in times], "symbol string, r long, v double").withColumn("u", F.timestamp_seconds(F.col("r") * 3600)).drop("r")
     one, many = (sorted(map(repr, timeaxis.asof(left, right, "t", "u", ["symbol"], strict, every=e).collect())) for e in (None, "1d"))
     assert one == many and len(one) == 302
+
+
+def test_a_panel_published_by_symbol_needs_no_exchange(spark, tmp_path):
+    from crosspan.operators import factors
+
+    good, _ = files.csv_klines(spark.createDataFrame([(line(T0 + i * 31 * H), s) for i in range(60) for s in "abcde"], "value string, symbol string"), "1h", "v1")
+    path = str(tmp_path / "bars")
+    files.publish_by_symbol(good, path, 3)
+    with pytest.raises(AnalysisException):
+        files.publish_by_symbol(good, path, 3)
+    at = lambda i: F.timestamp_millis(F.lit(T0 + i * 31 * H))
+    back = files.scan_by_symbol(spark, path, 3, "v1", at(2), at(50), "1h")
+    assert sorted(map(str, back.collect())) == sorted(map(str, good.where((F.col("open_time") >= at(2)) & (F.col("open_time") < at(50))).select(*back.columns).collect()))
+    jobs = {"t1": timeaxis.segments(back, "1h"), "f1": factors.momentum(back, "1h", "2h"), "u1": universe.running_history(back), "r1": factors.exponential(back.withColumn("segment", F.lit(1)), "close", 0.3, "y")}
+    plain = {"t1": timeaxis.segments(good, "1h"), "u1": universe.running_history(good)}
+    for name, df in jobs.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan, name
+        assert df.count() == 240
+        if name in plain:
+            assert "Exchange" in plain[name]._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("passing_")]
+    one = files.scan_by_symbol(spark, path, 3, "v1", at(0), at(1), "1h", ["symbol", "close"])
+    assert one.count() == 5 and "month" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
