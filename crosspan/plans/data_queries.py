@@ -110,10 +110,10 @@ def j5_interval_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "symbol", ms("open_time").alias("t"), "close")
 
 
-@query(f"WITH {B1}, a AS (SELECT symbol, t, close FROM bars WHERE trades % 2 = 0), b AS (SELECT symbol, t, open FROM bars WHERE trades % 3 = 0) SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.t, b.t) AS t, a.close, b.open FROM a FULL JOIN b ON a.symbol = b.symbol AND a.t = b.t")
+@query(f"WITH {B1}, a AS (SELECT symbol, t, close FROM bars WHERE close >= open), b AS (SELECT symbol, t, open FROM bars WHERE close <= open) SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.t, b.t) AS t, a.close, b.open FROM a FULL JOIN b ON a.symbol = b.symbol AND a.t = b.t")
 def j7_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     bars = panel.bars(spark, sf, "1h").withColumn("t", ms("open_time"))
-    return bars.where("trades % 2 = 0").select("symbol", "t", "close").join(bars.where("trades % 3 = 0").select("symbol", "t", "open"), ["symbol", "t"], "full_outer")
+    return bars.where("close >= open").select("symbol", "t", "close").join(bars.where("close <= open").select("symbol", "t", "open"), ["symbol", "t"], "full_outer")
 
 
 @query(f"WITH {B1} SELECT symbol, t FROM bars b WHERE EXISTS (SELECT 1 FROM bars x WHERE x.symbol = 'click' AND x.t = b.t) AND symbol IN ('view', 'error')")
@@ -188,12 +188,12 @@ def catalog(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     day = F.floor(ms("open_time") / D)
     v = F.concat(F.lit("v"), (day % 3).cast("string"))
     p = b.groupBy(v.alias("dataset_version"), F.concat_ws("/", F.lit("p"), day).alias("partition_id")).agg(F.lit("6h").alias("interval"), F.count("*").alias("row_count"), F.min("open_time").alias("min_time"), F.max("open_time").alias("max_time"), F.count_distinct("symbol").alias("symbols"), F.concat(F.lit("r"), F.max(day % 2)).alias("quality_report_id"))
-    o = b.where("trades % 2 = 0").select(F.concat_ws("/", "symbol", day).alias("object_id"), "symbol", F.concat_ws("/", F.lit("p"), day).alias("partition_id")).distinct()
+    o = b.where("is_complete").select(F.concat_ws("/", "symbol", day).alias("object_id"), "symbol", F.concat_ws("/", F.lit("p"), day).alias("partition_id")).distinct()
     return p, o.select("partition_id", "object_id"), o.select("object_id", "symbol")
 
 
 CATALOG = f"""{B6}, c0 AS (SELECT *, t // {D} AS d FROM bars), parts AS (SELECT 'v' || (d % 3) AS dataset_version, 'p/' || d AS partition_id, count(*) AS row_count, min(t) AS mn, max(t) AS mx, count(DISTINCT symbol) AS symbols, 'r' || max(d % 2) AS rep FROM c0 GROUP BY 1, 2),
-objs AS (SELECT DISTINCT symbol || '/' || d AS object_id, symbol, 'p/' || d AS partition_id FROM c0 WHERE trades % 2 = 0)"""
+objs AS (SELECT DISTINCT symbol || '/' || d AS object_id, symbol, 'p/' || d AS partition_id FROM c0 WHERE is_complete)"""
 
 
 @query(f"WITH {CATALOG} SELECT dataset_version, count(*) AS partitions, sum(row_count)::BIGINT AS rows, min(mn) AS min_t, max(mx) AS max_t, max(symbols) AS max_symbols, count(DISTINCT rep) AS reports FROM parts GROUP BY 1")
@@ -221,11 +221,11 @@ def q12_requirements(spark: SparkSession, sf: str) -> DataFrame:
     return quality.requirements(asked, quality.coverage(p), quality.symbols_behind(p, s, o))
 
 
-@query(f"WITH {CATALOG}, ex AS (SELECT symbol, d FROM (SELECT DISTINCT symbol FROM bars), (SELECT unnest(generate_series({START // D}, {START // D + 19})) AS d)), iv AS (SELECT DISTINCT symbol, d, d % 5 <> 0 AS man, CASE WHEN d % 7 = 0 THEN 'x' ELSE 'y' END AS cs FROM c0 WHERE trades % 2 = 0) SELECT coalesce(e.symbol, i.symbol) AS symbol, coalesce(e.d, i.d) AS day, CASE WHEN i.symbol IS NULL THEN 'missing' WHEN e.symbol IS NULL THEN 'orphan' WHEN NOT man THEN 'unmanifested' WHEN cs = 'y' THEN 'verified' ELSE 'conflict' END AS status FROM ex e FULL JOIN iv i ON e.symbol = i.symbol AND e.d = i.d")
+@query(f"WITH {CATALOG}, ex AS (SELECT symbol, d FROM (SELECT DISTINCT symbol FROM bars), (SELECT unnest(generate_series({START // D - 2}, {START // D + 19})) AS d)), iv AS (SELECT DISTINCT symbol, d, d % 5 <> 0 AS man, CASE WHEN d % 7 = 0 THEN 'x' ELSE 'y' END AS cs FROM c0 WHERE is_complete) SELECT coalesce(e.symbol, i.symbol) AS symbol, coalesce(e.d, i.d) AS day, CASE WHEN i.symbol IS NULL THEN 'missing' WHEN e.symbol IS NULL THEN 'orphan' WHEN NOT man THEN 'unmanifested' WHEN cs = 'y' THEN 'verified' ELSE 'conflict' END AS status FROM ex e FULL JOIN iv i ON e.symbol = i.symbol AND e.d = i.d")
 def q13_inventory(spark: SparkSession, sf: str) -> DataFrame:
     b = panel.bars(spark, sf, "6h").withColumn("day", F.floor(ms("open_time") / D))
-    expected = b.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(START // D), F.lit(START // D + 19))).alias("day"))
-    have = b.where("trades % 2 = 0").select("symbol", "day").distinct().withColumns({"manifested": F.col("day") % 5 != 0, "checksum": F.when(F.col("day") % 7 == 0, "x").otherwise("y"), "manifest_checksum": F.lit("y")})
+    expected = b.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(START // D - 2), F.lit(START // D + 19))).alias("day"))
+    have = b.where("is_complete").select("symbol", "day").distinct().withColumns({"manifested": F.col("day") % 5 != 0, "checksum": F.when(F.col("day") % 7 == 0, "x").otherwise("y"), "manifest_checksum": F.lit("y")})
     return quality.inventory_status(expected, have, ["symbol", "day"])
 
 
