@@ -1,21 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers rewrite or weigh the classes of a clause's words: *reported speech* marks
-what stands after a reporting verb or in quotation marks, *negation* marks the next few words after a
-negator, *target* marks hits in a clause that addresses someone, *insult* and *threat* weigh the
-marked classes. They are composed into one machine, which reads a clause and gives its weight and the
-classes that it has found. A target may follow what is aimed at it, so a second target machine reads
-the clause backwards first and marks the hits before a target.
+Words of a clause become symbols (``CLASSES``, ``TARGETS`` and the like), and small transducers mark and weigh
+the hits among them:
+
+* *reported speech* marks what a reporting verb governs or quotation marks hold. A report ends at a
+  comma that an address, an agent or a vocative insult follows; a quotation runs on over sentences to
+  its end or the end of the line.
+* *negation* marks the next few words after a negator, and more where a verb such as "think" carries the
+  negation on; it ends at a comma or "but".
+* *target* gives threats and insults their person. A threat needs an object ("you", "them", "her" where no
+  noun follows, not "your") and either an agent with a modal ("I will") or none at all (an imperative).
+  A weak insult ("pig") counts only as what "you" are called. Any insult weighs more beside a target.
+* *insult* and *threat* weigh the marked classes.
+
+They are composed into one machine, which reads a clause and gives its weight and the classes that it
+has found. Objects stand behind their verbs, so a second machine reads the clause backwards first and
+marks the hits by what follows them.
 
 A document is judged by the classes that the machine puts out: insults, aimed insults and aimed threats
-count as attacks; what is negated or reported counts as mitigated, apart from them; a threat without a
-target counts for nothing. A logistic curve over the classes' strengths is fitted to labelled rows from
+count as attacks; what is negated or reported counts as mitigated, apart from them; a threat that is not
+aimed counts for nothing. A logistic curve over the classes' strengths is fitted to labelled rows from
 prior weights (``PRIOR``); the prior of mitigated hits is tight, so that they don't become attacks
 because a few labelled texts have nothing else.
 
-The lexicon is learned from the same rows: beside the fixed entries, words whose odds for label 1 are
-strong and can't be chance, and beginnings of words that several different words support. A bounded
-sample of labelled rows (``sample_rows``) serves. Nothing but the text is an input of a score.
+The lexicon is learned from the same rows: beside the fixed entries with their endings, words whose odds
+for label 1 are strong and can't be chance, and beginnings of words that several different words support.
+The labels have no threats, so those are fixed. A bounded sample of labelled rows (``sample_rows``)
+serves. Nothing but the text is an input of a score.
 
 Defined results: null and empty texts score as texts without a hit; without any training rows the
 fixed lexicon and the prior weights hold; repeated rows each give a row; an empty table gives none;
@@ -24,6 +35,7 @@ other columns are not read, and pass unchanged through :func:`drop_toxic`.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -38,12 +50,41 @@ from pyspark.sql import functions as F
 
 from crosspan.llm.common import fold, fresh_name, text_of, written
 
-#: Fixed word lists of the grammar's classes.
-INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "bastard", "crétin", "imbécile", "dummkopf", "abschaum", "basura", "estúpido", "escoria")
-THREATS = ("kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "tuer", "töten", "matar")
-TARGETS = ("you", "your", "yours", "he", "she", "they", "them", "him", "her", "his", "their", "people", "du", "ihr", "tu", "vous", "usted", "ellos")
-NEGATORS = ("not", "no", "never", "isn't", "aren't", "don't", "nicht", "kein", "pas", "jamais", "nunca")
-REPORTERS = ("said", "says", "wrote", "called", "claimed", "quoted", "reported", "sagte", "dit", "dijo")
+#: Fixed word lists of the grammar's classes. Insults also have their endings (``forms``); weak ones are such only of "you".
+INSULTS = (
+    "idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "vermin", "bastard", "scumbag", "dumbass", "asshole", "lowlife", "halfwit", "dimwit",
+    "crétin", "imbécile", "dummkopf", "abschaum", "basura", "estúpido", "escoria", "connard", "arschloch", "idiota", "imbécil",
+)
+WEAK_INSULTS = ("pig", "rat", "dog", "animal", "garbage", "parasite", "cockroach", "maggot", "swine", "fool", "coward", "creep", "jerk", "freak", "filth", "failure", "disgrace", "dumb", "useless", "ugly", "liar", "schwein", "cochon", "cerdo")
+THREATS = (
+    "kill", "hurt", "destroy", "beat", "shoot", "stab", "burn", "murder", "strangle", "choke", "smash", "crush", "punch", "slaughter", "hang", "drown",
+    "tuer", "tue", "frapper", "töten", "töte", "umbringen", "schlagen", "matar", "mato", "golpear",
+)
+TARGETS = (
+    "you", "ya", "you're", "yourself", "he", "she", "they", "he's", "she's", "they're", "them", "him", "her", "everyone", "everybody",
+    "du", "dich", "ihr", "euch", "ihn", "tu", "vous", "toi", "te", "usted", "ustedes", "ellos",
+)
+#: Targets that are only subjects, only objects, and an object only where no noun follows.
+SUBJECTS, OBJECTS, DETERMINERS = ("he", "she", "they", "he's", "she's", "they're", "ellos"), ("them", "him", "yourself", "everyone", "everybody", "dich", "euch", "ihn", "toi", "te"), ("her",)
+NEGATORS = (
+    "not", "no", "never", "nobody", "isn't", "aren't", "wasn't", "weren't", "don't", "doesn't", "didn't", "won't", "wouldn't", "can't", "cannot", "couldn't", "shouldn't",
+    "nicht", "kein", "keine", "niemals", "pas", "jamais", "nunca",
+)
+REPORTERS = ("said", "says", "wrote", "writes", "called", "calls", "claimed", "claims", "quoted", "reported", "alleged", "shouted", "sagte", "schrieb", "nannte", "dit", "écrit", "dijo", "escribió", "llamó")
+#: The other classes: possessives, agents, modals, both in one, verbs that carry a negation on, commas, copulas, words that
+#: change nothing, articles, and words after which an object is complete.
+CLASSES = {
+    "P": ("your", "yours", "his", "their", "my", "our", "its", "dein", "euer", "ton", "votre", "vos", "tes"),
+    "A": ("i", "we", "someone", "somebody", "ich", "wir", "je", "nous", "yo", "nosotros"),
+    "M": ("will", "gonna", "going", "shall", "should", "must", "wanna", "want", "would", "werde", "werden", "vais", "allons", "vamos"),
+    "W": ("i'll", "we'll", "i'd", "i'm", "we're", "voy"),
+    "V": ("think", "believe", "suppose", "mean", "consider", "find", "glaube", "denke", "pense", "crois", "creo"),
+    "C": (",", "but", "aber", "mais", "pero"),
+    "B": ("are", "is", "be", "were", "was", "am", "bist", "seid", "ist", "es", "êtes", "est", "eres", "son"),
+    "D": ("the", "all", "of", "such", "so", "really", "just", "please", "go", "then", "total", "complete", "absolute", "utter", "nothing", "every", "each", "one", "both", "last", "little", "damn", "filthy", "ein", "eine", "un", "une"),
+    "Z": ("a", "an"),
+    "U": ("up", "down", "now", "tonight", "today", "tomorrow", "to", "with", "and", "or", "until", "in", "if", "when", "like", "for", "at", "on", "soon", "too", "again", "and", "that"),
+}
 FIXED_WEIGHT, SAMPLE_ROWS, LEXICON_SIZE, PREFIXES, TRAIN_FOLDS = 3.0, 10_000, 2_000, range(4, 9), 5
 #: A beginning needs so many different words, and none of them more than this share of its support.
 LEAST_WORDS, LARGEST_SHARE = 4, 0.5
@@ -53,14 +94,15 @@ PRIOR = {
     "mitigated insults": (0.3, 40.0), "mitigated threats": (0.3, 40.0), "length": (0.0, 1.0), "density": (0.0, 1.0),
 }
 
-TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»]")
+TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»,]")
 BREAK = re.compile(r"[.!?;:\n|]")
 
 # --------------------------------------------------------------------------------- transducers
 
 #: A symbol is a base class and its marks, such as ("I", "n") for a negated insult.
 Symbol = tuple[str, str]
-BASES = ("I", "H", "T", "N", "R", "Q", "-")
+BASES = ("I", "J", "H", "Y", "S", "O", "G", "N", "R", "Q", *CLASSES, "-")
+HITS = "IJH"
 
 
 @dataclass
@@ -79,55 +121,120 @@ def alphabet(marks: tuple[str, ...]) -> list[Symbol]:
     return [(b, x) for b in BASES for x in out]
 
 
-def reported(symbols: list[Symbol], factor: float = 0.5) -> Transducer:
-    """Hits after a reporting verb or inside quotation marks get the mark r."""
-    t = Transducer(0)
-    for s in symbols:
-        opens = {"R": 1, "Q": 2}.get(s[0], 0)
-        t.arcs[0, s] = (opens, s, 1.0)
-        for state in (1, 2):
-            hit = s[0] in "IH"
-            after = 0 if s[0] == "Q" and state == 2 else 2 if s[0] == "Q" else state
-            t.arcs[state, s] = (after, (s[0], s[1] + "r") if hit else s, factor if hit else 1.0)
+def machine(symbols: list[Symbol], start, step) -> Transducer:
+    """The transducer of ``step`` (state, symbol) -> (state, marks, weight); its states are found from ``start``."""
+    numbers, todo, t = {start: 0}, [start], Transducer(0)
+    while todo:
+        state = todo.pop()
+        for s in symbols:
+            after, marks, weight = step(state, s)
+            if after not in numbers:
+                numbers[after] = len(numbers)
+                todo.append(after)
+            t.arcs[numbers[state], s] = (numbers[after], (s[0], marks), weight)
     return t
 
 
+def reported(symbols: list[Symbol], factor: float = 0.5) -> Transducer:
+    """Hits that a reporting verb governs or quotation marks hold get the mark r."""
+
+    def step(state: str, s: Symbol):
+        base, marks = s
+        hit = base in HITS
+        if state == "quoted":
+            return ("none" if base == "Q" else state), marks + "r" * hit, factor if hit else 1.0
+        if base == "Q":
+            return "quoted", marks, 1.0
+        if base == "R":
+            return "verb", marks, 1.0
+        if state == "none" or (state == "verb" and base == "C"):
+            return state, marks, 1.0
+        # After a comma an address or an agent speaks anew; so does an insult, unless it goes on with a list of them.
+        if state.endswith(",") and (base in "YAW" or (base in "IJ" and state == "said,")):
+            return "none", marks, 1.0
+        state = state.rstrip(",")
+        if base == "C":
+            return state + ",", marks, 1.0
+        return ("said hit" if hit or state == "said hit" else "said"), marks + "r" * hit, factor if hit else 1.0
+
+    return machine(symbols, "none", step)
+
+
 def negated(symbols: list[Symbol], scope: int = 3, factor: float = 0.4) -> Transducer:
-    """Hits within ``scope`` words after a negator get the mark n."""
-    t = Transducer(0)
-    for s in symbols:
-        for state in range(scope + 1):
-            hit = state and s[0] in "IH"
-            after = scope if s[0] == "N" else max(0, state - 1)
-            t.arcs[state, s] = (after, (s[0], s[1] + "n") if hit else s, factor if hit else 1.0)
-    return t
+    """Hits within ``scope`` words after a negator get the mark n, or twice as many where a verb carries it on."""
+
+    def step(left: int, s: Symbol):
+        base, marks = s
+        hit = left > 0 and base in HITS
+        after = scope if base == "N" else 0 if base == "C" else 2 * scope if base == "V" and left else left if base in "BZD" else max(0, left - 1)
+        return after, marks + "n" * hit, factor if hit else 1.0
+
+    return machine(symbols, 0, step)
+
+
+def followed(symbols: list[Symbol]) -> Transducer:
+    """Reads a clause backwards: t marks insults before a target, threats before their object, weak insults without a noun."""
+
+    def step(state: tuple[str, bool], s: Symbol):
+        right, seen = state
+        base, marks = s
+        mark = {"I": seen, "H": right == "object", "J": right != "noun"}.get(base, False)
+        if base in "YO":
+            right = "noun" if right == "article" else "object"
+        elif base == "G":
+            right = "object" if right == "end" else "noun"
+        elif base == "Z":
+            right = "article"
+        elif base in "CUQNB":
+            right = "end"
+        elif base != "D":
+            right = "noun"
+        return (right, seen or base in "YSOG"), marks + "t" * mark, 1.0
+
+    return machine(symbols, ("end", False), step)
 
 
 def targeted(symbols: list[Symbol], factor: float = 1.5) -> Transducer:
-    """Hits after a target word of the same clause get the mark t, once."""
-    t = Transducer(0)
-    for s in symbols:
-        for state in (0, 1):
-            hit = state and s[0] in "IH" and "t" not in s[1]
-            t.arcs[state, s] = (1 if s[0] == "T" or state else 0, (s[0], s[1] + "t") if hit else s, factor if hit else 1.0)
-    return t
+    """Keeps or gives the mark t: insults beside a target, aimed threats, and weak insults of "you"."""
+
+    def step(state: tuple[str, bool, bool, bool, bool], s: Symbol):
+        # Who acts; a target seen, an object seen, the last word a target, and "you" with what it is called to come.
+        actor, seen, object_, last, open_ = state
+        base, marks = s
+        held, rest = "t" in marks, marks.replace("t", "")
+        mark = {"I": held or seen, "H": (held or object_) and actor in ("nobody", "agent with modal"), "J": held and open_}.get(base, False)
+        object_ = object_ or base == "O" or (base in "AW" and last)
+        if base == "A":
+            actor = "agent"
+        elif base == "W":
+            actor = "agent with modal"
+        elif base == "M":
+            actor = "agent with modal" if actor != "another" else actor
+        elif base == "C":
+            actor = "nobody" if actor == "another" else actor
+        elif base == "S" or (base == "Y" and actor != "agent with modal") or (actor == "nobody" and base not in "DUNQHIJO"):
+            actor = "another"
+        open_ = base == "Y" or (open_ and base in "BDZNCIJ")
+        return (actor, seen or base in "YSOG", object_ and base != "C", base in "YO", open_), rest + "t" * mark, factor if mark else 1.0
+
+    return machine(symbols, ("nobody", False, False, False, False), step)
 
 
 def weighed(symbols: list[Symbol]) -> Transducer:
-    """Insults count; threats count only with a target; all else weighs nothing."""
-    t = Transducer(0)
-    for s in symbols:
-        t.arcs[0, s] = (0, s, 1.0 if s[0] == "I" else 1.0 if s[0] == "H" and "t" in s[1] else 0.0)
-    return t
+    """Insults count; weak insults and threats count only with the mark t; all else weighs nothing."""
+    return machine(symbols, 0, lambda state, s: (state, s[1], 1.0 if s[0] == "I" or (s[0] in "HJ" and "t" in s[1]) else 0.0))
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
     """The machine that feeds a's output to b; weights multiply. States are found from the start."""
+    by_state: dict[int, list] = {}
+    for (state, symbol), arc in a.arcs.items():
+        by_state.setdefault(state, []).append((symbol, *arc))
     numbers, out, todo = {(a.start, b.start): 0}, Transducer(0), [(a.start, b.start)]
     while todo:
         p, q = pair = todo.pop()
-        for (state, symbol), (after, made, w) in a.arcs.items():
-            if state == p and (q, made) in b.arcs:
+        for symbol, after, made, w in by_state.get(p, ()):
+            if (q, made) in b.arcs:
                 then, last, v = b.arcs[q, made]
                 if (after, then) not in numbers:
                     numbers[after, then] = len(numbers)
@@ -136,12 +243,13 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return out
 
 
+@functools.cache
 def grammar() -> Transducer:
     """All five, composed in the order of the marks; what it reads may have the mark t already."""
-    machine = reported(alphabet(("t",)))
-    machine = compose(machine, negated(alphabet(("t", "r"))))
-    machine = compose(machine, targeted(alphabet(("t", "r", "n"))))
-    return compose(machine, weighed([*alphabet(("t", "r", "n")), *alphabet(("r", "n", "t"))]))
+    out = reported(alphabet(("t",)))
+    out = compose(out, negated(alphabet(("t", "r"))))
+    out = compose(out, targeted(alphabet(("t", "r", "n"))))
+    return compose(out, weighed([*alphabet(("t", "r", "n")), *alphabet(("r", "n", "t"))]))
 
 
 # ------------------------------------------------------------------------------------- scoring
@@ -158,22 +266,41 @@ class Model:
         return hashlib.sha256(repr((sorted(self.lexicon.items()), self.curve)).encode()).hexdigest()
 
 
+def forms(word: str) -> Iterator[str]:
+    """The word with the endings that insults take in the four languages."""
+    yield from (word + end for end in ("", "s", "es", "'s", "e", "en"))
+    if word.endswith("o"):
+        yield from (word[:-1] + end for end in ("a", "os", "as"))
+    if word.endswith("y"):
+        yield word[:-1] + "ies"
+
+
 def fixed_lexicon() -> dict[str, float]:
-    return dict.fromkeys(INSULTS, FIXED_WEIGHT)
+    return {form: FIXED_WEIGHT for word in INSULTS for form in forms(word)}
+
+
+def word_classes() -> dict[str, str]:
+    """The class of every listed word; insults come from the lexicon."""
+    out = {word: base for base, words in CLASSES.items() for word in words}
+    out |= {form: "J" for word in WEAK_INSULTS for form in forms(word)}
+    out |= {word: "S" if word in SUBJECTS else "O" if word in OBJECTS else "G" if word in DETERMINERS else "Y" for word in TARGETS}
+    for base, words in (("H", THREATS), ("N", NEGATORS), ("R", REPORTERS)):
+        out |= dict.fromkeys(words, base)
+    return out | dict.fromkeys('"“”«»', "Q")
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
         import ahocorasick
 
-        self.model, self.machine, self.backward = model, grammar(), targeted(alphabet(()))
-        self.classes = {w: c for c, words in (("H", THREATS), ("T", TARGETS), ("N", NEGATORS), ("R", REPORTERS)) for w in words}
-        self.classes |= dict.fromkeys('"“”«»', "Q")
+        self.model, self.machine, self.backward = model, grammar(), followed(alphabet(()))
+        self.classes = word_classes()
         self.words = {k: w for k, w in model.lexicon.items() if not k.endswith("*")}
         self.heads = {k[:-1]: w for k, w in model.lexicon.items() if k.endswith("*")}
+        # Whole words, and beginnings of words, at which a clause can have a hit.
         self.automaton = ahocorasick.Automaton()
-        for key in {*self.words, *self.heads, *THREATS}:
-            self.automaton.add_word(key, len(key))
+        for key in {*self.words, *self.heads, *(w for w, base in self.classes.items() if base in "HJ")}:
+            self.automaton.add_word(key, (len(key), key in self.heads))
         self.automaton.make_automaton()
         self.lengths = sorted({len(h) for h in self.heads}, reverse=True)
 
@@ -191,14 +318,14 @@ class Scorer:
         lexical = [self.weight(word) for word in words]
         read = [("I" if own else self.classes.get(word, "-"), "") for word, own in zip(words, lexical, strict=True)]
         # Backwards, for the hits whose target follows.
-        state, before = self.backward.start, [1.0] * len(words)
+        state = self.backward.start
         for i in range(len(words) - 1, -1, -1):
-            state, read[i], before[i] = self.backward.arcs[state, read[i]]
+            state, read[i], _ = self.backward.arcs[state, read[i]]
         state, out = self.machine.start, []
-        for symbol, own, v in zip(read, lexical, before, strict=True):
+        for symbol, own in zip(read, lexical, strict=True):
             state, made, w = self.machine.arcs[state, symbol]
             if w:
-                out.append((made, own or FIXED_WEIGHT, v * w))
+                out.append((made, own or FIXED_WEIGHT, w))
         return out
 
     def clause(self, words: list[str]) -> float:
@@ -206,17 +333,21 @@ class Scorer:
         return sum(own * w for _, own, w in self.hits(words))
 
     def found(self, text: str) -> Iterator[tuple[int, int, list[tuple[Symbol, float, float]]]]:
-        """(start, end, hits) of the clauses in which a lexicon entry or threat begins a word."""
+        """(start, end, hits) of the clauses in which a lexicon entry, weak insult or threat stands."""
         low = text.lower()
-        done = 0
-        for end, n in self.automaton.iter(low):
+        done, counted, quoted = 0, 0, False
+        for end, (n, head) in self.automaton.iter(low):
             at = end - n + 1
-            if at < done or (at and (low[at - 1].isalnum() or low[at - 1] == "_")):
+            if at < done or (at and (low[at - 1].isalnum() or low[at - 1] == "_")) or not (head or end + 1 == len(low) or not low[end + 1].isalnum()):
                 continue
             left = max([done, *(low.rfind(c, done, at) + 1 for c in ".!?;:\n|")])
             m = BREAK.search(low, end)
             right = m.start() if m else len(low)
-            hits = self.hits(TOKEN.findall(low, left, right))
+            # A quotation of this line that an earlier clause has opened is still open.
+            line = low.rfind("\n", counted, left)
+            quoted = (quoted and line < 0) ^ bool(sum(low.count(c, max(counted, line), left) for c in '"“”«»') & 1)
+            counted = left
+            hits = self.hits([*('"' if quoted else ""), *TOKEN.findall(low, left, right)])
             done = right
             if hits:
                 yield left, right, hits
@@ -240,7 +371,7 @@ def features(clauses: list[list[tuple[Symbol, float, float]]], text: str) -> lis
     for hits in clauses:
         for (base, marks), own, _ in hits:
             mark = "m" if "n" in marks or "r" in marks else "t" if "t" in marks else ""
-            strength[base + mark] += own / FIXED_WEIGHT
+            strength[("I" if base == "J" else base) + mark] += own / FIXED_WEIGHT
     attacks, words = strength["I"] + strength["It"] + strength["Ht"], 1 + text.count(" ")
     parts = (attacks, strength["It"], strength["Ht"], strength["Im"], strength["Hm"], math.log(words), 1000.0 * attacks / words)
     return [math.log1p(x) for x in parts]

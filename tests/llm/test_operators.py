@@ -64,25 +64,89 @@ def test_the_grammar_decides(toxicity_model, monkeypatch):
             assert sum(a != b for a, b in zip(predicted(), want, strict=True)) >= 1, name
 
 
+#: Sentences by the rules of the grammar, beside those above: attacks, and what only looks like one.
+MORE_ATTACKS = [
+    "Idiots like you should leave", "you are never wrong, moron", "He never said you are an idiot, you idiot", "You filthy pig", "you are nothing but garbage", "Kill yourself",
+    "I'm going to strangle you all", "Someone should shoot him", "Ich werde dich töten", "te voy a matar", "If I see you I will kill you", "You are not just wrong but stupid", "He said you are wrong, moron", "We will beat her up",
+]
+MORE_HARMLESS = [
+    "She beat her own record", "They shoot films in Paris", "you can beat the eggs", "they hurt their knee", "Your idea will destroy the competition", "I don't think you are stupid at all", "I'll shoot you an email",
+    "The pig ate garbage", "You have a dog", "I will beat her record", 'She wrote: "You are wrong. You are an idiot." and left', "Nobody called you a moron", "",
+]
+
+
+@needs_tables
+def test_attacks_and_what_looks_like_them(toxicity_model):
+    s = toxicity.Scorer(toxicity_model)
+    assert [t for t in MORE_ATTACKS if s.score(t) < 0.5] == []
+    assert [t for t in MORE_HARMLESS if s.score(t) >= 0.5] == []
+
+
+@needs_tables
+def test_held_out_documents_with_quoted_and_negated_attacks(spark, toxicity_model, monkeypatch):
+    """Clean held-out documents, each with three attacks or with three that are negated, reported, or aimed at nobody."""
+    sf = SF.replace("0.001", "0.01")
+    clean = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0"), "doc_id")
+    clean = [r.text for r in clean.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").orderBy("doc_id").collect() if r.text and toxicity.Scorer(toxicity_model).score(r.text) < 0.5]
+    rnd, rows = random.Random(8), []
+    bad = ["You are a {i}.", "Listen, {i}, nobody asked you.", "I will {h} you.", "We should {h} them all tonight.", "What a {i} you are, {i}.", "You {j}."]
+    fine = ["You are not a {i}.", "I don't think that she is a {i}.", "The teacher said you are a {i}.", 'The headline read "{i} loses again" in bold.', "I would never {h} you.", "He shouted that he will {h} them.", "You {h} the eggs first.", "A {j} slept in the yard."]
+    for text in clean:
+        for templates, y in ((bad, True), (fine, False)):
+            added = ""
+            for template in rnd.sample(templates, 3):
+                words = {"i": rnd.choice(toxicity.INSULTS[:19]), "h": rnd.choice(toxicity.THREATS[:16]), "j": rnd.choice(toxicity.WEAK_INSULTS[:16])}
+                added += "\n" + template.format(**words)
+            rows.append((text + added, y))
+
+    def predicted():
+        s = toxicity.Scorer(toxicity_model)
+        return [s.score(t) >= 0.5 for t, _ in rows]
+
+    whole = predicted()
+    right = lambda out: sum(p == y for p, (_, y) in zip(out, rows, strict=True)) / len(rows)
+    print("right", right(whole), len(rows))
+    assert len(rows) > 100 and right(whole) >= 0.9
+    for names in (("NEGATORS",), ("REPORTERS",), ("THREATS",), ("TARGETS",), ("NEGATORS", "REPORTERS", "THREATS", "TARGETS")):
+        with monkeypatch.context() as m:
+            for name in names:
+                m.setattr(toxicity, name, ())
+            out = predicted()
+        print(names, right(out))
+        assert sum(a != b for a, b in zip(out, whole, strict=True)) >= 0.02 * len(rows) and right(out) < right(whole), names
+
+
 @needs_tables
 def test_composed_scores_equal_transducers_one_after_another(texts, toxicity_model):
     s = toxicity.Scorer(toxicity_model)
     steps = [toxicity.reported(toxicity.alphabet(("t",))), toxicity.negated(toxicity.alphabet(("t", "r"))), toxicity.targeted(toxicity.alphabet(("t", "r", "n")))]
-    for t in [*texts.values(), *ATTACKS, *HARMLESS]:
+    for t in [*texts.values(), *ATTACKS, *HARMLESS, *MORE_ATTACKS, *MORE_HARMLESS]:
         clauses = []
-        for part in re.split(r"[.!?;:\n|]", t.lower()):
-            words = toxicity.TOKEN.findall(part)
-            read = [("I" if s.weight(w) else s.classes.get(w, "-"), "") for w in words]
-            for i, (base, _) in enumerate(read):
-                if base in "IH" and any(b == "T" for b, _ in read[i:]):
-                    read[i] = (base, "t")
-            states, hits = [x.start for x in steps], []
-            for word, symbol in zip(words, read, strict=True):
-                for k, step in enumerate(steps):
-                    states[k], symbol, _ = step.arcs[states[k], symbol]
-                if symbol[0] == "I" or (symbol[0] == "H" and "t" in symbol[1]):
-                    hits.append((symbol, s.weight(word) or toxicity.FIXED_WEIGHT, 1.0))
-            clauses.append(hits)
+        for line in t.lower().split("\n"):
+            quoted = False
+            for part in re.split(r"[.!?;:|]", line):
+                words = ['"'] * quoted + toxicity.TOKEN.findall(part)
+                quoted ^= sum(c in '"“”«»' for c in part) % 2 == 1
+                read = [("I" if s.weight(w) else s.classes.get(w, "-"), "") for w in words]
+                bases = [b for b, _ in read]
+                for i, base in enumerate(bases):
+                    rest = [b for b in bases[i + 1 :] if b != "D"]
+                    then = [*rest, "", ""][:2]
+                    her = then[0] == "G" and (then[1] == "" or then[1] in "CUQNB")
+                    if base == "I":
+                        marked = any(b in "YSOG" for b in rest)
+                    elif base == "H":
+                        marked = (then[0] != "" and then[0] in "YO" and then[1] != "Z") or her
+                    else:
+                        marked = base == "J" and (then[0] == "" or then[0] in "CUQNBZ" or (then[0] in "YO" and then[1] != "Z") or her)
+                    read[i] = (base, "t" * marked)
+                states, hits = [x.start for x in steps], []
+                for word, symbol in zip(words, read, strict=True):
+                    for k, step in enumerate(steps):
+                        states[k], symbol, _ = step.arcs[states[k], symbol]
+                    if symbol[0] == "I" or (symbol[0] in "HJ" and "t" in symbol[1]):
+                        hits.append((symbol, s.weight(word) or toxicity.FIXED_WEIGHT, 1.0))
+                clauses.append(hits)
         assert s.judged(t)[0] == pytest.approx(toxicity.features(clauses, t))
 
 
