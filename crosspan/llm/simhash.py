@@ -17,12 +17,15 @@ Components come from alternating large-star and small-star steps on the remainin
 written to the shared folder.
 
 :func:`one_of_each`, which filters a corpus, asks for a similarity of 0.8 on five-word shingles. Such
-texts differ in about a seventh of the bits, so it takes a signature of 256 bits and a budget of
-``WIDE_BUDGET``, and subtries of a few bits in several tables: each table names subtries of
-about ``SUBTRIE`` signatures by bits of its own, and there are so many tables that a pair at
-the similarity limit shares a subtrie of one of them with probability ``RECALL``. In a subtrie, pairs of
-leaves are compared piece by piece and left when the budget is spent. Large subtries become pairs of
-parts; the work in them grows with the square of their distinct signatures, in parallel.
+texts differ in ``UNLIKE`` of the bits (77 of 512, give or take 8), so it takes a signature of 512 bits and
+a budget of ``WIDE_BUDGET``, which 0.97 of pairs at the limit keep, and subtries of a few bits in several
+tables: each table names subtries of about ``SUBTRIE`` signatures by bits of its own, and there are so
+many tables that a pair at the limit shares a subtrie of one of them with probability ``RECALL``. The
+product of both, 0.95, is the share of pairs at the limit that are found; pairs of 0.7 are within the budget in half of all
+cases, of 0.6 hardly ever. A signature is sent to as many tables: 13 for 2 * 10^5 signatures, 31 for
+6 * 10^6, 99 for 10^9. In a subtrie, pairs of leaves are compared piece by piece and left when the budget
+is spent. Large subtries become pairs of parts; the work in them grows with the square of their distinct
+signatures, in parallel.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and link like any
 other; with fewer words than a shingle the whole sequence is the shingle; repeated rows each give a
@@ -50,9 +53,9 @@ PIECES = ((43, 21), (22, 21), (0, 22))
 MOST_MEMBERS = 4096
 #: Rows of one component that one task joins, and the most larger components whose names are broadcast.
 PER_TASK, MOST_LARGE = 1000, 100_000
-#: The signature of :func:`one_of_each`: bits, words, and the bits that a similarity of 0.8 leaves unlike
-#: (39, and one standard deviation of 6 more); members of a subtrie, and the share of pairs to be found.
-WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 256, 5, 44, 0.15, 256, 0.95
+#: The signature of :func:`one_of_each`: bits, words, the most bits that may differ (those that a similarity of 0.8
+#: leaves unlike, and two standard deviations of 8 more); members of a subtrie, and the share of pairs that share one.
+WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 512, 5, 92, 0.15, 1024, 0.98
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -83,7 +86,7 @@ def fingerprint_of(text: str, words: int = WORDS) -> int:
 
 
 def signature_of(text: str) -> list[int]:
-    """The 256 bits of five-word shingles: four numbers, each from one mix of the shingles' XXH64."""
+    """The 512 bits of five-word shingles: eight numbers, each from one mix of the shingles' XXH64."""
     h = shingle_hashes(text, WIDE_WORDS)
     out = []
     for k in range(WIDE // BITS):
@@ -295,18 +298,20 @@ def tables_for(distinct: int) -> list[list[int]]:
 
 
 def near_links(a: np.ndarray, b: np.ndarray | None = None, budget: int = WIDE_BUDGET, rows: int = 256) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of signatures (n x 4) of ``a``, or of ``a`` and ``b``, within the budget."""
+    """A spanning forest of the pairs of signatures (n x 8) of ``a``, or of ``a`` and ``b``, within the budget."""
     both = a if b is None else np.concatenate([a, b])
     first = 0 if b is None else len(a)
     label, links = np.arange(len(both)), []
     for lo in range(0, len(a), rows):
         mine = a[lo : lo + rows]
-        # Two pieces for all pairs; few are within the budget then and go on.
-        spent = np.bitwise_count(mine[:, None, 0] ^ both[None, first:, 0])
-        spent += np.bitwise_count(mine[:, None, 1] ^ both[None, first:, 1])
+        # Half of the pieces for all pairs; few are within the budget then and go on.
+        half = a.shape[1] // 2
+        spent = np.zeros((len(mine), len(both) - first), np.uint16)
+        for k in range(half):
+            spent += np.bitwise_count(mine[:, None, k] ^ both[None, first:, k])
         i, j = np.nonzero(spent <= budget)
         spent = spent[i, j].astype(np.int32)
-        for k in range(2, a.shape[1]):
+        for k in range(half, a.shape[1]):
             spent += np.bitwise_count(mine[i, k] ^ both[first + j, k])
             near = spent <= budget
             i, j, spent = i[near], j[near], spent[near]
@@ -323,7 +328,7 @@ def near_links(a: np.ndarray, b: np.ndarray | None = None, budget: int = WIDE_BU
 
 
 def signatures(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
-    """``docs`` with the signature in the four columns ``names``."""
+    """``docs`` with the signature in the columns ``names``."""
 
     @F.pandas_udf("array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -336,7 +341,7 @@ def signatures(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
 
 
 def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMBERS) -> DataFrame:
-    """Links (a, b) of the distinct signatures (columns node and s0 to s3) that differ within the budget."""
+    """Links (a, b) of the distinct signatures (columns node and s0 to s7) that differ within the budget."""
     tables = tables_for(count)
     words = [f"s{k}" for k in range(WIDE // BITS)]
 
@@ -348,7 +353,7 @@ def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMB
                 key = bits[:, places].astype(np.int64) @ (1 << np.arange(len(places), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(key), *batch.columns], names=["t", "key", "node", *words])
 
-    keyed = distinct.select("node", *words).mapInArrow(spread, "t int, key long, node long, s0 long, s1 long, s2 long, s3 long")
+    keyed = distinct.select("node", *words).mapInArrow(spread, ", ".join(["t int", "key long", "node long", *(f"{w} long" for w in words)]))
     keyed = keyed.withColumns({"pair": F.lit(0).cast("long"), "side": F.lit(0)})
     large = keyed.groupBy("t", "key").count().where(F.col("count") > most_members)
     large = written(large.select("t", "key", F.ceil(F.col("count") / most_members).cast("int").alias("parts")), "large")
