@@ -1,8 +1,9 @@
 """Secret scans: Aho-Corasick keyword prefilter, anchored patterns near the hits, embedded checksums.
 
 One automaton pass finds the fixed keywords that each rule needs. A rule's anchored pattern is then
-tried only at its keywords' places, and rules whose tokens carry a checksum (GitHub's base62 CRC-32,
-Luhn, IBAN mod 97, JWT's JSON header) are kept only if it holds. What follows a card number or an
+tried only at its keywords' places, and rules whose tokens carry a checksum (the base62 CRC-32 of GitHub and
+npm, Bech32, Base58Check, Luhn, IBAN mod 97) or a form inside (JWT's JSON header, PyPI's issuer, Azure's 64
+bytes) are kept only if it holds. What follows a card number or an
 IBAN may look like more of it, so all their admissible ends are tried, the longest first; an IBAN has
 the length of its country, where that is known. Their keywords are found in either case.
 
@@ -82,6 +83,45 @@ def jwt(token: str) -> bool:
         return False
 
 
+def bech32(token: str) -> bool:
+    """The checksum of a human-readable part, a 1 and base-32 digits, in one case."""
+    head, _, data = token.lower().rpartition("1")
+    values = [ord(c) >> 5 for c in head] + [0] + [ord(c) & 31 for c in head] + ["qpzry9x8gf2tvdw0s3jn54khce6mua7l".find(c) for c in data]
+    if -1 in values:
+        return False
+    total = 1
+    for v in values:
+        top, total = total >> 25, (total & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+            total ^= g if top >> i & 1 else 0
+    return total == 1
+
+
+def base58check(token: str) -> bool:
+    """The last four of the bytes are the first of the others' SHA-256, taken twice."""
+    value = 0
+    for c in token:
+        value = value * 58 + "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz".index(c)
+    raw = value.to_bytes(82, "big")  # an extended key has 78 bytes and the checksum
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
+def pypi(token: str) -> bool:
+    """The macaroon in it begins with its issuer."""
+    body = token.removeprefix("pypi-")
+    try:
+        return b"pypi.org" in base64.urlsafe_b64decode(body + "=" * (-len(body) % 4))[:16]
+    except ValueError:
+        return False
+
+
+def azure(token: str) -> bool:
+    try:
+        return len(base64.b64decode(token, validate=True)) == 64
+    except ValueError:
+        return False
+
+
 #: kind, keywords (as they stand in the text; those of OPEN_ENDED in lower case), anchored pattern, characters before the keyword at
 #: which the pattern may begin, and the checksum (None: none is embedded).
 RULES = (
@@ -91,6 +131,48 @@ RULES = (
     ("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile(r"xox[bpar]-[0-9]{6,}-[A-Za-z0-9-]{10,}"), 0, None),
     ("stripe", ("sk_live_", "rk_live_"), re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}"), 0, None),
     ("google", ("AIza",), re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"), 0, None),
+    ("npm", ("npm_",), re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), 0, github_checksum),
+    ("github_pat", ("github_pat_",), re.compile(r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}(?![A-Za-z0-9])"), 0, None),
+    ("gitlab", ("glpat-", "gldt-", "glrt-", "glptt-"), re.compile(r"gl(?:pat|dt|rt|ptt)-[A-Za-z0-9_-]{20,}"), 0, None),
+    ("pypi", ("pypi-",), re.compile(r"pypi-[A-Za-z0-9_-]{50,}"), 0, pypi),
+    ("aws_secret", ("aws_secret_access_key", "AWS_SECRET_ACCESS_KEY"), re.compile(r"""(?i:aws_secret_access_key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])"""), 0, None),
+    ("aws_temporary", ("ASIA",), re.compile(r"ASIA[A-Z0-9]{16}(?![A-Z0-9])"), 0, None),
+    ("azure_storage", ("AccountKey=",), re.compile(r"AccountKey=([A-Za-z0-9+/]{86}==)"), 0, azure),
+    ("google_oauth", ("GOCSPX-",), re.compile(r"GOCSPX-[A-Za-z0-9_-]{28}(?![A-Za-z0-9_-])"), 0, None),
+    ("google_access", ("ya29.",), re.compile(r"ya29\.[A-Za-z0-9_-]{30,}"), 0, None),
+    ("age", ("AGE-SECRET-KEY-1",), re.compile(r"AGE-SECRET-KEY-1[A-Z0-9]{58}(?![A-Z0-9])"), 0, bech32),
+    ("nostr", ("nsec1",), re.compile(r"nsec1[a-z0-9]{58}(?![a-z0-9])"), 0, bech32),
+    ("extended_key", ("xprv",), re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![A-Za-z0-9])"), 0, base58check),
+    ("sendgrid", ("SG.",), re.compile(r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])"), 0, None),
+    ("mailgun", ("key-",), re.compile(r"key-[0-9a-f]{32}(?![0-9A-Za-z])"), 0, None),
+    ("brevo", ("xkeysib-",), re.compile(r"xkeysib-[a-f0-9]{64}-[A-Za-z0-9]{16}(?![A-Za-z0-9])"), 0, None),
+    ("twilio", ("SK", "AC"), re.compile(r"(?:SK|AC)[0-9a-f]{32}(?![0-9A-Za-z])"), 0, None),
+    ("slack_hook", ("https://hooks.slack.com/",), re.compile(r"https://hooks\.slack\.com/services/T[A-Z0-9]{8,}/B[A-Z0-9]{8,}/[A-Za-z0-9]{24}(?![A-Za-z0-9])"), 0, None),
+    ("slack_app", ("xapp-",), re.compile(r"xapp-[0-9]-[A-Z0-9]+-[0-9]+-[a-f0-9]{64}(?![A-Za-z0-9])"), 0, None),
+    ("discord_hook", ("https://discord.com/api/webhooks/",), re.compile(r"https://discord\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,}"), 0, None),
+    ("stripe_hook", ("whsec_",), re.compile(r"whsec_[A-Za-z0-9+/]{32,}=*"), 0, None),
+    ("stripe_test", ("sk_test_", "rk_test_"), re.compile(r"[sr]k_test_[A-Za-z0-9]{16,}"), 0, None),
+    ("square", ("sq0atp-", "sq0csp-"), re.compile(r"sq0(?:atp-[A-Za-z0-9_-]{22}|csp-[A-Za-z0-9_-]{43})(?![A-Za-z0-9_-])"), 0, None),
+    ("shopify", ("shpat_", "shpca_", "shppa_", "shpss_"), re.compile(r"shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32}(?![A-Za-z0-9])"), 0, None),
+    ("digitalocean", ("dop_v1_", "doo_v1_", "dor_v1_"), re.compile(r"do[opr]_v1_[a-f0-9]{64}(?![A-Za-z0-9])"), 0, None),
+    ("databricks", ("dapi",), re.compile(r"dapi[a-f0-9]{32}(?:-[0-9])?(?![A-Za-z0-9])"), 0, None),
+    ("huggingface", ("hf_",), re.compile(r"hf_[A-Za-z]{34}(?![A-Za-z0-9])"), 0, None),
+    ("openai", ("sk-",), re.compile(r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}T3BlbkFJ[A-Za-z0-9_-]{20,}"), 0, None),
+    ("linear", ("lin_api_",), re.compile(r"lin_api_[A-Za-z0-9]{40}(?![A-Za-z0-9])"), 0, None),
+    ("notion", ("ntn_", "secret_"), re.compile(r"(?:ntn_[A-Za-z0-9]{46}|secret_[A-Za-z0-9]{43})(?![A-Za-z0-9])"), 0, None),
+    ("new_relic", ("NRAK-",), re.compile(r"NRAK-[A-Z0-9]{27}(?![A-Z0-9])"), 0, None),
+    ("grafana", ("glsa_",), re.compile(r"glsa_[A-Za-z0-9]{32}_[A-Fa-f0-9]{8}(?![A-Za-z0-9])"), 0, None),
+    ("vault", ("hvs.", "hvb."), re.compile(r"hv[bs]\.[A-Za-z0-9_-]{24,}"), 0, None),
+    ("postman", ("PMAK-",), re.compile(r"PMAK-[a-f0-9]{24}-[a-f0-9]{34}(?![A-Za-z0-9])"), 0, None),
+    ("pulumi", ("pul-",), re.compile(r"pul-[a-f0-9]{40}(?![A-Za-z0-9])"), 0, None),
+    ("rubygems", ("rubygems_",), re.compile(r"rubygems_[a-f0-9]{48}(?![A-Za-z0-9])"), 0, None),
+    ("docker", ("dckr_pat_",), re.compile(r"dckr_pat_[A-Za-z0-9_-]{27}(?![A-Za-z0-9_-])"), 0, None),
+    ("planetscale", ("pscale_tkn_", "pscale_pw_"), re.compile(r"pscale_(?:tkn|pw)_[A-Za-z0-9_.=-]{32,}"), 0, None),
+    ("supabase", ("sbp_",), re.compile(r"sbp_[a-f0-9]{40}(?![A-Za-z0-9])"), 0, None),
+    ("figma", ("figd_",), re.compile(r"figd_[A-Za-z0-9_-]{40,}"), 0, None),
+    ("atlassian", ("ATATT3",), re.compile(r"ATATT3[A-Za-z0-9_=-]{180,}"), 0, None),
+    ("doppler", ("dp.pt.",), re.compile(r"dp\.pt\.[A-Za-z0-9]{43}(?![A-Za-z0-9])"), 0, None),
+    ("url_password", ("://",), re.compile(r"://[^\s/:@\"'<>]+:([^\s/:@\"'<>]{3,})@[A-Za-z0-9]"), 0, None),
     ("card", ("card",), re.compile(r"(?i:card(?: number| no)?)[ :=]{1,3}((?:[0-9][ -]?){12,18}[0-9])(?![0-9])"), 0, luhn),
     ("iban", ("iban",), re.compile(r"(?i:iban)[ :=]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])"), 0, iban),
 )

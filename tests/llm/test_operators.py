@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import os
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -879,6 +881,89 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()} == {1: "a [secret:assign] b", 2: None, 3: "clean"}
 
 
+def own_spans(text):
+    """The spans of the rules that aren't open-ended, each tried at every place."""
+    out = []
+    for kind, _, pattern, _, check in secrets.RULES:
+        at = 0
+        while kind not in secrets.OPEN_ENDED and (m := pattern.search(text, at)):
+            group = 1 if pattern.groups else 0
+            good = check is None or check(m.group(group))
+            out += [(m.start(group), m.end(group), kind)] * good
+            at = m.end() if good else m.start() + 1
+    return sorted(out)
+
+
+def issued(rnd):
+    """A token of each issuer that has no checksum."""
+    some = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    word, low, up = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits
+    return {
+        "gitlab": "glpat-" + some(word, 20), "aws_temporary": "ASIA" + some(up, 16), "google_oauth": "GOCSPX-" + some(word, 28), "google_access": "ya29." + some(word, 60),
+        "github_pat": f"github_pat_{some(word, 22)}_{some(word, 59)}", "sendgrid": f"SG.{some(word, 22)}.{some(word, 43)}", "mailgun": "key-" + some(low, 32), "brevo": f"xkeysib-{some(low, 64)}-{some(word, 16)}",
+        "twilio": "SK" + some(low, 32), "slack_hook": f"https://hooks.slack.com/services/T{some(up, 9)}/B{some(up, 9)}/{some(word, 24)}", "slack_app": f"xapp-1-{some(up, 10)}-{some('0123456789', 12)}-{some(low, 64)}",
+        "discord_hook": f"https://discord.com/api/webhooks/{some('0123456789', 18)}/{some(word, 68)}", "stripe_hook": "whsec_" + some(word, 32), "stripe_test": "sk_test_" + some(word, 24), "square": "sq0atp-" + some(word, 22),
+        "shopify": "shpat_" + some(low, 32), "digitalocean": "dop_v1_" + some(low, 64), "databricks": "dapi" + some(low, 32), "huggingface": "hf_" + some(string.ascii_letters, 34),
+        "openai": f"sk-proj-{some(word, 24)}T3BlbkFJ{some(word, 24)}", "linear": "lin_api_" + some(word, 40), "notion": "ntn_" + some(word, 46), "new_relic": "NRAK-" + some(up, 27), "grafana": f"glsa_{some(word, 32)}_{some(low, 8)}",
+        "vault": "hvs." + some(word, 30), "postman": f"PMAK-{some(low, 24)}-{some(low, 34)}", "pulumi": "pul-" + some(low, 40), "rubygems": "rubygems_" + some(low, 48), "docker": "dckr_pat_" + some(word, 27),
+        "planetscale": "pscale_tkn_" + some(word, 40), "supabase": "sbp_" + some(low, 40), "figma": "figd_" + some(word, 40), "atlassian": "ATATT3" + some(word, 186), "doppler": "dp.pt." + some(word, 43),
+    }
+
+
+def test_issuers_have_their_own_spans():
+    rnd, s = random.Random(5), secrets.Scanner()
+    for kind, token in issued(rnd).items():
+        text = f"before {token} after"
+        assert (7, 7 + len(token), kind) in s.spans(text), token
+        assert kind not in {k for _, _, k in s.spans(f"before {token[:12]} after")}, token
+    key = base64.b64encode(bytes(range(64))).decode()
+    for text, kind, token in (
+        ("aws_secret_access_key = " + "aB3/" * 10, "aws_secret", "aB3/" * 10), (f"x;AccountKey={key};y", "azure_storage", key), ("postgres://app:s3cr:t@h", None, ""), ("postgres://app:s3cret@host/db", "url_password", "s3cret"),
+        ("pypi-" + base64.urlsafe_b64encode(b"\x02\x01\x08pypi.org" + bytes(60)).decode().rstrip("="), "pypi", None), ("pypi-" + "A" * 80, None, ""),
+    ):
+        found = [(text[a:b], k) for a, b, k in s.spans(text) if k not in secrets.KINDS]
+        assert found == ([(text if token is None else token, kind)] if kind else []), text
+
+
+def test_embedded_checksums():
+    """Published vectors of Bech32 and of extended keys; any changed letter fails."""
+    key = "xprv9s21ZrQH143K3QTDL4LXw2F7HEK3wJUD2nW2nRk4stbPy6cq3jPPqjiChkVvvNKmPGJxWUtg6LnF5kejMRNNU3TGtRBeJgk33yuGBxrMPHi"
+    assert secrets.bech32("A12UEL5L") and secrets.bech32("abcdef1qpzry9x8gf2tvdw0s3jn54khce6mua7lmqqqxw") and not secrets.bech32("A12UEL5K")
+    assert secrets.base58check(key) and not secrets.base58check(key[:-1] + "j")
+    s = secrets.Scanner()
+    assert [k for _, _, k in s.spans(f"k {key}.")] == ["extended_key"] and not s.spans(f"k {key[:-1]}j.")
+    letters = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+    body = "nsec1" + "q" * 52
+    good = next(t for t in (body + "".join(c) for c in checks_of(body, letters)) if secrets.bech32(t))
+    assert [k for _, _, k in s.spans(good)] == ["nostr"] and not s.spans(good[:-1] + ("q" if good[-1] != "q" else "p"))
+
+
+def checks_of(body, letters):
+    """The only six letters that can follow, found letter by letter: the checksum is linear in its bits."""
+    def state(token):
+        head, _, data = token.rpartition("1")
+        total = 1
+        for v in [ord(c) >> 5 for c in head] + [0] + [ord(c) & 31 for c in head] + [letters.index(c) for c in data]:
+            top, total = total >> 25, (total & 0x1FFFFFF) << 5 ^ v
+            for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+                total ^= g if top >> i & 1 else 0
+        return total
+
+    rest = state(body + "q" * 6) ^ 1
+    yield [letters[rest >> 5 * (5 - i) & 31] for i in range(6)]
+
+
+@needs_tables
+def test_spans_of_all_rules_over_documents(spark, texts):
+    """Against the rules tried at every place, without keywords, over the documents and with tokens strewn in."""
+    rnd = random.Random(6)
+    tokens = list(issued(rnd).values())
+    strewn = {i: t if i % 3 else f"{t[: len(t) // 2]} {rnd.choice(tokens)} {rnd.choice(tokens)}x{rnd.choice(tokens)} {t[len(t) // 2 :]}" for i, t in texts.items()}
+    df = spark.createDataFrame(list(strewn.items()), "doc_id long, text string")
+    got = {r.doc_id: sorted((x.start, x.end, x.kind) for x in r.spans if x.kind not in (*secrets.KINDS, *secrets.OPEN_ENDED)) for r in secrets.find_secrets(df).collect()}
+    assert got == {i: own_spans(t) for i, t in strewn.items()} and sum(map(len, got.values())) > 100
+
+
 def test_cards_and_ibans_end_where_their_checksum_holds():
     scanner = secrets.Scanner()
     iban, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
@@ -992,10 +1077,10 @@ def test_large_components_are_named_like_small_ones(spark, monkeypatch):
 
 def test_similar_signatures_in_parts(spark):
     rnd = np.random.default_rng(3)
-    base = rnd.integers(0, 1 << 63, (60, 4), dtype=np.uint64)
-    sig = np.concatenate([base, *[base ^ np.bitwise_or.reduce([np.uint64(1) << rnd.integers(0, 63, (60, 4), dtype=np.uint64) for _ in range(6)]) for _ in range(3)]])
+    base = rnd.integers(0, 1 << 63, (60, 8), dtype=np.uint64)
+    sig = np.concatenate([base, *[base ^ np.bitwise_or.reduce([np.uint64(1) << rnd.integers(0, 63, (60, 8), dtype=np.uint64) for _ in range(8)]) for _ in range(3)]])
     rows = [(k, *map(int, s.view(np.int64))) for k, s in enumerate(sig)]
-    df = spark.createDataFrame(rows, "node long, s0 long, s1 long, s2 long, s3 long")
+    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"s{k} long" for k in range(8)))
     name = lambda links: {r.node: r.root for r in simhash.components(links).collect()}
     whole = name(simhash.similar_links(df, len(sig)))
     assert len(whole) == 240 and len(set(whole.values())) == 60
