@@ -40,6 +40,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 has it, which SQL engines without ANSI errors give: infinite or NaN where b is 0."""
+    return F.when(b != 0, F.try_divide(a, b)).when(b == 0, a * F.lit(float("inf")))
+
+
 def by_symbol(*more: str) -> WindowSpec:
     return Window.partitionBy("symbol", *more).orderBy("open_time")
 

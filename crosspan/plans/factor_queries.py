@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import ms
+from crosspan.functions.core import ms, quotient
 from crosspan.operators import factors
 from crosspan.plans import sql
 from crosspan.sources import panel
@@ -150,13 +150,13 @@ def e_query(name: str, build: Callable, value: str, *sizes: int, direction: int
     SQL[name] = answer("6h", [sql.segments("6h")], f"CASE WHEN is_complete THEN {value} END", "seg", over_segment(*sizes))
 
 
-e_query("e1_expression", lambda b: F.log(F.col("high") / F.col("low")) * F.abs(F.col("close") - F.col("open")), "ln(high / low) * abs(close - open)")
-e_query("e2_rolling", lambda b: b.std(F.col("close"), 5) / b.mean(F.col("close"), 5) + (b.max(F.col("high"), 5) - b.min(F.col("low"), 5)) / b.sum(F.col("quote_volume"), 5) - b.lag(F.col("close"), 2) / F.col("close"), f"CASE WHEN {has(5)} THEN stddev_samp(close) OVER w5 / avg(close) OVER w5 + (max(high) OVER w5 - min(low) OVER w5) / sum(quote_volume) OVER w5 - lag(close, 2) OVER w / close END", 5)
+e_query("e1_expression", lambda b: F.log(quotient(F.col("high"), F.col("low"))) * F.abs(F.col("close") - F.col("open")), "ln(high / low) * abs(close - open)")
+e_query("e2_rolling", lambda b: quotient(b.std(F.col("close"), 5), b.mean(F.col("close"), 5)) + quotient(b.max(F.col("high"), 5) - b.min(F.col("low"), 5), b.sum(F.col("quote_volume"), 5)) - quotient(b.lag(F.col("close"), 2), F.col("close")), f"CASE WHEN {has(5)} THEN stddev_samp(close) OVER w5 / avg(close) OVER w5 + (max(high) OVER w5 - min(low) OVER w5) / sum(quote_volume) OVER w5 - lag(close, 2) OVER w / close END", 5)
 e_query(
     "e2_rolling_long",
-    lambda b: b.std(F.col("close"), 48) / b.mean(F.col("close"), 48) + (b.max(F.col("high"), 36) - b.min(F.col("low"), 36)) / b.sum(F.col("quote_volume"), 36) + b.corr(F.col("close"), F.col("volume"), 40),
+    lambda b: quotient(b.std(F.col("close"), 48), b.mean(F.col("close"), 48)) + quotient(b.max(F.col("high"), 36) - b.min(F.col("low"), 36), b.sum(F.col("quote_volume"), 36)) + b.corr(F.col("close"), F.col("volume"), 40),
     f"CASE WHEN {has(48)} THEN stddev_samp(close) OVER w48 / avg(close) OVER w48 + (max(high) OVER w36 - min(low) OVER w36) / sum(quote_volume) OVER w36 + corr(close, volume) OVER w40 END", 36, 40, 48,
 )
-e_query("e5_direction", lambda b: F.col("close") / b.mean(F.col("close"), 4) - 1, f"CASE WHEN {has(4)} THEN -(close / (avg(close) OVER w4) - 1) END", 4, direction=-1)
+e_query("e5_direction", lambda b: quotient(F.col("close"), b.mean(F.col("close"), 4)) - 1, f"CASE WHEN {has(4)} THEN -(close / (avg(close) OVER w4) - 1) END", 4, direction=-1)
 QUERIES["e3_ema"] = lambda spark, sf: told(factors.raw(factors.span_average(factors.prepared(panel.bars(spark, sf, "6h"), "6h"), "close", 6, "y"), F.when(F.col("is_complete"), F.col("y"))))
 SQL["e3_ema"] = answer("6h", [sql.segments("6h"), sql.average("seg", "close", 2 / 7, "y", 6, "a1")], "CASE WHEN is_complete THEN y END", "a1")

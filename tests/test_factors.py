@@ -102,3 +102,30 @@ def test_asof_takes_exact_matches_and_keeps_null_payloads(spark):
     assert got == {("a", 5): (5, "x"), ("a", 10): (9, None), ("a", 1): (None, None), ("b", 7): (None, None)}
     strict = {(r.k, r.t): r.u for r in timeaxis.asof(left, right, "t", "u", ["k"], strict=True).collect()}
     assert strict["a", 5] is None and strict["a", 10] == 9
+
+
+def test_expressions_divide_by_zero_as_sql_does(spark):
+    """Infinite where the low is 0, NaN where all prices are; before, the whole query failed."""
+    from crosspan.functions.core import quotient
+
+    prices = {0: (4.0, 6.0, 0.0, 5.0), 1: (4.0, 6.0, 0.0, 4.0), 2: (0.0, 0.0, 0.0, 0.0), 3: (4.0, 6.0, 2.0, 5.0)}
+    rows = [("a", T0 + i * H, *p) for i, p in prices.items()]
+    df = spark.createDataFrame(rows, "symbol string, t long, open double, high double, low double, close double").withColumns({"open_time": F.timestamp_millis("t"), "close_time": F.timestamp_millis(F.col("t") + H), "is_complete": F.lit(True)})
+    build = lambda b: F.log(quotient(F.col("high"), F.col("low"))) * F.abs(F.col("close") - F.col("open"))
+    got = [v for _, v in sorted(values(factors.expression_factor(df, "1h", build)).items())]
+    assert got[0] == math.inf and math.isnan(got[1]) and math.isnan(got[2]) and math.isclose(got[3], math.log(3))
+
+
+def test_the_expression_query_reads_bars_with_a_low_of_zero(spark, tmp_path):
+    import duckdb
+
+    from crosspan.plans import factor_queries
+
+    rows = [(i, T0 // 1000 + i * 600, i % 3, "view", 0.0 if i in (7, 50) else 1.0 + i % 11) for i in range(150)]
+    spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double").select("event_id", F.expr("timestamp_seconds(s)").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("e1_expression", "e2_rolling", "e5_direction"):
+        want = sorted(db.sql(f"select symbol, t, value from ({factor_queries.SQL[name]})").fetchall())
+        got = sorted(tuple(r) for r in factor_queries.QUERIES[name](spark, str(tmp_path)).select("symbol", "t", "value").collect())
+        assert got == want and (name != "e1_expression" or any(v == math.inf for _, _, v in got))
