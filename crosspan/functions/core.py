@@ -45,6 +45,12 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when(b != 0, F.try_divide(a, b)).when(b == 0, a * F.lit(float("inf")))
 
 
+def rounded_half(c: Column, digits: int) -> Column:
+    """``c`` rounded as the oracle's SQL does it, a half after scaling away from 0. F.round goes by the decimals that
+    are shown: 242.64999999999998 is 242.6 there and 242.7 here, since ten times it is 2426.5."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def by_symbol(*more: str) -> WindowSpec:
     return Window.partitionBy("symbol", *more).orderBy("open_time")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import ms
+from crosspan.functions.core import ms, rounded_half
 from crosspan.operators import crosssection, factors, research, timeaxis, universe
 from crosspan.plans import sql
 from crosspan.sources import panel
@@ -134,9 +134,9 @@ def c8_audit_crop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT s.symbol, s.t, row_number() OVER (PARTITION BY s.t ORDER BY round(s.value, 1) DESC, b.quote_volume DESC, s.symbol) AS ordinal_rank FROM sc s JOIN bars b ON s.symbol = b.symbol AND s.t = b.t + {D}")
 def c9_rank_tie_keys(spark: SparkSession, sf: str) -> DataFrame:
-    bars = panel.bars(spark, sf, "1d").select(F.col("close_time").alias("timestamp"), "symbol", "quote_volume")
+    bars = panel.bars(spark, sf, "1d", in_order=True).select(F.col("close_time").alias("timestamp"), "symbol", "quote_volume")
     joined = scores(spark, sf).where("is_valid").join(bars, ["timestamp", "symbol"])
-    return rounded(crosssection.ranked_by(joined, "timestamp", F.desc(F.round("value", 1)), F.desc("quote_volume"), F.asc("symbol"))).select("symbol", "t", F.col("ordinal_rank").cast("long"))
+    return rounded(crosssection.ranked_by(joined, "timestamp", F.desc(rounded_half(F.col("value"), 1)), F.desc("quote_volume"), F.asc("symbol"))).select("symbol", "t", F.col("ordinal_rank").cast("long"))
 
 
 # ------------------------------------------------------------------------- labels and diagnostics

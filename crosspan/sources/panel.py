@@ -17,15 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_of(events: DataFrame, symbol: Column, interval: str, complete_trades: int = 1, version: str = "events-v1") -> DataFrame:
-    """OHLCV bars of ``value`` per symbol and left-closed interval; empty intervals have no bar."""
+def bars_of(events: DataFrame, symbol: Column, interval: str, complete_trades: int = 1, version: str = "events-v1", in_order: bool = False) -> DataFrame:
+    """OHLCV bars of ``value`` per symbol and left-closed interval; empty intervals have no bar.
+
+    ``in_order``: values are added up in order of time, so that the last bits of ``quote_volume`` and ``volume`` don't
+    depend on how events are dealt to tasks; for bars of few events, since a bar's are held together.
+    """
     step = seconds(interval) * 1000
     t = F.unix_millis(F.col("ts").cast("timestamp"))
     source = events.where("ts is not null and value is not null").select(symbol.alias("symbol"), (t - t % step).alias("t"), F.struct("ts", "event_id").alias("at"), "value", (F.col("event_id") % 2 == 0).alias("taker"))
     taker = F.sum(F.when(F.col("taker"), F.col("value")).otherwise(0.0))
+    total = F.sum("value")
+    if in_order:
+        total = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "value"))), F.lit(0.0), lambda sum_, e: sum_ + e["value"])
     out = source.groupBy("symbol", "t").agg(
         F.min_by("value", "at").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "at").alias("close"),
-        (F.sum("value") / 2).alias("volume"), F.sum("value").alias("quote_volume"), F.count("*").alias("trades"),
+        (total / 2).alias("volume"), total.alias("quote_volume"), F.count("*").alias("trades"),
         (taker / 2).alias("taker_buy_volume"), taker.alias("taker_buy_quote_volume"), (F.count("*") >= complete_trades).alias("is_complete"),
     )
     return out.select(
@@ -35,12 +42,12 @@ def bars_of(events: DataFrame, symbol: Column, interval: str, complete_trades: i
     )
 
 
-def bars(spark: SparkSession, sf_dir: str, kind: str = "6h") -> DataFrame:
-    """6h, 1h: by event type (dense, gappy); 1d: by user (wide)."""
+def bars(spark: SparkSession, sf_dir: str, kind: str = "6h", in_order: bool = False) -> DataFrame:
+    """6h, 1h: by event type (dense, gappy); 1d: by user (wide). ``in_order`` as in :func:`bars_of`."""
     events = table(spark, sf_dir, "events")
     if kind == "1d":
-        return bars_of(events, F.col("user_id").cast("string"), "1d")
-    return bars_of(events, F.col("event_type"), kind, {"6h": 10, "1h": 2}[kind])
+        return bars_of(events, F.col("user_id").cast("string"), "1d", in_order=in_order)
+    return bars_of(events, F.col("event_type"), kind, {"6h": 10, "1h": 2}[kind], in_order=in_order)
 
 
 def funding(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import random
 
 from pyspark.sql import Window
@@ -56,3 +58,24 @@ def test_kept_tables_are_removed(spark):
     assert work.kept(table(spark, 50), "gone").count() == 50 and any(p.name.startswith("gone-") for p in path.parent.iterdir())
     work.clean(spark)
     assert not path.parent.exists()
+
+
+def test_a_half_is_one_after_scaling(spark):
+    from crosspan.functions.core import rounded_half
+
+    df = spark.createDataFrame([(242.64999999999998,), (-242.64999999999998,), (0.25,), (-0.25,), (0.24,), (float("inf"),)], "v double")
+    got = [r.x for r in df.select(rounded_half(F.col("v"), 1).alias("x")).collect()]
+    assert got == [242.7, -242.7, 0.3, -0.3, 0.2, float("inf")]
+
+
+def test_sums_in_order_do_not_depend_on_how_events_are_dealt(spark):
+    """Users with the same values tie on volume, so that the next key decides; sums of parts differ in the last bits."""
+    from crosspan.sources import panel
+
+    values = (59.64, 48.33, 97.0, 79.79, 48.78)
+    rows = [(k * 10 + i, 1704067200 + i, k, v) for i, v in enumerate(values) for k in range(6)]
+    want = functools.reduce(operator.add, values)  # plain additions in order
+    for order in (rows, rows[::-1], rows[3::4] + rows[::4] + rows[2::4] + rows[1::4]):
+        events = spark.createDataFrame(order, "event_id long, s long, user_id long, value double").repartition(3).withColumn("ts", F.timestamp_seconds("s"))
+        got = panel.bars_of(events, F.col("user_id").cast("string"), "1d", in_order=True).collect()
+        assert len(got) == 6 and {r.quote_volume for r in got} == {want} and {r.volume for r in got} == {want / 2}
