@@ -348,8 +348,13 @@ def leaderboard(returns: DataFrame, initial: float) -> DataFrame:
 
 
 def matrix_summary(returns: DataFrame) -> DataFrame:
-    """V13. Compounded net and gross returns, costs, turnover and mean exposure by candidate."""
-    compound = lambda c: F.exp(F.sum(F.log1p(c))) - 1.0
+    """V13. Compounded net and gross returns, costs, turnover and mean exposure by candidate.
+
+    A bar that loses all compounds to -1, one that loses more to NaN.
+    """
+    # Spark's logarithm is null for what is lost whole or more, and a sum would leave that out: -inf and NaN stay in.
+    log = lambda c: F.when(1.0 + F.col(c) > 0, F.log1p(c)).when(1.0 + F.col(c) == 0, float("-inf")).when(F.col(c).isNotNull(), float("nan"))
+    compound = lambda c: F.exp(F.sum(log(c))) - 1.0
     return returns.groupBy("candidate").agg(
         compound("net_return").alias("net_return"), compound("gross_price_return").alias("gross_return"), F.sum("fee_cost").alias("fees"), F.sum("slippage_cost").alias("slippage"),
         F.sum("funding_return").alias("funding"), F.sum("turnover").alias("turnover"), F.avg("gross_exposure").alias("mean_gross"),

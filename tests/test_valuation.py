@@ -73,3 +73,12 @@ def test_no_python_without_a_limit(spark):
     out = valuation.fold(spark.createDataFrame(invented(8), KIND), valuation.Costs(5.0), 1e6)
     assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
     assert out.where(F.col("equity") <= 0).count() == 0
+
+
+def test_what_loses_all_or_more_is_not_left_out_of_the_compounded_return(spark):
+    """As SQL's ln: -1 gives -1, less gives NaN. Before, such a bar was left out and the rest compounded."""
+    rows = [("even", 0.5), ("even", -0.2), ("lost", 0.5), ("lost", -1.0), ("more", 0.5), ("more", -1.5), ("none", None), ("none", 0.25)]
+    table = spark.createDataFrame(rows, "candidate string, r double").select("candidate", *(F.col("r").alias(c) for c in ("net_return", "gross_price_return", "fee_cost", "slippage_cost", "funding_return", "turnover", "gross_exposure")))
+    got = {r.candidate: (r.net_return, r.gross_return) for r in valuation.matrix_summary(table).collect()}
+    assert all(math.isclose(x, 0.2) for x in got["even"]) and got["lost"] == (-1.0, -1.0)
+    assert all(map(math.isnan, got["more"])) and all(math.isclose(x, 0.25) for x in got["none"])
