@@ -268,10 +268,19 @@ def descent_state(ranks: DataFrame, start: int, entry: int, every: str) -> DataF
 
 
 def funding_join(funding: DataFrame, bars: DataFrame, interval: str, delay: str) -> DataFrame:
-    """Z7. Settlements with the bar in whose (open_time, close_time] they fall, as two streams."""
-    f = funding.withWatermark("funding_time", delay).withColumnRenamed("symbol", "_symbol")
+    """Z7. Settlements with the bar in whose (open_time, close_time] they fall, as two streams.
+
+    Both go to the state by symbol and slot of time, so that a row meets the few of its slot and not all of its
+    symbol. A settlement has one slot; a bar has that of its first and that of its last moment, which are the same
+    if bars begin at multiples of the interval.
+    """
+    step = seconds(interval) * 1_000_000
+    slot = lambda micros: F.floor(micros / step)
+    opened = F.unix_micros("open_time")
+    f = funding.withWatermark("funding_time", delay).withColumnRenamed("symbol", "_symbol").withColumn("_fslot", slot(F.unix_micros("funding_time") - 1))
     b = bars.select("symbol", "open_time", "close_time", "close").withWatermark("open_time", delay)
-    on = (F.col("_symbol") == F.col("symbol")) & (F.col("funding_time") > F.col("open_time")) & (F.col("funding_time") <= F.col("open_time") + F.expr(f"interval {seconds(interval)} seconds"))
-    return f.join(b, on)
+    b = b.withColumn("_slot", F.explode(F.array_distinct(F.array(slot(opened), slot(opened + step - 1)))))
+    on = (F.col("_fslot") == F.col("_slot")) & (F.col("_symbol") == F.col("symbol")) & (F.col("funding_time") > F.col("open_time")) & (F.col("funding_time") <= F.col("open_time") + F.expr(f"interval {seconds(interval)} seconds"))
+    return f.join(b, on).drop("_fslot", "_slot")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -123,3 +124,24 @@ def test_history_goes_on_from_a_batch(spark, tmp_path):
         out = jobs.run_available(jobs.history(stream, initial=jobs.history_state(b.where(F.col("t") < T0 + 30 * H))), str(tmp_path / "out"))
     got = {r.symbol: (r.n, r.f) for r in out.groupBy("symbol").agg(F.max("history_bars").alias("n"), F.min(F.unix_millis("first_bar_open")).alias("f")).collect()}
     assert got == {r.symbol: (r.n, r.f) for r in b.groupBy("symbol").agg(F.count_if("is_complete").alias("n"), F.min("t").alias("f")).collect()}
+
+
+def test_settlements_meet_the_bars_of_their_slot_alone(spark, tmp_path):
+    """Bars that begin between multiples of the interval too; the join's key holds the slot of time."""
+    from crosspan.functions.core import ms
+
+    rnd = random.Random(6)
+    shift = {"a": 0, "b": H // 3}
+    bars_ = spark.createDataFrame([(s, T0 + shift[s] + i * H, float(i)) for s in "ab" for i in range(40) if i % 7], "symbol string, t long, close double").withColumns({"open_time": F.timestamp_millis("t"), "close_time": F.timestamp_millis(F.col("t") + H)})
+    at = [T0 + i * H + d for i in range(-1, 42) for d in (0, 1, H // 3, H // 3 + 1, rnd.randrange(H))]
+    paid = spark.createDataFrame([(s, t, k) for k, (s, t) in enumerate((s, t) for s in "abc" for t in at)], "symbol string, t long, event_id long").withColumn("funding_time", F.timestamp_millis("t"))
+    opens = {s: [T0 + shift[s] + i * H for i in range(40) if i % 7] for s in "ab"}
+    want = sorted((r.event_id, o) for r in paid.collect() for o in opens.get(r.symbol, ()) if o < r.t <= o + H)
+    bars_.drop("t").write.parquet(str(tmp_path / "bars"))
+    paid.drop("t").write.parquet(str(tmp_path / "paid"))
+    joined = jobs.funding_join(jobs.source(spark, str(tmp_path / "paid")), jobs.source(spark, str(tmp_path / "bars")), "1h", "1 day")
+    # An equality, which the join hashes by: without the slot all rows of a symbol meet.
+    assert re.search(r"\(_fslot#\d+L = _slot#\d+L\)", joined._jdf.queryExecution().analyzed().toString())
+    out = jobs.run_available(joined, str(tmp_path / "out"))
+    assert out.columns == ["_symbol", "event_id", "funding_time", "symbol", "open_time", "close_time", "close"]
+    assert sorted((r.event_id, r.t) for r in out.select("event_id", ms("open_time").alias("t")).collect()) == want and want
