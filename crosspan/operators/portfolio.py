@@ -130,10 +130,13 @@ def capped(weighted: DataFrame, limit: float) -> DataFrame:
 
 def water_filling(side: DataFrame, cap: float = 0.05, budget: float = 0.5, floor: float = 0.001) -> DataFrame:
     """P9. Inverse-volatility weights under a cap: the first prefix of the sorted strengths whose rest
-    fits under it."""
+    fits under it.
+
+    The rest is summed up from the weakest: a frame that ends with the window is added up anew for each row.
+    """
     w = Window.partitionBy("timestamp")
-    o = w.orderBy(F.desc("_s"), "symbol")
-    s = side.withColumn("_s", 1.0 / F.greatest("volatility", F.lit(floor))).withColumns({"_i": F.row_number().over(o) - 1, "_rest": F.sum("_s").over(o.rowsBetween(0, Window.unboundedFollowing))})
+    o = w.orderBy("_s", F.desc("symbol"))
+    s = side.withColumn("_s", 1.0 / F.greatest("volatility", F.lit(floor))).withColumns({"_i": F.count("*").over(w) - F.row_number().over(o), "_rest": F.sum("_s").over(o.rowsBetween(Window.unboundedPreceding, 0))})
     left = F.greatest(F.lit(0.0), budget - cap * F.col("_i"))
     s = s.withColumn("_fits", ratio(left * F.col("_s"), F.col("_rest")) <= cap)
     first = F.min(F.struct(F.when(F.col("_fits"), F.col("_i")).otherwise(1 << 30).alias("i"), F.col("_rest").alias("rest"))).over(w)

@@ -178,3 +178,15 @@ def test_hysteresis_in_chunks_meets_the_fold(spark):
             assert len(mine) == len(set(mine)) and set(mine) == hysteresis_loop(ranks, 2, 4), (n, rounds)
     assert {s for s, i, _, _ in hysteresis_loop(stuck, 2, 4) if i > 30} == {"a", "b"}
     assert portfolio.hysteresis(df.where("false"), 2, 4).collect() == []
+
+
+def test_water_filling_adds_each_rest_up_once(spark):
+    """No sum from each row to the end of its time, which is quadratic in the rows of a time."""
+    df = spark.createDataFrame([(1, f"s{i}", 0.01 + (i % 40) / 7) for i in range(200)], "timestamp long, symbol string, volatility double")
+    out = portfolio.water_filling(df)
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
+    s = sorted(((1 / max(r.volatility, 0.001), r.symbol) for r in df.collect()), key=lambda x: (-x[0], x[1]))
+    m = next(i for i in range(len(s)) if max(0, 0.5 - 0.05 * i) * s[i][0] / sum(x for x, _ in s[i:]) <= 0.05)
+    rest = sum(x for x, _ in s[m:])
+    got = {r.symbol: r.weight for r in out.collect()}
+    assert all(abs(got[name] - (0.05 if i < m else (0.5 - 0.05 * m) * x / rest)) < 1e-12 for i, (x, name) in enumerate(s)) and len(got) == 200
