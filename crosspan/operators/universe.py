@@ -64,44 +64,66 @@ def reason(r: Rules) -> Column:
     return out.otherwise("ELIGIBLE")
 
 
+FINER = 4  #: times the session's shuffle partitions for the symbols of :func:`build`
+
+
 def build(bars: DataFrame, contracts: DataFrame, start_ms: int, end_ms: int, every: str, base: str, rules: Rules, version: str = "u1", offsets: DataFrame | None = None) -> DataFrame:
     """U6 (with U1-U5, U7). One row per scheduled time and symbol.
 
-    Schedule, bars and snapshots of a symbol meet in one window, so the panel takes one shuffle: the
-    latest snapshot, the running counts and the sums over (t - window, t] all come from it. A sum is
-    the end of the block of time before and the beginning of the own one, whatever the window's length.
+    Time is cut into slots that end at the scheduled times. Bars are summed by slot first; then one window in
+    order of slots carries the latest snapshot and the running counts, and a row stands for the slots up to
+    the symbol's next one, so no symbol is multiplied by the schedule before. A sum over (t - window, t]
+    is that of whole slots and of the late part of the slot before them.
     The windows move with the schedule, also where bars have stopped. ``offsets`` (symbol,
     history_bars_offset, prior_first_bar_open) adds what stands before the range that is read.
     """
     step = seconds(every) * 1000
     if start_ms % step:
         raise ValueError("the schedule's start isn't aligned to its interval")
+    count = -(-(end_ms - start_ms) // step)
     facts = ("snapshot_time", "contract_type", "status", "quote_asset", "margin_asset", "onboard_time", "delivery_time")
-    kind = contracts.select(F.struct(*facts).alias("s")).schema["s"].dataType
-    symbols = bars.select("symbol").union(contracts.select("symbol")).distinct() if rules.use_contracts else bars.select("symbol").distinct()
-    none = lambda t: F.lit(None).cast(t)
-    empty = {"c": kind, "open_ms": "long", "whole": "long", "quote": "double", "target": "long", "mark": "string"}
-    filled = lambda df, **own: df.select("symbol", *(own.get(c, none(k)).alias(c) for c, k in {"t": "long", "side": "int", **empty}.items()))
-    times = symbols.select("symbol", F.explode(F.sequence(F.lit(start_ms), F.lit(end_ms - 1), F.lit(step))).alias("at"))
-    at, spans = F.col("at"), {"quote": seconds(rules.volume_window) * 1000, "whole": seconds(rules.missing_window) * 1000}
-    both = filled(bars, t=ms("close_time"), side=F.lit(0), open_ms=ms("open_time"), whole=F.col("is_complete").cast("long"), quote=F.when(F.col("is_complete"), F.col("quote_volume")).otherwise(0.0))
-    both = both.unionByName(filled(contracts, t=ms("snapshot_time"), side=F.lit(0), c=F.struct(*facts))).unionByName(filled(times, t=at, side=F.lit(1), target=at))
-    for name, width in spans.items():  # where the window of a scheduled time begins; after the rows of that moment, which it leaves out
-        both = both.unionByName(filled(times, t=at - width, side=F.lit(2), target=at, mark=F.lit(name)))
-    ordered = Window.partitionBy("symbol").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    columns = {"s": F.last("c", ignorenulls=True).over(ordered), "history_bars": F.coalesce(F.sum("whole").over(ordered), F.lit(0)), "first_ms": F.min("open_ms").over(ordered)}
-    for name, width in spans.items():  # sums forwards and backwards through blocks of the window's width
-        running = lambda *o: Window.partitionBy("symbol", F.floor(F.col("t") / width)).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)  # noqa: B023, E731
-        columns |= {f"{name}_head": F.sum(name).over(running("t", "side")), f"{name}_tail": F.when(F.col("mark") == name, F.sum(name).over(running(F.desc("t"), F.desc("side"))))}
-    now = lambda c: F.max(F.when(F.col("side") == 1, F.col(c))).alias(c)
-    met = both.withColumns(columns).where("side > 0").groupBy("symbol", F.col("target").alias("t")).agg(
-        F.first(F.when(F.col("side") == 1, F.col("s")), ignorenulls=True).alias("s"), *map(now, ("history_bars", "first_ms", "quote_head", "whole_head")), *(F.max(f"{name}_tail").alias(f"{name}_tail") for name in spans)
-    )
-    summed = lambda name: F.coalesce(F.col(f"{name}_tail"), F.lit(0)) + F.coalesce(F.col(f"{name}_head"), F.lit(0))
+    spans = {name: divmod(seconds(width) * 1000, step) for name, width in (("quote", rules.volume_window), ("whole", rules.missing_window))}
+    lowest = -1 - max(whole for whole, _ in spans.values())  # all that is older than any window
+    slot = lambda t: F.greatest(F.lit(lowest), F.least(F.lit(count), F.coalesce(F.ceil((t - start_ms) / step), F.lit(lowest)))).cast("long")
+    close = ms("close_time")
+    own = bars.select("symbol", slot(close).alias("k"), close.alias("_t"), ms("open_time").alias("open_ms"), F.col("is_complete").cast("long").alias("whole"), F.when(F.col("is_complete"), F.col("quote_volume")).otherwise(0.0).alias("quote"))
+    late = {name: F.sum(F.when(F.col("k") * step + start_ms - F.col("_t") < part, F.col(name))).alias(f"{name}_late") for name, (_, part) in spans.items()}
+    sums = own.groupBy("symbol", "k").agg(F.min("open_ms").alias("open_ms"), *(F.sum(name).alias(name) for name in spans), *late.values())
+    seen = contracts.select("symbol", slot(ms("snapshot_time")).alias("k"), F.lit(0).alias("side"), F.struct(*facts).alias("c"))
+    # Wide rows that are sorted twice in a task: more and smaller tasks than other shuffles have.
+    tasks = FINER * int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = sums.withColumn("side", F.lit(1)).unionByName(seen, allowMissingColumns=True).repartition(tasks, "symbol")
+    ordered = Window.partitionBy("symbol").orderBy("k", "side", "c.snapshot_time")
+    past = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({
+        "s": F.last("c", ignorenulls=True).over(past), "history_bars": F.sum("whole").over(past), "first_ms": F.min("open_ms").over(past), "_first": F.first("k").over(past), "_next": F.lead("k").over(ordered),
+    })
+    if not rules.use_contracts:
+        both = both.withColumn("_barred", F.max("side").over(Window.partitionBy("symbol"))).where("_barred = 1")
+    # The last row of a slot has all of it: what is known then, and the slot's sums.
+    k, first = F.col("k"), F.col("k") == F.col("_first")
+    ends = both.where(F.col("_next").isNull() | (F.col("_next") > k)).where(first | (k < count))
+    until = F.least(F.coalesce("_next", F.lit(count)), F.lit(count)) - 1
+    targets = F.filter(F.sequence(F.when(first, F.least(k, F.lit(0))).otherwise(k), until), lambda x: ((x >= 0) & (x < count)) | (x == k))
+    known = lambda c: F.when(F.col("at") >= k, F.col(c)).alias(c)
+    parts = [c for name in spans for c in (name, f"{name}_late")]
+    met = ends.withColumn("at", F.explode(targets)).select("symbol", "at", *map(known, ("s", "history_bars", "first_ms")), *(F.when((F.col("at") == k) & (k > lowest), F.col(c)).alias(c) for c in parts))
+    near = Window.partitionBy("symbol").orderBy("at")
+
+    def summed(name: str) -> Column:
+        slots, part = spans[name]
+        out = F.lit(0.0 if name == "quote" else 0)
+        if slots:
+            out = out + F.coalesce(F.sum(name).over(near.rangeBetween(1 - slots, 0)), F.lit(0))
+        if part:
+            out = out + F.coalesce(F.sum(f"{name}_late").over(near.rangeBetween(-slots, -slots)), F.lit(0))
+        return out
+
+    met = met.withColumns({"_quote": summed("quote"), "_whole": summed("whole")}).where((F.col("at") >= 0) & (F.col("at") < count))
     expected = seconds(rules.missing_window) // seconds(base)
     panel = met.select(
-        "symbol", "t", "s", "history_bars", "first_ms", summed("quote").alias("rolling_quote_volume"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - summed("whole") / F.lit(float(expected)))).alias("missing_ratio"),
+        "symbol", (F.col("at") * step + start_ms).alias("t"), "s", F.coalesce("history_bars", F.lit(0)).alias("history_bars"), "first_ms", F.col("_quote").alias("rolling_quote_volume"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("_whole") / F.lit(float(expected)))).alias("missing_ratio"),
     )
     if offsets is not None:
         panel = panel.join(offsets, "symbol", "left").withColumns({"history_bars": F.col("history_bars") + F.coalesce("history_bars_offset", F.lit(0)), "first_ms": F.coalesce(ms("prior_first_bar_open"), "first_ms")})

@@ -157,3 +157,34 @@ def test_a_panel_published_by_symbol_needs_no_exchange(spark, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("passing_")]
     one = files.scan_by_symbol(spark, path, 3, "v1", at(0), at(1), "1h", ["symbol", "close"])
     assert one.count() == 5 and "month" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+
+
+def test_universe_sorts_no_row_for_each_symbol_and_time(spark):
+    """Bars are summed by slot before the one window that carries snapshots; no symbol is crossed with the schedule
+    beforehand, and no window is over single bars."""
+    start = T0 + 3 * D
+    rules = universe.Rules(volume_window="2d", min_quote_volume=50.0, missing_window="2d")
+    u = universe.build(daily(spark, [0, 1, 2]), snapshots(spark, [("a", T0, "PERPETUAL", "TRADING", "USDT", "USDT", T0, None)]), start, start + 7 * D, "1d", "1d", rules)
+    plan = u._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 2 and plan.count("\nWindow") + plan.count("+- Window") + plan.count(":- Window") == 2
+
+
+def test_universe_over_long_and_uneven_windows(spark):
+    """Windows longer and shorter than the schedule's step, rows before and after the schedule, against plain sums."""
+    import random
+
+    rnd = random.Random(5)
+    start, end = T0 + 32 * D, T0 + 62 * D
+    held = {s: sorted(rnd.sample(range(0, 70), n)) for s, n in (("a", 40), ("b", 12), ("c", 1))} | {"late": [66, 68], "early": [1, 2]}
+    rows = [(s, T0 + i * D, float(i + 1), rnd.random() < 0.8) for s, days in held.items() for i in days]
+    bars = spark.createDataFrame(rows, "symbol string, t long, quote_volume double, is_complete boolean").select("symbol", F.timestamp_millis("t").alias("open_time"), F.timestamp_millis(F.col("t") + D).alias("close_time"), "quote_volume", "is_complete")
+    none = spark.createDataFrame([], "symbol string, snapshot_time timestamp, contract_type string, status string, quote_asset string, margin_asset string, onboard_time timestamp, delivery_time timestamp")
+    for volume, missing in (("3d", "5d"), ("12d", "1d"), ("25d", "40d"), ("6h", "10d")):
+        rules = universe.Rules(volume_window=volume, missing_window=missing)
+        got = {(r.symbol, r.t): (r.history_bars, r.rolling_quote_volume, round(r.missing_ratio, 9), r.reason_code) for r in universe.build(bars, none, start, end, "5d", "1d", rules).withColumn("t", F.unix_millis("timestamp")).collect()}
+        w, m = ({"d": D, "h": D // 24}[x[-1]] * int(x[:-1]) for x in (volume, missing))
+        assert len(got) == 5 * 6
+        for (s, t), value in got.items():
+            mine = [(o + D, q) for x, o, q, c in rows if x == s and c]
+            have = sum(t - m < c <= t for c, _ in mine)
+            assert value == (sum(c <= t for c, _ in mine), sum(q for c, q in mine if t - w < c <= t), round(max(0.0, min(1.0, 1 - have / (m // D))), 9), "NO_CONTRACT_SNAPSHOT"), (s, t, volume)
