@@ -188,3 +188,15 @@ def test_universe_over_long_and_uneven_windows(spark):
             mine = [(o + D, q) for x, o, q, c in rows if x == s and c]
             have = sum(t - m < c <= t for c, _ in mine)
             assert value == (sum(c <= t for c, _ in mine), sum(q for c, q in mine if t - w < c <= t), round(max(0.0, min(1.0, 1 - have / (m // D))), 9), "NO_CONTRACT_SNAPSHOT"), (s, t, volume)
+
+
+def test_reasons_of_symbols_known_from_one_side_alone(spark):
+    """Symbols with contracts and no bars, and the other way round, have a row for each time; those only without contracts are left out where contracts aren't used."""
+    start = T0 + 2 * D
+    only = [("b", T0 + 20 * D, "PERPETUAL", "TRADING", "USDT", "USDT", T0, None), ("c", T0 + D, "PERPETUAL", "TRADING", "USDT", "USDT", T0, None)]
+    for used, names in ((True, "abc"), (False, "a")):
+        u = universe.build(daily(spark, [0, 1, 9]), snapshots(spark, only), start, start + 4 * D, "1d", "1d", universe.Rules(use_contracts=used))
+        got = {(r.symbol, r.n): r.reason_code for r in u.withColumn("n", ((F.unix_millis("timestamp") - start) / D).cast("int")).collect()}
+        assert sorted(got) == [(s, k) for s in names for k in range(4)]
+        if used:
+            assert {got["c", k] for k in range(4)} == {"ELIGIBLE"} and {got[s, k] for s in "ab" for k in range(4)} == {"NO_CONTRACT_SNAPSHOT"}
