@@ -18,14 +18,16 @@ written to the shared folder.
 
 :func:`one_of_each`, which filters a corpus, asks for a similarity of 0.8 on five-word shingles. Such
 texts differ in ``UNLIKE`` of the bits (77 of 512, give or take 8), so it takes a signature of 512 bits and
-a budget of ``WIDE_BUDGET``, which 0.97 of pairs at the limit keep, and subtries of a few bits in several
-tables: each table names subtries of about ``SUBTRIE`` signatures by bits of its own, and there are so
-many tables that a pair at the limit shares a subtrie of one of them with probability ``RECALL``. The
-product of both, 0.95, is the share of pairs at the limit that are found; pairs of 0.7 are within the budget in half of all
-cases, of 0.6 hardly ever. A signature is sent to as many tables: 13 for 2 * 10^5 signatures, 31 for
-6 * 10^6, 99 for 10^9. In a subtrie, pairs of leaves are compared piece by piece and left when the budget
-is spent. Large subtries become pairs of parts; the work in them grows with the square of their distinct
-signatures, in parallel.
+a budget of ``WIDE_BUDGET``, which 0.97 of pairs at the limit keep. The method is the same: subtries are joined with
+themselves, pairs of nodes walked together until they differ in more than the budget. No few pieces
+name the subtries, since pairs differ in a sixth of any piece: each of several tables names
+subtries of about ``SUBTRIE`` signatures by bits of its own, and there are so many tables that a pair
+at the limit shares a subtrie of one of them with probability ``RECALL``. The product of both, 0.96, is
+the share of pairs at the limit that are found; pairs of 0.7 are within the budget in half of all
+cases, of 0.6 hardly ever. A signature is sent to as many tables: 18 for 2 * 10^5 signatures, 43 for
+6 * 10^6, 138 for 10^9. Where it is less work (up to 3,584 signatures) and with a recall of 1, one trie of all signatures
+is joined with itself, which loses no pair within the budget. Large subtries become pairs of parts, a
+trie each; the work in them grows with the square of their distinct signatures, in parallel.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and link like any
 other; with fewer words than a shingle the whole sequence is the shingle; repeated rows each give a
@@ -55,7 +57,7 @@ MOST_MEMBERS = 4096
 PER_TASK, MOST_LARGE = 1000, 100_000
 #: The signature of :func:`one_of_each`: bits, words, the most bits that may differ (those that a similarity of 0.8
 #: leaves unlike, and two standard deviations of 8 more); members of a subtrie, and the share of pairs that share one.
-WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 512, 5, 92, 0.15, 1024, 0.98
+WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 512, 5, 92, 0.15, 512, 0.99
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -290,40 +292,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def tables_for(distinct: int) -> list[list[int]]:
-    """The bits that name a subtrie, table by table, for so many distinct signatures."""
+def tables_for(distinct: int, recall: float = RECALL) -> list[list[int]]:
+    """The bits that name a subtrie, table by table, for so many distinct signatures.
+
+    A single table without such bits, whose one trie has all pairs, if ``recall`` is 1 or if it is less work.
+    """
     width = max(4, math.ceil(math.log2(max(2, distinct) / SUBTRIE)))
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - UNLIKE) ** width))
+    count = 1 if recall >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - (1 - UNLIKE) ** width))
+    if recall >= 1 or distinct <= SUBTRIE * count:
+        return [[]]
     return [sorted(np.random.default_rng(t).permutation(WIDE)[:width].tolist()) for t in range(count)]
 
 
-def near_links(a: np.ndarray, b: np.ndarray | None = None, budget: int = WIDE_BUDGET, rows: int = 256) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of signatures (n x 8) of ``a``, or of ``a`` and ``b``, within the budget."""
-    both = a if b is None else np.concatenate([a, b])
-    first = 0 if b is None else len(a)
-    label, links = np.arange(len(both)), []
-    for lo in range(0, len(a), rows):
-        mine = a[lo : lo + rows]
-        # Half of the pieces for all pairs; few are within the budget then and go on.
-        half = a.shape[1] // 2
-        spent = np.zeros((len(mine), len(both) - first), np.uint16)
-        for k in range(half):
-            spent += np.bitwise_count(mine[:, None, k] ^ both[None, first:, k])
-        i, j = np.nonzero(spent <= budget)
-        spent = spent[i, j].astype(np.int32)
-        for k in range(half, a.shape[1]):
-            spent += np.bitwise_count(mine[i, k] ^ both[first + j, k])
-            near = spent <= budget
-            i, j, spent = i[near], j[near], spent[near]
-        edges = np.searchsorted(i, np.arange(len(mine) + 1))
-        for at in np.flatnonzero(np.diff(edges) > (b is None)).tolist():
-            near = first + j[edges[at] : edges[at + 1]]
-            labels, where = np.unique(label[near], return_index=True)
-            own = label[lo + at]
-            for name, k in zip(labels.tolist(), where.tolist(), strict=True):
-                if name != own:
-                    links.append((lo + at, int(near[k])))
-                    label[label == name] = own
+class Trie:
+    """The binary trie over distinct signatures (n x 8), without nodes of one child.
+
+    Nodes are numbered: the leaves first, in the order of the sorted signatures, then the others. Each has a
+    depth (the bits that all below it share), a row of ``order`` that lies below it, and two children.
+    """
+
+    def __init__(self, sig: np.ndarray):
+        n = len(sig)
+        self.order = np.lexsort(sig.T[::-1])
+        rows = sig[self.order]
+        bits = np.unpackbits((rows[1:] ^ rows[:-1]).astype(">u8").view(np.uint8).reshape(n - 1, 8 * sig.shape[1]), axis=1)
+        shared = bits.argmax(axis=1)
+        self.depth = np.concatenate([np.full(n, sig.shape[1] * BITS), shared]).astype(np.int32)
+        self.row = np.concatenate([np.arange(n), np.arange(n - 1)]).astype(np.int32)
+        low, high = [-1] * (2 * n - 1), [-1] * (2 * n - 1)
+        # Nodes that may still grow, from the root down; neighbours that share fewer bits end the deeper ones.
+        path: list[tuple[int, int]] = []
+        for i, d in enumerate(shared.tolist()):
+            last = i
+            while path and path[-1][1] > d:
+                top, _ = path.pop()
+                high[top] = last
+                last = top
+            low[n + i] = last
+            path.append((n + i, d))
+        last = n - 1
+        while path:
+            top, _ = path.pop()
+            high[top] = last
+            last = top
+        self.root, self.low, self.high = last, np.array(low, np.int32), np.array(high, np.int32)
+
+
+def wide_trie_links(sig: np.ndarray, other: np.ndarray | None = None, budget: int = WIDE_BUDGET, most: int = 1 << 15) -> list[tuple[int, int]]:
+    """:func:`trie_links` for signatures (n x 8): a spanning forest of the pairs that differ in at most ``budget`` bits.
+
+    Pairs of nodes are walked together from the roots, up to ``most`` at a time. A pair is left as soon as the bits
+    that both nodes have differ in more than ``budget``; else the less deep one gives way to its children.
+    """
+    if not len(sig) or (other is not None and not len(other)):
+        return []
+    one = Trie(sig)
+    low, high, depth, row, order, start = one.low, one.high, one.depth, one.row, one.order, (one.root, one.root)
+    values = sig[order]
+    if other is not None:
+        two, nodes = Trie(other), np.int32(len(one.depth))
+        low, high = np.concatenate([low, np.where(two.low < 0, -1, two.low + nodes)]), np.concatenate([high, np.where(two.high < 0, -1, two.high + nodes)])
+        depth, row = np.concatenate([depth, two.depth]), np.concatenate([row, two.row + np.int32(len(sig))])
+        order, start = np.concatenate([order, two.order + len(sig)]), (one.root, two.root + nodes)
+        values = np.concatenate([values, other[two.order]])
+    words, full = [np.ascontiguousarray(w) for w in values.T], values.shape[1] * BITS
+    label, links = np.arange(len(order)), []
+
+    def near(x: np.ndarray, y: np.ndarray, until: np.ndarray | None) -> np.ndarray:
+        """The pairs of rows that differ in at most ``budget`` of the first ``until`` bits, or of all."""
+        at, spent = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for k, word in enumerate(words):
+            unlike = word[x[at]] ^ word[y[at]]
+            if until is not None:
+                beyond = np.clip((k + 1) * BITS - until[at], 0, BITS)
+                unlike = np.where(beyond < BITS, unlike >> np.minimum(beyond, BITS - 1).astype(np.uint64), np.uint64(0))
+            spent += np.bitwise_count(unlike)
+            if (k + 1) * BITS > budget:
+                kept = spent <= budget
+                at, spent = at[kept], spent[kept]
+        return at
+
+    todo = [(np.array(start[:1], np.int32), np.array(start[1:], np.int32))]
+    while todo:
+        x, y = todo.pop()
+        if len(x) > most:
+            todo.append((x[most:], y[most:]))
+            x, y = x[:most], y[:most]
+        same = x == y
+        own = x[same]
+        own = own[low[own] >= 0]
+        x, y = x[~same], y[~same]
+        whole = np.minimum(depth[x], depth[y])
+        leaves = whole == full
+        i, j = row[x[leaves]], row[y[leaves]]
+        i, j = (side[near(i, j, None)] for side in (i, j))
+        # Only links that join two parts are kept.
+        apart = label[i] != label[j]
+        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+            if label[a] != label[b]:
+                links.append((int(order[a]), int(order[b])))
+                label[label == label[b]] = label[a]
+        x, y, whole = x[~leaves], y[~leaves], whole[~leaves]
+        deep = np.flatnonzero(whole > budget)  # fewer bits can't differ in more
+        if len(deep):
+            left = np.ones(len(x), bool)
+            left[deep[near(row[x[deep]], row[y[deep]], whole[deep])]] = False
+            left[whole <= budget] = False
+            x, y = x[~left], y[~left]
+        turn = depth[x] > depth[y]
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        x, y = np.concatenate([low[own], high[own], low[own], low[x], high[x]]), np.concatenate([low[own], high[own], high[own], y, y])
+        if len(x):
+            todo.append((x, y))
     return links
 
 
@@ -340,9 +420,9 @@ def signatures(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     return signed.withColumns({n: F.col(made)[k] for k, n in enumerate(names)}).drop(made)
 
 
-def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMBERS) -> DataFrame:
-    """Links (a, b) of the distinct signatures (columns node and s0 to s7) that differ within the budget."""
-    tables = tables_for(count)
+def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMBERS, recall: float = RECALL) -> DataFrame:
+    """Links (a, b) of the distinct signatures (columns node and s0 to s7) that differ within the budget: joins of tries."""
+    tables = tables_for(count, recall)
     words = [f"s{k}" for k in range(WIDE // BITS)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,18 +451,19 @@ def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMB
         order = np.argsort(side, kind="stable")
         cut = int(np.count_nonzero(side == 0))
         sig, node = sig[order], node[order]
-        pairs = np.array(near_links(sig[:cut], sig[cut:] if cut < len(sig) else None), np.int64).reshape(-1, 2)
+        pairs = np.array(wide_trie_links(sig[:cut], sig[cut:] if cut < len(sig) else None), np.int64).reshape(-1, 2)
         return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
     return keyed.groupBy("t", "key", "pair").applyInArrow(join, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: one with the least id.
 
     Groups are the components of texts whose five-word shingles are alike to 0.8, by their signatures.
     Rows with a null id stay. Rows are told apart one by one: an id that repeats with another text stays
-    where that text's group has no other row; of rows that repeat, one stays.
+    where that text's group has no other row; of rows that repeat, one stays. A ``recall`` of 1 joins one trie
+    of all signatures with itself: no pair within the budget is lost, and the work grows with their square.
     """
     words = [f"s{k}" for k in range(WIDE // BITS)]
     taken = docs
@@ -394,7 +475,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = marked.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(n).alias(c) for n, c in zip(names, ("row", *words), strict=True)])
     distinct = rows.groupBy(*words).agg(F.min(F.struct("id", "row")).alias("least"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    found = components(similar_links(distinct, distinct.count()))
+    found = components(similar_links(distinct, distinct.count(), recall=recall))
     roots = distinct.join(found, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     roots = written(roots, "rooted")
     named = by_root(roots, F.min("least")).select(*words, F.col("named.row").alias("chosen"))

@@ -1087,6 +1087,78 @@ def test_similar_signatures_in_parts(spark):
     assert name(simhash.similar_links(df, len(sig), 5)) == whole
 
 
+def flipped(rng, sig, most):
+    out = sig.copy()
+    for row in out:
+        for bit in rng.choice(simhash.WIDE, rng.integers(1, most), replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+def roots_of(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(x) for x in range(n)]
+
+
+def test_joins_of_wide_tries():
+    """Of one trie and of two, over neighbours, exact bounds and chains, in small and large steps, against all pairs."""
+    rng = np.random.default_rng(5)
+    for _ in range(25):
+        base = rng.integers(0, 1 << 64, (rng.integers(1, 30), 8), dtype=np.uint64)
+        sig = np.unique(np.concatenate([base, *[flipped(rng, base, 130) for _ in range(3)]]), axis=0)
+        rng.shuffle(sig)
+        unlike = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
+        for budget in (0, 1, simhash.WIDE_BUDGET, 200):
+            near = {(a, b) for a, b in np.argwhere(unlike <= budget).tolist() if a < b}
+            most, cut = int(rng.choice([3, 100, 1 << 15])), int(rng.integers(0, len(sig) + 1))
+            across = {(a, b) for a, b in near if a < cut <= b}
+            for want, got in ((near, simhash.wide_trie_links(sig, budget=budget, most=most)), (across, simhash.wide_trie_links(sig[:cut], sig[cut:], budget, most))):
+                assert {(min(x), max(x)) for x in got} <= want
+                assert roots_of(len(sig), got) == roots_of(len(sig), want)
+                assert len(got) == len(sig) - len(set(roots_of(len(sig), want)))
+
+
+def test_wide_tries_leave_pairs_of_nodes_whole(monkeypatch):
+    """Two groups that share no bit are two nodes, which are left as one pair: no signature of theirs meets another."""
+    rng = np.random.default_rng(6)
+    zero = np.zeros((200, 8), np.uint64)
+    zero[:, 7] = rng.choice(1 << 40, 200, replace=False).astype(np.uint64)
+    sig = np.concatenate([zero, ~zero])
+    met, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: met.append(len(x)) or count(x))
+    assert simhash.wide_trie_links(zero, ~zero) == []
+    assert sum(met) <= 8
+    assert len(simhash.wide_trie_links(sig)) == 398
+
+
+def test_a_recall_of_one_loses_no_pair(spark, monkeypatch):
+    """Pairs that no table names alike: found by one trie of all, which a small corpus has anyway."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(simhash, "SUBTRIE", 4)
+    tables = simhash.tables_for(400)
+    assert len(tables) > 1 and simhash.tables_for(400, 1) == [[]] == simhash.tables_for(20)
+    base = rng.integers(0, 1 << 64, (200, 8), dtype=np.uint64)
+    other = base.copy()
+    for bit in {places[0] for places in tables}:
+        other[:, bit // 64] ^= np.uint64(1) << np.uint64(63 - bit % 64)
+    assert (np.bitwise_count(base ^ other).sum(axis=1) <= simhash.WIDE_BUDGET).all()
+    rows = [(k, *map(int, s.view(np.int64))) for k, s in enumerate(np.concatenate([base, other]))]
+    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"s{k} long" for k in range(8)))
+    assert simhash.similar_links(df, 400).collect() == []
+    for most in (simhash.MOST_MEMBERS, 50):
+        got = simhash.similar_links(df, 400, most, recall=1).collect()
+        assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got) == [(k, k + 200) for k in range(200)]
+
+
 def test_components_of_paths_stars_and_cliques(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(a, b) for a in range(200, 210) for b in range(a)if b >= 200] + [(300, 300), (301, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
