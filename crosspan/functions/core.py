@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+FINER = 4  #: times the session's shuffle partitions for wide rows that are sorted twice in a task
+
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 

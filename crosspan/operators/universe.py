@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import by_symbol, ms, seconds
+from crosspan.functions.core import FINER, by_symbol, ms, seconds
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,6 @@ def reason(r: Rules) -> Column:
     return out.otherwise("ELIGIBLE")
 
 
-FINER = 4  #: times the session's shuffle partitions for the symbols of :func:`build`
-
-
 def build(bars: DataFrame, contracts: DataFrame, start_ms: int, end_ms: int, every: str, base: str, rules: Rules, version: str = "u1", offsets: DataFrame | None = None) -> DataFrame:
     """U6 (with U1-U5, U7). One row per scheduled time and symbol.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import seconds
+from crosspan.functions.core import FINER, seconds
 
 
 def utc(spark: SparkSession) -> None:
@@ -63,12 +63,14 @@ def funding(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFram
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract snapshots, one per order: dates are moved into the events' month by day."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    # Rows are sorted to be joined and again to be aggregated, both in the same tasks: more and smaller ones than others.
+    tasks = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = orders.repartition(tasks, "o_custkey").join(customers, orders.o_custkey == customers.c_custkey)
     day = F.lit(1704067200000) + (F.unix_millis(F.col("o_orderdate").cast("timestamp")) / 86400000).cast("long") % 30 * 86400000
-    return joined.groupBy(F.col("o_custkey").cast("string").alias("symbol"), F.timestamp_millis(day).alias("snapshot_time")).agg(
+    return joined.groupBy("o_custkey", F.timestamp_millis(day).alias("snapshot_time")).agg(
         F.max_by(F.struct("o_orderstatus", "c_mktsegment", "o_orderkey"), "o_orderkey").alias("s")
     ).select(
-        "symbol", "snapshot_time",
+        F.col("o_custkey").cast("string").alias("symbol"), "snapshot_time",
         F.when(F.col("s.o_orderkey") % 17 == 0, "CURRENT_QUARTER").otherwise("PERPETUAL").alias("contract_type"),
         F.when(F.col("s.o_orderstatus") == "P", "BREAK").otherwise("TRADING").alias("status"),
         F.when(F.col("s.c_mktsegment") == "MACHINERY", "BUSD").otherwise("USDT").alias("quote_asset"),

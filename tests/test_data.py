@@ -6,9 +6,9 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from crosspan.functions.core import bars_in, seconds
+from crosspan.functions.core import FINER, bars_in, seconds
 from crosspan.operators import quality, timeaxis, universe
-from crosspan.sources import files
+from crosspan.sources import files, panel
 
 H, D = 3_600_000, 86_400_000
 T0 = 1704067200000
@@ -159,6 +159,16 @@ def test_a_panel_published_by_symbol_needs_no_exchange(spark, tmp_path):
     assert one.count() == 5 and "month" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
 
 
+def test_contracts_are_joined_and_aggregated_in_small_tasks(spark, tmp_path):
+    """Orders are dealt once, by customer and finer than other shuffles, and aggregated where they are."""
+    spark.range(40).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "'P' as o_orderstatus", "timestamp'2024-01-03' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(5).selectExpr("id as c_custkey", "'MACHINERY' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    contracts = panel.contracts(spark, str(tmp_path))
+    dealt = [x for x in contracts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert len(dealt) == 1 and f", {FINER * int(spark.conf.get('spark.sql.shuffle.partitions'))})" in dealt[0]
+    assert sorted((r.symbol, r.status, r.quote_asset) for r in contracts.collect()) == [(str(k), "BREAK", "BUSD") for k in range(5)]
+
+
 def test_universe_sorts_no_row_for_each_symbol_and_time(spark):
     """Bars are summed by slot before the one window that carries snapshots; no symbol is crossed with the schedule
     beforehand, and no window is over single bars."""
