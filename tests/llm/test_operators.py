@@ -1159,6 +1159,22 @@ def test_a_recall_of_one_loses_no_pair(spark, monkeypatch):
         assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in got) == [(k, k + 200) for k in range(200)]
 
 
+def test_tables_share_pairs_at_the_limit(spark, monkeypatch):
+    """Pairs that differ in 77 of 512 bits, over several tables: as many are found as ``RECALL`` says, less chance."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(simhash, "SUBTRIE", 16)
+    assert len(simhash.tables_for(800)) > 1
+    base = rng.integers(0, 1 << 64, (400, 8), dtype=np.uint64)
+    other = base.copy()
+    for row in other:
+        for bit in rng.choice(simhash.WIDE, 77, replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = [(k, *map(int, s.view(np.int64))) for k, s in enumerate(np.concatenate([base, other]))]
+    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"s{k} long" for k in range(8)))
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.similar_links(df, 800).collect()}
+    assert found <= {(k, k + 400) for k in range(400)} and len(found) >= 0.975 * 400
+
+
 def test_components_of_paths_stars_and_cliques(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(a, b) for a in range(200, 210) for b in range(a)if b >= 200] + [(300, 300), (301, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
