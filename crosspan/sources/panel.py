@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars_of(events: DataFrame, symbol: Column, interval: str, complete_trades: int = 1, version: str = "events-v1", in_order: bool = False) -> DataFrame:
     """OHLCV bars of ``value`` per symbol and left-closed interval; empty intervals have no bar.
 
-    ``in_order``: values are added up in order of time, so that the last bits of ``quote_volume`` and ``volume`` don't
-    depend on how events are dealt to tasks; for bars of few events, since a bar's are held together.
+    ``in_order``: values are added up by ``event_id``, the order in which the table has them and SQL on one thread adds
+    them, so that the last bits of ``quote_volume`` and ``volume`` don't depend on how events are dealt to tasks; for
+    bars of few events, since a bar's are held together.
     """
     step = seconds(interval) * 1000
     t = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -29,7 +30,7 @@ def bars_of(events: DataFrame, symbol: Column, interval: str, complete_trades: i
     taker = F.sum(F.when(F.col("taker"), F.col("value")).otherwise(0.0))
     total = F.sum("value")
     if in_order:
-        total = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "value"))), F.lit(0.0), lambda sum_, e: sum_ + e["value"])
+        total = F.aggregate(F.array_sort(F.collect_list(F.struct("at.event_id", "value"))), F.lit(0.0), lambda sum_, e: sum_ + e["value"])
     out = source.groupBy("symbol", "t").agg(
         F.min_by("value", "at").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "at").alias("close"),
         (total / 2).alias("volume"), total.alias("quote_volume"), F.count("*").alias("trades"),

@@ -79,3 +79,16 @@ def test_sums_in_order_do_not_depend_on_how_events_are_dealt(spark):
         events = spark.createDataFrame(order, "event_id long, s long, user_id long, value double").repartition(3).withColumn("ts", F.timestamp_seconds("s"))
         got = panel.bars_of(events, F.col("user_id").cast("string"), "1d", in_order=True).collect()
         assert len(got) == 6 and {r.quote_volume for r in got} == {want} and {r.volume for r in got} == {want / 2}
+
+
+def test_sums_go_by_event_id_not_by_time(spark):
+    """As SQL on one thread adds events up: in the order in which they are numbered, which repeated times don't have."""
+    from crosspan.sources import panel
+
+    values = (0.1, 0.2, 0.3, 0.7, 1e16, -1e16)
+    want, by_time = (functools.reduce(operator.add, v) for v in (values, values[::-1]))
+    assert want != by_time
+    rows = [(i, 1704067200 - i, k, v) for i, v in enumerate(values) for k in range(3)]
+    events = spark.createDataFrame([(e, s + 100, k, v) for e, s, k, v in rows[::-1]], "event_id long, s long, user_id long, value double").repartition(3).withColumn("ts", F.timestamp_seconds("s"))
+    got = panel.bars_of(events, F.col("user_id").cast("string"), "1d", in_order=True).collect()
+    assert len(got) == 3 and {r.quote_volume for r in got} == {want}
