@@ -18,16 +18,21 @@ written to the shared folder.
 
 :func:`one_of_each`, which filters a corpus, asks for a similarity of 0.8 on five-word shingles. Such
 texts differ in ``UNLIKE`` of the bits (77 of 512, give or take 8), so it takes a signature of 512 bits and
-a budget of ``WIDE_BUDGET``, which 0.97 of pairs at the limit keep. The method is the same: subtries are joined with
-themselves, pairs of nodes walked together until they differ in more than the budget. No few pieces
-name the subtries, since pairs differ in a sixth of any piece: each of several tables names
-subtries of about ``SUBTRIE`` signatures by bits of its own, and there are so many tables that a pair
-at the limit shares a subtrie of one of them with probability ``RECALL``. The product of both, 0.96, is
-the share of pairs at the limit that are found; pairs of 0.7 are within the budget in half of all
-cases, of 0.6 hardly ever. A signature is sent to as many tables: 18 for 2 * 10^5 signatures, 43 for
-6 * 10^6, 138 for 10^9. Where it is less work (up to 3,584 signatures) and with a recall of 1, one trie of all signatures
-is joined with itself, which loses no pair within the budget. Large subtries become pairs of parts, a
-trie each; the work in them grows with the square of their distinct signatures, in parallel.
+a budget of ``WIDE_BUDGET``, which 0.97 of pairs at the limit keep. The method is the same: exact names send
+signatures to subtries, which are joined with themselves, pairs of nodes walked together until they differ
+in more than the budget. No pair within the budget is lost, whatever its bits are: of several pieces of the 512
+bits, whose shares add up to the budget and one, two such signatures differ in fewer bits than its share in
+at least one. A piece of share s gives each of its bits a column of s binary digits. It has a name for
+each of the 2^s - 1 vectors that aren't zero, which keeps the bits, about half, whose column has an odd product with
+it. Fewer than s columns leave a vector that is orthogonal to them all, so one name keeps none of the bits that
+differ, and its subtrie has both. There are some 2,000 names for 2 * 10^5 signatures: :func:`names_for`
+weighs more names against larger subtries. They are made within a task, from a block of at most ``MOST_NAMED``
+signatures or a pair of blocks, so that a signature is sent to as many tasks as there are blocks (to ``SLICES``
+where they are few) and memory is bounded; the work in blocks grows with their square.
+
+:func:`similar_links` takes a ``recall`` below 1, too, which :func:`one_of_each` doesn't ask for: then each of
+several tables names subtries of about ``SUBTRIE`` signatures by bits of its own, and there are as many tables as share
+a pair at the limit with that probability; the other pairs are lost.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and link like any
 other; with fewer words than a shingle the whole sequence is the shingle; repeated rows each give a
@@ -37,6 +42,7 @@ component is null); an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -56,8 +62,13 @@ MOST_MEMBERS = 4096
 #: Rows of one component that one task joins, and the most larger components whose names are broadcast.
 PER_TASK, MOST_LARGE = 1000, 100_000
 #: The signature of :func:`one_of_each`: bits, words, the most bits that may differ (those that a similarity of 0.8
-#: leaves unlike, and two standard deviations of 8 more); members of a subtrie, and the share of pairs that share one.
+#: leaves unlike, and two standard deviations of 8 more); of tables, members of a subtrie, and the share of pairs that share one.
 WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 512, 5, 92, 0.15, 512, 0.99
+#: The most signatures of one walk without names, of a block with names, of a subtrie whose pairs are looked at one by
+#: one, and into how many tasks the names of one block are dealt.
+MOST_WALKED, MOST_NAMED, FEW, SLICES = 2048, 1 << 18, 64, 16
+#: Nanoseconds to put a signature into a name's subtrie, and to look at a pair.
+NAMING, LOOKING = 60, 150
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -407,6 +418,147 @@ def wide_trie_links(sig: np.ndarray, other: np.ndarray | None = None, budget: in
     return links
 
 
+@functools.cache
+def kept_bits(width: int, share: int) -> tuple[int, ...]:
+    """The bits (as masks) that the names of a piece of ``width`` bits keep; any fewer than ``share`` bits are kept by none of them in one.
+
+    The columns are changed one by one as long as that leaves unlike signatures fewer names in common.
+    """
+    vectors = np.arange(1, 1 << share)
+    odd = (np.bitwise_count(vectors[:, None] & vectors[None]) & 1).astype(np.int64)
+    column = np.random.default_rng(width).integers(0, len(vectors), width)
+    kept, unlike, before = odd[:, column].sum(axis=1), 1 - odd / 2, math.inf
+    while (now := (0.5**kept).sum()) < before:
+        before = now
+        for k in range(width):
+            kept -= odd[:, column[k]]
+            column[k] = np.argmin(0.5**kept @ unlike)
+            kept += odd[:, column[k]]
+    return tuple(sum(1 << k for k in np.flatnonzero(row).tolist()) for row in odd[:, column])
+
+
+def pieces_of(count: int) -> list[tuple[int, int, int]]:
+    """The bits in ``count`` pieces: first bit, width, share. The shares add up to ``WIDE_BUDGET`` and one."""
+    ends = [WIDE * k // count for k in range(count + 1)]
+    share, more = divmod(WIDE_BUDGET + 1, count)
+    wide = sorted(range(count), key=lambda k: ends[k] - ends[k + 1])[:more]
+    return [(ends[k], ends[k + 1] - ends[k], share + (k in wide)) for k in range(count)]
+
+
+def names_for(members: int) -> list[tuple[int, int, int]]:
+    """The names of so many signatures' subtries: a piece's first bit and width, and the bits of it that the name keeps.
+
+    Of so many pieces that naming, and looking at pairs of unlike signatures, take the least time.
+    """
+
+    def cost(count: int) -> float:
+        names = sum((1 << share) - 1 for _, _, share in pieces_of(count))
+        return names * (NAMING * members + LOOKING * members**2 * 2.0 ** (-WIDE / count / 2))
+
+    return [(at, width, kept) for at, width, share in pieces_of(min(range(10, 33), key=cost)) for kept in kept_bits(width, share)]
+
+
+def named_links(sig: np.ndarray, names: list[tuple[int, int, int]], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of distinct signatures (n x 8) that share one of ``names`` and differ within the budget.
+
+    With ``side``, of the pairs across (and maybe some of one side). Subtries of more than ``FEW`` are joined by
+    :func:`wide_trie_links`; in smaller ones only the leaves are compared. Pairs that are joined already are left.
+    """
+    n = len(sig)
+    # The first half of the bits tells nearly all pairs of unlike signatures; its words lie together for each row.
+    halves = [np.ascontiguousarray(half) for half in np.split(sig, 2, axis=1)]
+    label, links = np.arange(n), []
+    rows, own = np.arange(n, dtype=np.uint64), np.uint64((1 << max(n - 1, 1).bit_length()) - 1)
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            x = int(label[x])
+        return x
+
+    def join(i: np.ndarray, j: np.ndarray, looked: bool = False) -> None:
+        """Takes the links among the pairs of rows that aren't joined yet; ``looked``: all of them are links."""
+        for at in range(0, len(i), 1 << 13):  # few enough that memory is used again
+            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            spent = np.zeros(len(x), np.uint16)
+            for half in () if looked else halves:
+                unlike = np.bitwise_count(half.take(x, axis=0) ^ half.take(y, axis=0))
+                for column in unlike.T:
+                    spent += column
+                near = spent <= WIDE_BUDGET
+                x, y, spent = x[near], y[near], spent[near]
+            found = len(links)
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                p, q = root(a), root(b)
+                if p != q:
+                    label[max(p, q)] = min(p, q)
+                    links.append((a, b))
+            while found < len(links) and (label != (up := label[label])).any():
+                label[:] = up
+
+    def walk(members: np.ndarray) -> None:
+        """Joins the tries of one subtrie's members; those that are joined already, if most are, are one trie."""
+        while True:
+            _, at, count = np.unique(label[members], return_inverse=True, return_counts=True)
+            if len(count) < 2:
+                return
+            mine = at == count.argmax()
+            first, rest = members[mine], members[~mine]
+            if len(first) <= len(rest):
+                pairs = wide_trie_links(sig[members])
+            else:
+                pairs, members = wide_trie_links(sig[first], sig[rest]), np.concatenate([first, rest])
+            if pairs:
+                join(*members[np.array(pairs)].T, looked=True)
+            if len(first) <= len(rest):
+                return
+            members = rest
+
+    begun, key, gap = None, np.empty(n, np.uint64), np.empty(n - 1, np.uint64)
+    row = lambda places: (key[places] & own).astype(np.int64)
+    for at, width, kept in names:
+        if at != begun:
+            begun, (k, off) = at, divmod(at, BITS)
+            piece = sig[:, k] << np.uint64(off)
+            if off + width > BITS:
+                piece |= sig[:, k + 1] >> np.uint64(BITS - off)
+            piece >>= np.uint64(BITS - width)
+        # Members of one subtrie lie together: a mix of their name, then the row. Names that mix alike are one subtrie.
+        np.bitwise_and(piece, np.uint64(kept), out=key)
+        np.multiply(key, np.uint64(0x9E3779B97F4A7C15), out=key)
+        np.bitwise_and(key, ~own, out=key)
+        np.bitwise_or(key, rows, out=key)
+        key.sort()
+        same = np.flatnonzero(np.bitwise_xor(key[1:], key[:-1], out=gap) <= own)
+        if not len(same):
+            continue
+        # Members of subtries but for the first ones: their place, their subtrie, and its first and last place.
+        begins = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+        trie = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(same)))
+        first, last = same[begins], same[np.append(begins[1:], len(same)) - 1] + 1
+        apart = np.zeros(len(begins), bool)
+        apart[trie[label[row(same + 1)] != label[row(first[trie])]]] = True
+        few = last - first < FEW
+        todo = (apart & few)[trie]
+        place, end = same[todo], last[trie[todo]]
+        step = 1
+        while len(place):
+            i, j = row(place), row(place + step)
+            if side is not None:
+                across = side[i] != side[j]
+                i, j = i[across], j[across]
+            join(i, j)
+            step += 1
+            more = place + step <= end
+            place, end = place[more], end[more]
+        for k in np.flatnonzero(apart & ~few).tolist():
+            members = row(np.arange(first[k], last[k] + 1))
+            join(np.full(len(members) - 1, members[0]), members[1:])
+            walk(members)
+    return links
+
+
 def signatures(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     """``docs`` with the signature in the columns ``names``."""
 
@@ -420,9 +572,45 @@ def signatures(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     return signed.withColumns({n: F.col(made)[k] for k, n in enumerate(names)}).drop(made)
 
 
+def exact_links(distinct: DataFrame, count: int, most_members: int) -> DataFrame:
+    """Links (a, b) of the distinct signatures (columns node and s0 to s7), spanning all that differ within the budget.
+
+    Blocks of at most about ``most_members`` are joined with themselves and with each other; where there are few, each of
+    several tasks takes some of the names.
+    """
+    words = [f"s{k}" for k in range(WIDE // BITS)]
+    blocks = max(1, math.ceil(count / most_members))
+    members = min(count, 2 * math.ceil(count / blocks))
+    names = names_for(members) if members > MOST_WALKED else []
+    slices = max(1, SLICES * 2 // (blocks * (blocks + 1))) if names else 1
+    keyed = distinct.select("node", *words, F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
+    pair = F.least("own", "with").cast("long") * (1 << 31) + F.greatest("own", "with")
+    # A block joined with itself is one join, of one side.
+    keyed = keyed.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "node", *words, pair.alias("pair"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+
+    def join(key: tuple, members: pa.Table) -> pa.Table:
+        node, side = members["node"].to_numpy(), members["side"].to_numpy()
+        sig = np.column_stack([members[w].to_numpy() for w in words]).view(np.uint64)
+        two = bool(side.any())
+        if names:
+            links = named_links(sig, names[key[0].as_py() :: slices], side if two else None)
+        else:
+            order = np.argsort(side, kind="stable")
+            cut = int(np.count_nonzero(side == 0))
+            sig, node = sig[order], node[order]
+            links = wide_trie_links(sig[:cut], sig[cut:] if two else None)
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    found = keyed.groupBy("slice", "pair").applyInArrow(join, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if slices > 1 else found
+
+
 def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMBERS, recall: float = RECALL) -> DataFrame:
-    """Links (a, b) of the distinct signatures (columns node and s0 to s7) that differ within the budget: joins of tries."""
+    """:func:`exact_links` if ``recall`` is 1 (or tables are more work); below, the links whose signatures share a table's subtrie."""
     tables = tables_for(count, recall)
+    if tables == [[]]:
+        return exact_links(distinct, count, most_members)
     words = [f"s{k}" for k in range(WIDE // BITS)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,13 +645,12 @@ def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMB
     return keyed.groupBy("t", "key", "pair").applyInArrow(join, "a long, b long")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: one with the least id.
 
-    Groups are the components of texts whose five-word shingles are alike to 0.8, by their signatures.
+    Groups are the components of all pairs of texts whose five-word shingles are alike to 0.8, by their signatures.
     Rows with a null id stay. Rows are told apart one by one: an id that repeats with another text stays
-    where that text's group has no other row; of rows that repeat, one stays. A ``recall`` of 1 joins one trie
-    of all signatures with itself: no pair within the budget is lost, and the work grows with their square.
+    where that text's group has no other row; of rows that repeat, one stays.
     """
     words = [f"s{k}" for k in range(WIDE // BITS)]
     taken = docs
@@ -475,7 +662,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = marked.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(n).alias(c) for n, c in zip(names, ("row", *words), strict=True)])
     distinct = rows.groupBy(*words).agg(F.min(F.struct("id", "row")).alias("least"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    found = components(similar_links(distinct, distinct.count(), recall=recall))
+    found = components(exact_links(distinct, distinct.count(), MOST_NAMED))
     roots = distinct.join(found, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     roots = written(roots, "rooted")
     named = by_root(roots, F.min("least")).select(*words, F.col("named.row").alias("chosen"))

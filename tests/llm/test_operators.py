@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -1175,6 +1176,76 @@ def test_tables_share_pairs_at_the_limit(spark, monkeypatch):
     assert found <= {(k, k + 400) for k in range(400)} and len(found) >= 0.975 * 400
 
 
+def test_names_of_a_piece_avoid_any_few_bits():
+    for width, share in ((8, 3), (9, 4), (12, 5), (7, 2), (5, 1)):
+        names = simhash.kept_bits(width, share)
+        assert len(names) == 2**share - 1
+        for bits in itertools.combinations(range(width), share - 1):
+            assert any(not kept & sum(1 << b for b in bits) for kept in names)
+    for count in range(10, 33):
+        pieces = simhash.pieces_of(count)
+        assert sum(share for _, _, share in pieces) == simhash.WIDE_BUDGET + 1
+        assert [at for at, _, _ in pieces] == list(itertools.accumulate([0] + [width for _, width, _ in pieces[:-1]])) and sum(pieces[-1][:2]) == simhash.WIDE
+
+
+def apart(rng, sig, least, most):
+    """Copies of the rows with so many other bits."""
+    out = sig.copy()
+    for row in out:
+        for bit in rng.choice(simhash.WIDE, rng.integers(least, most + 1), replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return out
+
+
+def test_named_subtries_lose_no_pair(monkeypatch):
+    """Pairs at the budget and just beyond, a large group, a chain and a group of unlike copies, against all pairs."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 64, (300, 8), dtype=np.uint64)
+    chain = [base[:1]]
+    while len(chain) < 200:
+        chain.append(apart(rng, chain[-1], 1, 60))
+    groups = [apart(rng, np.repeat(base[k : k + 1], 200, axis=0), *span) for k, span in ((1, (1, 50)), (2, (40, 75)))]
+    sig = np.unique(np.concatenate([base, apart(rng, base, 92, 92), apart(rng, base, 93, 93), *chain, *groups]), axis=0)
+    rng.shuffle(sig)
+    side = rng.integers(0, 2, len(sig))
+    unlike = sum(np.bitwise_count(sig[:, None, k] ^ sig[None, :, k]).astype(int) for k in range(8))
+    near = {(a, b) for a, b in np.argwhere(unlike <= simhash.WIDE_BUDGET).tolist() if a < b}
+    across = {(a, b) for a, b in near if side[a] != side[b]}
+    for few in (simhash.FEW, 4):
+        monkeypatch.setattr(simhash, "FEW", few)
+        for members in (len(sig), 10**6):
+            names = simhash.names_for(members)
+            got = simhash.named_links(sig, names)
+            assert {(min(p), max(p)) for p in got} <= near and len(got) == len(sig) - len(set(roots_of(len(sig), near)))
+            got = simhash.named_links(sig, names, side)
+            roots = roots_of(len(sig), got)
+            assert {(min(p), max(p)) for p in got} <= near and all(roots[a] == roots[b] for a, b in across)
+
+
+def test_one_of_each_loses_no_pair_of_a_large_corpus(spark, monkeypatch):
+    """Texts near the limit in a corpus that tables would deal out, against all pairs of signatures, by one trie, names and blocks."""
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(500)]
+    texts = []
+    for _ in range(500):
+        text = [rnd.choice(words) for _ in range(120)]
+        copy = list(text)
+        for at in rnd.sample(range(120), rnd.randrange(3, 7)):
+            copy[at] = rnd.choice(words)
+        texts += [" ".join(text), " ".join(copy)]
+    monkeypatch.setattr(simhash, "SUBTRIE", 4)
+    assert len(simhash.tables_for(len(texts))) > 1
+    sig = np.array([simhash.signature_of(t) for t in texts], np.uint64)
+    unlike = sum(np.bitwise_count(sig[:, None, k] ^ sig[None, :, k]).astype(int) for k in range(8))
+    want = sorted(set(roots_of(len(texts), [(a, b) for a, b in np.argwhere(unlike <= simhash.WIDE_BUDGET).tolist() if a < b])))
+    assert len(texts) / 2 < len(want) < len(texts) * 0.9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for walked, named in ((simhash.MOST_WALKED, simhash.MOST_NAMED), (100, simhash.MOST_NAMED), (100, 300)):
+        monkeypatch.setattr(simhash, "MOST_WALKED", walked)
+        monkeypatch.setattr(simhash, "MOST_NAMED", named)
+        assert sorted(r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect()) == want
+
+
 def test_components_of_paths_stars_and_cliques(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(a, b) for a in range(200, 210) for b in range(a)if b >= 200] + [(300, 300), (301, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
