@@ -26,9 +26,9 @@ at least one. A piece of share s gives each of its bits a column of s binary dig
 each of the 2^s - 1 vectors that aren't zero, which keeps the bits, about half, whose column has an odd product with
 it. Fewer than s columns leave a vector that is orthogonal to them all, so one name keeps none of the bits that
 differ, and its subtrie has both. There are some 2,000 names for 2 * 10^5 signatures: :func:`names_for`
-weighs more names against larger subtries. They are made within a task, from a block of at most ``MOST_NAMED``
-signatures or a pair of blocks, so that a signature is sent to as many tasks as there are blocks (to ``SLICES``
-where they are few) and memory is bounded; the work in blocks grows with their square.
+weighs more names against larger subtries. They are made within a task, which has at most some ``MOST_NAMED``
+signatures, so that memory is bounded. Of more, any two meet in one task (:func:`exact_links`): a signature is sent
+to a task more than there are times ``MOST_NAMED`` of them (to ``SLICES`` if all fit), and the work grows with the square of these times.
 
 :func:`similar_links` takes a ``recall`` below 1, too, which :func:`one_of_each` doesn't ask for: then each of
 several tables names subtries of about ``SUBTRIE`` signatures by bits of its own, and there are as many tables as share
@@ -64,9 +64,9 @@ PER_TASK, MOST_LARGE = 1000, 100_000
 #: The signature of :func:`one_of_each`: bits, words, the most bits that may differ (those that a similarity of 0.8
 #: leaves unlike, and two standard deviations of 8 more); of tables, members of a subtrie, and the share of pairs that share one.
 WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 512, 5, 92, 0.15, 512, 0.99
-#: The most signatures of one walk without names, of a block with names, of a subtrie whose pairs are looked at one by
-#: one, and into how many tasks the names of one block are dealt.
-MOST_WALKED, MOST_NAMED, FEW, SLICES = 2048, 1 << 18, 64, 16
+#: The most signatures of one walk without names, of one task with names, of a subtrie whose pairs are looked at one by
+#: one, and into how many tasks names are dealt where one could take all signatures.
+MOST_WALKED, MOST_NAMED, FEW, SLICES = 2048, 1 << 19, 64, 16
 #: Nanoseconds to put a signature into a name's subtrie, and to look at a pair.
 NAMING, LOOKING = 60, 150
 
@@ -458,11 +458,11 @@ def names_for(members: int) -> list[tuple[int, int, int]]:
     return [(at, width, kept) for at, width, share in pieces_of(min(range(10, 33), key=cost)) for kept in kept_bits(width, share)]
 
 
-def named_links(sig: np.ndarray, names: list[tuple[int, int, int]], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def named_links(sig: np.ndarray, names: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of distinct signatures (n x 8) that share one of ``names`` and differ within the budget.
 
-    With ``side``, of the pairs across (and maybe some of one side). Subtries of more than ``FEW`` are joined by
-    :func:`wide_trie_links`; in smaller ones only the leaves are compared. Pairs that are joined already are left.
+    Subtries of more than ``FEW`` are joined by :func:`wide_trie_links`; in smaller ones only the leaves are compared.
+    Pairs that are joined already are left.
     """
     n = len(sig)
     # The first half of the bits tells nearly all pairs of unlike signatures; its words lie together for each row.
@@ -544,11 +544,7 @@ def named_links(sig: np.ndarray, names: list[tuple[int, int, int]], side: np.nda
         place, end = same[todo], last[trie[todo]]
         step = 1
         while len(place):
-            i, j = row(place), row(place + step)
-            if side is not None:
-                across = side[i] != side[j]
-                i, j = i[across], j[across]
-            join(i, j)
+            join(row(place), row(place + step))
             step += 1
             more = place + step <= end
             place, end = place[more], end[more]
@@ -575,35 +571,32 @@ def signatures(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
 def exact_links(distinct: DataFrame, count: int, most_members: int) -> DataFrame:
     """Links (a, b) of the distinct signatures (columns node and s0 to s7), spanning all that differ within the budget.
 
-    Blocks of at most about ``most_members`` are joined with themselves and with each other; where there are few, each of
-    several tasks takes some of the names.
+    A task joins about ``most_members`` with themselves, or fewer. Where one doesn't hold all, signatures are dealt to the
+    points of a plane over a prime number, and each task has a line: two points lie on one line, so that any two
+    signatures meet. Where there are few lines, each of several tasks takes some of the names.
     """
     words = [f"s{k}" for k in range(WIDE // BITS)]
-    blocks = max(1, math.ceil(count / most_members))
-    members = min(count, 2 * math.ceil(count / blocks))
+    order = max(1, math.ceil(count / most_members))
+    while any(order % k == 0 for k in range(2, math.isqrt(order) + 1)):
+        order += 1
+    members = math.ceil(count / order)
     names = names_for(members) if members > MOST_WALKED else []
-    slices = max(1, SLICES * 2 // (blocks * (blocks + 1))) if names else 1
-    keyed = distinct.select("node", *words, F.expr(f"cast(pmod(xxhash64(node), {blocks}) as int)").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
-    pair = F.least("own", "with").cast("long") * (1 << 31) + F.greatest("own", "with")
-    # A block joined with itself is one join, of one side.
-    keyed = keyed.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "node", *words, pair.alias("pair"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+    slices = max(1, SLICES // (order * (order + 1))) if names else 1
+    # The line of slope m through (x, y) is named by m and where it meets x = 0; the upright one by x.
+    lines = f"sequence(0, {order})" if order > 1 else "array(0)"
+    keyed = distinct.select("node", *words, F.expr(f"pmod(xxhash64(node), {order}L)").alias("x"), F.expr(f"pmod(xxhash64(node, 1), {order}L)").alias("y"), F.explode(F.expr(lines)).alias("slope"))
+    keyed = keyed.withColumn("meets", F.expr(f"if(slope = {order}, x, pmod(y - slope * x, {order}L))"))
+    keyed = keyed.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "slope", "meets", "node", *words)
 
     def join(key: tuple, members: pa.Table) -> pa.Table:
-        node, side = members["node"].to_numpy(), members["side"].to_numpy()
+        node = members["node"].to_numpy()
         sig = np.column_stack([members[w].to_numpy() for w in words]).view(np.uint64)
-        two = bool(side.any())
-        if names:
-            links = named_links(sig, names[key[0].as_py() :: slices], side if two else None)
-        else:
-            order = np.argsort(side, kind="stable")
-            cut = int(np.count_nonzero(side == 0))
-            sig, node = sig[order], node[order]
-            links = wide_trie_links(sig[:cut], sig[cut:] if two else None)
+        links = named_links(sig, names[key[0].as_py() :: slices]) if names else wide_trie_links(sig)
         pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    found = keyed.groupBy("slice", "pair").applyInArrow(join, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if slices > 1 else found
+    found = keyed.groupBy("slice", "slope", "meets").applyInArrow(join, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_links(distinct: DataFrame, count: int, most_members: int = MOST_MEMBERS, recall: float = RECALL) -> DataFrame:
