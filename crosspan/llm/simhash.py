@@ -28,7 +28,7 @@ it. Fewer than s columns leave a vector that is orthogonal to them all, so one n
 differ, and its subtrie has both. There are some 2,000 names for 2 * 10^5 signatures: :func:`names_for`
 weighs more names against larger subtries. They are made within a task, which has at most some ``MOST_NAMED``
 signatures, so that memory is bounded. Of more, any two meet in one task (:func:`exact_links`): a signature is sent
-to a task more than there are times ``MOST_NAMED`` of them (to ``SLICES`` if all fit), and the work grows with the square of these times.
+to a task more than there are times ``MOST_NAMED`` of them (to half of ``SLICES`` if all fit), and the work grows with the square of these times.
 
 :func:`similar_links` takes a ``recall`` below 1, too, which :func:`one_of_each` doesn't ask for: then each of
 several tables names subtries of about ``SUBTRIE`` signatures by bits of its own, and there are as many tables as share
@@ -65,7 +65,7 @@ PER_TASK, MOST_LARGE = 1000, 100_000
 #: leaves unlike, and two standard deviations of 8 more); of tables, members of a subtrie, and the share of pairs that share one.
 WIDE, WIDE_WORDS, WIDE_BUDGET, UNLIKE, SUBTRIE, RECALL = 512, 5, 92, 0.15, 512, 0.99
 #: The most signatures of one walk without names, of one task with names, of a subtrie whose pairs are looked at one by
-#: one, and into how many tasks names are dealt where one could take all signatures.
+#: one, and how many tasks share the names where lines are few (half as many for one line).
 MOST_WALKED, MOST_NAMED, FEW, SLICES = 2048, 1 << 19, 64, 16
 #: Nanoseconds to put a signature into a name's subtrie, and to look at a pair.
 NAMING, LOOKING = 60, 150
